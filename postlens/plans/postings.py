@@ -333,7 +333,7 @@ ORACLES = {
     "b16_location_candidates": f"""
         WITH t AS (SELECT s_suppkey, {SQL_PLACE} AS n, s_acctbal, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
         SELECT s_suppkey, CASE WHEN s_acctbal < 2000 THEN n WHEN s_acctbal < 4000 THEN 'remote, ' || n
-            WHEN s_acctbal < 6000 THEN n || ', IE' WHEN s_acctbal < 8000 THEN n || ', Ireland' ELSE 'Remote' END AS raw_location,
+            WHEN s_acctbal < 6000 THEN n || ', IE' WHEN s_acctbal < 8000 THEN 'Our site in ' || n || ', Ireland' ELSE 'Remote' END AS raw_location,
           CASE WHEN s_acctbal < 2000 THEN 'label' WHEN s_acctbal < 4000 THEN 'remote' WHEN s_acctbal < 6000 THEN 'city_code'
             WHEN s_acctbal < 8000 THEN 'city_country' ELSE 'default' END AS pattern,
           CASE WHEN s_acctbal < 2000 THEN 'false' ELSE 'true' END AS place_shaped FROM t""",
