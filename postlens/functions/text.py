@@ -24,6 +24,15 @@ def big(col: str | Column) -> Column:
     return c(col).cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    An expression used inside a lambda is evaluated again for every element. Binding it as a
+    lambda variable of a one-element array avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sub(col: str | Column, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(c(col), F.lit(pattern), F.lit(replacement))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.joins import small_side
 from postlens.functions.segments import neighbour
-from postlens.functions.text import big, c, literal_map, percent, plain_words, squeeze
+from postlens.functions.text import big, c, let, literal_map, percent, plain_words, squeeze
 
 # Seconds an entry of each kind stays valid.
 TTL_SECONDS = {
@@ -56,11 +56,10 @@ def _as_of(visits: DataFrame, captures: DataFrame, keys: Sequence[str], bucket:
 
 def path_prefixes(path: Column) -> Column:
     """Non-root prefixes of a path that end on a segment boundary, itself included."""
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.when(F.size(segments) > 0, F.transform(
+    none = F.array().cast("array<string>")
+    return let(F.filter(F.split(path, "/"), lambda s: s != ""), lambda segments: F.when(F.size(segments) > 0, F.transform(
         F.sequence(F.lit(1), F.size(segments)),
-        lambda i: F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))).otherwise(
-            F.array().cast("array<string>"))
+        lambda i: F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))).otherwise(none))
 
 
 def recall(visits: DataFrame, captures: DataFrame, lineage_seconds: int = LINEAGE_SECONDS, bucket: str = "hour") -> DataFrame:
@@ -153,12 +152,15 @@ def phrase_key(col: str | Column) -> Column:
 
 def word_ngrams(words: Column, longest: int) -> Column:
     """Distinct n-grams of an array of words, n from 1 to ``longest``, joined by a blank."""
-    grams = F.array().cast("array<string>")
-    for n in range(1, longest + 1):
-        grams = F.concat(grams, F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-            .otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(grams)
+    def build(ws: Column) -> Column:
+        grams = F.array().cast("array<string>")
+        for n in range(1, longest + 1):
+            grams = F.concat(grams, F.when(F.size(ws) >= n, F.transform(
+                F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
+                .otherwise(F.array().cast("array<string>")))
+        return F.array_distinct(grams)
+
+    return let(words, build)
 
 
 def affinity(headline: Column, seen_at: Column, as_of: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import (
-    big, c, first_of, found, hits, keep_present, literal_map, pick, picks, pieces, squeeze, sub, sub_all, word_array,
+    big, c, first_of, found, hits, keep_present, let, literal_map, pick, picks, pieces, squeeze, sub, sub_all, word_array,
 )
 from postlens.rules import postings as R
 
@@ -251,9 +251,8 @@ def detect_platform(pages: DataFrame, platforms: Sequence[tuple[str, Sequence[st
                 path_tests.append(F.when(F.lower(url).contains("//" + fragment), F.lit(i)))
             else:
                 order.setdefault(fragment, i)
-    parts = F.split(host_of(url), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                           lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    suffixes = let(F.split(host_of(url), r"\."), lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
     ranks = F.transform(suffixes, lambda s: F.try_element_at(literal_map(order), s))
     best = F.array_min(F.concat(ranks, F.array(*path_tests)) if path_tests else ranks)
     return pages.withColumn("platform", F.coalesce(F.try_element_at(word_array(names), best + 1), F.lit("")))
@@ -440,8 +439,8 @@ def page_links(pages: DataFrame, handle_pattern: str | None = None, drop_chrome:
         F.trim(F.regexp_extract(a, r"""(?is)href=["']?([^"'> ]+)""", 1)).alias("href"),
         tags_to_text(a).alias("text"))), lambda s: s["href"] != "")
     work = pages.select("page_id", host_of("url").alias("_own"), made.alias("_a"))
-    targets = F.transform("_a", lambda s: s["href"])
-    once = F.filter("_a", lambda s, i: F.array_position(targets, s["href"]) == i + 1)
+    once = let(F.transform("_a", lambda s: s["href"]), lambda targets: F.filter(
+        "_a", lambda s, i: F.array_position(targets, s["href"]) == i + 1))
     out = work.select("page_id", "_own", F.inline(once)).withColumn("host", F.coalesce(
         F.nullif(host_of("href"), F.lit("")), F.col("_own")))
     handle = F.regexp_extract("href", handle_pattern, 1) if handle_pattern else F.lit("")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.joins import salted_join, small_side
-from postlens.functions.text import big, c, half_up, literal_map, outside, picks, pieces, squeeze, sub_all, word_array, words
+from postlens.functions.text import big, c, half_up, let, literal_map, outside, picks, pieces, squeeze, sub_all, word_array, words
 from postlens.rules import terms as R
 
 
@@ -70,31 +70,33 @@ def grams(text: str | Column, longest: int = 3, word: str = "a-z0-9_") -> Column
     keep their inner punctuation (``ci/cd``, ``node.js``); a dot before and ``+``, ``++`` or ``#``
     after a span also give the longer form (``.net``, ``c++``, ``c#``).
     """
-    runs = picks(F.lower(squeeze(text)), rf"[{word}]+|[^{word}]+", 0)
     none = F.array().cast("array<string>")
 
-    def spans(n: int) -> Column:
+    def spans(runs: Column, n: int) -> Column:
         def at(i):
-            core = F.array_join(F.slice(runs, i, F.lit(2 * n - 1)), "")
-            before = F.when(i > 1, F.try_element_at(runs, i - 1))
-            after = F.try_element_at(runs, i + (2 * n - 1))
-            forms = F.array(
-                core,
-                F.when(before.endswith("."), F.concat(F.lit("."), core)),
-                F.when(after.startswith("+"), F.concat(core, F.lit("+"))),
-                F.when(after.startswith("++"), F.concat(core, F.lit("++"))),
-                F.when(after.startswith("#"), F.concat(core, F.lit("#"))),
-            )
-            return F.filter(forms, lambda f: f.isNotNull())
+            def forms(core):
+                before = F.when(i > 1, F.try_element_at(runs, i - 1))
+                after = F.try_element_at(runs, i + (2 * n - 1))
+                return F.filter(F.array(
+                    core,
+                    F.when(before.endswith("."), F.concat(F.lit("."), core)),
+                    F.when(after.startswith("+"), F.concat(core, F.lit("+"))),
+                    F.when(after.startswith("++"), F.concat(core, F.lit("++"))),
+                    F.when(after.startswith("#"), F.concat(core, F.lit("#"))),
+                ), lambda f: f.isNotNull())
+            return let(F.array_join(F.slice(runs, i, F.lit(2 * n - 1)), ""), forms)
         last = F.size(runs) - (2 * n - 2)
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         starts = F.filter(starts, lambda i: F.element_at(runs, i).rlike(rf"^[{word}]"))
         return F.flatten(F.transform(starts, at))
 
-    out = none
-    for n in range(1, longest + 1):
-        out = F.concat(out, spans(n))
-    return out
+    def build(runs: Column) -> Column:
+        out = none
+        for n in range(1, longest + 1):
+            out = F.concat(out, spans(runs, n))
+        return out
+
+    return let(picks(F.lower(squeeze(text)), rf"[{word}]+|[^{word}]+", 0), build)
 
 
 def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 3) -> DataFrame:
@@ -116,7 +118,10 @@ def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text
 def token_set(text: str | Column) -> Column:
     """Distinct tokens of a text with singular, plural and hyphen variants."""
     cleaned = F.transform(F.split(F.lower(c(text)), r"[ \t\r\n]+"), lambda w: F.regexp_replace(w, r"[^a-z0-9\-+#]", ""))
-    tokens = F.array_distinct(F.filter(cleaned, lambda w: F.length(w) >= 2))
+    return let(F.array_distinct(F.filter(cleaned, lambda w: F.length(w) >= 2)), _with_variants)
+
+
+def _with_variants(tokens: Column) -> Column:
     singular = F.transform(F.filter(tokens, lambda t: t.endswith("s") & (F.length(t) > 3)), lambda t: t.substr(F.lit(1), F.length(t) - 1))
     plural = F.transform(F.filter(tokens, lambda t: ~t.endswith("s") & (F.length(t) > 2)), lambda t: F.concat(t, F.lit("s")))
     spaced = F.transform(F.filter(tokens, lambda t: t.contains("-")), lambda t: F.replace(t, F.lit("-"), F.lit(" ")))
@@ -239,10 +244,9 @@ def tech_terms(docs: DataFrame, tech: Sequence[str], phrases: Sequence[str], key
     tokens = pieces(F.lower(c(text)), r"[^a-z0-9\-/.#+]+")
     keep = lambda t: (F.length(t) >= 2) & outside(t, stop) & (is_tech(t) | (F.length(t) > 4))
     items = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), big(i).alias("pos"))), lambda s: keep(s["term"]))
-    body = F.lower(c(text))
     offset = F.lit(1 << 40)
-    named = F.transform(F.filter(F.transform(word_array(phrases), lambda p, i: F.struct(p.alias("term"), (offset + i).alias("pos"))),
-                                 lambda s: body.contains(s["term"])), lambda s: s)
+    numbered = F.transform(word_array(phrases), lambda p, i: F.struct(p.alias("term"), (offset + i).alias("pos")))
+    named = let(F.lower(c(text)), lambda body: F.filter(numbered, lambda s: body.contains(s["term"])))
     rows = by_document(docs, key, text).select(key, F.concat(
         F.transform(items, lambda s: F.struct(s["term"].alias("term"), s["pos"].alias("pos"), F.lit(0).alias("p"))),
         F.transform(named, lambda s: F.struct(s["term"].alias("term"), s["pos"].alias("pos"), F.lit(1).alias("p")))).alias("_t"))
@@ -359,8 +363,9 @@ def hard_skills(docs: DataFrame, key: str = "doc_id", text: str = "text", heads:
     stop = sorted(set(boundary) | set(edge))
 
     def from_segment(seg):
-        ws = pieces(skill_norm(seg), " ")
+        return let(pieces(skill_norm(seg), " "), from_words)
 
+    def from_words(ws):
         def at(i):  # i is 1-based
             def free(back):
                 prev = F.when(i > back, F.try_element_at(ws, i - back))

@@ -93,7 +93,8 @@ def d06(spark, folder):
 
 
 def d07(spark, folder):
-    return T.tech_terms(docs(spark, folder), CORPUS_TECH, CORPUS_PHRASES)
+    out = T.tech_terms(docs(spark, folder), CORPUS_TECH, CORPUS_PHRASES)
+    return out.withColumn("weight", F.round(F.log10(1 + F.col("weight")), 6))
 
 
 def mandatory_terms(spark, folder):
@@ -180,7 +181,7 @@ _SCORED = f"""{SQL_VOCAB},
     bo AS (SELECT term, product(b) AS boost FROM vocab JOIN {_BOOSTS} AS x(c, b) ON category = c GROUP BY term),
     scored AS (SELECT sc.doc_id, sc.term, freq, CAST(sc.pos AS BIGINT) AS pos, round(log10(1 + freq)
         * coalesce(s, CASE WHEN CAST(sc.pos AS DOUBLE) / n > 0.2 AND CAST(sc.pos AS DOUBLE) / n < 0.7 THEN 1.2 ELSE 1.0 END)
-        * coalesce(boost, 1.0) * coalesce(least(2.0, 1 + 0.1 * f), 1.0), 6) AS score
+        * coalesce(boost, 1.0) * CASE WHEN f IS NULL THEN 1.0 ELSE least(2.0, 1 + 0.1 * f) END, 6) AS score
         FROM sc LEFT JOIN bo USING (term) LEFT JOIN learned USING (term)),
     sr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, term) AS rank FROM scored QUALIFY rank <= 35),
     sn AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sr),
@@ -213,8 +214,9 @@ ORACLES = {
         dt AS (SELECT doc_id, lower(text) AS t, list_filter(list_transform(string_split_regex(lower(text), '[ \\t\\r\\n]+'),
                lambda x: regexp_replace(x, '[^a-z0-9\\-+#]', '', 'g')), lambda x: len(x) >= 2) AS w FROM documents),
         ds AS (SELECT doc_id, t, list_concat(w, list_transform(list_filter(w, lambda x: ends_with(x, 's') AND len(x) > 3), lambda x: substr(x, 1, len(x) - 1)),
-               list_transform(list_filter(w, lambda x: NOT ends_with(x, 's') AND len(x) > 2), lambda x: x || 's')) AS w FROM dt)
-        SELECT doc_id, phrase FROM ds JOIN ph ON contains(t, phrase) AND list_has_all(w, string_split(phrase, ' '))""",
+               list_transform(list_filter(w, lambda x: NOT ends_with(x, 's') AND len(x) > 2), lambda x: x || 's')) AS w FROM dt),
+        cand AS MATERIALIZED (SELECT doc_id, w, phrase FROM ds JOIN ph ON contains(t, phrase))
+        SELECT doc_id, phrase FROM cand WHERE list_has_all(w, string_split(phrase, ' '))""",
     "d5_score_terms": f"WITH {_SCORED} SELECT doc_id, term, freq, pos, score FROM scored",
     "d6_band_terms": f"WITH {_SCORED} SELECT * FROM banded",
     "d7_tech_terms": f"""
@@ -225,7 +227,7 @@ ORACLES = {
         wt AS (SELECT *, CAST(CASE WHEN term IN {S.in_list(CORPUS_TECH)} AND n > 0 THEN 5 * (pow(5.0, least(n, 300)) - 1) / 4 ELSE n END + 10 * p AS DOUBLE) AS weight FROM ct),
         rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, n DESC, pos) AS rank FROM wt QUALIFY rank <= 50),
         t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS m FROM rk)
-        SELECT doc_id, term, weight, rank, CASE WHEN rank <= least(20, ceil(m * 0.40)) THEN 'high' WHEN rank <= least(20, ceil(m * 0.40)) + least(15, ceil(m * 0.35)) THEN 'medium' ELSE 'low' END AS priority FROM t""",
+        SELECT doc_id, term, round(log10(1 + weight), 6) AS weight, rank, CASE WHEN rank <= least(20, ceil(m * 0.40)) THEN 'high' WHEN rank <= least(20, ceil(m * 0.40)) + least(15, ceil(m * 0.35)) THEN 'medium' ELSE 'low' END AS priority FROM t""",
     "d8_merge_terms": f"""
         WITH {_MAND}, {sql_top(35)},
         ext AS (SELECT doc_id, term, rank, {_BAND} AS band FROM top),
