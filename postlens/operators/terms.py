@@ -24,9 +24,13 @@ def by_document(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def lookup_join(rows: DataFrame, rules: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join to a rules table: broadcast when its size was checked, else a salted shuffle join."""
-    side = small_side(rules)
-    return rows.join(side, list(on), how) if side is not rules else salted_join(rows, rules, on, how)
+    """Join to a derived rules table without a hint.
+
+    The planner broadcasts it when its statistics, or at run time the measured shuffle size, are
+    below the session's threshold; otherwise it is a shuffle join whose hot keys adaptive
+    execution splits. Counting a derived side first would run its whole pipeline twice.
+    """
+    return rows.join(rules, list(on), how)
 
 
 def band(rank: Column, n: Column, high: float, medium: float, high_cap: int | None = None, medium_cap: int | None = None) -> Column:
