@@ -103,8 +103,8 @@ ORACLES = {
     "h2_place_class": f"""WITH {RAW} SELECT c_custkey, raw, CASE WHEN kind IN (5, 10) THEN 'not_a_place' WHEN kind = 6 THEN 'region' ELSE 'place' END AS class FROM raws""",
     "h3_match_city": f"""WITH {RAW}, f AS (SELECT DISTINCT string_split(raw, ',')[1] AS raw, city, code, kind FROM raws)
         SELECT raw, lower(city) AS city, code AS iso2, CASE WHEN kind = 9 THEN 'shortened' ELSE 'exact' END AS via FROM f WHERE kind IN (2, 7, 9, 12)""",
-    "h4_fuzzy_match": f"""WITH k AS (SELECT lower({SQL_PLACE}) AS key FROM nation), t AS (SELECT DISTINCT substr(l, 1, at - 1) || 'x' || substr(l, at + 1) || CASE WHEN b > 5000 THEN '' ELSE 'q' END AS token
-          FROM (SELECT lower({SQL_PLACE}) AS l, c_custkey % 7 + 2 AS at, c_acctbal AS b FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+    "h4_fuzzy_match": f"""WITH k AS (SELECT lower({SQL_PLACE}) AS key FROM nation), t AS (SELECT DISTINCT substr(l, 1, pp - 1) || 'x' || substr(l, pp + 1) || CASE WHEN b > 5000 THEN '' ELSE 'q' END AS token
+          FROM (SELECT lower({SQL_PLACE}) AS l, c_custkey % 7 + 2 AS pp, c_acctbal AS b FROM customer JOIN nation ON c_nationkey = n_nationkey)),
         d AS (SELECT token, key, levenshtein(token, key) AS dist FROM t, k WHERE levenshtein(token, key) <= CASE WHEN len(token) <= 6 THEN 1 WHEN len(token) <= 12 THEN 2 ELSE 3 END)
         SELECT token, key, dist FROM d QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, key) = 1""",
     "h5_resolve_country": f"""WITH {RAW} SELECT DISTINCT raw, CASE WHEN kind = 7 THEN 'US' WHEN kind = 12 THEN code ELSE code END AS iso2, CASE WHEN kind = 7 THEN 'state' WHEN kind = 12 THEN 'ambiguous' ELSE 'country' END AS via FROM raws WHERE kind IN (2, 3, 4, 7, 9, 12)""",

@@ -39,7 +39,7 @@ def _ranges(spark, folder):
 
 def g02(spark, folder):
     out = G.parse_ranges(_ranges(spark, folder), F.to_date(F.lit("2010-06-15")))
-    return out.select("o_orderkey", F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("end"), F.col("is_current").cast("string").alias("is_current"), "months", "canonical")
+    return out.select("o_orderkey", F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("end"), F.col("is_current").cast("string").alias("is_current"), F.coalesce("months", F.lit(-1).cast("bigint")).alias("months"), "canonical")
 
 
 def g03(spark, folder):
@@ -159,7 +159,7 @@ ORACLES = {
     "g1_roles": f"WITH {_ROLES} SELECT doc_id, role_no, company, title, md5(array_to_string(bullets, chr(10))) AS bullets_md5, CAST(len(bullets) AS BIGINT) AS n FROM roles",
     "g2_parse_ranges": """WITH o AS (SELECT o_orderkey, o_orderstatus AS st, CAST(date_trunc('month', o_orderdate) AS DATE) AS s, CAST(date_trunc('month', o_orderdate) AS DATE) + to_months(CAST(o_custkey % 40 AS INTEGER)) AS e FROM orders),
         r AS (SELECT o_orderkey, st, s, CAST(CASE st WHEN 'O' THEN e WHEN 'F' THEN DATE '2010-06-01' ELSE date_trunc('year', e) END AS DATE) AS e FROM o), m AS (SELECT *, (year(e) - year(s)) * 12 + month(e) - month(s) AS mo FROM r)
-        SELECT o_orderkey, strftime(s, '%Y-%m-%d') AS start, strftime(e, '%Y-%m-%d') AS end, CAST(st = 'F' AS VARCHAR) AS is_current, CASE WHEN mo >= 0 THEN mo END AS months,
+        SELECT o_orderkey, strftime(s, '%Y-%m-%d') AS start, strftime(e, '%Y-%m-%d') AS end, CAST(st = 'F' AS VARCHAR) AS is_current, CASE WHEN mo >= 0 THEN mo ELSE -1 END AS months,
           strftime(s, '%m-%Y') || ' – ' || CASE WHEN st = 'F' THEN 'Present' ELSE strftime(e, '%m-%Y') END AS canonical FROM m""",
     "g3_tenure": """WITH d AS (SELECT l_orderkey, unnest(range(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT))) AS day FROM lineitem)
         SELECT l_orderkey, count(DISTINCT day) AS covered FROM d GROUP BY 1""",
