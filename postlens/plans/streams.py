@@ -57,7 +57,7 @@ def j05(spark, folder):
 
 
 def _captures(rows):
-    return rows.select(F.col("user_id").alias("key"), F.col("event_id").alias("capture_id"), F.col("value").alias("richness"), F.unix_micros("ts").alias("at_us"))
+    return rows.select(F.col("user_id").alias("key"), F.col("event_id").alias("capture_id"), F.col("value").alias("richness"), F.col("ts").alias("at"))
 
 
 def j06(spark, folder):
