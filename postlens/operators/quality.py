@@ -256,7 +256,7 @@ def drop_placeholders(docs: DataFrame, text: str = "text", patterns: Sequence[st
         return F.when(~para.rlike(bad), para).otherwise(F.when(F.size(pieces(kept, " +")) >= 4, kept).otherwise(F.lit("")))
 
     out = F.array_join(F.transform(F.split(c(text), "\n"), clean), "\n")
-    return docs.withColumn(text, F.trim(sub(out, r"\n{3,}", "\n\n")))
+    return docs.withColumn(text, sub_all(out, [(r"\n{3,}", "\n\n"), (r"\A[ \n]+|[ \n]+\z", "")]))
 
 
 def letter_health(texts: DataFrame, keys: Sequence[str], text: str = "text", mine: str = "I", yours: str = "you|your|we|our") -> DataFrame:
