@@ -151,7 +151,7 @@ def e14(spark, folder):
 
 
 def e15(spark, folder):
-    return E.fit_gate(pairs(spark, folder), E.archetypes(postings(spark, folder), SIGNALS, key="item_id"), E.archetypes(docs(spark, folder), SIGNALS), floor=0.4)
+    return E.fit_gate(pairs(spark, folder), E.archetypes(postings(spark, folder), SIGNALS, key="item_id"), E.archetypes(docs(spark, folder), SIGNALS), floor=0.05)
 
 
 def texts(spark, folder):
@@ -366,7 +366,7 @@ ORACLES = {
     "e13_years_inflated": f"WITH {_YEARS} SELECT l_orderkey, l_linenumber, CAST(req AS BIGINT) AS claimed, CAST(ev AS BIGINT) AS evidenced, CAST(req > ev + 2 AS VARCHAR) AS inflated, CAST(CASE WHEN req > ev + 2 THEN ev ELSE req END AS BIGINT) AS capped FROM y",
     "e14_archetypes": f"WITH {_arch('a', 'documents', 'doc_id')} SELECT * FROM a",
     "e15_fit_gate": f"""WITH {_PAIRS}, {_arch('b', 'benchmark', 'item_id')}, {_arch('a', 'documents', 'doc_id')}
-        SELECT item_id, doc_id, b."primary" AS posting_type, b.confidence, a."primary" AS cv_type FROM pairs JOIN b USING (item_id) JOIN a USING (doc_id) WHERE a."primary" <> b."primary" AND b.confidence >= 0.4""",
+        SELECT item_id, doc_id, b."primary" AS posting_type, b.confidence, a."primary" AS cv_type FROM pairs JOIN b USING (item_id) JOIN a USING (doc_id) WHERE a."primary" <> b."primary" AND b.confidence >= 0.05""",
     "e17_hooks": "WITH h AS (SELECT doc_id, text, " + ", ".join(f"trim(regexp_extract(text, {S.q(p)}, 1)) AS c{i}" for i, (_, p) in enumerate([*M.HOOK_PATTERNS, *HOOKS, ('stack', M.STACK_PATTERN)])) + " FROM documents) SELECT doc_id, CASE "
         + " ".join(f"WHEN len(text) >= 50 AND {'len(c' + str(i) + ') BETWEEN 8 AND 180' if n != 'stack' else 'c' + str(i) + chr(32) + '<> ' + chr(39) * 2} THEN {S.q(n)}" for i, (n, _) in enumerate([*M.HOOK_PATTERNS, *HOOKS, ('stack', '')])) + " ELSE 'fallback' END AS kind, CASE "
         + " ".join(f"WHEN len(text) >= 50 AND {'len(c' + str(i) + ') BETWEEN 8 AND 180' if n != 'stack' else 'c' + str(i) + chr(32) + '<> ' + chr(39) * 2} THEN c{i}" for i, (n, _) in enumerate([*M.HOOK_PATTERNS, *HOOKS, ('stack', '')])) + " ELSE '' END AS capture FROM h",
