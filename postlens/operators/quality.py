@@ -205,7 +205,7 @@ def prose_score(docs: DataFrame, key: str = "doc_id", text: str = "text", tails:
     body = c(text)
     n_words = F.size(pieces(F.trim(body), r"[ \t\r\n]+"))
     # Cut after each mark: matching whole sentences instead would retry every start of a long unpunctuated line.
-    cut = F.filter(F.split(body, r"(?<=[.!?])|\n"), lambda s: s.rlike(r"[^.!?][.!?]$"))
+    cut = F.filter(F.split(body, r"(?<=[.!?])\n?|\n"), lambda s: s.rlike(r"[^.!?][.!?]$"))
     sentences = F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: F.size(F.split(s, r"[ \t\r\n]+")) > 2)
     rows = docs.select(key, body.alias("_t"), n_words.alias("_n"), sentences.alias("_s"), F.slice(picks(F.lower(body), r"([a-z][a-z'\-]+)"), 1, 200).alias("_w"))
     rows = rows.withColumn("_len", F.transform("_s", lambda s: F.size(F.split(s, r"[ \t\r\n]+")).cast("double"))).withColumn("_k", F.size("_s")).withColumn(
