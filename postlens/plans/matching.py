@@ -388,3 +388,23 @@ ORACLES = {
         u AS (SELECT line_id, b, unnest(['thon', 'ation', 'erst', 'ention', 'rely']) AS term, unnest([1, 1, 2, 2, 3]) AS cat, unnest([1, 2, 3, 4, 5]) AS i FROM x)
         SELECT line_id, term, row_number() OVER (PARTITION BY line_id ORDER BY i) AS ord FROM u WHERE NOT contains(b, term) AND CASE cat WHEN 1 THEN regexp_matches(b, 'the|de') WHEN 2 THEN len(b) > 50 ELSE regexp_matches(b, 'of|la') END QUALIFY ord <= 4""",
 }
+
+# ---------------------------------------------------------------- further twins
+
+from postlens.plans.postings import ORACLES as _POSTINGS  # noqa: E402
+
+_SECTIONS = _POSTINGS["b5_split_sections"].split("SELECT doc_id, section, CAST(ord")[0]
+_FOLD = lambda e: S.replace_all(f"regexp_replace(regexp_replace(lower({e}), '[‐-―]', '-', 'g'), '[ \\t\\r\\n\\-_/]+', ' ', 'g')", [(t + "([^a-z0-9_]|$)", "\\1") for t in ("s", "ing", "ed")])
+_STEMS = lambda e: f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({e}), '([a-z][a-z0-9.+#\\-]{{2,}})', 1), lambda w: w NOT IN {S.in_list(M.STEM_STOP_WORDS)}), lambda w: substr(w, 1, 5)))"
+ORACLES.update({
+    "e6_term_distribution": f"""{_SECTIONS.rstrip()}, {SQL_VOCAB}, rr AS (SELECT doc_id, section, regexp_extract_all(lower({S.squeeze('body')}), '[a-z0-9_]+|[^a-z0-9_]+') AS q FROM r),
+        g AS (SELECT doc_id, section, unnest(q) AS term FROM rr UNION ALL SELECT doc_id, section, unnest(list_transform(range(1, len(q) - 1), lambda i: q[i] || q[i + 1] || q[i + 2])) FROM rr),
+        c AS (SELECT doc_id, section, count(*) AS n FROM g WHERE term IN (SELECT term FROM vocab) GROUP BY ALL)
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS sections, CAST(count(*) FILTER (WHERE section <> 'skills') >= 2 AS VARCHAR) AS well_distributed, CAST(round((1 - max(n) / sum(n)) * 100) AS BIGINT) AS score FROM c GROUP BY doc_id""",
+    "e20_unsupported_terms": f"""WITH {sql_top(35)}, f AS (SELECT doc_id, {_FOLD('text')} AS a, {_FOLD("regexp_replace(text, '(?:th|ci|le)[a-zé]+', 'x', 'g')")} AS b FROM documents), p AS (SELECT DISTINCT doc_id, term, {_FOLD('term')} AS p FROM top WHERE len(term) >= 3)
+        SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term) AS ord FROM p JOIN f USING (doc_id) WHERE p <> '' AND contains(a, p) AND NOT contains(b, p) QUALIFY ord <= 12""",
+    "e21_dropped_lines": f"""WITH l AS ({_ORDL}), s AS (SELECT doc_id * 100000 + line_no AS line_id, source, body, {_STEMS('body')} AS st FROM l WHERE len(body) < 300),
+        t AS (SELECT DISTINCT source, {_STEMS("regexp_replace(body, ' [a-z]+,', ',', 'g')")} AS st FROM s WHERE contains(body, 'on')), u AS (SELECT source, list_sort(st) AS k, any_value(st) AS st, list(line_id) AS ids FROM s WHERE len(st) >= 4 GROUP BY 1, 2),
+        m AS (SELECT u.source, u.k FROM u JOIN t ON u.source = t.source AND len(t.st) > 0 AND greatest(len(list_intersect(u.st, t.st)) / len(u.st), len(list_intersect(u.st, t.st)) / len(t.st)) >= 0.45 GROUP BY ALL)
+        SELECT unnest(ids) AS line_id, source FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = u.source AND m.k = u.k)""",
+})

@@ -260,3 +260,24 @@ ORACLES = {
         b AS (SELECT *, count(hd) OVER (PARTITION BY doc_id ORDER BY line_no) AS blk, CASE WHEN hd IS NOT NULL THEN row_number() OVER (PARTITION BY doc_id, hd ORDER BY line_no) END AS nth FROM h),
         f AS (SELECT *, max(nth) OVER (PARTITION BY doc_id, blk) AS fst FROM b) SELECT doc_id, line_no, body FROM f WHERE coalesce(fst, 1) = 1""",
 }
+
+# ---------------------------------------------------------------- twins of the rewriting operators
+
+_BAD = "|".join(f"(?:{p})" for p in R.PLACEHOLDERS)
+_SWAPS = "CASE lower(t) " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in {**SPELLING, "to": "", "en": ""}.items()) + " END"
+_TOKEN = f"CASE WHEN {_SWAPS} IS NULL THEN t WHEN len(t) > 1 AND t = upper(t) THEN upper({_SWAPS}) WHEN len(t) > 1 AND regexp_matches(t, '^[A-Z]') THEN upper(substr({_SWAPS}, 1, 1)) || substr({_SWAPS}, 2) ELSE {_SWAPS} END"
+ORACLES.update({
+    "f8_summary_flags": """WITH p AS (SELECT p_partkey, p_size, p_name, string_split(p_name, ' ') AS w, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS t FROM part)
+        SELECT p_partkey, CASE WHEN p_size > 25 THEN '' ELSE 'quantified-proof' END AS missing, t || ' engineer' AS claimed_title, CAST(p_size > 10 AS VARCHAR) AS drift, CAST(len(list_filter(w, lambda x: len(x) > 3)) = 0 AS VARCHAR) AS other_profession FROM p""",
+    "f11_drop_placeholders": f"""WITH {_DRAFT}, k AS (SELECT conv_id, turn, list_transform(string_split(text, chr(10)), lambda p: CASE WHEN NOT regexp_matches(p, {S.q(_BAD)}) THEN p ELSE
+          {S.squeeze("array_to_string(list_filter(regexp_extract_all(p, '([^.!?]+[.!?]*)', 1), lambda s: NOT regexp_matches(s, " + S.q(_BAD) + ")), ' ')")} END) AS l, list_transform(string_split(text, chr(10)), lambda p: regexp_matches(p, {S.q(_BAD)})) AS b FROM dr),
+        j AS (SELECT conv_id, turn, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN b[i] AND len(list_filter(string_split_regex(l[i], ' +'), lambda x: x <> '')) < 4 THEN '' ELSE l[i] END), chr(10)) AS t FROM k)
+        SELECT conv_id, turn, md5(regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\A[ \\n]+|[ \\n]+\\z', '', 'g')) AS text_md5 FROM j""",
+    "f13_normalise_corpus": f"""WITH b AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, 'que la', 'qua lo', 'g'), '([0-9])[ ]*[—–][ ]*([0-9])', '\\1-\\2', 'g'), '[ ]*—[ ]*', ', ', 'g'), '[A-Za-z][A-Za-z''\\-]*|[^A-Za-z]+') AS k FROM documents),
+        j AS (SELECT doc_id, CAST(len(list_filter(k, lambda t: {_SWAPS} IS NOT NULL)) AS BIGINT) AS changes, array_to_string(list_transform(k, lambda t: {_TOKEN}), '') AS t FROM b)
+        SELECT doc_id, changes, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), '[ \\t]+([.,;:])', '\\1', 'g'), ' \\n', chr(10), 'g'))) AS text_md5 FROM j""",
+    "f15_clamp_sections": """WITH f AS (SELECT doc_id, regexp_extract(text, '^([^\\n]*)', 1) AS t FROM documents), s AS (SELECT doc_id, t, regexp_matches(t, '(?:^|\\n)[ \\t]*[-•*][ \\t]*[^ \\t\\n]') AS odd, list_filter(list_transform(regexp_extract_all(t, '([^.!?]+[.!?]*)', 1), lambda x: trim(x)), lambda x: x <> '') AS a FROM f),
+        k AS (SELECT *, list_filter(a, lambda x: NOT regexp_matches(x, '(?i)thon|que la')) AS s FROM s), u AS (SELECT *, array_to_string(s, ' ') AS fu, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda i: len(array_to_string(s[1:i], ' ')) <= 220)), 0) AS n FROM k)
+        SELECT doc_id, CAST(CASE WHEN odd THEN 0 ELSE len(a) - len(s) END AS BIGINT) AS removed, CAST(NOT odd AND len(fu) > 220 AS VARCHAR) AS clamped,
+          CASE WHEN odd THEN t WHEN len(fu) <= 220 THEN fu WHEN n > 0 THEN array_to_string(s[1:n], ' ') ELSE regexp_replace(substr(fu, 1, 220), '[ ]+[^ ]*$', '') || '.' END AS text FROM u""",
+})

@@ -9,6 +9,7 @@ from postlens.operators import people as I
 from postlens.operators import records as G
 from postlens.plans import sql as S
 from postlens.plans.quality import BUL, HEAD, SQL_BUL
+from postlens.rules import records as R
 from postlens.sources.tables import table
 
 TAXONOMY = [("Programming Languages", "^the|^der"), ("Frameworks & Libraries", "^of|^de "), ("Cloud & DevOps", "^an|^la"), ("Data & AI", "^er|^en"), ("Databases", "^on|^que"),
@@ -198,3 +199,15 @@ ORACLES = {
     "g14_flatten": f"""WITH {_ROLES}, b AS (SELECT doc_id, role_no, array_to_string(list_concat([company || CASE WHEN title <> '' THEN ' | ' || title ELSE '' END], list_transform(bullets, lambda x: '- ' || x)), chr(10)) AS t FROM roles)
         SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY role_no)) AS text_md5 FROM b GROUP BY 1""",
 }
+
+ORACLES.update({
+    "g6_skills": f"""WITH i AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '[•*▪]|(?:^|\\n)[ ]*-', ',', 'g'), '[,\\n]'), lambda s: trim(s)), lambda s: len(s) BETWEEN 2 AND 40 AND lower(s) NOT IN {S.in_list(R.SOFT_ITEMS)}) AS l FROM documents),
+        e AS (SELECT doc_id, unnest(l) AS skill, generate_subscripts(l, 1) - 1 AS i FROM i),
+        o AS (SELECT doc_id, lower(skill) AS k, min(i) AS ord, arg_min(skill, (CASE WHEN skill = lower(skill) OR skill = upper(skill) THEN 1 ELSE 0 END) * 1000000 + i) AS skill FROM e GROUP BY ALL),
+        g AS (SELECT doc_id, k, ord, skill, string_split_regex(k, '[ ]+') AS w FROM o),
+        h AS (SELECT DISTINCT doc_id, unnest(list_filter(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))), lambda x: x <> k)) AS k FROM g)
+        SELECT doc_id, ord, skill FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = g.doc_id AND h.k = g.k)""",
+    "g11_projects": """WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), t AS (SELECT doc_id, n, trim(l) AS l, regexp_matches(trim(l), '^(?:The|La|De|Der|Of) ') AS b FROM s WHERE trim(l) <> ''),
+        e AS (SELECT *, NOT b AND len(l) > 5 AS o, sum(CASE WHEN NOT b AND len(l) > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS entry FROM t)
+        SELECT doc_id, CAST(entry AS BIGINT) AS entry, md5(max(CASE WHEN o THEN string_split_regex(l, '[ ]*\\|[ ]*')[1] END)) AS name_md5, count(*) FILTER (WHERE b) AS n FROM e WHERE entry > 0 GROUP BY doc_id, entry""",
+})
