@@ -408,3 +408,33 @@ ORACLES.update({
         m AS (SELECT u.source, u.k FROM u JOIN t ON u.source = t.source AND len(t.st) > 0 AND greatest(len(list_intersect(u.st, t.st)) / len(u.st), len(list_intersect(u.st, t.st)) / len(t.st)) >= 0.45 GROUP BY ALL)
         SELECT unnest(ids) AS line_id, source FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = u.source AND m.k = u.k)""",
 })
+
+from postlens.rules import quality as RQ  # noqa: E402
+
+# The corpus has no bullet lines, so the bullet-based features of these twins are zero.
+_FEATURES = f"""{_E1}, {SQL_VOCAB.replace('bt AS', 'vbt AS').replace('FROM bt', 'FROM vbt')}, {_vocab_hits('vh', 'documents')},
+    dn0 AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (WHERE n > 6) AS stuffed FROM vh GROUP BY 1),
+    dn AS (SELECT doc_id, CASE WHEN w > 0 THEN round(1000 * coalesce(hits, 0) / w) / 10 ELSE 0 END AS density, coalesce(stuffed, 0) AS stuffed
+      FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: len(x) >= 2)) AS w FROM documents) LEFT JOIN dn0 USING (doc_id)),
+    hi AS (SELECT item_id, doc_id, CAST(coalesce(round(100.0 * count(*) FILTER (WHERE list_contains(dw.w, term)) / nullif(count(*), 0)), 100) AS BIGINT) AS high FROM pairs JOIN bt USING (item_id) JOIN dw USING (doc_id) WHERE band = 'high' GROUP BY ALL),
+    tl AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS l FROM documents),
+    of AS (SELECT doc_id, {' + '.join(f"CAST(regexp_matches(text, {S.q(p)}) AS BIGINT)" for _, p in RQ.DATE_FORMATS)} AS date_formats, {' + '.join(f"CAST(NOT regexp_matches(text, {S.q(p)}) AS BIGINT)" for _, p in RQ.STANDARD_HEADINGS)} AS headings_missing,
+      {', '.join(f"regexp_matches(text, {S.q(p)}) AS has_{n}" for n, p in RQ.SECTION_WORDS)}, regexp_matches(text, {S.q(RQ.EMAIL)}) AS has_email, regexp_matches(text, {S.q(RQ.PHONE)}) AS has_phone, regexp_matches(text, {S.q(RQ.PROFILE)}) AS has_profile,
+      regexp_matches(text, {S.q(RQ.PLACES)}) AS has_place, {' + '.join(S.hits('text', p) for p in RQ.METRICS)} AS quantified, regexp_matches(text, '\\t.*\\t') AS tabs, regexp_matches(array_to_string(l[1:4], ' '), {S.q(RQ.EMAIL)}) AS header_email,
+      regexp_matches(array_to_string(l[1:4], ' '), '[0-9]{{6,}}|[0-9][0-9 ().\\-]{{7,}}') AS header_phone, NOT regexp_matches(array_to_string(l[1:14], chr(10)), {S.q(RQ.SCALE)}) AS top_weak FROM tl),
+    ft AS (SELECT c.item_id, c.doc_id, CAST(round(100.0 * len(m) / c.n) AS BIGINT) AS score, CAST(len(m) AS BIGINT) AS matched, CAST(len(miss) AS BIGINT) AS missing, high, density, stuffed, of.* EXCLUDE (doc_id), has_experience AND has_education AND has_skills AS sections_complete,
+      has_email AND has_phone AND (has_profile OR has_place) AS contact_complete FROM cov c JOIN hi ON c.item_id = hi.item_id AND c.doc_id = hi.doc_id JOIN dn ON c.doc_id = dn.doc_id JOIN of ON c.doc_id = of.doc_id)"""
+_LOSS = [("NOT contact_complete", "8", "contact"), ("NOT sections_complete", "6", "sections"), ("quantified < 3", "5", "quantified"), ("score < 60", "4", "title"), ("high < 70", "CAST(least(10, round((70 - high) / 5)) AS BIGINT)", "priority"), ("stuffed > 0", "3 * stuffed", "stuffing")]
+_WARN = [("stuffed > 0", "stuffing"), ("density > 5.0", "density_high"), ("density < 1.0 AND matched > 0", "density_low"), ("matched < 5", "few_matches"), ("missing > matched", "more_missing"), ("NOT has_email", "no_email"), ("NOT has_phone", "no_phone"),
+         ("NOT (has_profile OR has_place)", "no_profile_or_place"), ("NOT has_experience", "no_experience"), ("NOT has_education", "no_education"), ("NOT has_skills", "no_skills"), ("quantified < 3", "few_metrics"), ("score < 60", "title_weak"), ("high < 70", "priority_low")]
+_GATES = [("parsing", "NOT has_experience", "headings_missing > 0 OR date_formats > 1 OR tabs"), ("hard_qualifications", "false", "NOT has_education"), ("keyword_match", "score < 60", "score BETWEEN 60 AND 79"),
+          ("semantic_evidence", "matched * 7 % 101 < 40", "matched * 7 % 101 BETWEEN 40 AND 64"), ("discoverability", "score <= 30", "NOT header_email OR NOT header_phone OR NOT has_profile"), ("skim", "top_weak", "false"), ("evidence", "false", "false")]
+ORACLES.update({
+    "e18_scorecard": f"""WITH {_FEATURES}, s AS (SELECT *, greatest(0, least(100, score - ({' + '.join(f'CASE WHEN {c} THEN {p} ELSE 0 END' for c, p, _ in _LOSS)}))) AS adjusted FROM ft)
+        SELECT item_id, doc_id, score, CAST(adjusted AS BIGINT) AS adjusted, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '-' || {p} || ' {n}' END" for c, p, n in _LOSS)}], lambda x: x IS NOT NULL), ',') AS deductions,
+          CASE {' '.join(f"WHEN score >= {a} AND matched >= {b} AND density >= {d} THEN '{n}'" for n, a, b, d in M.CONFIDENCE_FLOORS)} ELSE 'UNRELIABLE' END AS confidence,
+          CAST(adjusted >= 85 AND matched >= 10 AND density >= 1.0 AND stuffed = 0 AND contact_complete AND sections_complete AS VARCHAR) AS reliable,
+          array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _WARN)}], lambda x: x IS NOT NULL), ',') AS warnings FROM s""",
+    "e24_gates": f"""WITH {_FEATURES}, g AS ({' UNION ALL '.join(f"SELECT '{n}' AS gate, CASE WHEN {f} THEN 'fail' WHEN {w} THEN 'weak' ELSE 'pass' END AS status FROM ft" for n, f, w in _GATES)})
+        SELECT gate, status, count(*) AS n FROM g GROUP BY GROUPING SETS ((gate, status), (gate), ())""",
+})

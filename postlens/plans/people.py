@@ -172,3 +172,9 @@ ORACLES = {
         f(tier, title, ord) AS {S.values([(f'recruiter_{i}', t, n + 1) for n, (i, t) in enumerate([(i, t) for i, g in enumerate(R.TITLE_TIERS) for t in g])])}, m(d, title, ord) AS {S.values([(d, t, i + 1) for d, ts in R.FUNCTION_TITLES.items() for i, t in enumerate(ts)])}
         SELECT p_partkey, tier, title, CAST(ord AS BIGINT) AS ord FROM x, f UNION ALL SELECT p_partkey, 'manager', title, CAST(m.ord + {sum(len(g) for g in R.TITLE_TIERS)} AS BIGINT) FROM x JOIN m USING (d)""",
 }
+
+from postlens.plans.postings import _sql_clean, _sql_text  # noqa: E402
+
+ORACLES["i1_published_addresses_pages"] = f"""WITH t AS (SELECT page_id, {_sql_text(_sql_clean('html'))} AS t FROM pages WHERE contains(html, '@')),
+    a AS (SELECT page_id, unnest(regexp_extract_all(t, {S.q('(' + R.ADDRESS + ')')}, 1)) AS a FROM t), b AS (SELECT page_id, regexp_replace(regexp_replace(a, '[.,;:!?)\\]}}>''"«»]+$', ''), {S.q(I._RUN_ON)}, '\\1') AS a FROM a),
+    m AS (SELECT page_id, min(a) AS a FROM b GROUP BY page_id, lower(a)) SELECT page_id, a[1] || '***@' || regexp_extract(a, '@(.*)$', 1) AS address, 'page-text' AS source FROM m"""

@@ -281,3 +281,21 @@ ORACLES.update({
         SELECT doc_id, CAST(CASE WHEN odd THEN 0 ELSE len(a) - len(s) END AS BIGINT) AS removed, CAST(NOT odd AND len(fu) > 220 AS VARCHAR) AS clamped,
           CASE WHEN odd THEN t WHEN len(fu) <= 220 THEN fu WHEN n > 0 THEN array_to_string(s[1:n], ' ') ELSE regexp_replace(substr(fu, 1, 220), '[ ]+[^ ]*$', '') || '.' END AS text FROM u""",
 })
+
+_CASES = {**R.CASING, "thon": "ThOn", "la": "LA", "ci": "cI"}
+_NEW = "CASE lower(t) " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in _CASES.items()) + " END"
+_HEADED = "regexp_replace({x}, '^([A-Z][A-Z &/]{{3,}}):[ \\t]+([^ \\t].*)$', '\\1' || chr(10) || '\\2')"
+_IS_B = f"regexp_matches(l, {S.q(SQL_BUL)})"
+ORACLES.update({
+    "f17_denoise": f"""WITH sp AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        x AS (SELECT *, {_IS_B} AND regexp_matches(l, '^(?:The|And|La) ') AND NOT regexp_matches(l, '[0-9]') AS fil, {_IS_B} AND regexp_extract(l, {S.q(R.TAIL)}, 1) <> '' AND NOT regexp_matches(regexp_extract(l, {S.q(R.TAIL)}, 1), {S.q(R.CONCRETE)}) AS vag,
+          {_IS_B} AND regexp_matches(l, {S.q(R.STANDARD_TAIL)}) AS bol, {_IS_B} AND regexp_matches(l, {S.q(R.PERCENTAGE)}) AS pct FROM sp),
+        y AS (SELECT *, CASE WHEN vag THEN regexp_replace(l, {S.q(R.TAIL)}, '.') WHEN bol THEN regexp_replace(l, {S.q(R.STANDARD_TAIL)}, '.') ELSE l END AS o FROM x),
+        z AS (SELECT *, CASE WHEN pct THEN regexp_replace(regexp_replace(o, {S.q(R.PERCENTAGE)}, '', 'g'), '[ ]{{2,}}', ' ', 'g') ELSE o END AS q FROM y)
+        SELECT doc_id, md5(coalesce(string_agg(q, chr(10) ORDER BY n) FILTER (WHERE NOT fil), '')) AS text, count(*) FILTER (WHERE fil) AS removed_filler, count(*) FILTER (WHERE vag) AS removed_vague, count(*) FILTER (WHERE bol AND NOT vag) AS removed_standard,
+          count(*) FILTER (WHERE pct) AS removed_percentage FROM z GROUP BY doc_id""",
+    "f18_repair_case": f"""WITH sp AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        c AS (SELECT doc_id, n, l, CASE WHEN regexp_matches(l, '(?i)://|@|www\\.|\\.(?:com|io|dev|net|org)(?:$|[^A-Za-z0-9_])') THEN l ELSE array_to_string(list_transform(regexp_extract_all(l, '[A-Za-z0-9_/]+|[^A-Za-z0-9_/]+'),
+          lambda t: CASE WHEN {_NEW} IS NULL OR t = {_NEW} OR (len(t) > 1 AND t = upper(t)) THEN t ELSE {_NEW} END), '') END AS o FROM sp), h AS (SELECT doc_id, n, l, {_HEADED.format(x='o')} AS o FROM c)
+        SELECT doc_id, count(*) FILTER (WHERE l <> o) AS fixed, md5(string_agg(o, chr(10) ORDER BY n)) AS text_md5 FROM h GROUP BY doc_id""",
+})
