@@ -528,10 +528,10 @@ def gate_counts(rows: DataFrame) -> DataFrame:
 
 def skill_gaps(report: DataFrame, cvs: DataFrame, cv: str = "doc_id", text: str = "text", top: int = 15) -> DataFrame:
     """(cv, term, rank): the most widespread common terms a CV lacks. The report is a bounded top list, so it rides along as one array."""
-    common = report.where("band = 'common'").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("d"), "term"))).alias("_c"))
+    common = report.where("band = 'common'").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("d"), "term"))).alias("_c")).scalar()
     tokens = F.split(F.lower(c(text)), r"[^A-Za-z0-9_]+")
     lacking = let(tokens, lambda ts: F.filter(F.transform("_c", lambda s: s["term"]), lambda t: ~F.array_contains(ts, t)))
-    return cvs.crossJoin(F.broadcast(common)).select(cv, F.posexplode(F.slice(lacking, 1, top)).alias("rank", "term")).withColumn("rank", big(F.col("rank") + 1))
+    return cvs.withColumn("_c", common).select(cv, F.posexplode(F.slice(lacking, 1, top)).alias("rank", "term")).withColumn("rank", big(F.col("rank") + 1))
 
 
 def opportunities(lines: DataFrame, terms: Mapping[str, Sequence[str]], keys: Sequence[str], body: str = "body", carriers: Mapping[str, str] = M.CARRIER_PATTERNS, per_line: int = 4) -> DataFrame:

@@ -294,8 +294,8 @@ def normalise_corpus(docs: DataFrame, substitutions: Mapping[str, str], phrases:
 def audit_summary(flags: DataFrame, docs: DataFrame, key: str = "doc_id", by: str = "lang") -> DataFrame:
     """(kind, by, docs, pct): share of documents with each kind of flag, with subtotals, by rollup."""
     kinds = flags.select(key, "kind").distinct().join(docs.select(key, by), key)
-    total = docs.agg(F.count("*").alias("_n"))
-    return kinds.rollup("kind", by).agg(big(F.countDistinct(key)).alias("docs")).crossJoin(F.broadcast(total)).withColumn(
+    total = docs.agg(F.count("*")).scalar()
+    return kinds.rollup("kind", by).agg(big(F.countDistinct(key)).alias("docs")).withColumn("_n", total).withColumn(
         "pct", percent(F.col("docs"), F.col("_n"))).drop("_n")
 
 

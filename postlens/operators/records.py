@@ -264,10 +264,11 @@ def enrich_roles(rows: DataFrame, profiles: DataFrame, matches: DataFrame, role:
     """Roles with missing fields filled from profile rows, each profile row used once; ``provenance`` lists what was filled.
 
     ``matches`` has (role, profile, rank): lower rank is better. A pair is used when each is the
-    other's best, which needs two ranked windows over small match lists and no loop.
+    other's best: two aggregations that combine on the map side, so a profile that matches a third
+    of all roles is never gathered.
     """
-    order = lambda k, o: F.row_number().over(Window.partitionBy(k).orderBy("rank", o))
-    mutual = matches.withColumn("_a", order(role, profile)).withColumn("_b", order(profile, role)).where("_a = 1 and _b = 1").select(role, profile)
+    best = lambda k, o: matches.groupBy(k).agg(F.min(F.struct("rank", o))[o].alias(o))
+    mutual = best(role, profile).join(best(profile, role), [role, profile])
     give = profiles.select(profile, *[F.col(f).alias(f"_p_{f}") for f in fields])
     out = rows.join(mutual, role, "left").join(give, profile, "left")
     empty = lambda f: F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == ""

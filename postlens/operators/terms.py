@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import salted_join, small_side
+from postlens.functions.joins import BROADCAST_ROWS, salted_join, small_side
 from postlens.functions.text import big, c, half_up, let, literal_map, outside, picks, pieces, squeeze, sub_all, word_array, words
 from postlens.rules import terms as R
 
@@ -103,15 +103,17 @@ def grams(text: str | Column, longest: int = 3, word: str = "a-z0-9_") -> Column
     return let(picks(F.lower(squeeze(text)), rf"[{word}]+|[^{word}]+", 0), build)
 
 
-def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 3) -> DataFrame:
+def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 3,
+                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key, term, category, n): dictionary terms that occur as whole words, with counts.
 
-    Work is linear in the text whatever the size of the dictionary: spans are counted per
-    document first, then looked up once.
+    Work is linear in the text whatever the size of the dictionary. A dictionary of at most
+    ``broadcast_rows`` rows is broadcast and filters spans where they are made; for a larger one
+    spans are counted per document first and then meet it in a salted shuffle join.
     """
     rules = terms.select(F.lower(squeeze("term")).alias("term"), "category").distinct()
     spans = by_document(docs, key, text).select(key, F.explode(grams(text, longest)).alias("term"))
-    side = small_side(rules)
+    side = small_side(rules, broadcast_rows)
     if side is not rules:  # filter first: most spans are not terms
         hit = spans.join(side, "term")
         return hit.groupBy(key, "term", "category").agg(big(F.count("*")).alias("n"))
@@ -503,9 +505,9 @@ def term_df(terms: DataFrame, key: str = "doc_id", top: tuple[int, int, int] = (
     """
     pairs = terms.select(key, F.lower("term").alias("term")).distinct()
     counts = pairs.groupBy("term").agg(big(F.count("*")).alias("docs"))
-    total = terms.agg(F.countDistinct(key).alias("_n"))
+    total = terms.agg(F.countDistinct(key)).scalar()
     ratio = F.col("docs") / F.col("_n")
-    rows = counts.crossJoin(F.broadcast(total)).where("_n >= 2").withColumn("pct", half_up(ratio * 100)).withColumn(
+    rows = counts.withColumn("_n", total).where("_n >= 2").withColumn("pct", half_up(ratio * 100)).withColumn(
         "band", F.when(ratio >= 0.7, "common").when(ratio >= 0.4, "frequent").otherwise("rare"))
     w = Window.partitionBy("band").orderBy(F.desc("docs"), "term")
     rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(top))

@@ -438,3 +438,15 @@ ORACLES.update({
     "e24_gates": f"""WITH {_FEATURES}, g AS ({' UNION ALL '.join(f"SELECT '{n}' AS gate, CASE WHEN {f} THEN 'fail' WHEN {w} THEN 'weak' ELSE 'pass' END AS status FROM ft" for n, f, w in _GATES)})
         SELECT gate, status, count(*) AS n FROM g GROUP BY GROUPING SETS ((gate, status), (gate), ())""",
 })
+
+_ADJ_HIT = {t: f"list_filter([{', '.join(S.q(x) for x in near)}], lambda x: contains(cv, x))[1]" for t, near in ADJ.items()}
+ORACLES["e16_gaps"] = f"""WITH {_PAIRS}, p AS (SELECT item_id, doc_id, dw.t AS cv, list_filter(list_transform(list_concat({', '.join(f"regexp_extract_all(b.text, {S.q(x)}, 1)" for x in REQ_PATTERNS)}), lambda s: regexp_replace(trim(s), '[.;:,]+$', '')), lambda s: len(s) BETWEEN 6 AND 200) AS l
+      FROM pairs JOIN benchmark b USING (item_id) JOIN dw USING (doc_id)),
+    d AS (SELECT item_id, doc_id, cv, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda x: x IS NOT NULL) AS l FROM p),
+    u AS (SELECT item_id, doc_id, cv, unnest(l) AS requirement, generate_subscripts(l, 1) AS ord FROM d),
+    c AS (SELECT *, regexp_replace(lower(requirement), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g') AS clean FROM u),
+    w AS (SELECT *, list_filter(string_split_regex(clean, '[ \\t\\n]+'), lambda x: len(x) > 2) AS w FROM c),
+    h AS (SELECT *, coalesce(list_filter([{', '.join(S.q(t) for t in ADJ)}], lambda t: contains(clean, t))[1], array_to_string(w[greatest(len(w) - 2, 1):], ' ')) AS probe, array_to_string(w[1:3], ' ') AS head FROM w WHERE len(w) > 0),
+    g AS (SELECT *, contains(cv, probe) OR contains(cv, head) AS cov FROM h),
+    b AS (SELECT *, CASE WHEN cov THEN NULL {' '.join(f"WHEN contains({s}, {S.q(t)}) AND {x} IS NOT NULL THEN {x}" for s in ('probe', 'head') for t, x in _ADJ_HIT.items())} END AS bridge, sum(CASE WHEN cov THEN 0 ELSE 1 END) OVER (PARTITION BY item_id, doc_id ORDER BY ord) AS nth FROM g)
+    SELECT item_id, doc_id, ord, requirement, CAST(cov AS VARCHAR) AS covered, bridge FROM b WHERE cov OR nth <= 6"""

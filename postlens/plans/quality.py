@@ -65,7 +65,7 @@ def f06(spark, folder):
 def _cv_like(spark, folder):
     """CV-shaped texts made of parts and suppliers: degrees, certificates, projects and employers."""
     part, supplier = table(spark, folder, "part"), table(spark, folder, "supplier")
-    joined = part.crossJoin(F.broadcast(supplier.agg(F.min("s_name").alias("s_name"))))
+    joined = part.withColumn("s_name", supplier.agg(F.min("s_name")).scalar())
     size = F.col("p_size")
     text = F.concat_ws("\n", F.lit("EXPERIENCE"), F.concat(F.lit("Acme "), "p_type"), F.concat(F.lit("- Shipped "), "p_name", F.lit(" with "), F.when(size > 40, F.col("s_name")).otherwise("others")),
                        F.lit("EDUCATION"), F.when(size < 20, "BSc First Class Honours 3.9/4.0").when(size < 30, "BSc Upper Second\nGPA: 3.5").otherwise("BSc 2012"),

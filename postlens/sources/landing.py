@@ -73,8 +73,8 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 def append_urls(queue: DataFrame, urls: DataFrame) -> DataFrame:
     """Urls behind an existing queue, with the queue's defaults filled in."""
     base = as_queue(urls.select("job_url"))
-    last = queue.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))
-    moved = base.crossJoin(F.broadcast(last)).withColumn("id", F.col("id") + F.col("_last") + 1).drop("_last")
+    last = queue.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
+    moved = base.withColumn("id", F.col("id") + last + 1)
     return queue.unionByName(moved)
 
 

@@ -152,9 +152,29 @@ def event_facts(log: DataFrame, fields: dict[str, dict[str, tuple[str, str]]], k
     return {name: work.where(F.col(kind) == name).select("*", *[F.try_variant_get("_v", path, t).alias(col) for col, (path, t) in cols.items()]).drop("_v", data) for name, cols in fields.items()}
 
 
-def duration_stats(log: DataFrame, kind: str = "event_type", duration: str = "value") -> DataFrame:
-    """(kind, n, avg, p50, p95): exact percentiles; each type is pre-aggregated to its distinct durations before it is gathered."""
-    counts = log.groupBy(kind, duration).agg(F.count("*").alias("_n"))
-    return counts.groupBy(F.col(kind).alias("kind")).agg(
-        big(F.sum("_n")).alias("n"), F.round(F.sum(F.col(duration) * F.col("_n")) / F.sum("_n"), 4).alias("avg"),
-        F.round(F.percentile(duration, F.lit(0.5), F.col("_n")), 4).alias("p50"), F.round(F.percentile(duration, F.lit(0.95), F.col("_n")), 4).alias("p95"))
+def duration_stats(log: DataFrame, kind: str = "event_type", duration: str = "value", width: float = 1.0) -> DataFrame:
+    """(kind, n, avg, p50, p95): exact interpolated percentiles.
+
+    A type may hold most of the log, so its values are never gathered: they are counted, cumulated
+    by value segments of ``width``, and each percentile is the smallest value whose running count
+    passes its position.
+    """
+    counts = log.where(F.col(duration).isNotNull()).groupBy(F.col(kind).alias("kind"), F.col(duration).alias("v")).agg(F.count("*").alias("_n"))
+    rows = running(counts.withColumn("_seg", F.floor(F.col("v") / width)), ["kind"], "_seg", ["v"], F.col("_n"), "_cum")
+    totals = counts.groupBy("kind").agg(big(F.sum("_n")).alias("n"), F.round(F.sum(F.col("v") * F.col("_n")) / F.sum("_n"), 4).alias("avg"))
+    rows = rows.join(totals, "kind")
+
+    def at(index: Column) -> Column:
+        return F.min(F.when(F.col("_cum") > index, F.col("v")))
+
+    def percentile(p: float, name: str) -> list[Column]:
+        place = (F.col("n") - 1) * F.lit(p)
+        return [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}")]
+
+    picked = rows.groupBy("kind", "n", "avg").agg(*percentile(0.5, "p50"), *percentile(0.95, "p95"))
+
+    def between(p: float, name: str) -> Column:
+        place = (F.col("n") - 1) * F.lit(p)
+        return F.round(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place - F.floor(place)), 4).alias(name)
+
+    return picked.select("kind", "n", "avg", between(0.5, "p50"), between(0.95, "p95"))
