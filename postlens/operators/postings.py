@@ -374,20 +374,21 @@ def usable(col: str | Column) -> Column:
 def merge_postings(sources: Sequence[DataFrame], key: str = "posting_key") -> DataFrame:
     """One posting per key from sources in falling trust (one row per key each): first usable field, longest description.
 
-    Keys of every source are kept. The sources are stacked and folded in one aggregation, so
-    the whole ladder costs a single shuffle with map-side combining.
+    Keys of every source are kept. The sources are stacked and folded in one aggregation over
+    narrow rows; only the winning descriptions are fetched, so losing texts are never sorted.
     """
     fields = ["title", "company", "location", "job_id"]
     stacked = None
     for rank, df in enumerate(sources):
-        row = df.select(key, F.lit(rank).alias("_r"), *[usable(f).alias(f) for f in fields], "description")
+        row = df.select(key, F.lit(rank).alias("_r"), *[usable(f).alias(f) for f in fields], F.coalesce("description", F.lit("")).alias("description"))
         stacked = row if stacked is None else stacked.unionByName(row)
-    body = F.coalesce("description", F.lit(""))
-    return stacked.groupBy(key).agg(
+    # Longest text first, the more trusted source on ties, as one number.
+    worth = F.length("description").cast("bigint") * len(sources) - F.col("_r")
+    best = stacked.groupBy(key).agg(
         *[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_r"))).alias(f) for f in fields],
-        F.max_by(body, F.struct(F.length(body), -F.col("_r"))).alias("description"),
-        big(F.count("*")).alias("sources"),
+        F.max_by("_r", worth).alias("_r"), big(F.count("*")).alias("sources"),
     )
+    return best.join(stacked.select(key, "_r", "description"), [key, "_r"]).drop("_r")
 
 
 def fingerprint(docs: DataFrame, text: str = "text", sample: int | None = None) -> DataFrame:

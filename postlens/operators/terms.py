@@ -393,8 +393,9 @@ def hard_skills(docs: DataFrame, key: str = "doc_id", text: str = "text", heads:
     good = _phrase_ok(pieces("skill", " "), edge) & outside(F.col("skill"), R.NOT_A_SKILL) & (F.col("skill") != "")
     needle = F.concat(F.lit(" "), F.replace("skill", F.lit(" "), F.lit("  ")), F.lit(" "))
     count = (F.length("_hay") - F.length(F.replace("_hay", needle))) / F.length(needle)
-    grouped = rows.where(good).groupBy(key, "skill").agg(
-        F.sum("weight").alias("_w"), F.min(F.struct(F.length("display"), "display"))["display"].alias("display"), F.max(count).alias("_count"))
+    rows = rows.where(good).select(key, "skill", "display", "weight", count.alias("_count"))  # the text stays behind here
+    grouped = rows.groupBy(key, "skill").agg(
+        F.sum("weight").alias("_w"), F.min(F.struct(F.length("display"), "display"))["display"].alias("display"), F.max("_count").alias("_count"))
     grouped = grouped.withColumn("score", F.col("_w") + F.least(F.col("_count"), F.lit(3.0)) * 0.5)
     keys = F.collect_set("skill").over(Window.partitionBy(key))
     ws = F.split("skill", " ")
