@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts with more characters are cut into matches one by one instead of all at once.
-LONG = 4_000_000
-#: Encoded matches that one worker remembers.
-REMEMBERED = 200_000
+#: Encoded matches and prefixes that one worker remembers; more are computed again.
+REMEMBERED = 300_000
+#: Matches with more bytes get a prefix table of their own.
+SHORT = 64
 
 
 class Vocabulary:
@@ -34,6 +34,7 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._prefixes: dict[bytes, tuple[int, ...]] = {}
         # A token that merging its own bytes does not give never stands in an encoding.
         self.usable = {token: rank for token, rank in self.ranks.items() if self.merged(token) == [rank]}
 
@@ -72,11 +73,34 @@ class Vocabulary:
                     return token
         raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one match; a match that is a token itself is that token."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        return Prefixes(self, piece).ids()
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return (whole,)
+        return self.prefix(piece) if len(piece) <= SHORT else tuple(Prefixes(self, piece).ids())
+
+    def prefix(self, data: bytes) -> tuple[int, ...]:
+        """The encoding of a short byte string: that of the prefix before its last token, and that token.
+
+        The table of prefixes is shared by all matches, which begin alike more often than not.
+        """
+        known = self._prefixes.get(data)
+        if known is None:
+            get, pairs, end = self.usable.get, self._pairs, len(data)
+            for start in range(max(0, end - self.longest), end):
+                token = get(data[start:])
+                if token is not None:
+                    before = self.prefix(data[:start]) if start else ()
+                    if not before or pairs.get((before[-1], token)) or self.follows(before[-1], token):
+                        known = (*before, token)
+                        break
+            else:
+                raise ValueError(f"byte {data[-1]} is not in the vocabulary")
+            if len(self._prefixes) > REMEMBERED:
+                self._prefixes.clear()
+            self._prefixes[data] = known
+        return known
 
 
 class Prefixes:
@@ -120,25 +144,50 @@ class Prefixes:
         return found[::-1]
 
 
-class _Pieces(dict):
-    """Matches already encoded by this worker."""
+class _Uneven(Exception):
+    """White space on both sides of a cut."""
+
 
-    def __init__(self, vocabulary: Vocabulary):
+class _Words(dict):
+    """Ids of what stands between two spaces, with the space before it (not so for a text's beginning)."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, lead: str = " "):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.cut, self.lead = vocabulary, regex.compile(pattern), lead
 
-    def __missing__(self, piece: str) -> list[int]:
-        found = self[piece] = self.vocabulary.encode(piece.encode("utf-8"))
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if self.lead and (not word or word[0].isspace()):
+            raise _Uneven
+        found = self[word] = self.encode(self.lead + word)
         return found
 
+    def encode(self, text: str) -> tuple[int, ...]:
+        one, pieces = self.vocabulary.encode, self.cut.findall(text)
+        return one(pieces[0].encode()) if len(pieces) == 1 else tuple(itertools.chain.from_iterable(one(p.encode()) for p in pieces))
+
+
+class Encoder:
+    """Encodes whole texts as ``pattern`` cuts them.
+
+    No match crosses from a character that is no white space to a space, so a text can first be
+    cut there and the words between be looked up. Where white space stands on both sides of a
+    space (or a text ends with one) that doesn't hold, and the text is cut by the pattern alone.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.words, self.first = _Words(vocabulary, pattern), _Words(vocabulary, pattern, "")
 
-def encode_text(text: str | None, pieces: _Pieces, pattern) -> np.ndarray:
-    text = text or ""
-    found = pattern.findall(text) if len(text) <= LONG else (m.group() for m in pattern.finditer(text))
-    ids = np.fromiter(itertools.chain.from_iterable(map(pieces.__getitem__, found)), np.int32)
-    if len(pieces) > REMEMBERED:
-        pieces.clear()
-    return ids
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").split(" ")
+        try:
+            ids = np.fromiter(itertools.chain(self.first[words[0]], itertools.chain.from_iterable(map(self.words.__getitem__, itertools.islice(words, 1, None)))), np.int32)
+        except _Uneven:
+            one = self.first.vocabulary.encode
+            ids = np.fromiter(itertools.chain.from_iterable(one(m.group().encode()) for m in self.first.cut.finditer(text)), np.int32)
+        for known in (self.words, self.first):
+            if len(known) > REMEMBERED:
+                known.clear()
+        return ids
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
@@ -153,9 +202,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -
 
     @F.arrow_udf("array<int>")
     def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, cut = _Pieces(Vocabulary(listing.value)), regex.compile(pattern)
+        one = Encoder(Vocabulary(listing.value), pattern)
         for values in batches:
-            made = [encode_text(v.as_py(), pieces, cut) for v in values]
+            made = [one(v.as_py()) for v in values]
             offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
 

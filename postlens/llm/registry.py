@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from postlens.llm import bpe, langid, toxicity
+from postlens.llm.common import held_out
 from postlens.llm.exact import exact_dedup
 from postlens.llm.lines import line_dedup
+from postlens.llm.simhash import simhash_groups
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,11 +23,45 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.train(docs, _table(spark, folder, "labels"))
+    made = toxicity.score(docs.select("doc_id", "text"), model)
+    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1, "op4_exact_dedup": op4}
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    made = bpe.decode(bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(_table(spark, folder, "documents"))
+
+
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    made = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES = {
+    "op1_line_dedup": op1,
+    "op3_toxicity": op3,
+    "op4_exact_dedup": op4,
+    "op6_byte_bpe": op6,
+    "op8_simhash": op8,
+    "op10_language_id": op10,
+}
 
 OP1_SQL = r"""
 with lines as (
