@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 import public_tokenizers
 
-from postlens.llm import bpe, langid, toxicity
-from postlens.llm.common import held_out
+from postlens.llm import bpe, langid, toxicity, warc
+from postlens.llm.common import checkpoint_folder, held_out
 from postlens.llm.exact import exact_dedup
 from postlens.llm.lines import line_dedup
 from postlens.llm.simhash import simhash_groups
@@ -44,6 +46,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, folder, "pages"), f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}")
+    return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(_table(spark, folder, "documents"))
 
@@ -59,6 +66,7 @@ QUERIES = {
     "op3_toxicity": op3,
     "op4_exact_dedup": op4,
     "op6_byte_bpe": op6,
+    "op7_warc": op7,
     "op8_simhash": op8,
     "op10_language_id": op10,
 }
@@ -93,4 +101,18 @@ with n as (
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from r
 """
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+OP7_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), d as (
+  select *, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::bigint >> (15 - 5 * (k % 4))) & 31)::int + 1, 1)), '') as payload_digest,
+    min(page_id) over (partition by hex, payload_bytes) as first
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from d
+"""
+
+ORACLES = {"op1_line_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}

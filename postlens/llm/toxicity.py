@@ -70,7 +70,7 @@ def swaps(text: str, terms: frozenset[str], partners: int = 3) -> Iterator[tuple
             yield term, None
 
 
-def fit(texts: list[str | None], toxic: list[int], terms: tuple[str, ...] = IDENTITY_TERMS, features: int = 30_000, ridge: float = 1.0, penalty: float = 10.0, rounds: int = 250) -> WordModel:
+def fit(texts: list[str | None], toxic: list[int], terms: tuple[str, ...] = IDENTITY_TERMS, features: int = 2_000, ridge: float = 1.0, penalty: float = 10.0, rounds: int = 250) -> WordModel:
     """Trains on sampled texts. ``penalty`` weighs the score changes of the counterfactual copies."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
