@@ -9,7 +9,7 @@ import uuid
 
 import public_tokenizers
 
-from postlens.llm import bpe, langid, toxicity, warc
+from postlens.llm import bpe, langid, mixing, toxicity, warc
 from postlens.llm.common import checkpoint_folder, held_out
 from postlens.llm.exact import exact_dedup
 from postlens.llm.lines import line_dedup
@@ -55,6 +55,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(_table(spark, folder, "documents"))
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = mixing.mix(_table(spark, folder, "documents"))
+    return rows.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     made = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_byte_bpe": op6,
     "op7_warc": op7,
     "op8_simhash": op8,
+    "op9_mixing": op9,
     "op10_language_id": op10,
 }
 
