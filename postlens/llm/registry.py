@@ -12,6 +12,7 @@ import public_tokenizers
 from postlens.llm import bpe, langid, mixing, toxicity, warc
 from postlens.llm.common import checkpoint_folder, held_out
 from postlens.llm.exact import exact_dedup
+from postlens.llm.forest import near_vectors
 from postlens.llm.lines import line_dedup
 from postlens.llm.simhash import simhash_groups
 
@@ -25,6 +26,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = toxicity.train(docs, _table(spark, folder, "labels"))
@@ -68,6 +73,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1,
+    "op2_embedding_forest": op2,
     "op3_toxicity": op3,
     "op4_exact_dedup": op4,
     "op6_byte_bpe": op6,
@@ -96,6 +102,26 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from judged group by doc_id
 """
 
+OP2_SQL = """
+with recursive v as (
+  select row_number() over () as r, vec_id, embedding::double[] as e from embeddings
+), ok as (
+  select * from v where e is not null and len(e) > 0 and not list_contains(list_transform(e, lambda x: x is null or not isfinite(x)), true)
+    and list_aggregate(list_transform(e, lambda x: abs(x)), 'max') > 0
+), l as (
+  select a.r, a.vec_id as u, b.vec_id as w from ok a join ok b on a.r <> b.r and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.95
+), reach(u, w) as (
+  select vec_id, vec_id from v union select reach.u, l.w from reach join l on l.u = reach.w
+), c as (
+  select u, min(w) as component_id from reach group by u
+), n as (
+  select r, count(*) as n_links from l group by r
+)
+select v.vec_id, coalesce(n_links, 0) as n_links, component_id, v.vec_id = component_id as kept
+from v left join n using (r) join c on c.u = v.vec_id
+"""
+
 OP4_SQL = r"""
 with n as (
   select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm
@@ -121,4 +147,4 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
 from d
 """
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_embedding_forest": OP2_SQL, "op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
