@@ -18,11 +18,8 @@ def connected_components(links: DataFrame, left: str = "u", right: str = "v") ->
     and links of a node with itself are ignored.
     """
     ends = links.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
-    both = saved(
-        ends.select(F.col(left).alias("src"), F.col(right).alias("dst"))
-        .unionByName(ends.select(F.col(right).alias("src"), F.col(left).alias("dst")))
-        .distinct()
-    )
+    ways = F.array(F.struct(F.col(left).alias("src"), F.col(right).alias("dst")), F.struct(F.col(right).alias("src"), F.col(left).alias("dst")))
+    both = saved(ends.select(F.inline(ways)).distinct())
     labels = saved(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("node"), F.least("src", "near").alias("label")))
     while True:
         heard = both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("heard"))
