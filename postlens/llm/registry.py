@@ -15,6 +15,7 @@ from postlens.llm.exact import exact_dedup
 from postlens.llm.forest import near_vectors
 from postlens.llm.lines import line_dedup
 from postlens.llm.simhash import simhash_groups
+from postlens.llm.suffix import suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +42,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_table(spark, folder, "documents"))
 
 
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    made = suffix_dedup(_table(spark, folder, "documents"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op2_embedding_forest": op2,
     "op3_toxicity": op3,
     "op4_exact_dedup": op4,
+    "op5_suffix_array": op5,
     "op6_byte_bpe": op6,
     "op7_warc": op7,
     "op8_simhash": op8,
@@ -133,6 +140,31 @@ with n as (
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from r
 """
 
+OP5_SQL = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n_bytes from documents
+), w as (
+  select doc_id, unnest(list_transform(range(greatest(n_bytes - 49, 0)), lambda p: {'p': p, 'k': md5_number(substr(h, 2 * p + 1, 100))}), recursive := true) from d
+), g as (
+  select doc_id, p, min(doc_id) over (partition by k) < doc_id as gone from w
+), hit as (
+  select doc_id, p, lag(p) over (partition by doc_id order by p) as before from g where gone
+), s as (
+  select *, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by doc_id order by p) as span from hit
+), runs as (
+  select doc_id, span, min(p) as a, max(p) + 50 as b from s group by doc_id, span
+), k as (
+  select doc_id, a, b, lag(b) over (partition by doc_id order by a) as was from runs
+), parts as (
+  select k.doc_id, string_agg(substr(d.h, 2 * coalesce(was, 0) + 1, 2 * (a - coalesce(was, 0))), '' order by a) as front,
+         max(b) as last, sum(b - a)::bigint as n_removed, count(*) as n_spans
+  from k join d on d.doc_id = k.doc_id group by k.doc_id
+)
+select d.doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join parts on parts.doc_id = d.doc_id
+"""
+
 OP7_SQL = """
 with p as (
   select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
@@ -147,4 +179,4 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
 from d
 """
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_embedding_forest": OP2_SQL, "op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_embedding_forest": OP2_SQL, "op5_suffix_array": OP5_SQL, "op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
