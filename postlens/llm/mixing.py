@@ -93,7 +93,7 @@ def draw(wanted: np.ndarray, slots: int, seed: int) -> np.ndarray:
             count = np.minimum(count + rng.multinomial(open_slots, chance), rest)
         shards.append(count)
         rest -= count
-    return np.array(shards, np.int64).reshape(-1, len(rest))
+    return np.array(shards, np.int64).reshape(len(shards), len(rest))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
