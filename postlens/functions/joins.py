@@ -1,4 +1,4 @@
-"""Join helpers: sized broadcasts and salting for keys that may hold a third of all rows."""
+"""Join helpers: rule lengths and salting for keys that may hold a third of all rows."""
 
 from __future__ import annotations
 
@@ -7,17 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after the size was checked; a larger side is left to a shuffle join.
-
-    The check reads at most ``max_rows + 1`` rows and returns one number to the driver.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def most_words(rules: DataFrame, column: str, split: str) -> int:
+    """The largest number of parts of a rule: how long the spans of a text must be to meet every rule."""
+    return rules.agg(F.max(F.size(F.split(column, split)))).first()[0] or 1
 
 
 def salted_join(

@@ -32,10 +32,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder, for stream state and written tables.
 
     The cluster names a folder every executor can reach in ``spark.checkpoint.dir``.
-    Only where it is unset (tests, local mode) a temporary folder is made and recorded there.
+    Only where it is unset in local mode (tests) a temporary folder is made and recorded there;
+    on a cluster that would be another folder on each machine, so it has to be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         base = tempfile.mkdtemp(prefix="postlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import small_side
+from postlens.functions.joins import most_words
 from postlens.functions.segments import neighbour
 from postlens.functions.text import big, c, let, literal_map, percent, plain_words, squeeze
 
@@ -104,8 +104,9 @@ def label_hits(requests: DataFrame, url: str, fp: str, request_id: str, ts: str
     """``layer`` url, hash or miss: an earlier request with the same url, else the same fingerprint, inside the ttl."""
     at = F.col(ts).cast("double")
     work = requests.withColumn("_seg", F.date_trunc(bucket, ts))
-    work = neighbour(work, [url], "_seg", [ts, request_id], F.col(ts), "_prev_url")
-    work = neighbour(work, [fp], "_seg", [ts, request_id], F.col(ts), "_prev_fp")
+    # A missing url or fingerprint (a short text has none) equals no other.
+    work = neighbour(work, [url], "_seg", [ts, request_id], F.col(ts), "_prev_url", only=F.col(url).isNotNull())
+    work = neighbour(work, [fp], "_seg", [ts, request_id], F.col(ts), "_prev_fp", only=F.col(fp).isNotNull())
     return work.withColumn("layer", F.when(at - F.col("_prev_url").cast("double") < ttl_seconds, "url")
                            .when(at - F.col("_prev_fp").cast("double") < ttl_seconds, "hash")
                            .otherwise("miss")).drop("_seg", "_prev_url", "_prev_fp")
@@ -178,18 +179,20 @@ def affinity(headline: Column, seen_at: Column, as_of: Column) -> Column:
                + F.greatest(F.lit(0), 10 - weeks))
 
 
-def rank_profiles(profiles: DataFrame, companies: DataFrame, as_of: Column, k: int = 3, longest: int = 4,
+def rank_profiles(profiles: DataFrame, companies: DataFrame, as_of: Column, k: int = 3, longest: int | None = None,
                   ttl_seconds: int = TTL_SECONDS["person"]) -> DataFrame:
     """(company, handle, score, rank): remembered people whose headline names the company.
 
     ``profiles``: handle, headline, seen_at. ``companies``: company. Matching is an equi-join of
-    headline n-grams with the company's words, not a scan of every pair.
+    headline n-grams with the company's words, not a scan of every pair. N-grams go up to
+    ``longest`` words, by default as many as the longest company name has.
     """
     names = companies.select("company", phrase_key("company").alias("_gram")).where("_gram <> ''").distinct()
+    longest = longest or most_words(names, "_gram", " ")
     fresh = profiles.where(as_of.cast("double") - F.col("seen_at").cast("double") < ttl_seconds)
     grams = fresh.select("handle", affinity(F.col("headline"), F.col("seen_at"), as_of).alias("score"),
                          F.explode(word_ngrams(plain_words("headline"), longest)).alias("_gram"))
-    joined = grams.join(small_side(names), "_gram").drop("_gram")
+    joined = grams.join(names, "_gram").drop("_gram")
     return keep_last(joined, ["company"], k, [F.desc("score"), F.col("handle")], "rank")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import small_side
+from postlens.functions.joins import most_words
 from postlens.functions.text import big, c, first_of, half_up, keep_present, let, percent, pick, picks, pieces, squeeze, sub, word_array, words
 from postlens.operators.terms import grams, lookup_join, ranked
 from postlens.rules import matching as M
@@ -103,8 +103,9 @@ def term_density(hits: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
         key, "terms", "hits", F.when(F.col("_w") > 0, F.round(1000 * F.col("hits") / F.col("_w")) / 10).otherwise(0.0).alias("density"), "stuffed")
 
 
-def term_distribution(sections: DataFrame, terms: DataFrame, key: str = "doc_id", skills: str = "skills", longest: int = 2) -> DataFrame:
-    """(key, total, sections, well_distributed, score) over section rows (key, section, body)."""
+def term_distribution(sections: DataFrame, terms: DataFrame, key: str = "doc_id", skills: str = "skills", longest: int | None = None) -> DataFrame:
+    """(key, total, sections, well_distributed, score) over section rows (key, section, body). Spans are as long as the longest term."""
+    longest = longest or most_words(terms.select("term").distinct(), "term", "[^a-z0-9_]+")
     spans = sections.select(key, "section", F.explode(grams("body", longest)).alias("term"))
     counts = lookup_join(spans, terms.select("term").distinct(), ["term"]).groupBy(key, "section").agg(big(F.count("*")).alias("n"))
     return counts.groupBy(key).agg(

@@ -54,22 +54,32 @@ def _segments(length: Column, k: Column) -> Column:
         i.alias("i"), (1 + i * base + F.greatest(i - short, F.lit(0))).cast("int").alias("start"), (base + F.when(i >= short, 1).otherwise(0)).cast("int").alias("len")))
 
 
-def fuzzy_match(tokens: DataFrame, keys: DataFrame, cutoff: Column, token: str = "token", key: str = "key", max_edits: int = 3) -> DataFrame:
+def fuzzy_match(tokens: DataFrame, keys: DataFrame, cutoff: Column, token: str = "token", key: str = "key") -> DataFrame:
     """(token, key, dist): the closest key within ``cutoff`` edits (a column over the token), first by key on ties.
 
     Two strings within k edits share one of the k+1 even pieces of either, shifted by at most k.
     Keys are indexed by those pieces and tokens by the substrings that can meet them, so
-    candidates come from an equi-join and none is missed.
+    candidates come from an equi-join and none is missed. Keys no longer than the cutoff have no
+    such pieces; being few, they meet all tokens of that cutoff that are short enough. How many edits keys are
+    indexed for follows from the cutoffs that the tokens have.
     """
     distinct = tokens.select(token).distinct().where(F.length(token) > 0).withColumn("k", cutoff.cast("int"))
+    max_edits = distinct.agg(F.max("k")).first()[0] or 0
+    if max_edits < 1:
+        same = distinct.join(keys.select(F.col(key).alias(token)).distinct(), token)
+        return same.select(token, F.col(token).alias("key"), F.lit(0).cast("bigint").alias("dist"))
+    exact = distinct.where("k < 1").join(keys.select(F.col(key).alias(token)).distinct(), token).select(token, F.col(token).alias(key), "k")
+    tiny = keys.select(key).distinct().withColumn("n", F.length(key)).where(F.col("n") <= max_edits).withColumn("k", F.explode(F.sequence(F.greatest(F.col("n"), F.lit(1)), F.lit(max_edits))))
+    tiny = distinct.join(tiny, "k").where(F.length(token) <= F.col("n") + F.col("k")).select(token, key, "k")
     indexed = keys.select(key).distinct().withColumn("n", F.length(key)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_edits)))).where("n > k")
     indexed = indexed.select(key, "k", "n", F.explode(_segments(F.col("n"), F.col("k"))).alias("s")).select(key, "k", "n", F.col("s.i").alias("i"), F.substring(key, F.col("s.start"), F.col("s.len")).alias("piece"))
-    probes = distinct.select(token, "k", F.explode(F.sequence(F.greatest(F.length(token) - F.col("k"), F.col("k") + 1), F.length(token) + F.col("k"))).alias("n"))
+    probes = distinct.where("k > 0").select(token, "k", F.explode(F.sequence(F.greatest(F.length(token) - F.col("k"), F.col("k") + 1), F.length(token) + F.col("k"))).alias("n"))
     probes = probes.select(token, "k", "n", F.explode(_segments(F.col("n"), F.col("k"))).alias("s"))
     shifts = F.sequence(F.greatest(F.col("s.start") - F.col("k"), F.lit(1)), F.greatest(F.col("s.start") + F.col("k"), F.lit(1)))
     probes = probes.select(token, "k", "n", F.col("s.i").alias("i"), "s.len", F.explode(shifts).alias("at")).select(token, "k", "n", "i", F.substring(token, F.col("at"), F.col("len")).alias("piece"), "len").where(
         F.length("piece") == F.col("len")).drop("len").distinct()
     cands = probes.join(indexed, ["k", "n", "i", "piece"]).select(token, key, "k").distinct()
+    cands = cands.unionByName(tiny).unionByName(exact)
     near = cands.withColumn("dist", big(F.levenshtein(token, key))).where(F.col("dist") <= F.col("k"))
     return near.groupBy(token).agg(F.min(F.struct("dist", F.col(key).alias("key"))).alias("_b")).select(token, "_b.key", "_b.dist")
 
@@ -86,7 +96,7 @@ def country_cutoff(token: str = "token") -> Column:
 def fuzzy_country(tokens: DataFrame, countries: DataFrame, cities: DataFrame, token: str = "token") -> DataFrame:
     """Fuzzy country match for tokens that are not themselves a known city."""
     open_tokens = tokens.join(cities.select(F.col("city_key").alias(token)), token, "left_anti")
-    return fuzzy_match(open_tokens, countries, country_cutoff(token), token, max_edits=2)
+    return fuzzy_match(open_tokens, countries, country_cutoff(token), token)
 
 
 def _state_of(part: Column) -> Column:

@@ -200,14 +200,18 @@ def summary_flags(docs: DataFrame, key: str = "doc_id", text: str = "text", orig
     return rows.select(key, missing.alias("missing"), F.substring("_g", 1, 60).alias("claimed_title"), F.coalesce(drift, F.lit(False)).alias("drift"), F.coalesce(other, F.lit(False)).alias("other_profession"))
 
 
-def prose_score(docs: DataFrame, key: str = "doc_id", text: str = "text", tails: str = R.PARTICIPIAL_TAILS, stock: Sequence[str] = tuple(R.STOCK_PHRASES), passive: str = R.PASSIVE) -> DataFrame:
-    """(key, score, tells): steady sentence length +25, few distinct words +15, participial tails ≤ 25, tricolons +10, stock phrases ≤ 20, passive +10; under 40 words 0."""
+def prose_score(docs: DataFrame, key: str = "doc_id", text: str = "text", tails: str = R.PARTICIPIAL_TAILS, stock: Sequence[str] = tuple(R.STOCK_PHRASES), passive: str = R.PASSIVE, window: int | None = None) -> DataFrame:
+    """(key, score, tells): steady sentence length +25, few distinct words +15, participial tails ≤ 25, tricolons +10, stock phrases ≤ 20, passive +10; under 40 words 0.
+
+    Distinct words are counted over the whole text, or over its first ``window`` words.
+    """
     body = c(text)
     n_words = F.size(pieces(F.trim(body), r"[ \t\r\n]+"))
     # Cut after each mark: matching whole sentences instead would retry every start of a long unpunctuated line.
     cut = F.filter(F.split(body, r"(?<=[.!?])\n?|\n"), lambda s: s.rlike(r"[^.!?][.!?]$"))
     sentences = F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: F.size(F.split(s, r"[ \t\r\n]+")) > 2)
-    rows = docs.select(key, body.alias("_t"), n_words.alias("_n"), sentences.alias("_s"), F.slice(picks(F.lower(body), r"([a-z][a-z'\-]+)"), 1, 200).alias("_w"))
+    lower_words = picks(F.lower(body), r"([a-z][a-z'\-]+)")
+    rows = docs.select(key, body.alias("_t"), n_words.alias("_n"), sentences.alias("_s"), (F.slice(lower_words, 1, window) if window else lower_words).alias("_w"))
     rows = rows.withColumn("_len", F.transform("_s", lambda s: F.size(F.split(s, r"[ \t\r\n]+")).cast("double"))).withColumn("_k", F.size("_s")).withColumn(
         "_mean", F.aggregate("_len", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.col("_k"), F.lit(0)))
     sd = F.sqrt(F.aggregate("_len", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.nullif(F.col("_k"), F.lit(0)))
@@ -223,7 +227,7 @@ def prose_score(docs: DataFrame, key: str = "doc_id", text: str = "text", tails:
     return rows.select(key, big(F.least(F.lit(100), score)).alias("score"), keep_present(*[F.when(judged & F.coalesce(cond, F.lit(False)), F.lit(n)) for n, cond, _ in parts]).alias("tells"))
 
 
-def vocabulary_issues(docs: DataFrame, lexicon: Sequence[str] = tuple(R.BANNED_WORDS), key: str = "doc_id", text: str = "text", longest: int = 3) -> DataFrame:
+def vocabulary_issues(docs: DataFrame, lexicon: Sequence[str] = tuple(R.BANNED_WORDS), key: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
     """(key, issue, n): lexicon entries, American -ize spellings, em dashes and first-person pronouns in a text."""
     rules = docs.sparkSession.createDataFrame([(w.lower(), "word") for w in lexicon], "term string, category string")
     words = dictionary_hits(docs, rules, key, text, longest).select(key, F.col("term").alias("issue"), "n")

@@ -96,8 +96,11 @@ def contact_fields(docs: DataFrame, key: str = "doc_id", text: str = "text", mas
                        pick(top, r"(?i)(linkedin\.com/in/[A-Za-z0-9_\-]+)").alias("profile"), pick(top, r"(?i)(github\.com/[A-Za-z0-9_\-]+)").alias("repo"))
 
 
-def skills(docs: DataFrame, key: str = "doc_id", text: str = "text", soft: Sequence[str] = tuple(R.SOFT_ITEMS), longest: int = 4) -> DataFrame:
-    """(key, ord, skill): list items of 2 to 40 characters, one spelling each (mixed case wins), items inside a longer one dropped."""
+def skills(docs: DataFrame, key: str = "doc_id", text: str = "text", soft: Sequence[str] = tuple(R.SOFT_ITEMS), longest: int = 20) -> DataFrame:
+    """(key, ord, skill): list items of 2 to 40 characters, one spelling each (mixed case wins), items inside a longer one dropped.
+
+    An item of 40 characters has at most ``longest`` words.
+    """
     items = F.filter(F.transform(F.split(sub(c(text), r"[•*▪]|(?:^|\n)[ ]*-", ","), r"[,\n]"), lambda s: F.trim(s)),
                      lambda s: F.length(s).between(2, 40) & outside(F.lower(s), soft))
     rows = by_document(docs, key, text).select(key, F.posexplode(items).alias("_i", "skill"))

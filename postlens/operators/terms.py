@@ -7,13 +7,14 @@ by document also satisfies groupings and windows by (document, term).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import BROADCAST_ROWS, salted_join, small_side
+from postlens.functions.joins import most_words
 from postlens.functions.text import big, c, half_up, let, literal_map, outside, picks, pieces, squeeze, sub_all, word_array, words
 from postlens.rules import terms as R
 
@@ -103,22 +104,17 @@ def grams(text: str | Column, longest: int = 3, word: str = "a-z0-9_") -> Column
     return let(picks(F.lower(squeeze(text)), rf"[{word}]+|[^{word}]+", 0), build)
 
 
-def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 3,
-                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
     """(key, term, category, n): dictionary terms that occur as whole words, with counts.
 
-    Work is linear in the text whatever the size of the dictionary. A dictionary of at most
-    ``broadcast_rows`` rows is broadcast and filters spans where they are made; for a larger one
-    spans are counted per document first and then meet it in a salted shuffle join.
+    Work is linear in the text whatever the size of the dictionary. Spans go up to ``longest`` words,
+    by default as many as the longest term has. The dictionary is joined without a hint: the
+    planner broadcasts a small one, and hot spans of a shuffle join are split at run time.
     """
     rules = terms.select(F.lower(squeeze("term")).alias("term"), "category").distinct()
-    spans = by_document(docs, key, text).select(key, F.explode(grams(text, longest)).alias("term"))
-    side = small_side(rules, broadcast_rows)
-    if side is not rules:  # filter first: most spans are not terms
-        hit = spans.join(side, "term")
-        return hit.groupBy(key, "term", "category").agg(big(F.count("*")).alias("n"))
-    counts = spans.groupBy(key, "term").agg(big(F.count("*")).alias("n"))
-    return salted_join(counts, rules, ["term"]).select(key, "term", "category", "n")
+    longest = longest or most_words(rules, "term", "[^a-z0-9_]+")
+    spans = docs.select(key, F.explode(grams(text, longest)).alias("term"))
+    return lookup_join(spans, rules, ["term"]).groupBy(key, "term", "category").agg(big(F.count("*")).alias("n"))
 
 
 def token_set(text: str | Column) -> Column:
@@ -151,15 +147,25 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text:
 
 # ---------------------------------------------------------------- glued tokens
 
-def split_glued(token: str, vocabulary: Sequence[str], noise: frozenset[str]) -> list[str]:
-    """One glued token into known words, longest first, then leftovers; itself when nothing is known."""
-    rest, known = token.lower().replace(".", " ").replace(",", " "), []
-    for word in vocabulary:  # longest first
-        if word in rest:
-            known.append(word)
-            rest = rest.replace(word, " ", 1)
-    known += [w for w in rest.split() if len(w) >= 3 and w not in noise]
-    return list(dict.fromkeys(w for w in known if len(w) >= 3)) or [token]
+def known_spans(low: str, by_length: dict[int, frozenset[str]]) -> list[tuple[int, int]]:
+    """Places of known words in a lower-cased token, no two overlapping, the longer ones first."""
+    taken, found = [False] * len(low), []
+    for n in sorted(by_length, reverse=True):
+        for start in range(len(low) - n + 1):
+            if low[start : start + n] in by_length[n] and not any(taken[start : start + n]):
+                taken[start : start + n] = [True] * n
+                found.append((start, start + n))
+    return found
+
+
+def split_glued(token: str, by_length: dict[int, frozenset[str]], noise: frozenset[str]) -> list[str]:
+    """One glued token into known words, longest first, then what stands between them; itself when nothing is left."""
+    low = token.lower()
+    spans = known_spans(low, by_length)
+    edges = [0, *(x for span in sorted(spans) for x in span), len(low)]
+    between = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in re.split(r"[., \t\r\n]+", low[a:b])]
+    parts = [low[a:b] for a, b in spans] + [w for w in between if len(w) >= 3 and w not in noise]
+    return list(dict.fromkeys(parts)) or [token]
 
 
 def decluster(docs: DataFrame, vocabulary: Sequence[str], key: str = "doc_id", text: str = "text",
@@ -169,21 +175,21 @@ def decluster(docs: DataFrame, vocabulary: Sequence[str], key: str = "doc_id", t
     Tokens that are not glued do not appear; callers keep them as they are. The splitter runs in
     Arrow batches over *distinct* long tokens only. ``vocabulary`` is a bounded word list.
     """
-    vocab = sorted({v.lower() for v in vocabulary if len(v) >= 3}, key=lambda v: (-len(v), v))
-    longer, quiet = [v for v in vocab if len(v) >= 4], frozenset(noise)
+    vocab, quiet = {v.lower() for v in vocabulary if len(v) >= 3}, frozenset(noise)
+    by_length = {n: frozenset(v for v in vocab if len(v) == n) for n in {len(v) for v in vocab}}
+    lengths = sorted(n for n in by_length if n >= 4)
     long_tokens = docs.select(key, F.posexplode(F.split(c(text), r"[ \t\r\n]+")).alias("pos", "token")).where(F.length("token") >= 15)
     distinct = long_tokens.select("token").distinct()
 
     def split_batches(batches):
-        import re
-
         dotted, camel = re.compile(r"[a-z]{4,}\.[a-z]{4,}", re.I), re.compile(r"[a-z]{3,}[A-Z][a-z]{3,}")
         for batch in batches:
             rows = []
             for token in batch["token"]:
                 low = token.lower()
-                if sum(w in low for w in longer) >= 2 or dotted.search(token) or camel.search(token):
-                    rows += [(token, part, i + 1) for i, part in enumerate(split_glued(token, vocab, quiet))]
+                held = {low[i : i + n] for n in lengths for i in range(len(low) - n + 1) if low[i : i + n] in by_length[n]}
+                if len(held) >= 2 or dotted.search(token) or camel.search(token):
+                    rows += [(token, part, i + 1) for i, part in enumerate(split_glued(token, by_length, quiet))]
             yield pd.DataFrame(rows, columns=["token", "part", "ord"])
 
     parts = distinct.mapInPandas(split_batches, "token string, part string, ord long")
@@ -288,7 +294,7 @@ def merge_terms(mandatory: DataFrame, extracted: DataFrame, key: str = "doc_id",
         F.coalesce(F.when(F.col("_band") != "high", F.col("_band")), F.lit("medium")))).select(key, "term", "ord", "priority")
 
 
-def classify_roi(docs: DataFrame, tiers=tuple((t, tuple(w)) for t, w in R.ROI_TIERS), key: str = "doc_id", text: str = "text", longest: int = 3,
+def classify_roi(docs: DataFrame, tiers=tuple((t, tuple(w)) for t, w in R.ROI_TIERS), key: str = "doc_id", text: str = "text", longest: int | None = None,
                  open_hard: DataFrame | None = None, open_soft: DataFrame | None = None, loose: int = 15, cap: int = 50,
                  stop: Sequence[str] = tuple(R.ROI_STOP_WORDS)) -> DataFrame:
     """(key, term, tier, ord): tier terms in list order, openly found skills behind them, then loose words; high, medium, unclassified, low.
@@ -298,9 +304,10 @@ def classify_roi(docs: DataFrame, tiers=tuple((t, tuple(w)) for t, w in R.ROI_TI
     body = docs.where(F.length(c(text)) >= 50)
     listed = [(term, tier, i) for tier, terms in tiers for i, term in enumerate(terms)]
     rules = docs.sparkSession.createDataFrame(listed, "term string, tier string, ord long")
+    longest = longest or max(len(re.split("[^a-z0-9]+", term.lower())) for term, _, _ in listed)
     tier_rank = literal_map({"high": 0, "medium": 1, "unclassified": 2, "low": 3})
     spans = by_document(body, key, text).select(key, F.array_distinct(grams(text, longest, "a-z0-9")).alias("_g"), words(F.regexp_replace(F.lower(c(text)), r"[^a-z0-9\-/]+", " ")).alias("_w"))
-    found = spans.select(key, F.explode("_g").alias("term")).join(F.broadcast(rules), "term").withColumn("_src", F.lit(0))
+    found = spans.select(key, F.explode("_g").alias("term")).join(rules, "term").withColumn("_src", F.lit(0))
     known = found.select(key, "term").distinct()
     plain = spans.select(key, F.posexplode("_w").alias("_pos", "term")).where((F.length("term") >= 3) & outside(F.col("term"), stop))
     counts = plain.groupBy(key, "term").agg(F.count("*").alias("_n"), F.min("_pos").alias("_pos")).join(known, [key, "term"], "left_anti")
@@ -423,13 +430,15 @@ def soft_variants(terms: Sequence[str]) -> list[tuple[str, str, int]]:
     return rows
 
 
-def soft_skills(docs: DataFrame, terms: Sequence[str] = tuple(R.SOFT_SKILLS), key: str = "doc_id", text: str = "text", longest: int = 4) -> DataFrame:
+def soft_skills(docs: DataFrame, terms: Sequence[str] = tuple(R.SOFT_SKILLS), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, skill, matched_form): soft skills by any of their forms; "X skills" is reported when the text says so."""
-    rules = docs.sparkSession.createDataFrame(soft_variants(terms), "term string, form string, ord long")
+    forms = soft_variants(terms)
+    rules = docs.sparkSession.createDataFrame(forms, "term string, form string, ord long")
+    longest = max(len(form.split()) for _, form, _ in forms)
     from postlens.operators.history import word_ngrams
 
     spans = docs.select(key, F.explode(word_ngrams(pieces(skill_norm(text), " "), longest)).alias("form"))
-    hit = spans.join(F.broadcast(rules), "form")
+    hit = spans.join(rules, "form")
     named = F.max((F.col("form") == F.concat("_base", F.lit(" skills"))).cast("int"))
     return hit.withColumn("_base", skill_norm("term")).groupBy(key, "term").agg(
         F.min_by("form", "ord").alias("matched_form"), named.alias("_s")).select(

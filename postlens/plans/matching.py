@@ -70,7 +70,7 @@ def e04(spark, folder):
 
 
 def hits(spark, folder, what=None):
-    h = T.dictionary_hits(what if what is not None else docs(spark, folder), vocabulary(spark, folder), longest=2)
+    h = T.dictionary_hits(what if what is not None else docs(spark, folder), vocabulary(spark, folder))
     return h.select("doc_id", "term", "n").distinct()
 
 

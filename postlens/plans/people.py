@@ -71,7 +71,7 @@ def i05(spark, folder):
 def i06(spark, folder):
     """Suppliers' postings against the customers whose orders they shipped."""
     line, orders, c, s = (table(spark, folder, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    links = line.where("l_quantity > 45").join(orders, line.l_orderkey == orders.o_orderkey).select("l_suppkey", "o_custkey").distinct()
+    links = line.join(orders, line.l_orderkey == orders.o_orderkey).select("l_suppkey", "o_custkey").distinct()
     rows = links.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     title = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "Technical Recruiter").when(F.col("c_mktsegment") == "MACHINERY", "Sales Recruiter").when(F.col("c_mktsegment") == "FURNITURE", "Head of Engineering").otherwise("Office Assistant")
     pairs = rows.select(F.col("s_suppkey").alias("posting_id"), title.alias("title"), F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("Firm "), "s_suppkey")).otherwise("Elsewhere").alias("company"),
@@ -148,7 +148,7 @@ ORACLES = {
     "i4_discipline": f"""WITH {_TITLES}, x AS (SELECT DISTINCT title, t, u FROM td)
         SELECT title, {_DISC} AS discipline, CASE WHEN NOT regexp_matches(t, 'talent|recruit|sourc|hiring') THEN '' WHEN {_DISC2} = '' AND regexp_matches(t, '(?:^|[^a-z0-9_])(?:tech(?:nical)?|eng)(?:$|[^a-z0-9_])') THEN 'engineering' WHEN {_DISC2} = 'hr' THEN '' ELSE {_DISC2} END AS covers FROM x""",
     "i5_company_match": "SELECT s_suppkey AS l, s_suppkey + 1000000 AS r, 'true' AS agrees FROM supplier",
-    "i6_rank_candidates": """WITH p AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45),
+    "i6_rank_candidates": """WITH p AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         r AS (SELECT s_suppkey AS posting_id, 'p' || c_custkey || CASE WHEN c_acctbal < 1000 THEN '@gmail.com' ELSE '@firm' || s_suppkey || '.io' END AS address,
           CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 30 + 10 + 16 WHEN 'MACHINERY' THEN 30 + 10 - 18 - 25 WHEN 'FURNITURE' THEN 4 + 14 ELSE -6 END + CASE WHEN c_acctbal > 5000 THEN 18 ELSE -60 END + CASE WHEN c_nationkey = s_nationkey THEN 14 ELSE -30 END
           + round(CAST(c_custkey % 100 AS DOUBLE) / 10) + CASE WHEN c_acctbal > 2000 THEN 5 ELSE 0 END + CASE WHEN c_acctbal < 1000 THEN -20 ELSE 14 END AS score FROM p JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)

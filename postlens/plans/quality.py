@@ -91,13 +91,13 @@ def f09(spark, folder):
 
 
 def f10(spark, folder):
-    return Q.vocabulary_issues(docs(spark, folder), LEXICON, longest=2)
+    return Q.vocabulary_issues(docs(spark, folder), LEXICON)
 
 
 def f10b(spark, folder):
     d = docs(spark, folder)
     after = d.withColumn("text", F.regexp_replace("text", "thon|erst", "x"))
-    return Q.vocabulary_report(Q.vocabulary_issues(d, LEXICON, longest=2), Q.vocabulary_issues(after, LEXICON, longest=2))
+    return Q.vocabulary_report(Q.vocabulary_issues(d, LEXICON), Q.vocabulary_issues(after, LEXICON))
 
 
 def _drafts(spark, folder):
@@ -128,7 +128,7 @@ def all_flags(spark, folder):
     """Flags of several families under one (doc_id, kind) shape."""
     ls = lines(spark, folder)
     parts = [Q.language_flags(ls, base_verbs=VERBS, dated=DATED).select("doc_id", F.col("rule").alias("kind")), Q.repetition(ls).select("doc_id", "kind"),
-             Q.vocabulary_issues(docs(spark, folder), LEXICON, longest=2).select("doc_id", F.lit("vocabulary").alias("kind"))]
+             Q.vocabulary_issues(docs(spark, folder), LEXICON).select("doc_id", F.lit("vocabulary").alias("kind"))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -144,8 +144,7 @@ def f14b(spark, folder):
 
 
 def f15(spark, folder):
-    first = docs(spark, folder).withColumn("text", F.regexp_extract("text", r"^([^\n]*)", 1))
-    out = Q.clamp_sections(first, looking="(?i)thon|que la")
+    out = Q.clamp_sections(docs(spark, folder), looking="(?i)thon|que la")
     return text_flags(out, "clamped").withColumn("removed", big("removed"))
 
 
@@ -235,7 +234,7 @@ ORACLES = {
         UNION ALL SELECT p_partkey, 'generic_project', 'Weather app' FROM n WHERE z < 10
         UNION ALL SELECT p_partkey, 'own_repo_open_source', CASE WHEN z < 10 THEN 'Weather app' ELSE t END FROM n WHERE z < 25
         UNION ALL SELECT p_partkey, 'dominant_handle', 'me-1' FROM n WHERE z < 25""",
-    "f9_prose_score": f"""WITH d AS (SELECT doc_id, text, len(list_filter(string_split_regex(trim(text), '[ \\t\\r\\n]+'), lambda x: x <> '')) AS n, {_SENT} AS s, regexp_extract_all(lower(text), '([a-z][a-z''\\-]+)', 1)[1:200] AS w FROM documents),
+    "f9_prose_score": f"""WITH d AS (SELECT doc_id, text, len(list_filter(string_split_regex(trim(text), '[ \\t\\r\\n]+'), lambda x: x <> '')) AS n, {_SENT} AS s, regexp_extract_all(lower(text), '([a-z][a-z''\\-]+)', 1) AS w FROM documents),
         m AS (SELECT *, list_transform(s, lambda x: CAST(len(string_split_regex(x, '[ \\t\\r\\n]+')) AS DOUBLE)) AS ln, {S.hits('text', TAILS)} AS tl, {S.hits('text', R.TRICOLON)} AS tri,
           {' + '.join(f"CAST(regexp_matches(text, {S.q('(?i)' + p)}) AS INT)" for p in STOCK)} AS stk, len(list_filter(s, lambda x: regexp_matches(x, {S.q(PASSIVE)}))) AS ps FROM d),
         c AS (SELECT *, n >= 40 AS j, len(s) >= 4 AND round(sqrt(list_sum(list_transform(ln, lambda x: (x - list_avg(ln)) * (x - list_avg(ln)))) / len(s)) / list_avg(ln), 9) < 0.35 AS c1,
@@ -276,7 +275,7 @@ ORACLES.update({
     "f13_normalise_corpus": f"""WITH b AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, 'que la', 'qua lo', 'g'), '([0-9])[ ]*[—–][ ]*([0-9])', '\\1-\\2', 'g'), '[ ]*—[ ]*', ', ', 'g'), '[A-Za-z][A-Za-z''\\-]*|[^A-Za-z]+') AS k FROM documents),
         j AS (SELECT doc_id, CAST(len(list_filter(k, lambda t: {_SWAPS} IS NOT NULL)) AS BIGINT) AS changes, array_to_string(list_transform(k, lambda t: {_TOKEN}), '') AS t FROM b)
         SELECT doc_id, changes, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), '[ \\t]+([.,;:])', '\\1', 'g'), ' \\n', chr(10), 'g'))) AS text_md5 FROM j""",
-    "f15_clamp_sections": """WITH f AS (SELECT doc_id, regexp_extract(text, '^([^\\n]*)', 1) AS t FROM documents), s AS (SELECT doc_id, t, regexp_matches(t, '(?:^|\\n)[ \\t]*[-•*][ \\t]*[^ \\t\\n]') AS odd, list_filter(list_transform(regexp_extract_all(t, '([^.!?]+[.!?]*)', 1), lambda x: trim(x)), lambda x: x <> '') AS a FROM f),
+    "f15_clamp_sections": """WITH f AS (SELECT doc_id, text AS t FROM documents), s AS (SELECT doc_id, t, len(string_split(t, chr(10))) > 6 OR regexp_matches(t, '(?:^|\\n)[ \\t]*[-•*][ \\t]*[^ \\t\\n]') AS odd, list_filter(list_transform(regexp_extract_all(replace(t, chr(10), ' '), '([^.!?]+[.!?]*)', 1), lambda x: trim(x)), lambda x: x <> '') AS a FROM f),
         k AS (SELECT *, list_filter(a, lambda x: NOT regexp_matches(x, '(?i)thon|que la')) AS s FROM s), u AS (SELECT *, array_to_string(s, ' ') AS fu, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda i: len(array_to_string(s[1:i], ' ')) <= 220)), 0) AS n FROM k)
         SELECT doc_id, CAST(CASE WHEN odd THEN 0 ELSE len(a) - len(s) END AS BIGINT) AS removed, CAST(NOT odd AND len(fu) > 220 AS VARCHAR) AS clamped,
           CASE WHEN odd THEN t WHEN len(fu) <= 220 THEN fu WHEN n > 0 THEN array_to_string(s[1:n], ' ') ELSE regexp_replace(substr(fu, 1, 220), '[ ]+[^ ]*$', '') || '.' END AS text FROM u""",

@@ -83,7 +83,7 @@ def s07(spark, folder):
 
 def s08(spark, folder):
     path = shared_dir(spark, "report")
-    L.export_report(events(spark, folder).where("value > 1"), path)
+    L.export_report(events(spark, folder), path)
     rows = spark.read.json(f"{path}/rows").groupBy("event_type").agg(big(F.count("*")).alias("row_count"))
     return spark.read.json(f"{path}/summary").join(rows, "event_type")
 
@@ -117,5 +117,5 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'workday', CASE WHEN ok THEN t ELSE '' END, CAST(ok AS VARCHAR), CASE WHEN ok THEN lang ELSE '' END,
           CASE WHEN ok THEN 'Beta' ELSE '' END, CASE WHEN ok THEN source ELSE '' END, CASE WHEN ok THEN 'R-' || doc_id ELSE '' END FROM f""",
     "s7_append_history": "SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS n FROM events GROUP BY 1",
-    "s8_export_report": "SELECT event_type, count(*) AS n, count(*) AS row_count FROM events WHERE value > 1 GROUP BY 1",
+    "s8_export_report": "SELECT event_type, count(*) AS n, count(*) AS row_count FROM events GROUP BY 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from postlens.functions.text import big
@@ -39,9 +41,9 @@ def j02c(spark, folder):
 
 def j03(spark, folder):
     ev = events(spark, folder).select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("event"), "user_id")
-    logs = [("a", ev.where("event in ('click', 'view')")), ("b", ev.where("event in ('click', 'error')").drop("user_id")), ("c", ev.where("event = 'purchase'").withColumn("id", F.lit(None).cast("long")))]
+    logs = [("a", ev.where("event in ('click', 'view', 'signup')")), ("b", ev.where("event in ('click', 'error')").drop("user_id")), ("c", ev.where("event = 'purchase'").withColumn("id", F.lit(None).cast("long")))]
     out = J.merged_logs(logs)
-    return out.select("event", "dedupe_key", J.normal_level(F.lit("?"), "event").alias("level")).groupBy("event", "level").agg(big(F.count("*")).alias("n"))
+    return out.select("event", "source", "dedupe_key", J.normal_level(F.lit("?"), "event").alias("level")).groupBy("event", "level", "source").agg(big(F.count("*")).alias("n"))
 
 
 def j04(spark, folder):
@@ -88,8 +90,10 @@ def j09(spark, folder):
     visits = ev.where("event_type = 'click'").select(F.col("user_id").alias("key"), F.col("event_id").alias("visit_id"), F.col("ts").alias("at"))
     caps = stream_table(spark, folder, "events").where("event_type = 'view'").select(F.col("user_id").alias("key"), F.col("event_id").alias("capture_id"), F.col("ts").alias("captured_at"))
     out = run_append(J.stream_recall(visits, caps), "recall")
-    # Visits younger than the watermark are still open when the replay ends; matched ones are final.
-    return out.where("capture_id is not null").select("visit_id", "key", "capture_id")
+    # Visits younger than the watermark are still open when the replay ends: they are reported without a capture.
+    clicks = events(spark, folder).where("event_type = 'click'").select(F.col("event_id").alias("visit_id"), F.col("user_id").alias("key"))
+    waiting = clicks.join(out.select("visit_id"), "visit_id", "left_anti").withColumn("capture_id", F.lit(-1).cast("long"))
+    return out.select("visit_id", "key", F.coalesce("capture_id", F.lit(-1).cast("long")).alias("capture_id")).unionByName(waiting)
 
 
 def j10(spark, folder):
@@ -103,8 +107,10 @@ def j11(spark, folder):
 
 
 def j11b(spark, folder):
-    facts = J.event_facts(events(spark, folder), {"click": {"k": ("$.k", "long")}, "error": {"k": ("$.k", "long")}})
-    return facts["click"].select("event_id", "event_type", "k").unionByName(facts["error"].select("event_id", "event_type", "k"))
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    facts = J.event_facts(events(spark, folder), {kind: {"k": ("$.k", "long")} for kind in kinds})
+    tables = [facts[kind].select("event_id", "event_type", "k") for kind in kinds]
+    return reduce(lambda a, b: a.unionByName(b), tables)
 
 
 QUERIES = {"j1_ingest_trace": j01, "j2_activity": j02, "j2_activity_sliding": j02b, "j2_success_rate": j02c, "j3_merged_logs": j03, "j4_sessions_batch": j04, "j4_sessions": j04b, "j5_debounce": j05,
@@ -123,7 +129,7 @@ ORACLES = {
     "j2_activity_sliding": """WITH w AS (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s, event_type FROM events)
         SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, event_type AS kind, count(*) AS n FROM w GROUP BY ALL""",
     "j2_success_rate": """SELECT user_id, CAST(coalesce(round(100.0 * count(*) FILTER (WHERE event_type = 'purchase') / nullif(count(*) FILTER (WHERE event_type IN ('purchase', 'error')), 0)), 100) AS BIGINT) AS rate FROM events GROUP BY user_id""",
-    "j3_merged_logs": "SELECT event_type AS event, CASE event_type WHEN 'error' THEN 'error' ELSE '?' END AS level, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'error', 'purchase') GROUP BY 1",
+    "j3_merged_logs": "SELECT event_type AS event, CASE event_type WHEN 'error' THEN 'error' ELSE '?' END AS level, CASE event_type WHEN 'error' THEN 'b' WHEN 'purchase' THEN 'c' ELSE 'a' END AS source, count(*) AS n FROM events GROUP BY event_type",
     "j4_sessions_batch": _SESS,
     "j4_sessions": _SESS,
     "j5_debounce": "SELECT event_id, user_id FROM events QUALIFY lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) > 1800000000",
@@ -131,10 +137,10 @@ ORACLES = {
     "j7_limit_stream": "SELECT request_id, allowed, reason FROM (" + _PEOPLE["i10_send_policy"] + ")",
     "j8_progress": """WITH l AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1), g AS (SELECT o_orderpriority AS queue, o_orderstatus AS status, count(*) AS n FROM l GROUP BY ALL)
         SELECT queue, status, n, CAST(sum(n) OVER (PARTITION BY queue) AS BIGINT) AS total, CAST(round(100.0 * n / sum(n) OVER (PARTITION BY queue)) AS BIGINT) AS pct FROM g""",
-    "j9_stream_recall": "SELECT v.event_id AS visit_id, v.user_id AS key, c.event_id AS capture_id FROM events v JOIN events c ON v.user_id = c.user_id AND c.ts <= v.ts AND c.ts > v.ts - INTERVAL 45 MINUTE WHERE v.event_type = 'click' AND c.event_type = 'view'",
+    "j9_stream_recall": "SELECT v.event_id AS visit_id, v.user_id AS key, coalesce(c.event_id, -1) AS capture_id FROM events v LEFT JOIN events c ON v.user_id = c.user_id AND c.event_type = 'view' AND c.ts <= v.ts AND c.ts > v.ts - INTERVAL 45 MINUTE WHERE v.event_type = 'click'",
     "j10_pair_spans": """WITH s AS (SELECT * FROM events WHERE event_type = 'signup'), e AS (SELECT * FROM events WHERE event_type = 'purchase'),
         j AS (SELECT s.user_id, s.event_id AS start_id, s.ts AS st, e.event_id AS end_id, e.ts AS et, e.value AS v, row_number() OVER (PARTITION BY s.event_id ORDER BY e.ts, e.event_id) AS rn FROM s LEFT JOIN e ON s.user_id = e.user_id AND (e.ts > s.ts OR (e.ts = s.ts AND e.event_id > s.event_id)))
         SELECT user_id, start_id, coalesce(end_id, -1) AS end_id, CAST(coalesce(floor((epoch_us(et) - epoch_us(st)) / 1000), -1) AS BIGINT) AS duration_ms, CASE WHEN end_id IS NULL THEN 'open' WHEN trunc(v * 20) >= 400 THEN 'error' ELSE 'ok' END AS status FROM j WHERE rn = 1""",
     "j11_duration_stats": "SELECT event_type AS kind, count(*) AS n, round(avg(value), 4) AS avg, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1",
-    "j11_event_facts": f"SELECT event_id, event_type, {SQL_K} AS k FROM events WHERE event_type IN ('click', 'error')",
+    "j11_event_facts": f"SELECT event_id, event_type, {SQL_K} AS k FROM events",
 }

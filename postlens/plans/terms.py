@@ -61,7 +61,7 @@ def d01(spark, folder):
 
 
 def d02(spark, folder):
-    return T.dictionary_hits(docs(spark, folder), vocabulary(spark, folder), longest=2)
+    return T.dictionary_hits(docs(spark, folder), vocabulary(spark, folder))
 
 
 def d03(spark, folder):
@@ -98,7 +98,7 @@ def d07(spark, folder):
 
 
 def mandatory_terms(spark, folder):
-    hits = T.dictionary_hits(docs(spark, folder), vocabulary(spark, folder), longest=2).select("doc_id", "term", "n").distinct()
+    hits = T.dictionary_hits(docs(spark, folder), vocabulary(spark, folder)).select("doc_id", "term", "n").distinct()
     return T.ranked(hits, "doc_id", [F.desc("n"), F.col("term")], 30).select("doc_id", "term", F.col("rank").alias("ord"))
 
 
@@ -111,7 +111,7 @@ def d08(spark, folder):
 
 
 def roi(spark, folder):
-    return T.classify_roi(docs(spark, folder), CORPUS_TIERS, longest=2)
+    return T.classify_roi(docs(spark, folder), CORPUS_TIERS)
 
 
 def d09(spark, folder):

@@ -19,12 +19,12 @@ PLATFORM_HOSTS = [
     ("avature", ["avature.net"]),
     ("cornerstone", ["csod.com", "cornerstoneondemand.com"]),
     ("brassring", ["brassring.com", "kenexa.com"]),
-    ("ukg", ["ultipro.com", "ukg.com"]),
+    ("ultipro", ["ultipro.com", "ukg.com"]),
     ("adp", ["adp.com", "myadp.com"]),
     ("breezy", ["breezy.hr"]),
     ("dover", ["dover.com", "dover.io", "app.dover.io"]),
     ("pinpoint", ["pinpointhq.com"]),
-    ("zoho", ["zohorecruit.com"]),
+    ("zohorecruit", ["zohorecruit.com"]),
     ("occupop", ["occupop.com"]),
     ("bullhorn", ["bullhorn.com", "bullhornstaffing.com", "bullhorncdn.com"]),
     ("oracle", ["oraclecloud.com", "oracle.com"]),

@@ -18,32 +18,36 @@ from postlens.functions.text import big, c, percent
 # What must never reach a trace.
 SECRET_KEY = r"(?i)pass(?:word)?|token|api_?key|secret|authorization|auth|credential|bearer|refresh"
 SECRET_VALUE = r"^(?:Bearer[ ]+|ya29\.|eyJ[A-Za-z0-9_\-]{10,})"
-MAX_STRING, MAX_ITEMS, MAX_KEYS = 300, 8, 21
 LEVELS = ["debug", "info", "success", "warn", "error"]
 
 
-def _redact(node: Column, depth: int) -> Column:
-    """A variant as redacted JSON text: secrets masked, strings cut, arrays and depth bounded."""
+def _quoted(text: Column) -> Column:
+    """A JSON string: to_json of a one-element array quotes and escapes it."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def _redact(node: Column, depth: int, chars: int, items: int, keys: int) -> Column:
+    """A variant as redacted JSON text: secrets masked, strings, arrays, keys and depth bounded, each cut marked."""
     text = node.try_cast("string")
     is_obj, is_arr = F.schema_of_variant(node).startswith("OBJECT"), F.schema_of_variant(node).startswith("ARRAY")
     is_str = F.schema_of_variant(node) == "STRING"
-    cut = F.when(text.rlike(SECRET_VALUE), "[redacted]").when(F.length(text) > MAX_STRING, F.concat(F.substring(text, 1, MAX_STRING), F.lit("…("), F.length(text).cast("string"), F.lit(")"))).otherwise(text)
-    # to_json of a one-element array quotes and escapes the string.
-    quoted = F.regexp_replace(F.to_json(F.array(cut)), r"^\[|\]$", "")
+    cut = F.when(text.rlike(SECRET_VALUE), "[redacted]").when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("…("), F.length(text).cast("string"), F.lit(")"))).otherwise(text)
+    quoted = _quoted(cut)
     if depth < 0:
         return F.when(is_obj | is_arr, F.lit('"[…]"')).when(is_str, quoted).otherwise(F.coalesce(text, F.lit("null")))
-    pairs = F.slice(F.map_entries(node.try_cast("map<string,variant>")), 1, MAX_KEYS)
-    obj = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(
-        F.lit('"'), e["key"], F.lit('":'), F.when(e["key"].rlike(SECRET_KEY), '"[redacted]"').otherwise(_redact(e["value"], depth - 1)))), ","), F.lit("}"))
-    items = node.try_cast("array<variant>")
-    arr = F.concat(F.lit("["), F.array_join(F.transform(F.slice(items, 1, MAX_ITEMS), lambda x: _redact(x, depth - 1)), ","),
-                   F.when(F.size(items) > MAX_ITEMS, F.concat(F.lit(',"…+'), (F.size(items) - MAX_ITEMS).cast("string"), F.lit('"'))).otherwise(""), F.lit("]"))
+    entries = F.map_entries(node.try_cast("map<string,variant>"))
+    obj = F.concat(F.lit("{"), F.array_join(F.transform(F.slice(entries, 1, keys), lambda e: F.concat(
+        _quoted(e["key"]), F.lit(":"), F.when(e["key"].rlike(SECRET_KEY), '"[redacted]"').otherwise(_redact(e["value"], depth - 1, chars, items, keys)))), ","),
+                   F.when(F.size(entries) > keys, F.concat(F.lit(',"…":"+'), (F.size(entries) - keys).cast("string"), F.lit('"'))).otherwise(""), F.lit("}"))
+    elements = node.try_cast("array<variant>")
+    arr = F.concat(F.lit("["), F.array_join(F.transform(F.slice(elements, 1, items), lambda x: _redact(x, depth - 1, chars, items, keys)), ","),
+                   F.when(F.size(elements) > items, F.concat(F.lit(',"…+'), (F.size(elements) - items).cast("string"), F.lit('"'))).otherwise(""), F.lit("]"))
     return F.when(is_obj, obj).when(is_arr, arr).when(is_str, quoted).otherwise(F.coalesce(text, F.lit("null")))
 
 
-def ingest_trace(log: DataFrame, data: str = "props", depth: int = 2) -> DataFrame:
-    """Stateless: the open payload of each event redacted."""
-    return log.withColumn("_v", F.try_parse_json(c(data))).withColumn(data, _redact(F.col("_v"), depth)).drop("_v")
+def ingest_trace(log: DataFrame, data: str = "props", depth: int = 2, chars: int = 300, items: int = 8, keys: int = 21) -> DataFrame:
+    """Stateless: the open payload of each event redacted. Longer strings and arrays, further keys and deeper levels leave a mark."""
+    return log.withColumn("_v", F.try_parse_json(c(data))).withColumn(data, _redact(F.col("_v"), depth, chars, items, keys)).drop("_v")
 
 
 def activity(log: DataFrame, size: str = "1 hour", slide: str | None = None, ts: str = "ts", kind: str = "event_type", duration: str = "value",
@@ -69,7 +73,10 @@ def normal_level(level: str | Column, event: str | Column) -> Column:
 
 
 def merged_logs(logs: Sequence[tuple[str, DataFrame]], ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Several logs with a source name, one row per id, or per timestamp and event where no id exists."""
+    """Several logs with a source name, one row per id, or per timestamp and event where no id exists.
+
+    Of a batch's equal rows the earliest stays, then that of the first source by name; a stream keeps the first to arrive.
+    """
     out = None
     for source, df in logs:
         rows = df.withColumn("source", F.lit(source))
@@ -78,7 +85,9 @@ def merged_logs(logs: Sequence[tuple[str, DataFrame]], ts: str = "ts", late: str
     out = out.withColumn("dedupe_key", key)
     if out.isStreaming:
         return out.withWatermark(ts, late).dropDuplicatesWithinWatermark(["dedupe_key"])
-    return out.dropDuplicates(["dedupe_key"])
+    names = [n for n in out.columns if n != "dedupe_key"]
+    first = F.min_by(F.struct(*names), F.struct(ts, "source", "event"))
+    return out.groupBy("dedupe_key").agg(first.alias("_row")).select("_row.*", "dedupe_key")
 
 
 def sessions(log: DataFrame, gap: str = "30 minutes", user: str = "user_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:

@@ -9,9 +9,14 @@ from postlens.functions.session import shared_dir
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """A table's files as a stream, a bounded number of files per micro-batch."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """A table's files as a stream, a bounded number of files per micro-batch.
+
+    The table is a folder of files of any name or a single file: the pattern in the path makes the
+    stream list what it matches, either way.
+    """
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path.removesuffix("t") + "[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.fieldNames() else rows
 
 

@@ -1,11 +1,11 @@
-"""Segmented windows, salting and sized broadcasts against their plain forms."""
+"""Segmented windows, salting and rule lengths against their plain forms."""
 
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import salted_join, small_side
+from postlens.functions.joins import most_words, salted_join
 from postlens.functions.segments import neighbour, running
 
 
@@ -43,7 +43,6 @@ def test_salted_join_is_exact(spark):
         assert salted_join(left, right, ["k"], how, salts=4).count() == left.join(right, "k", how).count()
 
 
-def test_broadcast_only_within_bound(spark):
-    df = spark.range(10)
-    assert small_side(df, 5) is df
-    assert small_side(df, 50) is not df
+def test_rule_length(spark):
+    rules = spark.createDataFrame([("one",), ("natural language processing pipelines",)], "term string")
+    assert most_words(rules, "term", " ") == 4 and most_words(rules.where("false"), "term", " ") == 1
