@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,11 +151,13 @@ def identify(docs: DataFrame, model: CodeModel, text: str = "text") -> DataFrame
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: buckets x bits
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
-            yield pd.DataFrame([shared.value.predict(v) for v in values], columns=["lang_pred", "score", "ambiguous"])
+            made = list(zip(*(shared.value.predict(v.as_py()) for v in values), strict=True)) or [[], [], []]
+            yield pa.StructArray.from_arrays([pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
+    call = call.asNondeterministic()  # else a filter on the prediction would predict a second time
     new = ["lang_pred", "score", "ambiguous"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     return docs.select(*kept, call(F.col(f"`{text}`")).alias("_made_")).select(*kept, "_made_.*")

@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,10 +144,11 @@ def score(docs: DataFrame, model: WordModel, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``features`` words
 
-    @F.pandas_udf("double")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
-            yield pd.Series([shared.value.score(v) for v in values], dtype="float64")
+            yield pa.array([shared.value.score(v.as_py()) for v in values], pa.float64())
 
+    call = call.asNondeterministic()  # else the comparison with one half would score a second time
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*kept, call(F.col(f"`{text}`")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
