@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Encoded matches and prefixes that one worker remembers; more are computed again.
 REMEMBERED = 300_000
+#: Rows whose ids or bytes are handed on at once.
+ROWS = 256
 #: Matches with more bytes get a prefix table of their own.
 SHORT = 64
 
@@ -54,7 +56,7 @@ class Vocabulary:
         """Whether the two tokens stay as they are when their bytes are encoded together."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
             known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
             self._pairs[left, right] = known
@@ -204,9 +206,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -
     def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = Encoder(Vocabulary(listing.value), pattern)
         for values in batches:
-            made = [one(v.as_py()) for v in values]
-            offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
+            for start in range(0, len(values), ROWS):  # the ids of a whole batch would take more memory than its texts
+                made = [one(v.as_py()) for v in values[start : start + ROWS]]
+                offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "ids"]
     return docs.select(*kept, call(F.col(f"`{text}`")).alias("ids"))
@@ -222,7 +225,8 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
         table = Vocabulary(listing.value).tokens
         of = table.__getitem__
         for values in batches:
-            yield pa.array([None if not v.is_valid else b"".join(map(of, v.values.to_numpy(zero_copy_only=False).tolist())) for v in values], pa.binary())
+            for start in range(0, len(values), ROWS):
+                yield pa.array([None if not v.is_valid else b"".join(map(of, v.values.to_numpy(zero_copy_only=False).tolist())) for v in values[start : start + ROWS]], pa.binary())
 
     kept = [F.col(f"`{c}`") for c in tokens.columns if c != "decoded"]
     return tokens.select(*kept, call(F.col(f"`{ids}`")).alias("decoded"))
