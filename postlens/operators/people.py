@@ -34,7 +34,7 @@ def published_addresses(pages: DataFrame, context: int = 120, mask: bool = False
 
     pair = lambda a, ctx: F.struct(a.alias("a"), ctx.alias("c"))
     mailto = F.transform(picks(html, r"(?is)(<a[^>]*href=[\"']mailto:[^>]*>.*?</a>)"), lambda m: pair(F.regexp_extract(m, r"(?i)mailto:([^\"'?>]+)", 1), tags_to_text(m)))
-    ld = F.transform(F.filter(F.transform(F.filter(variant_levels(F.filter(F.transform(picks(html, LD_BODY), lambda b: F.try_parse_json(b)), lambda v: v.isNotNull()), 4),
+    ld = F.transform(F.filter(F.transform(F.filter(variant_levels(picks(html, LD_BODY)),
                                                    lambda n: F.coalesce(F.try_variant_get(n, "$.email", "string"), F.lit("")).contains("@")), lambda n: F.struct(
         F.try_variant_get(n, "$.email", "string").alias("a"), F.coalesce(F.try_variant_get(n, "$.name", "string"), F.lit("")).alias("c"))), lambda s: s["a"].isNotNull()), lambda s: s)
     meta = F.transform(picks(html, r"(?i)<meta[^>]*name=[\"'](?:reply-to|email)[\"'][^>]*content=[\"']([^\"']*@[^\"']*)[\"']"), lambda m: pair(m, F.lit("meta")))

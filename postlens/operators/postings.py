@@ -158,13 +158,20 @@ def variant_children(node: Column) -> Column:
     )
 
 
-def variant_levels(roots: Column, depth: int) -> Column:
-    """All nodes of the given variants down to ``depth`` levels, breadth first, in one array."""
-    level, out = roots, roots
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, variant_children))
-        out = F.concat(out, level)
-    return out
+def variant_levels(bodies: Column) -> Column:
+    """All nodes of the JSON texts in ``bodies``, breadth first, in one array; texts that are no JSON have none.
+
+    A text nests no deeper than it has opening brackets, so a fold of that many steps reaches every level;
+    steps past the last level find nothing and cost nothing.
+    """
+    roots = F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+    steps = F.coalesce(F.array_max(F.transform(bodies, lambda b: F.regexp_count(b, F.lit(r"[\[{]")))), F.lit(0))
+
+    def deeper(seen, _):
+        below = F.flatten(F.transform(seen["level"], variant_children))
+        return let(below, lambda n: F.struct(n.alias("level"), F.concat(seen["all"], n).alias("all")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), F.struct(roots.alias("level"), roots.alias("all")), deeper)["all"]
 
 
 def _var(node: Column, path: str) -> Column:
@@ -177,12 +184,11 @@ def _var_or_child(node: Column, path: str, child: str) -> Column:
                       F.when(~F.coalesce(F.try_variant_get(node, path, "string"), F.lit("")).startswith("{"), _var(node, path)))
 
 
-def jsonld_postings(pages: DataFrame, depth: int = 4) -> DataFrame:
-    """First non-empty value per field over all JobPosting objects of a page, at any depth up to ``depth``."""
-    bodies = F.filter(F.transform(picks("html", LD_BODY), lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+def jsonld_postings(pages: DataFrame) -> DataFrame:
+    """First non-empty value per field over all JobPosting objects of a page, at any depth."""
     work = (
         pages.where(F.col("html").contains("application/ld+json"))
-        .select("page_id", variant_levels(bodies, depth).alias("_n"))
+        .select("page_id", variant_levels(picks("html", LD_BODY)).alias("_n"))
         .select("page_id", F.filter("_n", lambda n: F.lower(
             F.coalesce(F.try_variant_get(n, "$['@type']", "string"), F.lit(""))).contains("jobposting")).alias("_p"))
         .where(F.size("_p") > 0)

@@ -91,7 +91,7 @@ def _ld_pages(spark, folder):
 
 
 def b06(spark, folder):
-    return P.jsonld_postings(_ld_pages(spark, folder), depth=4)
+    return P.jsonld_postings(_ld_pages(spark, folder))
 
 
 def b07(spark, folder):
