@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "b1_pages_to_text", "b5_split_sections", "b9_posting_key", "b13_fingerprint", "c2_recall", "c4_label_hits", "c5_keep_last", "d1_top_terms", "d2_dictionary_hits", "d5_score_terms", "d7_tech_terms",
-    "e1_coverage", "e10_match_quals", "e14_archetypes", "f4_metrics", "f9_prose_score", "g3_tenure", "h6_canonical_location", "i10_send_policy", "j2_activity", "j4_sessions_batch",
+    "d3_phrase_hits", "d11_hard_skills", "e1_coverage", "e8_title_signal", "e10_match_quals", "e14_archetypes", "f4_metrics", "f9_prose_score", "g3_tenure", "h6_canonical_location", "i10_send_policy", "j2_activity", "j4_sessions_batch", "j6_latest_state", "j7_limit_stream", "j9_stream_recall",
 ]
 
 

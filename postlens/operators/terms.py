@@ -358,7 +358,7 @@ def hard_skills(docs: DataFrame, key: str = "doc_id", text: str = "text", heads:
 
     Each mention of a skill adds up; up to three repeats add half a point. Soft skills (key,
     skill) are removed, and a phrase that extends a shorter candidate of two or more words to the
-    right is dropped. Candidates are built inside the row, so one shuffle by document suffices.
+    right is dropped. Candidates are built and counted inside the row; only narrow rows are shuffled.
     """
     none = F.array().cast("array<struct<raw:string,weight:int>>")
 
@@ -395,12 +395,19 @@ def hard_skills(docs: DataFrame, key: str = "doc_id", text: str = "text", heads:
     cands = F.concat(cands, F.coalesce(F.flatten(F.transform(segments, from_segment)), none))
     # Doubled blanks let neighbouring mentions share an edge while counting by replacement.
     hay = F.concat(F.lit(" "), F.replace(skill_norm(body), F.lit(" "), F.lit("  ")), F.lit(" "))
-    rows = by_document(docs, key, text).select(key, hay.alias("_hay"), F.explode(cands).alias("_c")).select(
-        key, "_hay", skill_norm("_c.raw").alias("skill"), F.trim("_c.raw").alias("display"), F.col("_c.weight").alias("weight"))
+    def padded(k):
+        return F.concat(F.lit(" "), F.replace(k, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+    def mentions(h, k):
+        return let(padded(k), lambda n: (F.length(h) - F.length(F.replace(h, n))) / F.length(n))
+
+    def named(h, x):
+        return let(skill_norm(x["raw"]), lambda k: F.struct(k.alias("skill"), F.trim(x["raw"]).alias("display"), x["weight"].alias("weight"), mentions(h, k).alias("_count")))
+
+    # Counted inside the row: what is exploded, and shuffled later, holds no text.
+    rows = docs.select(key, F.inline(let(hay, lambda h: F.transform(cands, lambda x: named(h, x)))))
     good = _phrase_ok(pieces("skill", " "), edge) & outside(F.col("skill"), R.NOT_A_SKILL) & (F.col("skill") != "")
-    needle = F.concat(F.lit(" "), F.replace("skill", F.lit(" "), F.lit("  ")), F.lit(" "))
-    count = (F.length("_hay") - F.length(F.replace("_hay", needle))) / F.length(needle)
-    rows = rows.where(good).select(key, "skill", "display", "weight", count.alias("_count"))  # the text stays behind here
+    rows = rows.where(good)
     grouped = rows.groupBy(key, "skill").agg(
         F.sum("weight").alias("_w"), F.min(F.struct(F.length("display"), "display"))["display"].alias("display"), F.max("_count").alias("_count"))
     grouped = grouped.withColumn("score", F.col("_w") + F.least(F.col("_count"), F.lit(3.0)) * 0.5)
