@@ -227,8 +227,8 @@ def prose_score(docs: DataFrame, key: str = "doc_id", text: str = "text", tails:
     return rows.select(key, big(F.least(F.lit(100), score)).alias("score"), keep_present(*[F.when(judged & F.coalesce(cond, F.lit(False)), F.lit(n)) for n, cond, _ in parts]).alias("tells"))
 
 
-def vocabulary_issues(docs: DataFrame, lexicon: Sequence[str] = tuple(R.BANNED_WORDS), key: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
-    """(key, issue, n): lexicon entries, American -ize spellings, em dashes and first-person pronouns in a text."""
+def vocabulary_issues(docs: DataFrame, lexicon: Sequence[str], key: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
+    """(key, issue, n): words and phrases of the caller's ``lexicon``, American -ize spellings, em dashes and first-person pronouns in a text."""
     rules = docs.sparkSession.createDataFrame([(w.lower(), "word") for w in lexicon], "term string, category string")
     words = dictionary_hits(docs, rules, key, text, longest).select(key, F.col("term").alias("issue"), "n")
     body = c(text)
@@ -303,6 +303,18 @@ def audit_summary(flags: DataFrame, docs: DataFrame, key: str = "doc_id", by: st
         "pct", percent(F.col("docs"), F.col("_n"))).drop("_n")
 
 
+def flag_quality(flags: DataFrame, labels: DataFrame, severity: Mapping[str, str], key: str = "doc_id") -> DataFrame:
+    """(kind, severity, docs, labelled, low, toxic): documents with each kind of flag, and how many of them labels mark.
+
+    Kinds that ``severity`` does not name are ``info``. Labels meet flags by document; both are one row per document and kind.
+    """
+    marks = labels.groupBy(key).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    kinds = flags.select(key, "kind").distinct().join(marks, key, "left")
+    level = F.coalesce(F.try_element_at(literal_map(dict(severity)), F.col("kind")), F.lit("info"))
+    return kinds.groupBy("kind", level.alias("severity")).agg(
+        big(F.count("*")).alias("docs"), big(F.count("quality")).alias("labelled"), big(F.count_if(F.col("quality") == 0)).alias("low"), big(F.count_if(F.col("toxic") == 1)).alias("toxic"))
+
+
 def worst_documents(flags: DataFrame, key: str = "doc_id", top: int = 20) -> DataFrame:
     return flags.groupBy(key).agg(big(F.count("*")).alias("flags")).orderBy(F.desc("flags"), key).limit(top)
 

@@ -139,6 +139,17 @@ def f14(spark, folder):
     return Q.audit_summary(all_flags(spark, folder), table(spark, folder, "documents"))
 
 
+def f14c(spark, folder):
+    return Q.audit_summary(all_flags(spark, folder), table(spark, folder, "documents"), by="source")
+
+
+SEVERITY = {"vocabulary": "high", "weak": "medium"}
+
+
+def f14d(spark, folder):
+    return Q.flag_quality(all_flags(spark, folder), table(spark, folder, "labels"), SEVERITY)
+
+
 def f14b(spark, folder):
     return Q.worst_documents(all_flags(spark, folder))
 
@@ -152,6 +163,11 @@ def f16(spark, folder):
     return Q.line_types(lines(spark, folder), types=TYPES)
 
 
+def f16b(spark, folder):
+    sources = table(spark, folder, "documents").select("doc_id", "source")
+    return Q.line_types(lines(spark, folder).join(sources, "doc_id"), key="source", types=TYPES)
+
+
 def f17(spark, folder):
     out = Q.denoise(docs(spark, folder), bullet=BUL, filler="^(?:The|And|La) ")
     return out.withColumn("text", F.md5("text"))
@@ -168,7 +184,7 @@ def f19(spark, folder):
 QUERIES = {
     "f1_line_table": f01, "f2_opener_flags": f02, "f3_repetition": f03, "f4_metrics": f04, "f5_language_flags": f05, "f6_format_flags": f06, "f7_consistency_flags": f07,
     "f8_summary_flags": f08, "f9_prose_score": f09, "f10_vocabulary_issues": f10, "f10_vocabulary_report": f10b, "f11_placeholders": f11, "f11_drop_placeholders": f11b,
-    "f12_letter_health": f12, "f13_normalise_corpus": f13, "f14_audit_summary": f14, "f14_worst_documents": f14b, "f15_clamp_sections": f15, "f16_line_types": f16,
+    "f12_letter_health": f12, "f13_normalise_corpus": f13, "f14_audit_summary": f14, "f14_worst_documents": f14b, "f14_by_source": f14c, "f14_flag_quality": f14d, "f15_clamp_sections": f15, "f16_line_types": f16, "f16_types_by_source": f16b,
     "f17_denoise": f17, "f18_repair_case": f18, "f19_dedupe_sections": f19,
 }
 
@@ -252,9 +268,16 @@ ORACLES = {
         SELECT *, CAST(words > 350 AS VARCHAR) AS too_long, CAST(i > 0 AND you > 0 AND i > 0.65 * (i + you) AS VARCHAR) AS self_heavy FROM x""",
     "f14_audit_summary": f"""WITH {_FLAGS}, k AS (SELECT DISTINCT doc_id, kind, lang FROM fl JOIN documents USING (doc_id))
         SELECT kind, lang, count(DISTINCT doc_id) AS docs, CAST(round(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents)) AS BIGINT) AS pct FROM k GROUP BY ROLLUP (kind, lang)""",
+    "f14_by_source": f"""WITH {_FLAGS}, k AS (SELECT DISTINCT doc_id, kind, source FROM fl JOIN documents USING (doc_id))
+        SELECT kind, source, count(DISTINCT doc_id) AS docs, CAST(round(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents)) AS BIGINT) AS pct FROM k GROUP BY ROLLUP (kind, source)""",
+    "f14_flag_quality": f"""WITH {_FLAGS}, m AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), k AS (SELECT DISTINCT doc_id, kind FROM fl)
+        SELECT kind, CASE kind {' '.join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in SEVERITY.items())} ELSE 'info' END AS severity, count(*) AS docs, count(quality) AS labelled, count(*) FILTER (WHERE quality = 0) AS low, count(*) FILTER (WHERE toxic = 1) AS toxic
+        FROM k LEFT JOIN m USING (doc_id) GROUP BY kind""",
     "f14_worst_documents": f"WITH {_FLAGS} SELECT doc_id, count(*) AS flags FROM fl GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "f16_line_types": f"""WITH {_LINES}, t AS (SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(body, {S.q(p)}) THEN {S.q(n)}" for n, p in TYPES)} ELSE 'general' END AS type FROM lt), g AS (SELECT doc_id, type, count(*) AS n FROM t GROUP BY ALL)
         SELECT doc_id, type, n, CAST(round(100.0 * n / sum(n) OVER (PARTITION BY doc_id)) AS BIGINT) AS pct FROM g""",
+    "f16_types_by_source": f"""WITH {_LINES}, t AS (SELECT source, CASE {' '.join(f"WHEN regexp_matches(body, {S.q(p)}) THEN {S.q(n)}" for n, p in TYPES)} ELSE 'general' END AS type FROM lt JOIN (SELECT doc_id, source FROM documents) USING (doc_id)), g AS (SELECT source, type, count(*) AS n FROM t GROUP BY ALL)
+        SELECT source, type, n, CAST(round(100.0 * n / sum(n) OVER (PARTITION BY source)) AS BIGINT) AS pct FROM g""",
     "f19_dedupe_sections": f"""WITH {_LINES}, h AS (SELECT *, CASE WHEN is_heading THEN upper(trim(regexp_replace(body, ':[ \\t]*$', ''))) END AS hd FROM lt),
         b AS (SELECT *, count(hd) OVER (PARTITION BY doc_id ORDER BY line_no) AS blk, CASE WHEN hd IS NOT NULL THEN row_number() OVER (PARTITION BY doc_id, hd ORDER BY line_no) END AS nth FROM h),
         f AS (SELECT *, max(nth) OVER (PARTITION BY doc_id, blk) AS fst FROM b) SELECT doc_id, line_no, body FROM f WHERE coalesce(fst, 1) = 1""",

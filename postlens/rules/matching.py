@@ -117,6 +117,8 @@ SYNONYM_GROUPS = [
     ["graphql", "graph ql"],
     ["grpc", "g rpc"],
     ["postgres", "postgresql"],
+    ["typescript", "ts "],
+    ["javascript", "js "],
     ["react.js", "react", "reactjs"],
     ["next.js", "nextjs", "next js"],
     ["node.js", "nodejs", "node js"],

@@ -133,19 +133,6 @@ STOCK_PHRASES = [
 PASSIVE = r"(?i)(?:^|[^A-Za-z0-9_])(?:was|were|been|being|is|are)[ \t]+[A-Za-z0-9_]+(?:ed|en)(?:$|[^A-Za-z0-9_])"
 
 # Words that read as filler (a lexicon; callers pass their own for other languages).
-BANNED_WORDS = [
-    "orchestrated", "championed", "pioneered", "helmed", "realm", "comprehensive", "demonstrating", "showcasing",
-    "spearheaded", "meticulous", "approximately", "dynamic", "synergy", "cutting-edge", "best-in-class", "world-class",
-    "results-driven", "detail-oriented", "team player", "go-getter", "various", "assisted", "leverage", "leveraging",
-    "leveraged", "utilize", "utilizing", "utilized", "utilising", "utilised", "utilise", "utilization", "utilisation",
-    "measurable", "proactively", "proactive", "passionate", "passion", "extensive experience", "strong background",
-    "highly skilled", "well-versed", "adept", "robust", "seamless", "holistic", "synergistic", "transformative",
-    "groundbreaking", "revolutionary", "unparalleled", "unprecedented", "invaluable", "instrumental", "paramount",
-    "pivotal", "fostered", "cultivated", "harnessed", "amplified", "delved", "navigated", "traversed", "embarked",
-    "multifaceted", "streamlined", "nuanced", "impactful", "synergize", "ideate", "operationalize", "ecosystem",
-    "landscape", "wheelhouse", "deep-dive", "self-starter", "hard-working", "hardworking", "seasoned", "consummate",
-    "top-notch", "first-rate",
-]
 FILLER_WORDS = [
     "very", "really", "just", "basically", "actually", "literally", "essentially", "absolutely", "totally", "simply",
     "honestly", "definitely", "certainly", "obviously", "clearly", "quite", "somewhat", "arguably",
