@@ -136,8 +136,8 @@ def test_suffix_dedup_over_chunk_borders(spark, monkeypatch):
     cases += [cases[0][50:333] + cases[1][7:190], cases[2][1:] + cases[3], "a" * 300, "a" * 301]
     want = brute_suffix(cases, range(len(cases)), 50)
     for k, text in enumerate(cases):
-        found = suffix.anchors(np.frombuffer(text.encode(), np.uint8), 50)[0]
-        assert all(((found >= p) & (found <= p + 34)).any() for p in range(len(text) - 49)), k
+        at, back, front = suffix._parts(suffix._code(suffix.anchors(np.frombuffer(text.encode(), np.uint8), 50)[2], 0))
+        assert sorted(p for a, b, c in zip(at, back, front, strict=True) for p in range(a - b, a - c + 1)) == list(range(len(text) - 49)), k
     held = []
     import pyarrow as pa
 
@@ -147,14 +147,8 @@ def test_suffix_dedup_over_chunk_borders(spark, monkeypatch):
     table = suffix._settle(pa.concat_tables(held))
     codes = {i: np.array(c) for i, c in zip(table["_id"].to_pylist(), table["_codes"].to_pylist(), strict=True)}
     marked = pa.RecordBatch.from_arrays([*batch.columns, pa.array([codes.get(i) for i in range(len(cases))], pa.list_(pa.int64()))], ["a", "b", "c", "d"])
-    names, starts = {}, {}
-    windows = [w for out in suffix._window_rows(50)(iter([marked])) for w in out.to_pylist()]
-    for w in windows:
-        if not w["_done"]:
-            names[w["_h1"], w["_h2"]] = min(w["_id"], names.get((w["_h1"], w["_h2"]), 99))
-    for w in windows:
-        if w["_done"] or names[w["_h1"], w["_h2"]] < w["_id"]:
-            starts.setdefault(w["_id"], []).append(w["_at"])
+    windows = suffix._settle_windows(pa.concat_tables([pa.table(x) for x in suffix._window_rows(50, 1)(iter([marked]))]))
+    starts = {i: c for i, c in zip(windows["_id"].to_pylist(), windows["_codes"].to_pylist(), strict=True)}
     for k, text in enumerate(cases):
         runs = suffix.covered_bytes(len(text), codes.get(k, np.zeros(0, np.int64)), np.array(sorted(starts.get(k, [])), np.int64), 50)
         assert int((runs[:, 1] - runs[:, 0]).sum()) == want[k][3], k
