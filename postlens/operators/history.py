@@ -199,3 +199,11 @@ def rank_profiles(profiles: DataFrame, companies: DataFrame, as_of: Column, k: i
 def unprocessed(queue: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Queue rows whose key was never handled."""
     return queue.join(done.select(*on), list(on), "left_anti")
+
+
+def first_seen(stream: DataFrame, on: Sequence[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Streaming form: the first row of each key; repeats within ``late`` of it are dropped, and so is what comes later than that.
+
+    State holds the keys of the last ``late`` of event time only.
+    """
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(on))

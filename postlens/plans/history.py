@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postlens.functions.text import big
 from postlens.operators import history as H
 from postlens.sources.tables import events, table
+from postlens.streaming.replay import run_append, stream_table
 
 AS_OF = "2024-01-31 00:00:00"
 EVENT_TTL = {"click": 3600 * 24, "view": 3600 * 24 * 7, "purchase": 3600 * 24 * 30, "error": 3600}
@@ -87,8 +88,15 @@ def c09(spark, folder):
     return H.unprocessed(orders, done, ["key"])
 
 
+def c09b(spark, folder):
+    """One queue entry per user, type and hour out of the event stream."""
+    log = stream_table(spark, folder, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    out = run_append(H.first_seen(log, ["user_id", "event_type", "hour"]), "queue")
+    return out.select("user_id", "event_type", F.date_format("hour", FMT).alias("hour"))
+
+
 QUERIES = {"c1_upsert_richest": c01, "c2_recall": c02, "c3_ttl_view": c03, "c4_label_hits": c04, "c5_keep_last": c05,
-           "c6_job_history": c06, "c7_coalesce_profile": c07, "c8_rank_profiles": c08, "c9_unprocessed": c09}
+           "c6_job_history": c06, "c7_coalesce_profile": c07, "c8_rank_profiles": c08, "c9_unprocessed": c09, "c9_first_seen": c09b}
 
 ORACLES = {
     "c1_upsert_richest": """
@@ -131,5 +139,6 @@ ORACLES = {
           CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 35 WHEN 'MACHINERY' THEN -20 WHEN 'FURNITURE' THEN 15 ELSE 0 END AS pts FROM customer),
         s AS (SELECT company, handle, CAST(pts + greatest(0, 10 - weeks) AS BIGINT) AS score FROM p WHERE days < 90)
         SELECT company, handle, score, row_number() OVER (PARTITION BY company ORDER BY score DESC, handle) AS rank FROM s QUALIFY rank <= 3""",
+    "c9_first_seen": "SELECT DISTINCT user_id, event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS hour FROM events",
     "c9_unprocessed": "SELECT o_orderkey AS key, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
 }
