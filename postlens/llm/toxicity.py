@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import held_out
+from postlens.llm.common import held_out, saved
 
 #: Words that name groups of people; a parameter of ``train``.
 IDENTITY_TERMS = (
@@ -70,53 +70,88 @@ def swaps(text: str, terms: frozenset[str], partners: int = 3) -> Iterator[tuple
             yield term, None
 
 
-def fit(texts: list[str | None], toxic: list[int], terms: tuple[str, ...] = IDENTITY_TERMS, features: int = 2_000, ridge: float = 1.0, penalty: float = 10.0, rounds: int = 250) -> WordModel:
-    """Trains on sampled texts. ``penalty`` weighs the score changes of the counterfactual copies."""
-    y = np.array(toxic, float)
-    if not len(y) or y.min() == y.max():
-        return WordModel({}, 0.0 if not len(y) else (5.0 if y[0] else -5.0))
-    held = [features_of(t) for t in texts]
-    known = frozenset(terms)
-    in_all, in_toxic = Counter(), Counter()
-    for row, label in zip(held, toxic, strict=True):
-        in_all.update(row)
-        if label:
-            in_toxic.update(row)
-    rate = y.mean()
-    apart = {w: (in_toxic[w] - rate * n) ** 2 / (rate * n + 1) for w, n in in_all.items() if n >= 3}
-    chosen = sorted(apart, key=lambda w: (-apart[w], w))[:features]
-    index = {w: i for i, w in enumerate(dict.fromkeys([*chosen, *sorted(known)]))}
-    rows = [np.fromiter((index[w] for w in r if w in index), np.int64) for r in held]
-    cols, lines = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    none = len(index)  # a word without weight, for a term left out
-    pairs = np.array([(index[a], none if b is None else index[b]) for t in texts for a, b in swaps(t or "", known)], np.int64).reshape(-1, 2)
-    n, w, bias = len(y), np.zeros(none + 1), float(np.log(rate / (1 - rate)))
-    # The curvature of the loss bounds the step: rows may hold hundreds of words, so words are scaled by their frequency.
-    seen = np.bincount(cols, minlength=none + 1)
-    size = np.sqrt(seen + ridge)
-    speed, momentum = np.zeros_like(w), 0.9
+def choose(in_all: dict[str, int], in_toxic: dict[str, int], rate: float, features: int) -> list[str]:
+    """The features whose share among toxic texts is furthest from ``rate``, of those in at least three texts."""
+    apart = {w: (in_toxic.get(w, 0) - rate * n) ** 2 / (rate * n + 1) for w, n in in_all.items() if n >= 3}
+    return sorted(apart, key=lambda w: (-apart[w], w))[:features]
+
+
+def encoded(text: str | None, index: dict[str, int], terms: frozenset[str]) -> tuple[list[int], list[int], list[int]]:
+    """(features of a text, for each counterfactual copy the term's feature and its replacement's; none is ``len(index)``)."""
+    pairs = [(index[a], len(index) if b is None else index[b]) for a, b in swaps(text or "", terms)]
+    return sorted(index[w] for w in features_of(text) if w in index), [a for a, _ in pairs], [b for _, b in pairs]
+
+
+def solve(rows: list, y: np.ndarray, pairs: np.ndarray, words: list[str], ridge: float = 1.0, penalty: float = 10.0, rounds: int = 250) -> WordModel:
+    """Momentum descent on the penalised loss; ``penalty`` weighs the score changes of the counterfactual copies."""
+    rate, none, n = y.mean(), len(words), len(y)
+    cols, lines = np.concatenate([np.asarray(r, np.int64) for r in rows]), np.repeat(np.arange(n), [len(r) for r in rows])
+    w, bias = np.zeros(none + 1), float(np.log(rate / (1 - rate)))  # the last: a word without weight, for a term left out
+    # Rows may hold hundreds of words, so steps are scaled by how often a word occurs.
+    size = np.sqrt(np.bincount(cols, minlength=none + 1) + ridge)
+    touched = np.bincount(pairs.ravel(), minlength=none + 1)
+    speed = np.zeros_like(w)
     for step in range(rounds):
-        ahead = w + momentum * speed
-        margin = np.bincount(lines, ahead[cols], n) + bias
-        error = 1 / (1 + np.exp(-np.clip(margin, -35, 35))) - y
+        ahead = w + 0.9 * speed
+        error = 1 / (1 + np.exp(-np.clip(np.bincount(lines, ahead[cols], n) + bias, -35, 35))) - y
         slope = np.bincount(cols, error[lines], none + 1) + ridge * ahead
         if len(pairs):
             change = ahead[pairs[:, 1]] - ahead[pairs[:, 0]]
             slope += penalty * (np.bincount(pairs[:, 1], change, none + 1) - np.bincount(pairs[:, 0], change, none + 1))
         slope[none] = 0.0
-        rate_now = 0.5 / (1 + step / rounds)
-        speed = momentum * speed - rate_now * slope / (size * np.sqrt(n) * 0.25 + penalty * np.bincount(pairs.ravel(), minlength=none + 1) + ridge)
+        speed = 0.9 * speed - 0.5 / (1 + step / rounds) * slope / (size * np.sqrt(n) * 0.25 + penalty * touched + ridge)
         w = w + speed
         bias -= 0.5 * error.mean()
-    return WordModel({word: float(w[i]) for word, i in index.items() if abs(w[i]) > 1e-4}, bias)
+    return WordModel({word: float(w[i]) for i, word in enumerate(words) if abs(w[i]) > 1e-4}, bias)
+
 
+def _one_label(y: np.ndarray) -> WordModel | None:
+    """What can be said without texts of both labels."""
+    if len(y) and y.min() != y.max():
+        return None
+    return WordModel({}, 0.0 if not len(y) else (5.0 if y[0] else -5.0))
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = 4000, **options) -> WordModel:
+
+def fit(texts: list[str | None], toxic: list[int], terms: tuple[str, ...] = IDENTITY_TERMS, features: int = 2_000, **options) -> WordModel:
+    """Trains on texts at hand; ``train`` does the same with its texts left on the executors."""
+    y, known = np.array(toxic, float), frozenset(terms)
+    if (plain := _one_label(y)) is not None:
+        return plain
+    in_all, in_toxic = Counter(), Counter()
+    for text, label in zip(texts, toxic, strict=True):
+        held = features_of(text)
+        in_all.update(held)
+        if label:
+            in_toxic.update(held)
+    words = list(dict.fromkeys([*choose(in_all, in_toxic, y.mean(), features), *sorted(known)]))
+    index = {w: i for i, w in enumerate(words)}
+    made = [encoded(t, index, known) for t in texts]
+    pairs = np.array([x for _, a, b in made for x in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    return solve([r for r, _, _ in made], y, pairs, words, **options)
+
+
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts, and toxic ones, of this part of the sample each feature occurs."""
+    in_all, in_toxic = Counter(), Counter()
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            held = features_of(text.as_py())
+            in_all.update(held)
+            if label:
+                in_toxic.update(held)
+    words = list(in_all)
+    for start in range(0, len(words), 50_000):
+        part = words[start : start + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([in_all[w] for w in part], pa.int64()), pa.array([in_toxic[w] for w in part], pa.int64())], ["_word", "_n", "_toxic"])
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = 4000, terms: tuple[str, ...] = IDENTITY_TERMS, features: int = 2_000, **options) -> WordModel:
     """Learns from about ``per_label`` rows of either label, chosen by a hash of the id.
 
     Rows whose id's crc32 mod 5 is 0 are held out. Rows with a null id, label or text are not used; of
-    several labels of one id the larger counts. The sample is joined by id, as are its texts.
-    The bias is set back to the share of label 1 among all labelled rows.
+    several labels of one id the larger counts. Texts stay on the executors: the driver sees the chosen
+    ``features`` and each sampled row's numbers of them. The bias is set back to the share of label 1
+    among all labelled rows.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{toxic}`").cast("int").alias("_toxic"))
     known = known.where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
@@ -125,15 +160,30 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return WordModel({}, 0.0)
     share = F.when(F.col("_toxic") == 1, min(1.0, per_label / sizes.get(1, 1))).otherwise(min(1.0, per_label / sizes.get(0, 1)))
     lot = F.pmod(F.xxhash64(F.lit("toxicity sample"), "_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = F.broadcast(known.where(lot < share))  # about 2 x per_label rows, by construction
+    chosen = F.broadcast(known.where(lot < share))  # about 2 x per_label rows, by construction
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).where(F.col("_text").isNotNull())
-    taken = rows.join(sample, "_id").select("_id", "_text", "_toxic").toPandas().sort_values(["_id", "_text"])
-    model = fit(taken["_text"].tolist(), taken["_toxic"].tolist(), **options)
-    ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
-    n1 = int((taken["_toxic"] == 1).sum())
-    n0 = len(taken) - n1
-    if ones and zeros and n1 and n0:
-        model.bias += float(np.log(ones / zeros) - np.log(n1 / n0))
+    sample = saved(rows.join(chosen, "_id").select("_text", "_toxic", "_id"))
+    taken = {r[0]: r[1] for r in sample.groupBy("_toxic").count().collect()}
+    n0, n1 = taken.get(0, 0), taken.get(1, 0)
+    if not n0 or not n1:
+        return _one_label(np.array([0.0] * min(n0, 1) + [1.0] * min(n1, 1)))
+    rate, group = n1 / (n0 + n1), frozenset(terms)
+    counts = sample.mapInArrow(_counting, "_word string, _n long, _toxic long").groupBy("_word").agg(F.sum("_n").alias("_n"), F.sum("_toxic").alias("_toxic")).where("_n >= 3")
+    apart = (F.col("_toxic") - F.lit(rate) * F.col("_n")) ** 2 / (F.lit(rate) * F.col("_n") + 1)
+    best = [r[0] for r in counts.orderBy(apart.desc(), "_word").limit(features).collect()]
+    words = list(dict.fromkeys([*best, *sorted(group)]))
+    index = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [encoded(t.as_py(), index.value, group) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in range(3))], ["_toxic", "_id", "_at", "_term", "_other"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    table = sample.mapInArrow(encode, f"_toxic int, _id {kind}, _at array<int>, _term array<int>, _other array<int>").toPandas().sort_values("_id")
+    pairs = np.array([x for a, b in zip(table["_term"], table["_other"], strict=True) for x in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    model = solve(list(table["_at"]), table["_toxic"].to_numpy(float), pairs, words, **options)
+    model.bias += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))
     return model
 
 
