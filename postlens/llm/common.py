@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner removes them when the driver's JVM collects garbage, which a driver with little to do
+    may put off until long after a next round has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder itself, for operators that write files there."""
     saved(spark.range(0))
