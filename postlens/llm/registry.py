@@ -143,8 +143,12 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 OP5_SQL = """
 with d as (
   select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n_bytes from documents
+), b as (
+  select doc_id, unnest(range(0, greatest(n_bytes - 49, 0), 1000)) as base, n_bytes, h from d
+), c as (
+  select doc_id, base, least(1000, n_bytes - 49 - base) as m, substr(h, 2 * base + 1, 2098) as part from b
 ), w as (
-  select doc_id, unnest(list_transform(range(greatest(n_bytes - 49, 0)), lambda p: {'p': p, 'k': md5_number(substr(h, 2 * p + 1, 100))}), recursive := true) from d
+  select doc_id, unnest(list_transform(range(m), lambda p: {'p': base + p, 'k': md5_number(substr(part, 2 * p + 1, 100))}), recursive := true) from c
 ), g as (
   select doc_id, p, min(doc_id) over (partition by k) < doc_id as gone from w
 ), hit as (
