@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +34,13 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more.
 
     Its cleaner removes them when the driver's JVM collects garbage, which a driver with little to do
-    may put off until long after a next round has filled the disks.
+    may put off until long after a next round has filled the disks. What Python held is let go in the JVM
+    one collection later, and the files go after that, so it takes some turns.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
