@@ -158,10 +158,16 @@ def known_spans(low: str, by_length: dict[int, frozenset[str]]) -> list[tuple[in
     return found
 
 
-def split_glued(token: str, by_length: dict[int, frozenset[str]], noise: frozenset[str]) -> list[str]:
+def words_by_length(vocabulary: Sequence[str]) -> dict[int, frozenset[str]]:
+    """Lower-cased words of at least three characters, by their length."""
+    words = {v.lower() for v in vocabulary if len(v) >= 3}
+    return {n: frozenset(w for w in words if len(w) == n) for n in {len(w) for w in words}}
+
+
+def split_glued(token: str, vocabulary: Sequence[str] | dict[int, frozenset[str]], noise: frozenset[str]) -> list[str]:
     """One glued token into known words, longest first, then what stands between them; itself when nothing is left."""
     low = token.lower()
-    spans = known_spans(low, by_length)
+    spans = known_spans(low, vocabulary if isinstance(vocabulary, dict) else words_by_length(vocabulary))
     edges = [0, *(x for span in sorted(spans) for x in span), len(low)]
     between = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in re.split(r"[., \t\r\n]+", low[a:b])]
     parts = [low[a:b] for a, b in spans] + [w for w in between if len(w) >= 3 and w not in noise]
@@ -175,8 +181,7 @@ def decluster(docs: DataFrame, vocabulary: Sequence[str], key: str = "doc_id", t
     Tokens that are not glued do not appear; callers keep them as they are. The splitter runs in
     Arrow batches over *distinct* long tokens only. ``vocabulary`` is a bounded word list.
     """
-    vocab, quiet = {v.lower() for v in vocabulary if len(v) >= 3}, frozenset(noise)
-    by_length = {n: frozenset(v for v in vocab if len(v) == n) for n in {len(v) for v in vocab}}
+    by_length, quiet = words_by_length(vocabulary), frozenset(noise)
     lengths = sorted(n for n in by_length if n >= 4)
     long_tokens = docs.select(key, F.posexplode(F.split(c(text), r"[ \t\r\n]+")).alias("pos", "token")).where(F.length("token") >= 15)
     distinct = long_tokens.select("token").distinct()
