@@ -7,6 +7,13 @@ cosine. Equal vectors are one node, so a vector that a third of all rows repeat
 that meets in several leaves counts in the first of them, which both vectors' leaf lists tell,
 so link counts are sums of per-leaf counts and no pair is ever a row; per leaf a spanning forest of the
 links is passed on, and components are found over those.
+
+Hyperplanes would cut through a hot group of near vectors at every level, so dense places are taken out of
+the trees. The sample shows them: a vector with more neighbours than a few leaves hold becomes, moved to
+the mean of its neighbours, the centre of a ball as wide as the threshold's angle. A ball's own vectors
+are compared with everything within twice that angle of its centre, beyond which by the triangle inequality none of
+their links can lie; so their links are complete. The comparison runs in blocks, a task for each pair of blocks.
+Its work grows with the square of a hot group, as the count of the links does.
 """
 
 from __future__ import annotations
@@ -26,6 +33,14 @@ from postlens.llm.components import connected_components
 STRIDE = 1 << 20
 #: Rows of a leaf whose cosines are worked out at once.
 BLOCK = 512
+#: Rows of the sample whose neighbours are counted at once, on the driver.
+PIVOTS = 256
+#: Vectors with more neighbours than so many leaves hold are taken out of the trees.
+DENSE_LEAVES = 2
+#: Rows of a ball's block at most; balls that hold enough get LANES blocks at least, for as many tasks.
+BALL_BLOCK, LANES = 16_384, 8
+#: What rounding may do to a cosine when vectors are put into balls.
+SLACK = 1e-9
 
 
 class Tree:
@@ -70,6 +85,49 @@ class Tree:
         return found
 
 
+class Balls:
+    """Dense places of the sample: centres as unit vectors, and into how many blocks each ball's vectors are dealt."""
+
+    def __init__(self, sample: np.ndarray, total: int, leaf: int, threshold: float):
+        per_sample = total / max(len(sample), 1)
+        angle = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+        self.inside, self.around = np.cos(angle), np.cos(min(2 * angle, np.pi)) - SLACK
+        self.centres = np.empty((0, sample.shape[1]))
+        free = np.ones(len(sample), bool)
+        least = max(3.0, DENSE_LEAVES * leaf / per_sample)
+        rough = sample.astype(np.float32)  # only to count
+        for start in range(0, len(sample) if len(sample) >= least else 0, PIVOTS):
+            part = start + np.flatnonzero(free[start : start + PIVOTS])
+            counts = (rough[part] @ rough.T >= threshold).sum(1)
+            for at, count in sorted(zip(part.tolist(), counts.tolist(), strict=True), key=lambda x: -x[1]):
+                if count < least:
+                    break
+                if not free[at]:
+                    continue
+                centre = sample[at]
+                for _ in range(2):
+                    mean = sample[sample @ centre >= self.inside].mean(0)
+                    centre = mean / np.sqrt(mean @ mean)
+                for made in (centre, sample[at]):  # the vector itself if its neighbours' mean is too far away
+                    if free[at] and np.isfinite(made).all():
+                        self.centres = np.vstack([self.centres, made])
+                        free &= sample @ made < self.inside
+        self.free = sample[free]
+        self.blocks = np.ones(len(self.centres), np.int64)
+        rows = np.zeros(len(self.centres))
+        for start in range(0, len(sample) if len(self.centres) else 0, BLOCK):
+            rows += self.place(sample[start : start + BLOCK])[1].sum(0) * per_sample
+        self.blocks = np.maximum(np.ceil(rows / BALL_BLOCK), np.clip(np.ceil(rows / max(leaf, 1)), 1, LANES)).astype(np.int64)
+
+    def place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the first ball that holds each row, or the number of balls; which balls compare the row)."""
+        k = len(self.centres)
+        cosines = rows @ self.centres.T
+        own = np.where((cosines >= self.inside).any(1), (cosines >= self.inside).argmax(1), k) if k else np.zeros(len(rows), np.int64)
+        # A pair belongs to the smaller of its balls, so a row is not needed in later balls than its own.
+        return own, (cosines >= self.around) & (np.arange(k) <= own[:, None])
+
+
 def unit(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, unit vectors in double precision) of the vectors that can link; all of the most common width."""
     rows, made = [], []
@@ -123,8 +181,96 @@ def leaf_links(nodes: np.ndarray, weights: np.ndarray, vectors: np.ndarray, leav
     return counts, nodes[root]
 
 
-def _placing(forest, width: int):
-    """Sends each node down all trees: one row per leaf it falls into, with the list of them all."""
+def _joined(root: np.ndarray, near: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the rows that ``near`` links (rows ``a`` by rows ``b``) one root, the smallest; roots are kept flat."""
+    while True:
+        apart = near & (root[a][:, None] != root[b][None, :])
+        open_ = apart.sum(1)
+        if not open_.any():
+            return
+        if open_.sum() > 20_000:
+            top = int(open_.argmax())
+            ends = np.unique(np.append(root[b][apart[top]], root[a[top]]))
+            root[np.isin(root, ends)] = ends[0]
+            continue
+        x, y = np.nonzero(apart)
+        for u, v in np.unique(np.stack([root[a[x]], root[b[y]]], 1), axis=0).tolist():
+            while root[u] != u:
+                u = int(root[u])
+            while root[v] != v:
+                v = int(root[v])
+            root[max(u, v)] = min(u, v)
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def block_links(vectors: np.ndarray, weights: np.ndarray, own: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the blocks of a ball, or within one if no row is ``second``: (rows that each row links with, its group's first row).
+
+    Only pairs count of which a row is the ball's ``own``.
+    """
+    n = len(vectors)
+    counts, root = np.zeros(n, np.int64), np.arange(n)
+    two = bool(second.any())
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if two else (np.arange(n), np.arange(n))
+    for start in range(0, len(left), BLOCK):
+        a, b = left[start : start + BLOCK], right if two else right[start:]
+        near = vectors[a] @ vectors[b].T >= threshold
+        near &= own[a][:, None] | own[b][None, :]
+        if not two:
+            near = np.triu(near, 1)
+        _joined(root, near, a, b)
+        ones = near.astype(np.float64)  # sums of whole numbers stay exact
+        counts[a] += (ones @ weights[b]).astype(np.int64)
+        counts[b] += (weights[a] @ ones).astype(np.int64)
+    return counts, root
+
+
+def _dealing(balls, width: int):
+    """Sends each node to the pairs of blocks of the balls that compare it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = balls.value
+        for batch in batches:
+            nodes, weights, raw = batch.column(0), batch.column(1), batch.column(2)
+            if not batch.num_rows:
+                continue
+            own, near = held.place(np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(-1, width // 8))
+            lot = (nodes.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)
+            made: list[tuple[int, int, int, int, bool, bool]] = []
+            for at, ball in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                mine = int(lot[at] % held.blocks[ball])
+                for other in range(int(held.blocks[ball])):
+                    made.append((at, ball, min(mine, other), max(mine, other), bool(own[at] == ball), other < mine))
+            if made:
+                of, ball, one, two, inner, second = zip(*made, strict=True)
+                of = pa.array(of)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ball, pa.int32()), pa.array(one, pa.int32()), pa.array(two, pa.int32()), nodes.take(of), weights.take(of), raw.take(of), pa.array(inner), pa.array(second)],
+                    ["_ball", "_one", "_two", "_node", "_rows", "_vector", "_own", "_second"],
+                )
+
+    return deal
+
+
+def _matching(width: int, threshold: float):
+    """Compares two blocks of a ball, or one with itself; nodes without a link give no row."""
+
+    def match(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("_node")
+        points = np.frombuffer(b"".join(held["_vector"]), np.float64).reshape(-1, width // 8)
+        nodes, second, own = held["_node"].to_numpy(), held["_second"].to_numpy(bool), held["_own"].to_numpy(bool)
+        if held["_one"].iloc[0] != held["_two"].iloc[0] and (second.all() or not second.any()):  # the other block is empty
+            return pd.DataFrame({"_node": nodes[:0], "_root": nodes[:0], "_links": nodes[:0]})
+        counts, root = block_links(points, held["_rows"].to_numpy(np.float64), own, second, threshold)
+        some = (counts > 0) | (root != np.arange(len(nodes)))
+        return pd.DataFrame({"_node": nodes[some], "_root": nodes[root][some], "_links": counts[some]})
+
+    return match
+
+
+def _placing(forest, balls, width: int):
+    """Sends each node that no ball holds down all trees: one row per leaf it falls into, with the list of them all."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,6 +278,11 @@ def _placing(forest, width: int):
             if not batch.num_rows:
                 continue
             held = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(-1, width // 8)
+            if len(balls.value.centres):
+                free = np.flatnonzero(balls.value.place(held)[0] == len(balls.value.centres))
+                if not len(free):
+                    continue
+                held, (nodes, weights, raw) = held[free], (x.take(pa.array(free)) for x in (nodes, weights, raw))
             lists: list[list[int]] = [[] for _ in range(len(held))]
             for number, tree in enumerate(forest.value):
                 for at, name in tree.place(held):
@@ -172,7 +323,7 @@ def near_vectors(
     """``vec_id, n_links, component_id, kept`` of every row: links are pairs of rows with cosine >= ``threshold``.
 
     Cosines are of the whole vectors in double precision, so no pair below the threshold is linked; a pair is
-    missed only if it meets in no leaf of any tree. Null vectors, zero vectors, empty ones and such with null
+    missed only if neither is in a dense place (see above) and it meets in no leaf of any tree. Null vectors, zero vectors, empty ones and such with null
     or non-finite components link with nothing. Vectors of different lengths do not link. Rows that repeat
     an id count as rows of their own but share a node if their vectors are equal. ``component_id`` is the
     smallest id reachable, the row's own included. Null ids: the row counts in others' links and gets the
@@ -192,10 +343,18 @@ def near_vectors(
         taken = mine.where(lot < min(1.0, sample / total)).select("_vector").toPandas()["_vector"].sort_values()
         points = np.frombuffer(b"".join(taken), np.float64).reshape(-1, width // 8)
         rng = np.random.default_rng(seed)
-        forest = spark.sparkContext.broadcast([Tree(points, total, leaf, spill, rng) for _ in range(trees)])  # bounded by the sample
+        dense = Balls(points, total, leaf, threshold)
+        rest = total * len(dense.free) / max(len(points), 1)
+        forest = spark.sparkContext.broadcast([Tree(dense.free, rest, leaf, spill, rng) for _ in range(trees)])  # bounded by the sample
+        balls = spark.sparkContext.broadcast(dense)
 
-        placed = mine.select("_node", "_rows", "_vector").mapInArrow(_placing(forest, width), "_leaf int, _node long, _rows long, _vector binary, _leaves array<int>")
-        found = saved(placed.groupBy("_leaf").applyInPandas(_comparing(width, threshold), "_node long, _root long, _links long"))
+        distinct = mine.select("_node", "_rows", "_vector")
+        placed = distinct.mapInArrow(_placing(forest, balls, width), "_leaf int, _node long, _rows long, _vector binary, _leaves array<int>")
+        found = placed.groupBy("_leaf").applyInPandas(_comparing(width, threshold), "_node long, _root long, _links long")
+        if len(dense.centres):
+            dealt = distinct.mapInArrow(_dealing(balls, width), "_ball int, _one int, _two int, _node long, _rows long, _vector binary, _own boolean, _second boolean")
+            found = found.unionByName(dealt.groupBy("_ball", "_one", "_two").applyInPandas(_matching(width, threshold), "_node long, _root long, _links long"))
+        found = saved(found)
         parts = connected_components(found.select(F.col("_node").alias("u"), F.col("_root").alias("v"))).withColumnRenamed("node", "_node")
         links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
         full = saved(mine.select("_node", "_least", "_rows", "_vector").join(links, "_node", "left").join(parts, "_node", "left").withColumn("component", F.coalesce("component", "_node")))

@@ -327,6 +327,21 @@ def test_forest_equals_brute_force(spark):
     assert sum(r["n_links"] for r in split.values()) >= 0.9 * sum(links.values())
 
 
+def test_forest_keeps_the_links_of_a_hot_group(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    near = centre / np.sqrt(centre @ centre) + rng.standard_normal((1000, 64)) * 0.2 / 8  # any two at a cosine of about 0.962
+    bridge = centre / np.sqrt(centre @ centre) + rng.standard_normal((200, 64)) * 0.28 / 8  # some of their links cross the ball's edge
+    vectors = np.concatenate([near, bridge, rng.standard_normal((2000, 64)), near[:3], near[:3]]).astype(np.float32)
+    unit = vectors.astype(float) / np.sqrt((vectors.astype(float) ** 2).sum(1))[:, None]
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    given = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<float>").repartition(3)
+    got = {r["vec_id"]: r for r in forest.near_vectors(given, leaf=100).collect()}
+    assert want[:1000].sum() > 600_000 and all(got[i]["n_links"] <= want[i] for i in got)
+    assert sum(got[i]["n_links"] for i in got) >= 0.99 * want.sum()
+    assert all(got[i]["n_links"] == want[i] and got[i]["component_id"] == 0 for i in [*range(1000), *range(3200, 3206)])
+
+
 def test_toxicity_learns_and_leaves_groups_alone(spark):
     rng = random.Random(6)
     rows, labels = [], []
