@@ -2,8 +2,8 @@
 
 The classifier is a logistic regression over the words that a text holds. Labelled sentences that
 name a group ("identity terms") are copied with the term swapped for others and with the term left out;
-the training loss adds the squared change of the score over all those copies. A term then cannot
-carry a score of its own, so a neutral mention of a group is not taken for an insult.
+the training loss adds the squared change of the sentence's score (before the logistic function) over all those
+copies, with all features that the term and its replacement bring. A term then cannot carry a score of its own, so a neutral mention of a group is not taken for an insult.
 """
 
 from __future__ import annotations
@@ -40,7 +40,10 @@ def words_of(text: str | None) -> list[str]:
 
 def features_of(text: str | None) -> set[str]:
     """The different words of a text and their beginnings, marked by a trailing ``*``."""
-    words = set(words_of(text))
+    return _features(set(words_of(text)))
+
+
+def _features(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in LEADS if len(w) > n}
 
 
@@ -56,8 +59,8 @@ class WordModel:
         return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
-def swaps(text: str, terms: frozenset[str], partners: int = 3) -> Iterator[tuple[str, str | None]]:
-    """(term, replacement) of each counterfactual copy of the sentences; None leaves the term out."""
+def swaps(text: str, terms: frozenset[str], partners: int = 3) -> Iterator[tuple[set[str], str, str | None]]:
+    """(words of the sentence, term, replacement) of each counterfactual copy of the sentences; None leaves the term out."""
     ranked = sorted(terms)
     for sentence in _SENTENCE.split(text):
         held = set(words_of(sentence))
@@ -66,8 +69,8 @@ def swaps(text: str, terms: frozenset[str], partners: int = 3) -> Iterator[tuple
             for k in range(1, min(partners, len(ranked) - 1) + 1):
                 other = ranked[(at + k * 7) % len(ranked)]
                 if other not in held:
-                    yield term, other
-            yield term, None
+                    yield held, term, other
+            yield held, term, None
 
 
 def choose(in_all: dict[str, int], in_toxic: dict[str, int], rate: float, features: int) -> list[str]:
@@ -76,29 +79,43 @@ def choose(in_all: dict[str, int], in_toxic: dict[str, int], rate: float, featur
     return sorted(apart, key=lambda w: (-apart[w], w))[:features]
 
 
-def encoded(text: str | None, index: dict[str, int], terms: frozenset[str]) -> tuple[list[int], list[int], list[int]]:
-    """(features of a text, for each counterfactual copy the term's feature and its replacement's; none is ``len(index)``)."""
-    pairs = [(index[a], len(index) if b is None else index[b]) for a, b in swaps(text or "", terms)]
-    return sorted(index[w] for w in features_of(text) if w in index), [a for a, _ in pairs], [b for _, b in pairs]
+def encoded(text: str | None, index: dict[str, int], terms: frozenset[str]) -> tuple[list[int], list[list[int]]]:
+    """(features of a text, for each counterfactual copy what it changes of its sentence's features).
+
+    A change lists every feature that comes in as its number plus one and every one that goes as the negative of that.
+    Beginnings change with their word, unless another word of the sentence has them too.
+    """
+    moved = []
+    for held, term, other in swaps(text or "", terms):
+        was, now = _features(held), _features(held - {term} | ({other} if other else set()))
+        change = [-1 - index[w] for w in was - now if w in index] + [1 + index[w] for w in now - was if w in index]
+        if change:
+            moved.append(sorted(change))
+    return sorted(index[w] for w in features_of(text) if w in index), moved
+
 
+def solve(rows: list, y: np.ndarray, copies: dict[tuple[int, ...], int], words: list[str], ridge: float = 1.0, penalty: float = 10.0, rounds: int = 250) -> WordModel:
+    """Momentum descent on the penalised loss; ``penalty`` weighs the score changes of the counterfactual copies.
 
-def solve(rows: list, y: np.ndarray, pairs: np.ndarray, words: list[str], ridge: float = 1.0, penalty: float = 10.0, rounds: int = 250) -> WordModel:
-    """Momentum descent on the penalised loss; ``penalty`` weighs the score changes of the counterfactual copies."""
-    rate, none, n = y.mean(), len(words), len(y)
+    ``copies``: the changes of ``encoded``, and how many copies make each.
+    """
+    rate, k, n = y.mean(), len(words), len(y)
     cols, lines = np.concatenate([np.asarray(r, np.int64) for r in rows]), np.repeat(np.arange(n), [len(r) for r in rows])
-    w, bias = np.zeros(none + 1), float(np.log(rate / (1 - rate)))  # the last: a word without weight, for a term left out
+    w, bias = np.zeros(k), float(np.log(rate / (1 - rate)))
+    changes = sorted(copies)
+    of, signed = np.repeat(np.arange(len(changes)), np.array([len(x) for x in changes], np.int64)), np.array([i for x in changes for i in x], np.int64)
+    at, sign, times = np.abs(signed) - 1, np.sign(signed), np.array([copies[x] for x in changes], float)
     # Rows may hold hundreds of words, so steps are scaled by how often a word occurs.
-    size = np.sqrt(np.bincount(cols, minlength=none + 1) + ridge)
-    touched = np.bincount(pairs.ravel(), minlength=none + 1)
+    size = np.sqrt(np.bincount(cols, minlength=k) + ridge)
+    # A copy's change is shared by its features, so each may take its part of the step only.
+    touched = np.bincount(at, (times * np.array([len(x) for x in changes]) / 2)[of], k)
     speed = np.zeros_like(w)
     for step in range(rounds):
         ahead = w + 0.9 * speed
         error = 1 / (1 + np.exp(-np.clip(np.bincount(lines, ahead[cols], n) + bias, -35, 35))) - y
-        slope = np.bincount(cols, error[lines], none + 1) + ridge * ahead
-        if len(pairs):
-            change = ahead[pairs[:, 1]] - ahead[pairs[:, 0]]
-            slope += penalty * (np.bincount(pairs[:, 1], change, none + 1) - np.bincount(pairs[:, 0], change, none + 1))
-        slope[none] = 0.0
+        slope = np.bincount(cols, error[lines], k) + ridge * ahead
+        change = times * np.bincount(of, sign * ahead[at], len(changes))
+        slope += penalty * np.bincount(at, sign * change[of], k)
         speed = 0.9 * speed - 0.5 / (1 + step / rounds) * slope / (size * np.sqrt(n) * 0.25 + penalty * touched + ridge)
         w = w + speed
         bias -= 0.5 * error.mean()
@@ -126,8 +143,7 @@ def fit(texts: list[str | None], toxic: list[int], terms: tuple[str, ...] = IDEN
     words = list(dict.fromkeys([*choose(in_all, in_toxic, y.mean(), features), *sorted(known)]))
     index = {w: i for i, w in enumerate(words)}
     made = [encoded(t, index, known) for t in texts]
-    pairs = np.array([x for _, a, b in made for x in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
-    return solve([r for r, _, _ in made], y, pairs, words, **options)
+    return solve([r for r, _ in made], y, Counter(tuple(x) for _, moved in made for x in moved), words, **options)
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [encoded(t.as_py(), index.value, group) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in range(3))], ["_toxic", "_id", "_at", "_term", "_other"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.list_(pa.int32())))], ["_toxic", "_id", "_at", "_moved"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    table = sample.mapInArrow(encode, f"_toxic int, _id {kind}, _at array<int>, _term array<int>, _other array<int>").toPandas().sort_values("_id")
-    pairs = np.array([x for a, b in zip(table["_term"], table["_other"], strict=True) for x in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
-    model = solve(list(table["_at"]), table["_toxic"].to_numpy(float), pairs, words, **options)
+    made = saved(sample.mapInArrow(encode, f"_toxic int, _id {kind}, _at array<int>, _moved array<array<int>>"))
+    table = made.select("_toxic", "_id", "_at").toPandas().sort_values("_id")
+    copies = {tuple(r[0]): r[1] for r in made.select(F.explode("_moved").alias("_change")).groupBy("_change").count().collect()}  # few differ
+    model = solve(list(table["_at"]), table["_toxic"].to_numpy(float), copies, words, **options)
     model.bias += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))
     return model
 

@@ -360,6 +360,23 @@ def test_toxicity_learns_and_leaves_groups_alone(spark):
     assert abs(free.weights.get("gay", 0.0)) < 0.5 * abs(plain.weights["gay"])
 
 
+def test_toxicity_leaves_every_group_alone(spark):
+    rng, named_groups = random.Random(8), ("gay", "muslims", "immigrants", "refugees", "lesbian")
+    rows = []
+    for i in range(1500):
+        bad, group = rng.random() < 0.3, named_groups[i % len(named_groups)]
+        named = rng.random() < (0.9 if bad else 0.1)  # the label leans on the groups
+        rows.append((i, words(rng, 30, 200) + (" you are idiots" if bad and rng.random() < 0.6 else "") + (f". {group} live here." if named else "."), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    told = [(f"{body}. {group} live here.", f"{body}. live here.") for group in toxicity.IDENTITY_TERMS for body in ("w3 w5 w7 w9",)]
+    pairs = spark.createDataFrame([(2 * i + k, t) for i, pair in enumerate(told) for k, t in enumerate(pair)], "doc_id long, text string")
+    for model in (toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")), toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(pairs, model).collect()}
+        odds = {i: np.log(x / (1 - x)) for i, x in got.items()}
+        moved = {group: abs(odds[2 * i] - odds[2 * i + 1]) for i, group in enumerate(toxicity.IDENTITY_TERMS)}
+        assert max(moved.values()) < 0.1, moved
+
+
 def test_language_id(spark):
     rng = random.Random(7)
     alphabets = {"aa": "abcdefgh ", "bb": "ghijklmn ", "cc": "éèüömnop ", "dd": "qrstuvwx ", "ee": "yzabuvgh ", "ff": "αβγδεζηθ "}
