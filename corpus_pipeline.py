@@ -21,16 +21,16 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language, which becomes their ``lang``; null, letterless and undecided texts go.
+    """Keeps documents with a language, which becomes their ``lang``; null and letterless texts go.
 
-    A text is undecided if no learned language gets half of the score. Learned from the stage's
-    own labelled rows; if it has none, nothing can be told and nothing goes.
+    Scores share one among all learned languages, so a low one is no reason to drop a text. Learned from
+    the stage's own labelled rows; if it has none, nothing can be told and nothing goes.
     """
     model = langid.train(docs)
     if not model.languages:
         return docs
     made = langid.identify(docs, model)
-    return made.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return made.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

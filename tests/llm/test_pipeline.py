@@ -1,10 +1,12 @@
 """The pipeline's stages against what their operators decide, and the registered queries against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from postlens.llm import registry
+from postlens.llm import langid, registry
 from postlens.llm.simhash import fingerprint
 from tools.check import TABLES, compare
 
@@ -44,3 +46,12 @@ def test_pipeline_of_nothing(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_language_stage_keeps_texts_between_close_languages(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + "x", f"l{i % 8}") for i in range(160)]  # languages that hardly differ
+    docs = spark.createDataFrame([*rows, *((160 + i, letter, None) for i, letter in enumerate("abcdefghq")), (1000, None, "l0"), (1001, "12 !", "l1")], "doc_id long, text string, lang string")
+    scores = [r["score"] for r in langid.identify(docs, langid.train(docs)).where("lang_pred <> 'und'").collect()]
+    assert min(scores) < 0.5
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == set(range(169))
