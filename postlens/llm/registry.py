@@ -12,6 +12,7 @@ import public_tokenizers
 from postlens.llm import bpe, langid, mixing, toxicity, warc
 from postlens.llm.common import checkpoint_folder, held_out
 from postlens.llm.exact import exact_dedup
+from postlens.llm.filter_audit import filter_audit, text_filters
 from postlens.llm.forest import near_vectors
 from postlens.llm.lines import line_dedup
 from postlens.llm.simhash import simhash_groups
@@ -77,6 +78,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows, failing = text_filters(_table(spark, folder, "documents"))
+    labels = _table(spark, folder, "labels").withColumnRenamed("doc_id", "_id")
+    losses = {"good_lost": labels.where("quality = 1"), "toxic_lost": labels.where("toxic = 1")}
+    return filter_audit(rows, failing, losses)
+
+
 QUERIES = {
     "op1_line_dedup": op1,
     "op2_embedding_forest": op2,
@@ -88,6 +96,7 @@ QUERIES = {
     "op8_simhash": op8,
     "op9_mixing": op9,
     "op10_language_id": op10,
+    "op11_filter_audit": op11,
 }
 
 OP1_SQL = r"""
@@ -183,4 +192,40 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
 from d
 """
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_embedding_forest": OP2_SQL, "op5_suffix_array": OP5_SQL, "op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
+OP11_SQL = r"""
+with recursive t as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from documents
+), l as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+), f as (
+  select t.doc_id, part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(words) < 200 then 'A' else '' end
+    || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+    || case when 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+    || case when t.doc_id > min(t.doc_id) over (partition by text) then 'E' else '' end as fails
+  from t left join l on l.doc_id = t.doc_id
+), kinds as (
+  select part, fails, count(*) as n, count(*) filter (where good) as n_good, count(*) filter (where toxic) as n_toxic from f group by part, fails
+), p(o) as (
+  select '' union all select o || c from p, (values ('A'), ('B'), ('C'), ('D'), ('E')) as v(c) where not contains(o, c)
+), steps as (
+  select o, s::int as step, substr(o, s, 1) as x, substr(o, 1, s - 1) as head from p, range(1, 6) as r(s) where length(o) = 5
+), told as (
+  select part, o as filter_order, step, x,
+    sum(case when translate(fails, head || x, '') = fails then n else 0 end)::bigint as kept,
+    sum(case when contains(fails, x) and translate(fails, head, '') = fails then n else 0 end)::bigint as removed,
+    sum(case when contains(fails, x) and translate(fails, head, '') <> fails then n else 0 end)::bigint as redundant,
+    sum(case when fails = x then n else 0 end)::bigint as unique_fails,
+    sum(case when contains(fails, x) and translate(fails, head, '') = fails then n_good else 0 end)::bigint as good_lost,
+    sum(case when contains(fails, x) and translate(fails, head, '') = fails then n_toxic else 0 end)::bigint as toxic_lost
+  from kinds, steps group by part, o, step, x
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, x))::bigint as shapley
+from told
+"""
+
+ORACLES = {"op11_filter_audit": OP11_SQL, "op1_line_dedup": OP1_SQL, "op2_embedding_forest": OP2_SQL, "op5_suffix_array": OP5_SQL, "op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
