@@ -11,6 +11,7 @@ import public_tokenizers
 
 from postlens.llm import bpe, langid, mixing, toxicity, warc
 from postlens.llm.common import checkpoint_folder, held_out
+from postlens.llm.digests import successor_edits
 from postlens.llm.exact import exact_dedup
 from postlens.llm.filter_audit import filter_audit, text_filters
 from postlens.llm.forest import near_vectors
@@ -85,6 +86,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit(rows, failing, losses)
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return successor_edits(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1,
     "op2_embedding_forest": op2,
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_mixing": op9,
     "op10_language_id": op10,
     "op11_filter_audit": op11,
+    "op12_fingerprints": op12,
 }
 
 OP1_SQL = r"""
