@@ -10,6 +10,7 @@ import uuid
 import public_tokenizers
 
 from postlens.llm import bpe, langid, mixing, toxicity, warc
+from postlens.llm.alignment import aligned
 from postlens.llm.common import checkpoint_folder, held_out
 from postlens.llm.digests import successor_edits
 from postlens.llm.exact import exact_dedup
@@ -90,6 +91,12 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return successor_edits(_table(spark, folder, "documents"))
 
 
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    made = aligned(_table(spark, folder, "documents"), byte_level, public_tokenizers.PATTERN, pieces, digest=True)
+    return made.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_line_dedup": op1,
     "op2_embedding_forest": op2,
@@ -103,6 +110,7 @@ QUERIES = {
     "op10_language_id": op10,
     "op11_filter_audit": op11,
     "op12_fingerprints": op12,
+    "op13_token_alignment": op13,
 }
 
 OP1_SQL = r"""
