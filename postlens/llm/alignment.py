@@ -17,7 +17,6 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,17 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.common import checkpoint_folder
+from postlens.llm.words import Words, encode_texts, in_batches
 
-#: Documents are encoded and aligned in batches of about so many bytes of text; a longer one goes alone.
-BYTES = 1 << 20
 #: Links of one block; a document is never divided.
 BLOCK = 1 << 20
-#: A worker forgets the words it has met when their texts and ids take about so many bytes.
-REMEMBERED = 48 << 20
-#: Longer words are encoded anew.
-SHORT = 64
-#: A text can be cut before each space unless white space stands on both sides of a cut.
-UNEVEN = r"(^| )([\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]|$)|\x{2581}"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -84,37 +76,11 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-class Words:
-    """Ids of whole texts, put together from those of their words as far as a worker remembers them."""
-
-    def __init__(self, side: ByteLevel | Pieces):
-        self.side, self.known, self.size = side, {}, 0
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token counts and the joined ids of the given words."""
-        ids = list(map(self.known.get, words))
-        missing = [i for i, found in enumerate(ids) if found is None]
-        for i, found in zip(missing, self.side.encode([words[i] for i in missing]), strict=True):
-            ids[i] = found
-            if len(words[i]) <= SHORT:
-                self.known[words[i]] = found
-                self.size += 160 + 4 * len(words[i]) + 8 * len(found)
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
-
-
-def _ragged(counts: np.ndarray, flat: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a ragged array: their lengths and joined values."""
-    starts, lengths = (np.cumsum(counts) - counts)[picked], counts[picked]
-    return lengths, flat[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
-
-
 class Aligner:
     """Two tokenizers and what a worker remembers of them."""
 
     def __init__(self, a: ByteLevel, b: Pieces):
-        self.words = [Words(a), Words(b)]
+        self.words = [Words(a.encode), Words(b.encode)]
         self.bytes = [pa.array(side.tokens, pa.binary()) for side in (a, b)]
         self.lengths = [np.fromiter(map(len, side.tokens), np.int64) for side in (a, b)]
         # Ids in decimal: inside a group, at the end of a group's first side, at its end.
@@ -122,21 +88,7 @@ class Aligner:
 
     def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per side the number of tokens of each text and all ids; none where either side's bytes are not space and text."""
-        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(pc.if_else(pa.array(uneven), "", texts), " ")
-        per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = cut.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # An uneven text is one word that is encoded whole: it takes the place of its empty stand-in.
-        firsts = (np.cumsum(per_text) - per_text)[uneven]
-        at[firsts] = len(words) + np.arange(len(firsts))
-        words += texts.filter(pa.array(uneven)).to_pylist()
-        owner = np.repeat(np.arange(len(texts)), per_text)
-        counts, ids = [], []
-        for side in self.words:
-            lengths, flat = _ragged(*side(words), at)
-            counts.append(np.bincount(owner, lengths, len(texts)).astype(np.int64))
-            ids.append(flat)
+        counts, ids = (list(x) for x in zip(*(encode_texts(texts, side) for side in self.words), strict=True))
         same = np.ones(len(texts), bool)
         raw = [b" " + t.encode() for t in texts.to_pylist()]
         for k in range(2):
@@ -194,6 +146,8 @@ class Aligner:
             marked[last] = len(self.lengths[k])
             named[places[k]] = ids[k] + marked + shift
             shift += len(self.names[k])
+        if not total:
+            return [b""] * len(counts[0])
         made = pa.concat_arrays(self.names).take(pa.array(named))
         cuts = np.concatenate([[0], np.cumsum(counts[0] + counts[1])])
         offsets = np.frombuffer(made.buffers()[1], np.int32, total + 1, made.offset * 4)
@@ -218,19 +172,6 @@ def _listing(path: str) -> bytes:
         return file.read()
 
 
-def _in_batches(values: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about ``BYTES`` bytes."""
-    sizes = pc.binary_length(values).to_numpy(zero_copy_only=False)
-    start, size = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and size + n > BYTES:
-            yield values.slice(start, i - start)
-            start, size = i, 0
-        size += n
-    if start < len(values):
-        yield values.slice(start)
-
-
 def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """Stored rows ``_kind, _id, _block, n_a, n_b, n_groups, groups, _pairs, _times``: one per document and one per block.
 
@@ -265,7 +206,7 @@ def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str, doc_id: s
 
         for batch in batches:
             names, kind, done = batch.column(0), batch.column(0).type, 0
-            for texts in _in_batches(batch.column(1)):
+            for texts in in_batches(batch.column(1)):
                 made = aligner(texts)
                 yield rows(["document" if n else "none" for n in made["n_groups"]], names.slice(done, len(texts)).to_pylist(), made)
                 done += len(texts)

@@ -10,21 +10,22 @@ bytes back than the longest token has.
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded matches and prefixes that one worker remembers; more are computed again.
-REMEMBERED = 300_000
-#: Rows whose ids or bytes are handed on at once.
-ROWS = 256
-#: Matches with more bytes get a prefix table of their own.
-SHORT = 64
+from postlens.llm.words import Words, encode_texts, in_batches
+
+#: Pairs of tokens that one worker remembers; more are computed again.
+PAIRS = 400_000
 
 
 class Vocabulary:
@@ -36,73 +37,102 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._prefixes: dict[bytes, tuple[int, ...]] = {}
-        # A token that merging its own bytes does not give never stands in an encoding.
-        self.usable = {token: rank for token, rank in self.ranks.items() if self.merged(token) == [rank]}
+        # A token that merging its own bytes does not give never stands in an encoding; of the others, what was merged last.
+        self.halves = {rank: found for token, rank in self.ranks.items() if (found := self.last_merge(token))}
+        self.usable = {token: rank for token, rank in self.ranks.items() if rank in self.halves}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by its definition, used on two tokens' bytes: merge the lowest-ranked neighbours first."""
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The encoding by its definition: the lowest-ranked neighbours are merged first, down to ``least`` parts."""
         parts, none, get = [data[i : i + 1] for i in range(len(data))], 1 << 30, self.ranks.get
-        while len(parts) > 1:
+        while len(parts) > least:
             ranks = [get(a + b, none) for a, b in itertools.pairwise(parts)]
             rank = min(ranks)
             if rank == none:
                 break
             at = ranks.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def last_merge(self, token: bytes) -> tuple[int, int] | None:
+        """The two tokens that are merged last into a token (itself twice for a byte), none if merging never gives it."""
+        parts = self.merged(token, 2)
+        if len(parts) > 2:
+            return None
+        return (self.ranks[parts[0]], self.ranks[parts[-1]])
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > REMEMBERED:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
-            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self._pairs[left, right] = known
+            known = self._pairs[left, right] = self._stays(left, right)
         return known
 
-    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        """The unique token that the encoding of ``data[:end]`` ends with, from those of shorter prefixes."""
-        get, pairs = self.usable.get, self._pairs
-        for start in range(max(0, end - self.longest), end):
-            token = get(data[start:end])
-            if token is not None:
-                if start == 0:
-                    return token
-                known = pairs.get((last[start - 1], token))
-                if known or (known is None and self.follows(last[start - 1], token)):
-                    return token
-        raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Token ids of one match; a match that is a token itself is that token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        return self.prefix(piece) if len(piece) <= SHORT else tuple(Prefixes(self, piece).ids())
-
-    def prefix(self, data: bytes) -> tuple[int, ...]:
-        """The encoding of a short byte string: that of the prefix before its last token, and that token.
-
-        The table of prefixes is shared by all matches, which begin alike more often than not.
+    def _stays(self, left: int, right: int) -> bool:
+        """Undoes the merges of both tokens from the last to the first: none over their border may come before the next."""
+        tokens, halves, get, none = self.tokens, self.halves, self.ranks.get, 1 << 30
+        limit = none
+        while True:
+            if get(tokens[left] + tokens[right], none) < limit:
+                return False
+            if left > right and halves[left][1] != left or halves[right][0] == right:
+                limit, left = left, halves[left][1]
+                if left == limit:
+                    return True
+            else:
+                limit, right = right + 1, halves[right][0]
+
+    def extend(self, data: bytes, last: list[int], stop: int | None = None) -> None:
+        """Adds the last tokens of the prefixes of ``data`` that are longer than ``last`` is, up to ``stop`` bytes.
+
+        Exactly one token is a suffix of a prefix and may follow the last token of what stands before
+        it, so candidates can be tried in any order; short ones come first, as theirs are known already.
         """
-        known = self._prefixes.get(data)
-        if known is None:
-            get, pairs, end = self.usable.get, self._pairs, len(data)
-            for start in range(max(0, end - self.longest), end):
-                token = get(data[start:])
+        get, pairs, follows = self.usable.get, self._pairs, self.follows
+        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
+            for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+                token = get(data[start:end])
                 if token is not None:
-                    before = self.prefix(data[:start]) if start else ()
-                    if not before or pairs.get((before[-1], token)) or self.follows(before[-1], token):
-                        known = (*before, token)
+                    if not start:
+                        break
+                    left = last[start - 1]
+                    known = pairs.get((left, token))
+                    if known or (known is None and follows(left, token)):
                         break
             else:
-                raise ValueError(f"byte {data[-1]} is not in the vocabulary")
-            if len(self._prefixes) > REMEMBERED:
-                self._prefixes.clear()
-            self._prefixes[data] = known
-        return known
+                raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
+            last.append(token)
+
+    def ids(self, last: list[int]) -> list[int]:
+        """The encoding that the last tokens of all prefixes stand for."""
+        found, end, tokens = [], len(last), self.tokens
+        while end:
+            found.append(last[end - 1])
+            end -= len(tokens[found[-1]])
+        return found[::-1]
+
+    def encode(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
+        """Token ids of matches; a match that is a token itself is that token.
+
+        Matches are taken in sorted order: what a match has in common with the one before keeps its
+        stored tokens and only the rest is looked up.
+        """
+        found, before, last = {}, b"", []
+        for piece in sorted(set(pieces)):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                found[piece] = [whole]
+                continue
+            same = 0
+            for x, y in zip(before, piece, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del last[same:]
+            self.extend(piece, last)
+            found[piece], before = self.ids(last), piece
+        return found
 
 
 class Prefixes:
@@ -115,8 +145,7 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         """Exact: what is stored for shorter prefixes stays right."""
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self.vocabulary.last_token(self.data, end, self.last))
+        self.vocabulary.extend(self.data, self.last)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Puts ``new`` in the place of ``data[start:stop]``; returns how many prefixes were looked up.
@@ -133,100 +162,134 @@ class Prefixes:
             if same >= self.vocabulary.longest:
                 self.last.extend(old[i:])
                 break
-            token = self.vocabulary.last_token(self.data, len(self.last) + 1, self.last)
-            self.last.append(token)
-            looked, same = looked + 1, same + 1 if token == before else 0
+            self.vocabulary.extend(self.data, self.last, len(self.last) + 1)
+            looked, same = looked + 1, same + 1 if self.last[-1] == before else 0
         return looked
 
     def ids(self) -> list[int]:
-        found, end = [], len(self.last)
-        while end:
-            found.append(self.last[end - 1])
-            end -= len(self.vocabulary.tokens[found[-1]])
-        return found[::-1]
+        return self.vocabulary.ids(self.last)
 
 
-class _Uneven(Exception):
-    """White space on both sides of a cut."""
+class Encoder:
+    """A vocabulary with the pattern that cuts texts, and what a worker remembers of both."""
 
+    def __init__(self, listing: bytes, pattern: str):
+        self.vocabulary, self.cut = Vocabulary(listing), regex.compile(pattern)
+        self.spaced = Words(lambda words: self.encode([" " + w for w in words]))
+        self.first = Words(self.encode)
 
-class _Words(dict):
-    """Ids of what stands between two spaces, with the space before it (not so for a text's beginning)."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of each text, every match separately."""
+        cut = [[piece.encode() for piece in self.cut.findall(text)] for text in texts]
+        known = self.vocabulary.encode(chain.from_iterable(cut))
+        return [known[pieces[0]] if len(pieces) == 1 else list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, lead: str = " "):
-        super().__init__()
-        self.vocabulary, self.cut, self.lead = vocabulary, regex.compile(pattern), lead
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens per text and all ids; null counts as empty."""
+        return encode_texts(pc.fill_null(texts, ""), self.spaced, self.first)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if self.lead and (not word or word[0].isspace()):
-            raise _Uneven
-        found = self[word] = self.encode(self.lead + word)
-        return found
 
-    def encode(self, text: str) -> tuple[int, ...]:
-        one, pieces = self.vocabulary.encode, self.cut.findall(text)
-        return one(pieces[0].encode()) if len(pieces) == 1 else tuple(itertools.chain.from_iterable(one(p.encode()) for p in pieces))
+class Decoder:
+    """Bytes and decimal names of the ids of a rank file."""
 
+    def __init__(self, listing: bytes):
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, listing.splitlines()) if a}
+        size = max(ranks, default=-1) + 1
+        self.bytes = pa.array([ranks.get(i) for i in range(size)], pa.binary())
+        self.names = pa.array([b"%d," % i for i in range(size)], pa.binary())
 
-class Encoder:
-    """Encodes whole texts as ``pattern`` cuts them.
+    def __call__(self, ids: pa.ListArray) -> pa.Array:
+        """The joined bytes of each list; null for null."""
+        parts = pa.ListArray.from_arrays(ids.offsets, self.bytes.take(ids.values), mask=ids.is_null() if ids.null_count else None)
+        return pc.binary_join(parts, b"")
 
-    No match crosses from a character that is no white space to a space, so a text can first be
-    cut there and the words between be looked up. Where white space stands on both sides of a
-    space (or a text ends with one) that doesn't hold, and the text is cut by the pattern alone.
-    """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.words, self.first = _Words(vocabulary, pattern), _Words(vocabulary, pattern, "")
+def _digests(parts: pa.Array, cuts: np.ndarray, less: int = 0) -> list[str]:
+    """SHA-256 of the joined parts between each two cuts, without the last ``less`` bytes."""
+    if not len(parts):
+        return [hashlib.sha256(b"").hexdigest()] * (len(cuts) - 1)
+    offsets = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, parts.offset * 4)[cuts].tolist()
+    data = memoryview(parts.buffers()[2] or b"")
+    return [hashlib.sha256(data[a : max(b - less, a)]).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+_HELD: dict[str, tuple[bytes, object]] = {}
+
+
+def _held(kind: str, make: Callable, listing: bytes, *more):
+    """One encoder and one decoder per worker process, of the vocabulary that came last."""
+    key = hashlib.sha256(listing).digest() + repr(more).encode()
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD[kind] = (key, make(listing, *more))
+    return _HELD[kind][1]
+
+
+def _shared(docs: DataFrame, vocabulary: str):
+    with open(vocabulary, "rb") as file:
+        return docs.sparkSession.sparkContext.broadcast(file.read())  # under 1 MB for 50 k tokens
+
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split(" ")
-        try:
-            ids = np.fromiter(itertools.chain(self.first[words[0]], itertools.chain.from_iterable(map(self.words.__getitem__, itertools.islice(words, 1, None)))), np.int32)
-        except _Uneven:
-            one = self.first.vocabulary.encode
-            ids = np.fromiter(itertools.chain.from_iterable(one(m.group().encode()) for m in self.first.cut.finditer(text)), np.int32)
-        for known in (self.words, self.first):
-            if len(known) > REMEMBERED:
-                known.clear()
-        return ids
+def _others(docs: DataFrame, *new: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns if c not in new]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """The columns of ``docs`` with ``ids``, an array of token ids; a column ``ids`` is replaced.
 
     ``vocabulary`` is the path of a rank file, read on the driver and sent to the tasks; ``pattern``
-    cuts a text into the matches that are encoded one by one. Whole texts are read. Null and empty
-    texts give an empty array. No shuffle; nothing is dropped.
+    cuts a text into the matches that are encoded one by one. Whole texts are read, about ``words.BYTES``
+    at a time; a longer text goes alone, and a long word (a paragraph without spaces) is never remembered.
+    Null and empty texts give an empty array, repeated rows equal ones. No shuffle; nothing is dropped.
     """
-    with open(vocabulary, "rb") as file:
-        listing = docs.sparkSession.sparkContext.broadcast(file.read())  # under 1 MB for 50 k tokens
+    listing = _shared(docs, vocabulary)
 
     @F.arrow_udf("array<int>")
     def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = Encoder(Vocabulary(listing.value), pattern)
+        one = _held("encoder", Encoder, listing.value, pattern)
         for values in batches:
-            for start in range(0, len(values), ROWS):  # the ids of a whole batch would take more memory than its texts
-                made = [one(v.as_py()) for v in values[start : start + ROWS]]
-                offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
+            made = [one(texts) for texts in in_batches(values)]
+            counts = np.concatenate([c for c, _ in made] or [np.zeros(0, np.int64)])
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([i for _, i in made] or [np.zeros(0, np.int32)])))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "ids"]
-    return docs.select(*kept, call(F.col(f"`{text}`")).alias("ids"))
+    return docs.select(*_others(docs, "ids"), call(F.col(f"`{text}`")).alias("ids"))
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """The columns of ``tokens`` with ``decoded``, the bytes of the ids; null ids give null."""
-    with open(vocabulary, "rb") as file:
-        listing = tokens.sparkSession.sparkContext.broadcast(file.read())
+    listing = _shared(tokens, vocabulary)
 
     @F.arrow_udf("binary")
     def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = Vocabulary(listing.value).tokens
-        of = table.__getitem__
+        one = _held("decoder", Decoder, listing.value)
         for values in batches:
-            for start in range(0, len(values), ROWS):
-                yield pa.array([None if not v.is_valid else b"".join(map(of, v.values.to_numpy(zero_copy_only=False).tolist())) for v in values[start : start + ROWS]], pa.binary())
+            yield one(values)
+
+    return tokens.select(*_others(tokens, "decoded"), call(F.col(f"`{ids}`")).alias("decoded"))
+
+
+def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` with ``n_tokens, ids_sha256, decoded_sha256``; columns of these names are replaced.
 
-    kept = [F.col(f"`{c}`") for c in tokens.columns if c != "decoded"]
-    return tokens.select(*kept, call(F.col(f"`{ids}`")).alias("decoded"))
+    Encodes each text, decodes the ids again and sums both up, all in one pass over a batch, so neither
+    ids nor bytes of a table travel. The digests are those of the decimal ids joined by commas and of
+    the decoded bytes, in hexadecimal. Texts are treated as by ``encode``.
+    """
+    listing, new = _shared(docs, vocabulary), ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _held("encoder", Encoder, listing.value, pattern), _held("decoder", Decoder, listing.value)
+        for values in batches:
+            made = [[], [], []]
+            for texts in in_batches(values):
+                counts, ids = encoder(texts)
+                at, cuts = pa.array(ids), np.concatenate([[0], np.cumsum(counts)])
+                made[0] += counts.tolist()
+                made[1] += _digests(decoder.names.take(at), cuts, less=1)
+                made[2] += _digests(decoder.bytes.take(at), cuts)
+            yield pa.StructArray.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.string()), pa.array(made[2], pa.string())], new)
+
+    row = F.struct(*_others(docs, *new)).alias("_row")
+    made = docs.select(row, call(F.col(f"`{text}`")).alias("_made"))
+    return made.select("_row.*", "_made.*")

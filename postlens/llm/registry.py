@@ -54,10 +54,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    made = bpe.decode(bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    made = bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7(spark: SparkSession, folder: str) -> DataFrame:
