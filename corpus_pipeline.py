@@ -52,13 +52,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its source, language, token count and digests of the ids and of what they decode to."""
-    path = public_tokenizers.path(VOCABULARY)
-    made = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return made.select(
-        "doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    made = bpe.digests(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return made.select("doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def _counted(made: DataFrame, docs: DataFrame) -> DataFrame:
