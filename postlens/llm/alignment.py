@@ -110,8 +110,9 @@ class Aligner:
             for k, name in enumerate("ab")
         ]
         forth = pd.merge_asof(side[0], side[1], on="start", by="doc")
-        back = pd.merge_asof(side[1], side[0], on="start", by="doc", allow_exact_matches=False).dropna()
-        return pd.concat([forth[["a", "b"]], back[["a", "b"]].astype(np.int64)], ignore_index=True), ends
+        back = pd.merge_asof(side[1], side[0].assign(at=side[0]["start"]), on="start", by="doc")
+        back = back[back["start"] > back["at"]]  # equal starts are in the other direction already
+        return pd.concat([forth[["a", "b"]], back[["a", "b"]]], ignore_index=True), ends
 
     def __call__(self, texts: pa.Array) -> dict[str, list]:
         """Per text its token counts, groups and links: ``n_a, n_b, n_groups, groups, pairs`` (id pairs as numbers) and ``times``."""
