@@ -1,34 +1,88 @@
-"""Postings against CVs. Pairs are always an explicit input; scoring is array work inside a pair row.
+"""Postings against CVs. Pairs are always an explicit input; scoring is array work inside a row.
 
-``candidate_pairs`` gives the default pairs by an equi-join on each posting's rarest terms. No
-operator builds the product of postings and CVs.
+``covered_pairs`` gives the default pairs, those that reach a stated coverage, by an exact set-overlap
+join. Tests on a CV's text run once per CV and block of postings (``per_cv``): the text never stands in a
+pair row. No operator builds the product of postings and CVs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import most_words
+from postlens.functions.joins import most_words, salted_join
 from postlens.functions.text import big, c, first_of, half_up, keep_present, let, percent, pick, picks, pieces, squeeze, sub, word_array, words
-from postlens.operators.terms import grams, lookup_join, ranked
+from postlens.operators.terms import grams, lookup_join
 from postlens.rules import matching as M
 
 
-def candidate_pairs(terms: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text", anchors: int = 3) -> DataFrame:
-    """(posting, cv) pairs sharing one of the posting's ``anchors`` rarest terms.
+def least_hits(n: Column, floor: int) -> Column:
+    """How many of ``n`` terms give a rounded percentage of ``floor``."""
+    return F.greatest(F.ceil(n * (2 * floor - 1) / 200), F.lit(1))
 
-    The terms a posting offers are first reduced to its anchors, so the join fans out by the
-    rarest words only. CV tokens are distinct per CV and filtered to posting vocabulary before
-    any shuffle.
+
+def covered(wanted: DataFrame, seen: DataFrame, key: str, member: str, floor: int, salts: int = 16) -> DataFrame:
+    """(key, member, n, found): members holding at least ``floor`` percent (rounded) of a key's ``n`` terms.
+
+    ``wanted``: distinct (key, term); ``seen``: distinct (member, term). Exact. A key's terms are ordered by
+    rarity. A member with ``need`` of them holds at least ``c`` of the rarest ``n - need + c``, whatever
+    ``c`` is; with half of ``need`` for it, the most frequent terms open nothing and few pairs go on. Only
+    those few look up their remaining terms, on (member, term), which no hot key can skew. Hot
+    rare-side terms are salted.
     """
-    vocabulary = terms.select("term").distinct()
-    tokens = lookup_join(cvs.select(cv, F.explode(F.array_distinct(words(text))).alias("term")), vocabulary, ["term"], "left_semi")
-    df = tokens.groupBy("term").agg(F.count("*").alias("_df"))
-    rare = ranked(terms.join(df, "term"), posting, [F.col("_df"), F.col("term")], anchors).select(posting, "term")
-    return lookup_join(tokens, rare, ["term"]).select(posting, cv).distinct()
+    wanted = wanted.select(key, "term")
+    seen = lookup_join(seen.select(member, "term"), wanted.select("term").distinct(), ["term"], "left_semi")
+    df = seen.groupBy("term").agg(F.count("*").alias("_df"))
+    mine = Window.partitionBy(key)
+    ordered = wanted.join(df, "term", "left").select(
+        key, "term", F.row_number().over(mine.orderBy(F.coalesce("_df", F.lit(0)), "term")).alias("_o"), F.count("*").over(mine).alias("n"))
+    ordered = ordered.withColumn("_need", least_hits(F.col("n"), floor)).withColumn("_c", F.ceil(F.col("_need") / 2))
+    opens = F.col("_o") <= F.col("n") - F.col("_need") + F.col("_c")
+    openers = ordered.where(opens).select(key, "term", "n", "_need", "_c")
+    rest = ordered.where(~opens).groupBy(key).agg(F.collect_list("term").alias("_rest"))
+    met = salted_join(seen, openers, ["term"], salts=salts)
+    cands = met.groupBy(key, member).agg(
+        F.first("n").alias("n"), F.first("_need").alias("_need"), F.first("_c").alias("_c"), F.collect_list("term").alias("_found")).where(F.size("_found") >= F.col("_c"))
+    asked = cands.join(rest, key, "left").withColumn("term", F.explode_outer("_rest"))
+    told = asked.join(seen.withColumn("_in", F.lit(True)), [member, "term"], "left")
+    done = told.groupBy(key, member).agg(
+        F.first("n").alias("n"), F.first("_need").alias("_need"), F.first("_found").alias("_found"), F.collect_list(F.when(F.col("_in"), F.col("term"))).alias("_more"))
+    found = F.concat("_found", "_more")
+    return done.where(F.size(found) >= F.col("_need")).select(key, member, big("n").alias("n"), found.alias("found"))
+
+
+def cv_tokens(cvs: DataFrame, cv: str = "doc_id", text: str = "text") -> DataFrame:
+    """(cv, term): the distinct tokens of each CV."""
+    return cvs.select(cv, F.explode(F.array_distinct(words(text))).alias("term"))
+
+
+def covered_pairs(terms: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text", floor: int = 30) -> DataFrame:
+    """(posting, cv, found): all pairs whose CV holds at least ``floor`` percent of the posting's terms, and which it holds."""
+    return covered(terms, cv_tokens(cvs, cv, text), posting, cv, floor).select(posting, cv, "found")
+
+
+def per_cv(pairs: DataFrame, payload: DataFrame, cvs: DataFrame, each: Callable[[Column, Column], Column], posting: str = "item_id", cv: str = "doc_id", text: str = "text",
+           many: bool = False, prepare: Callable[[Column], Column] = F.lower, block: int = 256) -> DataFrame:
+    """Per pair what ``each(t, p)`` makes of ``t = prepare(text)`` and the posting's ``payload`` struct, as columns.
+
+    The postings of a CV are dealt to blocks of about ``block``; the text meets a block once and is
+    prepared once for it, so it moves once per block, not per pair. With ``many``, ``each`` gives an array of structs.
+    """
+    kept = [name for name in pairs.columns if name not in (posting, cv)]
+    shared = [name for name in payload.columns if name != posting]
+    sizes = pairs.groupBy(cv).agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64(posting), F.ceil(F.col("_n") / block))
+    packed = pairs.join(sizes, cv).withColumn("_part", part).join(payload, posting)
+    packed = packed.groupBy(cv, "_part").agg(F.collect_list(F.struct(posting, *kept, *shared)).alias("_ps"))
+    rows = packed.join(cvs.select(cv, F.col(text).alias("_text")), cv)
+
+    def one(t):
+        made = F.transform("_ps", lambda p: F.transform(each(t, p), lambda e: F.struct(p[posting].alias(posting), e.alias("_e"))) if many else F.struct(p[posting].alias(posting), each(t, p).alias("_e")))
+        return F.flatten(made) if many else made
+
+    return rows.select(cv, F.inline(let(prepare(F.col("_text")), one))).select(posting, cv, "_e.*")
 
 
 def posting_terms(terms: DataFrame, posting: str = "item_id") -> DataFrame:
@@ -38,53 +92,58 @@ def posting_terms(terms: DataFrame, posting: str = "item_id") -> DataFrame:
         posting, F.transform("_p", lambda s: s["term"]).alias("terms"), F.transform("_p", lambda s: s["band"]).alias("bands"))
 
 
-def pair_frame(pairs: DataFrame, packed: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs with the posting's term arrays and the CV text."""
-    return pairs.join(packed, posting).join(cvs.select(cv, F.col(text).alias("cv_text")), cv)
-
-
-def whole_word(frame: DataFrame) -> Column:
-    """Posting terms that are tokens of the CV, in rank order."""
-    return let(words("cv_text"), lambda ws: F.array_intersect("terms", ws))
+def with_terms(pairs: DataFrame, packed: DataFrame, posting: str = "item_id") -> DataFrame:
+    """Pairs with the posting's term and band arrays and those of the terms that the CV holds."""
+    rows = pairs.join(packed, posting)
+    return rows.withColumn("matched", F.array_intersect("terms", "found")).withColumn("missing", F.array_except("terms", "found"))
 
 
 def coverage(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n, matched, missing, score) with whole-word matching; matched and missing partition the terms."""
-    work = frame.withColumn("matched", whole_word(frame)).withColumn("missing", F.array_except("terms", "matched"))
-    return work.select(*keys, big(F.size("terms")).alias("n"), "matched", "missing", percent(F.size("matched"), F.size("terms")).alias("score"))
-
-
-def _contained(text: Column) -> Column:
-    return let(F.lower(text), lambda t: F.filter("terms", lambda k: (F.length(k) >= 2) & t.contains(k)))
+    """(keys, n, matched, missing, score) with whole-word matching; matched and missing partition the terms, in rank order."""
+    return frame.select(*keys, big(F.size("terms")).alias("n"), "matched", "missing", percent(F.size("matched"), F.size("terms")).alias("score"))
 
 
-def coverage_substring(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n, hits, percent, band): terms contained anywhere in the CV."""
-    pct = percent(F.size("_m"), F.size("terms"))
+def coverage_band(score: str | Column) -> Column:
     label = F.lit("weak")
     for floor, name in reversed(M.COVERAGE_BANDS):
-        label = F.when(F.col("percent") >= floor, name).otherwise(label)
-    return frame.withColumn("_m", _contained(F.col("cv_text"))).select(
-        *keys, big(F.size("terms")).alias("n"), big(F.size("_m")).alias("hits"), pct.alias("percent")).withColumn("band", label)
+        label = F.when(c(score) >= floor, name).otherwise(label)
+    return label
 
 
-def _loose(frame: DataFrame) -> Column:
-    ws = F.array_distinct(F.filter(pieces(F.regexp_replace(F.lower("cv_text"), r"[^a-z0-9 \t\r\n+#.\-]", " "), r"[ \t\r\n]+"), lambda w: F.length(w) >= 2))
-    return let(ws, lambda ws: F.filter("terms", lambda k: F.exists(ws, lambda w: w.contains(k) | k.contains(w))))
+def contained(low: Column, terms: Column) -> Column:
+    """The terms of two letters and more that stand anywhere in a lower-cased text."""
+    return F.filter(terms, lambda k: (F.length(k) >= 2) & low.contains(k))
 
 
-def coverage_loose(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n, hits, score): a term also counts when a CV word holds it or it holds a CV word."""
-    return frame.select(*keys, "terms", _loose(frame).alias("_m")).select(
-        *keys, big(F.size("terms")).alias("n"), big(F.size("_m")).alias("hits"), percent(F.size("_m"), F.size("terms")).alias("score"))
+def coverage_substring(pairs: DataFrame, packed: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text") -> DataFrame:
+    """(posting, cv, n, hits, percent, band): terms contained anywhere in the CV."""
+    made = per_cv(pairs.select(posting, cv), packed.select(posting, "terms"), cvs, lambda t, p: F.struct(
+        big(F.size(p["terms"])).alias("n"), big(F.size(contained(t, p["terms"]))).alias("hits")), posting, cv, text)
+    return made.withColumn("percent", percent(F.col("hits"), F.col("n"))).withColumn("band", coverage_band("percent"))
+
+
+def coverage_loose(pairs: DataFrame, packed: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text") -> DataFrame:
+    """(posting, cv, n, hits, score): a term also counts when a CV word holds it or it holds a CV word.
+
+    Words and terms are compared once per CV and distinct term of its block, not once per pair.
+    """
+    parts = pieces(F.regexp_replace(F.lower(text), r"[^a-z0-9 \t\r\n+#.\-]", " "), r"[ \t\r\n]+")
+    listed = cvs.select(cv, F.array_distinct(F.filter(parts, lambda w: F.length(w) >= 2)).alias("_w"))
+    asked = pairs.select(posting, cv).join(packed.select(posting, F.explode("terms").alias("term")), posting)
+    # Terms of a CV are dealt to blocks, so neither a CV's term list nor a term's CVs meet in one row unbounded.
+    distinct = asked.select(cv, "term").distinct().withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(16)))
+    blocks = distinct.groupBy(cv, "_part").agg(F.collect_list("term").alias("_t")).join(listed, cv)
+    held = blocks.select(cv, F.explode(F.filter("_t", lambda k: F.exists("_w", lambda w: w.contains(k) | k.contains(w)))).alias("term")).withColumn("_hit", F.lit(1))
+    out = asked.join(held, [cv, "term"], "left").groupBy(posting, cv).agg(big(F.count("*")).alias("n"), big(F.count("_hit")).alias("hits"))
+    return out.withColumn("score", percent(F.col("hits"), F.col("n")))
 
 
 def weighted_match(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, score, high, medium, low, overall): 3/2/1 weights; an absent band scores 100."""
-    work = frame.withColumn("_m", whole_word(frame)).withColumn("_z", F.arrays_zip("terms", "bands"))
+    work = frame.withColumn("_z", F.arrays_zip("terms", "bands"))
 
     def size(b, hit=False):
-        return F.size(F.filter("_z", lambda z: (z["bands"] == b) & (F.array_contains(F.col("_m"), z["terms"]) if hit else F.lit(True))))
+        return F.size(F.filter("_z", lambda z: (z["bands"] == b) & (F.array_contains(F.col("matched"), z["terms"]) if hit else F.lit(True))))
 
     for b in M.PRIORITY_WEIGHTS:
         work = work.withColumn(f"_n_{b}", size(b)).withColumn(f"_h_{b}", size(b, True))
@@ -126,25 +185,22 @@ def coverage_diff(before: DataFrame, after: DataFrame, bands: DataFrame, key: st
         "meets_target", F.col("final").between(floor, ceiling)).withColumn("over_target", F.col("final") > ceiling)
 
 
-def title_signal(titles: DataFrame, cvs: DataFrame, posting: str = "page_id", cv: str = "doc_id", title: str = "title", text: str = "text", share: float = 0.6) -> DataFrame:
-    """(posting, cv, hits, coverage) where at least ``share`` of the title's words occur in the CV.
+def title_words(title: str | Column) -> Column:
+    """Distinct telling words of a title: longer than two letters and no stop words."""
+    tokens = pieces(F.regexp_replace(F.lower(c(title)), r"[^a-z0-9+#. ]", " "), " +")
+    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(M.TITLE_STOP_WORDS)))
 
-    A CV reaching the share must hold one of the title's ``n − ceil(share·n) + 1`` rarest words,
-    so only those open a candidate; every candidate is then verified. Exact, without a product.
+
+def title_signal(titles: DataFrame, cvs: DataFrame, posting: str = "page_id", cv: str = "doc_id", title: str = "title", text: str = "text", share: int = 60) -> DataFrame:
+    """(posting, cv, hits, coverage) where at least ``share`` percent of the title's words occur in the CV.
+
+    Titles with the same words are one title until the end; overlaps are counted on narrow rows (``covered``).
     """
-    tokens = pieces(F.regexp_replace(F.lower(c(title)), r"[^a-z0-9+#. ]", " "), " +")
-    wanted = titles.select(posting, F.array_distinct(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(M.TITLE_STOP_WORDS))).alias("_w")).where(F.size("_w") > 0)
-    cv_words = cvs.select(cv, F.array_distinct(words(text)).alias("_c"))
-    each = wanted.select(posting, "_w", F.explode("_w").alias("term"))
-    seen = lookup_join(cv_words.select(cv, F.explode("_c").alias("term")), each.select("term").distinct(), ["term"], "left_semi")
-    df = seen.groupBy("term").agg(F.count("*").alias("_df"))
-    need = F.size("_w") - F.ceil(F.size("_w") * F.lit(share)) + 1
-    order = F.row_number().over(Window.partitionBy(posting).orderBy(F.coalesce("_df", F.lit(0)), "term"))
-    openers = each.join(df, "term", "left").withColumn("_o", order).where(F.col("_o") <= need).select(posting, "term")
-    cands = lookup_join(seen, openers, ["term"]).select(posting, cv).distinct()
-    hits = F.size(F.array_intersect("_w", "_c"))
-    return cands.join(wanted, posting).join(cv_words, cv).select(
-        posting, cv, big(hits).alias("hits"), percent(hits, F.size("_w")).alias("coverage")).where(F.col("coverage") >= share * 100)
+    told = titles.select(posting, F.array_sort(title_words(title)).alias("_w")).where(F.size("_w") > 0)
+    wanted = told.select("_w").distinct().select("_w", F.explode("_w").alias("term"))
+    hits = covered(wanted, cv_tokens(cvs, cv, text), "_w", cv, share)
+    hits = hits.select("_w", cv, big(F.size("found")).alias("hits"), percent(F.size("found"), F.col("n")).alias("coverage"))
+    return told.join(hits, "_w").select(posting, cv, "hits", "coverage")
 
 
 # ---------------------------------------------------------------- qualifications
@@ -187,21 +243,22 @@ def qualifications(postings: DataFrame, posting: str = "item_id", text: str = "t
 def match_quals(quals: DataFrame, pairs: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text") -> DataFrame:
     """Per pair and qualification: met, confidence, evidence. ``met`` is decided before rounding."""
     packed = quals.groupBy(posting).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "type", "priority", "weight", "keywords"))).alias("_q"))
-    body = cvs.select(cv, F.lower(text).alias("_cv"))
-    # One row per pair meets the CV text once; its qualifications are tested inside the row.
-    def test(q):
-        long_words = F.slice(F.filter(F.split(F.lower(q["text"]), r"[ \t\r\n]+"), lambda w: F.length(w) > 4), 1, 8)
-        hit = F.filter(q["keywords"], lambda k: F.col("_cv").contains(F.lower(k)))
+
+    def test(t, q):
+        long_words = F.slice(F.filter(F.split(F.lower(q["text"]), r"[ \t\r\n]+"), lambda w: F.length(w) > 4), 1, M.QUALIFICATION_WORDS)
+        hit = F.filter(q["keywords"], lambda k: t.contains(F.lower(k)))
         ratio = F.coalesce(F.size(hit) / F.nullif(F.size(q["keywords"]), F.lit(0)), F.lit(0.0))
-        loose = let(long_words, lambda ws: F.coalesce(F.size(F.filter(ws, lambda w: F.col("_cv").contains(w))) / F.nullif(F.size(ws), F.lit(0)), F.lit(0.0)))
+        loose = let(long_words, lambda ws: F.coalesce(F.size(F.filter(ws, lambda w: t.contains(w))) / F.nullif(F.size(ws), F.lit(0)), F.lit(0.0)))
+
         def around(k):
-            at = F.position(F.lower(k), F.col("_cv"))
+            at = F.position(F.lower(k), t)
             begin = F.greatest(at - 30, F.lit(1))
-            return F.concat(F.lit("..."), F.substring("_cv", begin, at + F.length(k) + 30 - begin), F.lit("..."))
+            return F.concat(F.lit("..."), F.substring(t, begin, at + F.length(k) + 30 - begin), F.lit("..."))
+
         return F.struct(q["ord"].alias("ord"), q["text"].alias("text"), q["type"].alias("type"), q["priority"].alias("priority"), q["weight"].alias("weight"),
-                        q["keywords"].alias("keywords"), F.greatest(ratio, loose * 0.8).alias("raw"), F.transform(F.slice(hit, 1, 2), around).alias("evidence"))
+                        q["keywords"].alias("keywords"), F.greatest(ratio, loose * 0.8).alias("raw"), F.transform(F.slice(hit, 1, M.EVIDENCE_SHOWN), around).alias("evidence"))
 
-    rows = pairs.join(packed, posting).join(body, cv).select(posting, cv, F.inline(F.transform("_q", test)))
+    rows = per_cv(pairs.select(posting, cv), packed, cvs, lambda t, p: F.transform(p["_q"], lambda q: test(t, q)), posting, cv, text, many=True)
     return rows.withColumn("met", F.col("raw") >= 0.5).withColumn("confidence", F.round(F.col("raw") * 100) / 100).drop("raw")
 
 
@@ -300,7 +357,7 @@ def fit_gate(pairs: DataFrame, postings: DataFrame, cvs: DataFrame, posting: str
     """Pairs whose archetypes differ although the posting's is certain."""
     p = postings.select(posting, F.col("primary").alias("posting_type"), "confidence")
     d = cvs.select(cv, F.col("primary").alias("cv_type"))
-    return pairs.join(p, posting).join(d, cv).where((F.col("posting_type") != F.col("cv_type")) & (F.col("confidence") >= floor))
+    return pairs.select(posting, cv).join(p, posting).join(d, cv).where((F.col("posting_type") != F.col("cv_type")) & (F.col("confidence") >= floor))
 
 
 def requirements(text: str | Column, patterns: Sequence[str] = tuple(M.REQUIREMENT_PATTERNS)) -> Column:
@@ -308,26 +365,33 @@ def requirements(text: str | Column, patterns: Sequence[str] = tuple(M.REQUIREME
     return F.array_distinct(F.filter(F.transform(found, lambda s: sub(F.trim(s), r"[.;:,]+$")), lambda s: F.length(s).between(6, 200)))
 
 
-def gaps(pairs: DataFrame, posting_text: str = "posting_text", cv_text: str = "cv_text", keys: Sequence[str] = ("item_id", "doc_id"),
+def gaps(pairs: DataFrame, postings: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text",
          adjacency: Mapping[str, Sequence[str]] = M.ADJACENT_TERMS, patterns: Sequence[str] = tuple(M.REQUIREMENT_PATTERNS), max_gaps: int = 6) -> DataFrame:
-    """(keys, ord, requirement, covered, bridge): each requirement, whether the CV covers it, else the first adjacent term it has; ``max_gaps`` open ones per pair."""
-    cv = F.lower(c(cv_text))
-    work = pairs.select(*keys, cv.alias("_cv"), F.posexplode(requirements(posting_text, patterns)).alias("_i", "requirement"))
+    """(posting, cv, ord, requirement, covered, bridge): each requirement, whether the CV covers it, else the first adjacent term it has; ``max_gaps`` open ones per pair.
+
+    Requirements, their probes and the adjacent terms to look for are found once per posting.
+    """
+    found = postings.select(posting, F.posexplode(requirements(text, patterns)).alias("_i", "requirement"))
     clean = sub(F.lower("requirement"), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$")
+    found = found.withColumn("_clean", clean).withColumn("_w", F.filter(F.split("_clean", r"[ \t\n]+"), lambda w: F.length(w) > 2)).where(F.size("_w") > 0)
     tech = F.try_element_at(F.filter(word_array(adjacency), lambda t: F.col("_clean").contains(t)), F.lit(1))
-    ws = F.filter(F.split("_clean", r"[ \t\n]+"), lambda w: F.length(w) > 2)
-    work = work.withColumn("_clean", clean).withColumn("_w", ws).where(F.size("_w") > 0)
-    tail = let(F.col("_w"), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)), " "))
-    work = work.withColumn("_probe", F.coalesce(tech, tail)).withColumn("_head", F.array_join(F.slice("_w", 1, 3), " "))
-    covered = F.col("_cv").contains(F.col("_probe")) | F.col("_cv").contains(F.col("_head"))
-    bridge = F.lit(None).cast("string")
-    for source in ("_head", "_probe"):
-        for term, near in reversed(list(adjacency.items())):
-            hit = F.try_element_at(F.filter(word_array(near), lambda t: F.col("_cv").contains(t)), F.lit(1))
-            bridge = F.when(F.col(source).contains(term) & hit.isNotNull(), hit).otherwise(bridge)
-    out = work.withColumn("covered", covered).withColumn("bridge", F.when(~covered, bridge))
-    nth = F.sum((~F.col("covered")).cast("int")).over(Window.partitionBy(*keys).orderBy("_i"))
-    return out.withColumn("_g", nth).where(F.col("covered") | (F.col("_g") <= max_gaps)).select(*keys, big(F.col("_i") + 1).alias("ord"), "requirement", "covered", "bridge")
+    tail = F.array_join(F.slice("_w", F.greatest(F.size("_w") - 2, F.lit(1)), F.lit(3)), " ")
+    found = found.withColumn("_probe", F.coalesce(tech, tail)).withColumn("_head", F.array_join(F.slice("_w", 1, 3), " "))
+    # Per source text and term in table order, the near terms: the first one of the first term with any in the CV is the bridge.
+    near = F.filter(F.array(*[F.when(F.col(source).contains(term), word_array(words_)) for source in ("_probe", "_head") for term, words_ in adjacency.items()]), lambda x: x.isNotNull())
+    packed = found.withColumn("_near", F.flatten(near)).groupBy(posting).agg(F.array_sort(F.collect_list(F.struct("_i", "requirement", "_probe", "_head", "_near"))).alias("_r"))
+
+    def test(t, r):
+        met = t.contains(r["_probe"]) | t.contains(r["_head"])
+        bridge = F.when(~met, F.try_element_at(F.filter(r["_near"], lambda x: t.contains(x)), F.lit(1)))
+        return F.struct(big(r["_i"] + 1).alias("ord"), r["requirement"].alias("requirement"), met.alias("covered"), bridge.alias("bridge"))
+
+    def first_open(rows):
+        open_ords = F.transform(F.filter(rows, lambda e: ~e["covered"]), lambda e: e["ord"])
+        last = F.try_element_at(open_ords, F.lit(max_gaps))
+        return F.filter(rows, lambda e: e["covered"] | last.isNull() | (e["ord"] <= last))
+
+    return per_cv(pairs.select(posting, cv), packed, cvs, lambda t, p: let(F.transform(p["_r"], lambda r: test(t, r)), first_open), posting, cv, text, many=True)
 
 
 def hooks(postings: DataFrame, key: str = "item_id", text: str = "text", patterns=tuple(M.HOOK_PATTERNS)) -> DataFrame:
@@ -342,6 +406,54 @@ def hooks(postings: DataFrame, key: str = "item_id", text: str = "text", pattern
 
 # ---------------------------------------------------------------- scorecards
 
+def experience_block(text: str | Column, start: str = M.EXPERIENCE_START) -> Column:
+    """What stands below the first experience heading, up to the next line in capitals; empty without one."""
+    rest = F.regexp_extract(c(text), "(?s)" + start + "(.*)", 1)
+    return F.regexp_extract(rest, r"(?s)^(.*?)(?:\n[A-Z][A-Z &/]{3,}[ \t]*(?:\n|$)|$)", 1)
+
+
+def claimed_years(text: str | Column, claim: str = M.YEARS_STATED) -> Column:
+    return F.array_max(F.filter(_ints(picks(text, claim)), lambda y: y.between(1, 60)))
+
+
+def evidenced_span(text: str | Column, as_of_year: int) -> Column:
+    """Years since the earliest calendar year named, 1 to 60."""
+    span = F.lit(as_of_year) - F.array_min(_ints(picks(text, rf"(?:^|[^A-Za-z0-9_]){M.CALENDAR_YEARS}(?![A-Za-z0-9_])")))
+    return F.when(span.between(1, 60), span)
+
+
+def pair_features(pairs: DataFrame, packed: DataFrame, postings: DataFrame, cvs: DataFrame, as_of_year: int, posting: str = "item_id", cv: str = "doc_id", text: str = "text",
+                  title: str = "title", original: str | None = None, start: str = M.EXPERIENCE_START, claim: str = M.YEARS_STATED, tolerance: int = 2,
+                  degree_asked: str = M.DEGREE_ASKED, degree_named: str = M.DEGREE_NAMED) -> DataFrame:
+    """(posting, cv, proven, unsupported, title_matched, title_in_header, years_inflated, posting_degree, cv_degree) out of the texts.
+
+    proven: percentage of the posting terms found that stand in the experience section, NULL when none is found;
+    unsupported: terms of the CV that its ``original`` version does not hold (0 without that column); title_matched: at
+    least 60 percent of the title's telling words are in the CV; years_inflated: the years claimed exceed the span of
+    the dates on the page. CVs are read once per block of postings.
+    """
+    asked = postings.select(posting, F.lower(F.trim(title)).alias("_title"), title_words(title).alias("_tw"), F.coalesce(c(text).rlike(degree_asked), F.lit(False)).alias("_degree"))
+    payload = packed.select(posting, "terms", F.transform(F.filter("terms", lambda k: F.length(k) >= 3), folded).alias("_folded")).join(asked, posting)
+    both = cvs.select(cv, F.struct(c(text).alias("new"), (c(original) if original else c(text)).alias("old")).alias(text))
+
+    def prepare(t):
+        lines_ = F.filter(F.transform(F.split(t["new"], "\n"), lambda l: F.trim(l)), lambda l: l != "")
+        return F.struct(
+            F.lower(t["new"]).alias("low"), F.lower(experience_block(t["new"], start)).alias("experience"), F.lower(F.array_join(F.slice(lines_, 1, 4), " ")).alias("header"),
+            F.array_distinct(words(t["new"])).alias("words"), folded(t["new"]).alias("new"), folded(t["old"]).alias("old"), t["new"].rlike(degree_named).alias("degree"),
+            F.coalesce(claimed_years(t["new"], claim) > evidenced_span(t["new"], as_of_year) + tolerance, F.lit(False)).alias("inflated"))
+
+    def each(t, p):
+        hit = contained(t["low"], p["terms"])
+        proven = let(hit, lambda h: F.when(F.size(h) > 0, percent(F.size(F.filter(h, lambda k: t["experience"].contains(k))), F.size(h))))
+        fresh = F.filter(p["_folded"], lambda k: (k != "") & t["new"].contains(k) & ~t["old"].contains(k))
+        in_cv = percent(F.size(F.array_intersect(p["_tw"], t["words"])), F.size(p["_tw"]))
+        return F.struct(proven.alias("proven"), big(F.size(fresh)).alias("unsupported"), ((F.size(p["_tw"]) == 0) | (in_cv >= 60)).alias("title_matched"),
+                        t["header"].contains(p["_title"]).alias("title_in_header"), t["inflated"].alias("years_inflated"), p["_degree"].alias("posting_degree"), t["degree"].alias("cv_degree"))
+
+    return per_cv(pairs.select(posting, cv), payload, both, each, posting, cv, text, prepare=prepare)
+
+
 def scorecard(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, score, adjusted, deductions, confidence, reliable, warnings) out of one row of features per pair.
 

@@ -27,6 +27,9 @@ REQ_PATTERNS = [r"(?:that|with)[ \t]+([^\n.,;]{4,80})", r"(?:and the)[ \t]+([^\n
 HOOKS = [("team", r"(?:^|[^A-Za-z0-9_])the[ \t\n]+([a-z]{4,20} [a-z]{4,20})[ \t\n]+the"), ("product", r"(?:on|in)[ \t]+([a-z ]{8,60})\.")]
 GROUPS = [["of the", "of", "the of"], ["and", "and the"], ["was", "is"]]
 CARRIED = {"technical": ["thon", "ation"], "soft": ["erst", "ention"], "domain": ["rely"]}
+TITLE, REWORDED = r"^((?:[^ \n]+ ?){1,4})", "(?:th|ci|le)[a-zé]+"
+BLOCK_START, CLAIM = r"(?:^|\n)(?:The|La|Der|Le)", r"(?:^|[^0-9])([1-9][0-9]?) "
+ASKED, NAMED = r"(?i)(?:^|[^A-Za-z0-9_])(?:ention|the|der)(?:$|[^A-Za-z0-9_])", r"(?i)(?:^|[^A-Za-z0-9_])(?:erst|of|ch)(?:$|[^A-Za-z0-9_])"
 CARRIERS = {"technical": "the|de", "domain": "of|la"}
 
 
@@ -39,11 +42,16 @@ def terms(spark, folder):
 
 
 def pairs(spark, folder):
-    return E.candidate_pairs(terms(spark, folder), docs(spark, folder))
+    """All pairs whose CV holds at least 30 percent of the posting's terms."""
+    return E.covered_pairs(terms(spark, folder), docs(spark, folder))
+
+
+def packed(spark, folder):
+    return E.posting_terms(terms(spark, folder))
 
 
 def frame(spark, folder):
-    return E.pair_frame(pairs(spark, folder), E.posting_terms(terms(spark, folder)), docs(spark, folder))
+    return E.with_terms(pairs(spark, folder), packed(spark, folder))
 
 
 def e01(spark, folder):
@@ -58,11 +66,11 @@ def best_matches(spark, folder, k: int = 3):
 
 
 def e02(spark, folder):
-    return E.coverage_substring(frame(spark, folder), KEYS)
+    return E.coverage_substring(pairs(spark, folder), packed(spark, folder), docs(spark, folder))
 
 
 def e03(spark, folder):
-    return E.coverage_loose(frame(spark, folder), KEYS)
+    return E.coverage_loose(pairs(spark, folder), packed(spark, folder), docs(spark, folder))
 
 
 def e04(spark, folder):
@@ -155,11 +163,11 @@ def e15(spark, folder):
 
 
 def texts(spark, folder):
-    return pairs(spark, folder).join(postings(spark, folder).withColumnRenamed("text", "posting_text"), "item_id").join(docs(spark, folder).withColumnRenamed("text", "cv_text"), "doc_id")
+    return pairs(spark, folder).drop("found").join(postings(spark, folder).withColumnRenamed("text", "posting_text"), "item_id").join(docs(spark, folder).withColumnRenamed("text", "cv_text"), "doc_id")
 
 
 def e16(spark, folder):
-    return E.gaps(texts(spark, folder), adjacency=ADJ, patterns=REQ_PATTERNS).withColumn("covered", F.col("covered").cast("string"))
+    return E.gaps(pairs(spark, folder), postings(spark, folder), docs(spark, folder), adjacency=ADJ, patterns=REQ_PATTERNS).withColumn("covered", F.col("covered").cast("string"))
 
 
 def e17(spark, folder):
@@ -173,11 +181,18 @@ def features(spark, folder):
     weights = E.weighted_match(base, KEYS).select(*KEYS, "high")
     own = Q.document_features(docs(spark, folder))
     density = E.term_density(hits(spark, folder), docs(spark, folder)).select("doc_id", "density", "stuffed")
-    return cover.join(weights, KEYS).join(own, "doc_id").join(density, "doc_id")
+    return cover.join(weights, KEYS).join(read_features(spark, folder), KEYS).join(own, "doc_id").join(density, "doc_id")
+
+
+def read_features(spark, folder):
+    """What gates read from the texts: a posting's first four words play its title, the text before rewording the original."""
+    titled = postings(spark, folder).withColumn("title", F.regexp_extract("text", TITLE, 1))
+    versions = docs(spark, folder).withColumn("original", F.regexp_replace("text", REWORDED, "x"))
+    return E.pair_features(pairs(spark, folder), packed(spark, folder), titled, versions, 2026, original="original", start=BLOCK_START, claim=CLAIM, degree_asked=ASKED, degree_named=NAMED)
 
 
 def e18(spark, folder):
-    out = E.scorecard(features(spark, folder).withColumn("title_matched", F.col("score") >= 60), KEYS)
+    out = E.scorecard(features(spark, folder), KEYS)
     return out.select(*KEYS, "score", "adjusted", F.array_join("deductions", ",").alias("deductions"), "confidence", F.col("reliable").cast("string").alias("reliable"), F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -220,11 +235,7 @@ def e23b(spark, folder):
 
 
 def gate_rows(spark, folder):
-    f = features(spark, folder)
-    made = f.withColumns({
-        "unsupported": F.lit(0), "proven": (F.col("matched") * 7) % 101, "title_in_header": F.col("score") > 30, "years_inflated": F.lit(False),
-        "posting_degree": F.lit(False), "cv_degree": F.lit(False)})
-    return E.gates(made, KEYS)
+    return E.gates(features(spark, folder), KEYS)
 
 
 def e24(spark, folder):
@@ -257,9 +268,8 @@ _PAIRS = f"""{_TOPB},
     bt AS (SELECT item_id, term, rank, {_B} AS band FROM btop),
     dw AS (SELECT doc_id, text, lower(text) AS t, list_distinct({S.words('text')}) AS w FROM documents),
     dt AS (SELECT doc_id, unnest(w) AS term FROM dw),
-    dfq AS (SELECT term, count(*) AS df FROM dt WHERE term IN (SELECT term FROM bt) GROUP BY term),
-    an AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS rn FROM bt JOIN dfq USING (term) QUALIFY rn <= 3),
-    pairs AS (SELECT DISTINCT item_id, doc_id FROM an JOIN dt USING (term)),
+    nn AS (SELECT item_id, count(*) AS n FROM bt GROUP BY 1),
+    pairs AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, count(*) AS m FROM bt JOIN dt USING (term) GROUP BY ALL) JOIN nn USING (item_id) WHERE round(100.0 * m / n) >= 30),
     pl AS (SELECT item_id, list(term ORDER BY rank) AS terms FROM bt GROUP BY item_id),
     fr AS (SELECT * FROM pairs JOIN pl USING (item_id) JOIN dw USING (doc_id))"""
 _E1 = f"""{_PAIRS}, cov AS (SELECT item_id, doc_id, len(terms) AS n, list_filter(terms, lambda x: list_contains(w, x)) AS m, list_filter(terms, lambda x: NOT list_contains(w, x)) AS miss FROM fr),
@@ -422,13 +432,22 @@ _FEATURES = f"""{_E1}, {SQL_VOCAB.replace('bt AS', 'vbt AS').replace('FROM bt',
       {', '.join(f"regexp_matches(text, {S.q(p)}) AS has_{n}" for n, p in RQ.SECTION_WORDS)}, regexp_matches(text, {S.q(RQ.EMAIL)}) AS has_email, regexp_matches(text, {S.q(RQ.PHONE)}) AS has_phone, regexp_matches(text, {S.q(RQ.PROFILE)}) AS has_profile,
       regexp_matches(text, {S.q(RQ.PLACES)}) AS has_place, {' + '.join(S.hits('text', p) for p in RQ.METRICS)} AS quantified, regexp_matches(text, '\\t.*\\t') AS tabs, regexp_matches(array_to_string(l[1:4], ' '), {S.q(RQ.EMAIL)}) AS header_email,
       regexp_matches(array_to_string(l[1:4], ' '), '[0-9]{{6,}}|[0-9][0-9 ().\\-]{{7,}}') AS header_phone, NOT regexp_matches(array_to_string(l[1:14], chr(10)), {S.q(RQ.SCALE)}) AS top_weak FROM tl),
-    ft AS (SELECT c.item_id, c.doc_id, CAST(round(100.0 * len(m) / c.n) AS BIGINT) AS score, CAST(len(m) AS BIGINT) AS matched, CAST(len(miss) AS BIGINT) AS missing, high, density, stuffed, of.* EXCLUDE (doc_id), has_experience AND has_education AND has_skills AS sections_complete,
-      has_email AND has_phone AND (has_profile OR has_place) AS contact_complete FROM cov c JOIN hi ON c.item_id = hi.item_id AND c.doc_id = hi.doc_id JOIN dn ON c.doc_id = dn.doc_id JOIN of ON c.doc_id = of.doc_id)"""
-_LOSS = [("NOT contact_complete", "8", "contact"), ("NOT sections_complete", "6", "sections"), ("quantified < 3", "5", "quantified"), ("score < 60", "4", "title"), ("high < 70", "CAST(least(10, round((70 - high) / 5)) AS BIGINT)", "priority"), ("stuffed > 0", "3 * stuffed", "stuffing")]
+    pt AS (SELECT item_id, terms, list_transform(list_filter(terms, lambda k: len(k) >= 3), lambda k: {_FOLD('k')}) AS ff, lower(trim(regexp_extract(text, {S.q(TITLE)}, 1))) AS title, regexp_matches(text, {S.q(ASKED)}) AS posting_degree FROM pl JOIN benchmark USING (item_id)),
+    pw AS (SELECT *, list_distinct(list_filter(string_split_regex(regexp_replace(title, '[^a-z0-9+#. ]', ' ', 'g'), ' +'), lambda x: len(x) > 2 AND x NOT IN {S.in_list(M.TITLE_STOP_WORDS)})) AS tw FROM pt),
+    cr AS (SELECT doc_id, t, w, lower(regexp_extract(regexp_extract(text, {S.q('(?s)' + BLOCK_START + '(.*)')}, 1), {S.q('(?s)^(.*?)(?:' + chr(92) + 'n[A-Z][A-Z &/]{3,}[ ' + chr(92) + 't]*(?:' + chr(92) + 'n|$)|$)')}, 1)) AS ex, {_FOLD('text')} AS fn,
+      {_FOLD(f"regexp_replace(text, {S.q(REWORDED)}, 'x', 'g')")} AS fo, regexp_matches(text, {S.q(NAMED)}) AS cv_degree, list_max(list_filter(list_transform(regexp_extract_all(text, {S.q(CLAIM)}, 1), lambda x: CAST(x AS INT)), lambda y: y BETWEEN 1 AND 60)) AS claimed,
+      2026 - CAST(list_min(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, {S.q(M.CALENDAR_YEARS)}))) AS INT) AS span FROM dw),
+    rf AS (SELECT item_id, doc_id, list_filter(terms, lambda k: contains(t, k)) AS hit, ex, CAST(len(list_filter(ff, lambda k: k <> '' AND contains(fn, k) AND NOT contains(fo, k))) AS BIGINT) AS unsupported,
+      len(tw) = 0 OR round(100.0 * len(list_intersect(tw, w)) / len(tw)) >= 60 AS title_matched, title, coalesce(claimed > CASE WHEN span BETWEEN 1 AND 60 THEN span END + 2, false) AS inflated, posting_degree, cv_degree
+      FROM pairs JOIN pw USING (item_id) JOIN cr USING (doc_id)),
+    rg AS (SELECT * EXCLUDE (hit, ex, title), contains(lower(array_to_string(l[1:4], ' ')), title) AS title_in_header, CASE WHEN len(hit) > 0 THEN round(100.0 * len(list_filter(hit, lambda k: contains(ex, k))) / len(hit)) END AS proven FROM rf JOIN tl USING (doc_id)),
+    ft AS (SELECT c.item_id, c.doc_id, CAST(round(100.0 * len(m) / c.n) AS BIGINT) AS score, CAST(len(m) AS BIGINT) AS matched, CAST(len(miss) AS BIGINT) AS missing, high, density, stuffed, of.* EXCLUDE (doc_id), rg.* EXCLUDE (item_id, doc_id, text, l), has_experience AND has_education AND has_skills AS sections_complete,
+      has_email AND has_phone AND (has_profile OR has_place) AS contact_complete FROM cov c JOIN hi ON c.item_id = hi.item_id AND c.doc_id = hi.doc_id JOIN dn ON c.doc_id = dn.doc_id JOIN of ON c.doc_id = of.doc_id JOIN rg ON c.item_id = rg.item_id AND c.doc_id = rg.doc_id)"""
+_LOSS = [("NOT contact_complete", "8", "contact"), ("NOT sections_complete", "6", "sections"), ("quantified < 3", "5", "quantified"), ("NOT title_matched", "4", "title"), ("high < 70", "CAST(least(10, round((70 - high) / 5)) AS BIGINT)", "priority"), ("stuffed > 0", "3 * stuffed", "stuffing")]
 _WARN = [("stuffed > 0", "stuffing"), ("density > 5.0", "density_high"), ("density < 1.0 AND matched > 0", "density_low"), ("matched < 5", "few_matches"), ("missing > matched", "more_missing"), ("NOT has_email", "no_email"), ("NOT has_phone", "no_phone"),
-         ("NOT (has_profile OR has_place)", "no_profile_or_place"), ("NOT has_experience", "no_experience"), ("NOT has_education", "no_education"), ("NOT has_skills", "no_skills"), ("quantified < 3", "few_metrics"), ("score < 60", "title_weak"), ("high < 70", "priority_low")]
-_GATES = [("parsing", "NOT has_experience", "headings_missing > 0 OR date_formats > 1 OR tabs"), ("hard_qualifications", "false", "NOT has_education"), ("keyword_match", "score < 60", "score BETWEEN 60 AND 79"),
-          ("semantic_evidence", "matched * 7 % 101 < 40", "matched * 7 % 101 BETWEEN 40 AND 64"), ("discoverability", "score <= 30", "NOT header_email OR NOT header_phone OR NOT has_profile"), ("skim", "top_weak", "false"), ("evidence", "false", "false")]
+         ("NOT (has_profile OR has_place)", "no_profile_or_place"), ("NOT has_experience", "no_experience"), ("NOT has_education", "no_education"), ("NOT has_skills", "no_skills"), ("quantified < 3", "few_metrics"), ("NOT title_matched", "title_weak"), ("high < 70", "priority_low")]
+_GATES = [("parsing", "NOT has_experience", "headings_missing > 0 OR date_formats > 1 OR tabs"), ("hard_qualifications", "inflated OR (posting_degree AND NOT cv_degree)", "NOT has_education"), ("keyword_match", "score < 60 OR unsupported > 0", "score BETWEEN 60 AND 79"),
+          ("semantic_evidence", "proven < 40", "proven BETWEEN 40 AND 64"), ("discoverability", "NOT title_in_header", "NOT header_email OR NOT header_phone OR NOT has_profile"), ("skim", "top_weak", "false"), ("evidence", "false", "false")]
 ORACLES.update({
     "e18_scorecard": f"""WITH {_FEATURES}, s AS (SELECT *, greatest(0, least(100, score - ({' + '.join(f'CASE WHEN {c} THEN {p} ELSE 0 END' for c, p, _ in _LOSS)}))) AS adjusted FROM ft)
         SELECT item_id, doc_id, score, CAST(adjusted AS BIGINT) AS adjusted, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '-' || {p} || ' {n}' END" for c, p, n in _LOSS)}], lambda x: x IS NOT NULL), ',') AS deductions,

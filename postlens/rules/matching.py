@@ -161,3 +161,12 @@ SOFT_TERM = (
     r"|customer.?focus|client.?management|vendor.?management|resource.?management|budget.?management|quality.?assurance"
     r"|incident.?management|knowledge.?sharing|risk.?management"
 )
+
+# Fixed values of the qualification match: the long words compared, and the pieces of evidence shown.
+QUALIFICATION_WORDS = 8
+EVIDENCE_SHOWN = 2
+
+# Fixed values of the gates: the experience heading, and degrees as postings and CVs write them.
+EXPERIENCE_START = r"(?i)(?:^|\n)[ \t]*(?:PROFESSIONAL[ ]+|WORK[ ]+|RELEVANT[ ]+)?(?:EXPERIENCE|EMPLOYMENT(?:[ ]+HISTORY)?|CAREER[ ]+HISTORY)[ \t]*:?[ \t]*\n"
+DEGREE_ASKED = r"(?i)(?:^|[^A-Za-z0-9_])(?:bachelor|master|degree|bsc|msc|phd)(?:$|[^A-Za-z0-9_])"
+DEGREE_NAMED = r"(?i)(?:^|[^A-Za-z0-9_])(?:bachelor|master|bsc|msc|phd|b\.?a|m\.?a|b\.?eng|m\.?eng)(?:$|[^A-Za-z0-9_])"

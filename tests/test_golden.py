@@ -1,7 +1,9 @@
 """Golden cases: small inputs whose results follow from the rules."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from postlens.operators import history as H
@@ -98,7 +100,7 @@ def test_acronyms(spark):
 
 
 def test_absent_band_scores_100(spark):
-    frame = spark.createDataFrame([(1, 1, ["sql", "java"], ["high", "low"], "sql here")], "item_id int, doc_id int, terms array<string>, bands array<string>, cv_text string")
+    frame = spark.createDataFrame([(1, 1, ["sql", "java"], ["high", "low"], ["sql"])], "item_id int, doc_id int, terms array<string>, bands array<string>, matched array<string>")
     r = E.weighted_match(frame, ["item_id", "doc_id"]).collect()[0]
     assert (r.high, r.medium, r.low, r.overall, r.score) == (100, 100, 0, 83, 75)
 
@@ -136,11 +138,41 @@ def test_vocabulary_mirror_takes_the_longest(spark):
 
 
 def test_gaps_and_bridges(spark):
-    pair = spark.createDataFrame([(1, 1, "Must have: kubernetes in production for years\nexperience with python scripting", "docker and python scripting")], "item_id int, doc_id int, posting_text string, cv_text string")
-    got = {r.requirement: (r.covered, r.bridge) for r in E.gaps(pair).collect()}
+    postings = spark.createDataFrame([(1, "Must have: kubernetes in production for years\nexperience with python scripting")], "item_id int, text string")
+    cvs = spark.createDataFrame([(1, "docker and python scripting")], "doc_id int, text string")
+    got = {r.requirement: (r.covered, r.bridge) for r in E.gaps(spark.createDataFrame([(1, 1)], "item_id int, doc_id int"), postings, cvs).collect()}
     assert got["kubernetes in production for years"] == (False, "docker") and got["python scripting"] == (True, None)
 
 
+@pytest.mark.parametrize("floor", [1, 30, 60, 100])
+def test_covered_equals_brute_force(spark, floor):
+    rng = random.Random(floor)
+    wanted = {k: {f"t{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.choice([1, 2, 5, 20, 70]))} for k in range(40)}
+    seen = {m: {f"t{int(rng.paretovariate(0.5)) % 80}" for _ in range(rng.randrange(40))} for m in range(150)}
+    frame = lambda sets, name: spark.createDataFrame([(k, t) for k, ts in sets.items() for t in ts], f"{name} int, term string")
+    got = {(r.k, r.m): (r.n, sorted(r.found)) for r in E.covered(frame(wanted, "k"), frame(seen, "m"), "k", "m", floor).collect()}
+    assert got == {(k, m): (len(a), sorted(a & b)) for k, a in wanted.items() for m, b in seen.items() if int(100 * len(a & b) / len(a) + 0.5) >= floor}
+
+
+def test_texts_meet_postings_in_blocks(spark):
+    pairs = spark.range(700).selectExpr("id as item_id", "cast(id % 2 as int) as doc_id")
+    payload = spark.range(700).selectExpr("id as item_id", "cast(id as string) as word")
+    cvs = spark.createDataFrame([(0, "HAS 12 and 4"), (1, "has 13"), (2, "unused")], "doc_id int, text string")
+    made = E.per_cv(pairs, payload, cvs, lambda t, p: F.struct(t.contains(F.concat(F.lit(" "), p["word"])).alias("hit")), block=100)
+    assert {(r.item_id, r.doc_id) for r in made.where("hit").collect()} == {(12, 0), (4, 0), (1, 1), (13, 1)} and made.count() == 700
+
+
+def test_pair_features_read_the_texts(spark):
+    postings = spark.createDataFrame([(1, "Data Engineer", "A degree in data. SQL Java Go")], "item_id int, title string, text string")
+    packed = spark.createDataFrame([(1, ["sql", "java", "cobol"])], "item_id int, terms array<string>")
+    cv = "Ann\nData Engineer\n\nSummary: 30+ years of experience with sql and java\nWORK EXPERIENCE\nbuilt sql, 2019\nSKILLS\njava"
+    cvs = spark.createDataFrame([(1, cv, cv.replace("java", "")), (2, "nothing here, BSc", "nothing")], "doc_id int, text string, original string")
+    pairs = spark.createDataFrame([(1, 1), (1, 2)], "item_id int, doc_id int")
+    a, b = E.pair_features(pairs, packed, postings, cvs, 2024, original="original").orderBy("doc_id").collect()
+    assert (a.proven, a.unsupported, a.title_matched, a.title_in_header, a.years_inflated, a.posting_degree, a.cv_degree) == (50, 1, True, True, True, True, False)
+    assert (b.proven, b.unsupported, b.title_matched, b.title_in_header, b.years_inflated, b.posting_degree, b.cv_degree) == (None, 0, False, False, False, True, True)
+
+
 def test_scorecard_and_gates(spark):
     base = dict(item_id=1, doc_id=1, score=90, matched=12, missing=1, density=2.0, stuffed=0, contact_complete=True, has_email=True, has_phone=True, has_profile_or_place=True, sections_complete=True, has_experience=True,
                 has_education=True, has_skills=True, quantified=5, bullets=6, verb_coverage=80, title_matched=True, high=90, headings_missing=0, date_formats=2, tab_columns=False, years_inflated=False, posting_degree=True, cv_degree=False,
