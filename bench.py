@@ -23,10 +23,11 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    from postlens.functions.session import build_session
+    from postlens.functions.session import SPREAD, build_session
     from postlens.plans import all_queries
 
     spark = build_session(f"local[{cpus}]", cpus)
+    spark.conf.set(SPREAD, "true")  # the tables are files of one row group each
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
     names = list(queries) if os.environ.get("BENCH_ALL") else HEADLINE

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,6 +28,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+#: Set to "true" where inputs are a few large row groups: heavy row work is then dealt over all cores first.
+SPREAD = "spark.postlens.spread"
+
+
+def spread(docs: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The key and the given columns; dealt out by key if the session asks for it, else left where they were read.
+
+    Row-local operators need no shuffle. Only a file with a single row group would leave them one core.
+    """
+    rows = docs.select(key, *columns)
+    return rows.repartition(key) if docs.sparkSession.conf.get(SPREAD, "false") == "true" else rows
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder, for stream state and written tables.
 

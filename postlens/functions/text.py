@@ -124,3 +124,34 @@ def percent(part: Column, whole: Column) -> Column:
 def keep_present(*options: Column) -> Column:
     """Array of the given columns without the NULL ones, order kept."""
     return F.filter(F.array(*options), lambda x: x.isNotNull())
+
+
+def term_runs(items: Column) -> Column:
+    """``array<struct<term, freq, pos>>`` of an array of (term, pos): each distinct term with its count and first position.
+
+    Sorting brings equal terms together and a fold over the places where a run begins counts them, so
+    a document's terms are counted inside its row, without a shuffle.
+    """
+    def fold(rows: Column) -> Column:
+        places = F.when(F.size(rows) > 0, F.sequence(F.lit(1), F.size(rows))).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(places, lambda i: (i == 1) | (F.element_at(rows, i)["term"] != F.element_at(rows, F.greatest(i - 1, F.lit(1)))["term"]))
+
+        def count(starts: Column) -> Column:
+            return F.transform(starts, lambda s, k: F.struct(
+                F.element_at(rows, s)["term"].alias("term"), (F.coalesce(F.try_element_at(starts, k + 2), F.size(rows) + 1) - s).cast("bigint").alias("freq"),
+                F.element_at(rows, s)["pos"].alias("pos")))
+
+        return let(begins, count)
+
+    return let(F.array_sort(items), fold)
+
+
+def placed_terms(tokens: Column, keep) -> Column:
+    """``array<struct<term, pos>>`` of the tokens that pass ``keep``, with their places from 0."""
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.cast("bigint").alias("pos"))), lambda s: keep(s["term"]))
+
+
+def first_terms(counted: Column, n: int) -> Column:
+    """The ``n`` most frequent of ``term_runs``, ties by first position: ``array<struct<term, freq>>`` in rank order."""
+    order = F.array_sort(F.transform(counted, lambda r: F.struct((-r["freq"]).alias("less"), r["pos"].alias("pos"), r["term"].alias("term"))))
+    return F.transform(F.slice(order, 1, n), lambda r: F.struct(r["term"].alias("term"), (-r["less"]).alias("freq")))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import most_words
+from postlens.functions.joins import lengths
 from postlens.functions.segments import neighbour
 from postlens.functions.text import big, c, let, literal_map, percent, plain_words, squeeze
 
@@ -151,15 +151,16 @@ def phrase_key(col: str | Column) -> Column:
     return F.array_join(plain_words(col), " ")
 
 
-def word_ngrams(words: Column, longest: int) -> Column:
-    """Distinct n-grams of an array of words, n from 1 to ``longest``, joined by a blank."""
+def word_ngrams(words: Column, sizes: Column | Sequence[int]) -> Column:
+    """Distinct n-grams of an array of words, joined by a blank, for the listed numbers of words."""
+    none = F.array().cast("array<string>")
+    wanted = sizes if isinstance(sizes, Column) else F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
+
     def build(ws: Column) -> Column:
-        grams = F.array().cast("array<string>")
-        for n in range(1, longest + 1):
-            grams = F.concat(grams, F.when(F.size(ws) >= n, F.transform(
-                F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
-                .otherwise(F.array().cast("array<string>")))
-        return F.array_distinct(grams)
+        def of_length(n):
+            return F.when(F.size(ws) >= n, F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(none)
+        return F.array_distinct(F.flatten(F.transform(wanted, of_length)))
 
     return let(words, build)
 
@@ -179,19 +180,19 @@ def affinity(headline: Column, seen_at: Column, as_of: Column) -> Column:
                + F.greatest(F.lit(0), 10 - weeks))
 
 
-def rank_profiles(profiles: DataFrame, companies: DataFrame, as_of: Column, k: int = 3, longest: int | None = None,
+def rank_profiles(profiles: DataFrame, companies: DataFrame, as_of: Column, k: int = 3,
                   ttl_seconds: int = TTL_SECONDS["person"]) -> DataFrame:
     """(company, handle, score, rank): remembered people whose headline names the company.
 
     ``profiles``: handle, headline, seen_at. ``companies``: company. Matching is an equi-join of
-    headline n-grams with the company's words, not a scan of every pair. N-grams go up to
-    ``longest`` words, by default as many as the longest company name has.
+    headline n-grams with the company's words, not a scan of every pair. N-grams have as many
+    words as company names have.
     """
     names = companies.select("company", phrase_key("company").alias("_gram")).where("_gram <> ''").distinct()
-    longest = longest or most_words(names, "_gram", " ")
     fresh = profiles.where(as_of.cast("double") - F.col("seen_at").cast("double") < ttl_seconds)
+    fresh = fresh.withColumn("_sizes", lengths(names, "_gram", " "))
     grams = fresh.select("handle", affinity(F.col("headline"), F.col("seen_at"), as_of).alias("score"),
-                         F.explode(word_ngrams(plain_words("headline"), longest)).alias("_gram"))
+                         F.explode(word_ngrams(plain_words("headline"), F.col("_sizes"))).alias("_gram"))
     joined = grams.join(names, "_gram").drop("_gram")
     return keep_last(joined, ["company"], k, [F.desc("score"), F.col("handle")], "rank")
 

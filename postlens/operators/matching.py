@@ -12,7 +12,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import most_words, salted_join
+from postlens.functions.joins import lengths, salted_join
+from postlens.functions.session import spread
 from postlens.functions.text import big, c, first_of, half_up, keep_present, let, percent, pick, picks, pieces, squeeze, sub, word_array, words
 from postlens.operators.terms import grams, lookup_join
 from postlens.rules import matching as M
@@ -55,7 +56,7 @@ def covered(wanted: DataFrame, seen: DataFrame, key: str, member: str, floor: in
 
 def cv_tokens(cvs: DataFrame, cv: str = "doc_id", text: str = "text") -> DataFrame:
     """(cv, term): the distinct tokens of each CV."""
-    return cvs.select(cv, F.explode(F.array_distinct(words(text))).alias("term"))
+    return spread(cvs, cv, text).select(cv, F.explode_outer(F.array_distinct(words(text))).alias("term")).where("term is not null")
 
 
 def covered_pairs(terms: DataFrame, cvs: DataFrame, posting: str = "item_id", cv: str = "doc_id", text: str = "text", floor: int = 30) -> DataFrame:
@@ -82,7 +83,7 @@ def per_cv(pairs: DataFrame, payload: DataFrame, cvs: DataFrame, each: Callable[
         made = F.transform("_ps", lambda p: F.transform(each(t, p), lambda e: F.struct(p[posting].alias(posting), e.alias("_e"))) if many else F.struct(p[posting].alias(posting), each(t, p).alias("_e")))
         return F.flatten(made) if many else made
 
-    return rows.select(cv, F.inline(let(prepare(F.col("_text")), one))).select(posting, cv, "_e.*")
+    return rows.select(cv, F.inline_outer(let(prepare(F.col("_text")), one))).where(F.col("_e").isNotNull()).select(posting, cv, "_e.*")
 
 
 def posting_terms(terms: DataFrame, posting: str = "item_id") -> DataFrame:
@@ -162,11 +163,12 @@ def term_density(hits: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
         key, "terms", "hits", F.when(F.col("_w") > 0, F.round(1000 * F.col("hits") / F.col("_w")) / 10).otherwise(0.0).alias("density"), "stuffed")
 
 
-def term_distribution(sections: DataFrame, terms: DataFrame, key: str = "doc_id", skills: str = "skills", longest: int | None = None) -> DataFrame:
-    """(key, total, sections, well_distributed, score) over section rows (key, section, body). Spans are as long as the longest term."""
-    longest = longest or most_words(terms.select("term").distinct(), "term", "[^a-z0-9_]+")
-    spans = sections.select(key, "section", F.explode(grams("body", longest)).alias("term"))
-    counts = lookup_join(spans, terms.select("term").distinct(), ["term"]).groupBy(key, "section").agg(big(F.count("*")).alias("n"))
+def term_distribution(sections: DataFrame, terms: DataFrame, key: str = "doc_id", skills: str = "skills") -> DataFrame:
+    """(key, total, sections, well_distributed, score) over section rows (key, section, body). Spans have the lengths that terms have."""
+    rules = terms.select("term").distinct()
+    scan = sections.select(key, "section", "body", lengths(rules, "term", "[^a-z0-9_]+").alias("_lengths"))
+    spans = scan.select(key, "section", F.explode(grams("body", F.col("_lengths"))).alias("term"))
+    counts = lookup_join(spans, rules, ["term"]).groupBy(key, "section").agg(big(F.count("*")).alias("n"))
     return counts.groupBy(key).agg(
         F.sum("n").alias("total"), big(F.count("*")).alias("sections"),
         (F.count_if(F.col("section") != skills) >= 2).alias("well_distributed"),

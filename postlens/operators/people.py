@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import most_words
+from postlens.functions.joins import lengths
 from postlens.functions.segments import neighbour, running
 from postlens.functions.text import big, c, first_of, keep_present, let, literal_map, pick, picks, squeeze, sub, sub_all, word_array
 from postlens.operators.history import keep_last, word_ngrams
@@ -112,15 +112,18 @@ def company_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     """(left_id, right_id, agrees): pairs whose normalised names are equal or one is a run of whole words inside the other.
 
     Distinct names are matched first: equal ones by equality, whatever their length, and shorter ones as
-    word n-grams of longer ones, so both directions are equi-joins. N-grams are as long as the
-    longest name. Rows meet by the name pairs at the end. Rows without a usable name give no pair.
+    word n-grams of longer ones, so both directions are equi-joins. N-grams have the
+    lengths of the other side's names. Rows meet by the name pairs at the end. Rows without a usable name give no pair.
     """
     l = left.select(left_id, norm_company(company).alias("_n")).where("_n <> ''")
     r = right.select(right_id, norm_company(company).alias("_m")).where("_m <> ''")
     names, others = l.select("_n").distinct(), r.select("_m").distinct()
-    longest = max(most_words(names, "_n", " "), most_words(others, "_m", " "))
-    inside = lambda df, name, gram: df.select(name, F.explode(word_ngrams(F.split(name, " "), longest)).alias(gram))
-    agree = inside(names, "_n", "_m").join(others, "_m").select("_n", "_m").unionByName(names.join(inside(others, "_m", "_n"), "_n").select("_n", "_m")).distinct()
+
+    def inside(df, name, found_in, gram):
+        sized = df.withColumn("_sizes", lengths(found_in, gram, " "))
+        return sized.select(name, F.explode(word_ngrams(F.split(name, " "), F.col("_sizes"))).alias(gram))
+
+    agree = inside(names, "_n", others, "_m").join(others, "_m").select("_n", "_m").unionByName(names.join(inside(others, "_m", names, "_n"), "_n").select("_n", "_m")).distinct()
     return l.join(agree, "_n").join(r, "_m").select(left_id, right_id).distinct().withColumn("agrees", F.lit(True))
 
 

@@ -227,10 +227,10 @@ def prose_score(docs: DataFrame, key: str = "doc_id", text: str = "text", tails:
     return rows.select(key, big(F.least(F.lit(100), score)).alias("score"), keep_present(*[F.when(judged & F.coalesce(cond, F.lit(False)), F.lit(n)) for n, cond, _ in parts]).alias("tells"))
 
 
-def vocabulary_issues(docs: DataFrame, lexicon: Sequence[str], key: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
+def vocabulary_issues(docs: DataFrame, lexicon: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, issue, n): words and phrases of the caller's ``lexicon``, American -ize spellings, em dashes and first-person pronouns in a text."""
     rules = docs.sparkSession.createDataFrame([(w.lower(), "word") for w in lexicon], "term string, category string")
-    words = dictionary_hits(docs, rules, key, text, longest).select(key, F.col("term").alias("issue"), "n")
+    words = dictionary_hits(docs, rules, key, text).select(key, F.col("term").alias("issue"), "n")
     body = c(text)
     shapes = F.filter(F.array(
         F.struct(F.lit("em dash").alias("issue"), hits(body, "—").alias("n")),

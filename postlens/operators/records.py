@@ -107,7 +107,7 @@ def skills(docs: DataFrame, key: str = "doc_id", text: str = "text", soft: Seque
     mixed = F.when((F.col("skill") == F.lower("skill")) | (F.col("skill") == F.upper("skill")), 1).otherwise(0)
     one = rows.groupBy(key, F.lower("skill").alias("_k")).agg(F.min("_i").alias("ord"), F.min(F.struct(mixed.alias("m"), F.col("_i"), F.col("skill").alias("s")))["s"].alias("skill"))
     ws = F.split("_k", "[ ]+")
-    inner = F.array_except(word_ngrams(ws, longest), F.array("_k"))
+    inner = F.array_except(word_ngrams(ws, range(1, longest + 1)), F.array("_k"))
     held = F.array_distinct(F.flatten(F.collect_list(inner).over(Window.partitionBy(key))))
     return one.withColumn("_held", held).where(~F.array_contains("_held", F.col("_k"))).select(key, big("ord").alias("ord"), "skill")
 

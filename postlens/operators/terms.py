@@ -1,8 +1,7 @@
 """Documents to term rows: counting, dictionary scans, scoring, banding, merging.
 
-Per-document work starts with one ``repartition`` on the document key. The raw text is what
-moves, once; the token rows made from it are grouped and ranked in place, because a partition
-by document also satisfies groupings and windows by (document, term).
+Terms are counted, and where nothing is joined ranked, inside the document's row; what leaves a
+row are narrow (document, term) rows, never its text.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import most_words
-from postlens.functions.text import big, c, half_up, let, literal_map, outside, picks, pieces, squeeze, sub_all, word_array, words
+from postlens.functions.joins import lengths, sieve
+from postlens.functions.session import spread
+from postlens.functions.text import big, c, first_terms, half_up, let, literal_map, outside, picks, pieces, placed_terms, squeeze, sub_all, term_runs, word_array, words
 from postlens.rules import terms as R
 
 
@@ -27,10 +27,12 @@ def by_document(docs: DataFrame, key: str, text: str) -> DataFrame:
 def lookup_join(rows: DataFrame, rules: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join to a derived rules table without a hint.
 
-    The planner broadcasts it when its statistics, or at run time the measured shuffle size, are
-    below the session's threshold; otherwise it is a shuffle join whose hot keys adaptive
-    execution splits. Counting a derived side first would run its whole pipeline twice.
+    Rows that no rule can match are sifted out in place first (inner and semi joins), so what a
+    shuffle join moves is about its result. The planner broadcasts the rules when its statistics are
+    below the session's threshold; hot keys of a shuffle join are split by adaptive execution.
     """
+    if how in ("inner", "left_semi"):
+        rows = rows.where(sieve(rules.select(*on), on))
     return rows.join(rules, list(on), how)
 
 
@@ -50,71 +52,67 @@ def ranked(rows: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFr
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("rank", big("rank"))
 
 
-def token_counts(docs: DataFrame, key: str, text: str, tokens: Column, keep) -> DataFrame:
-    """(key, term, freq, pos): counts and first position of the tokens that pass ``keep``."""
-    items = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), big(i).alias("pos"))), lambda s: keep(s["term"]))
-    rows = by_document(docs, key, text).select(key, F.inline(items))
-    return rows.groupBy(key, "term").agg(big(F.count("*")).alias("freq"), F.min("pos").alias("pos"))
-
-
 def top_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 35,
               stop: Sequence[str] = tuple(R.STOP_WORDS)) -> DataFrame:
-    """(key, term, freq, rank, band): most frequent terms, ties by first appearance."""
-    counts = token_counts(docs, key, text, words(text), lambda t: (F.length(t) > 2) & outside(t, stop))
-    top = ranked(counts, key, [F.desc("freq"), F.col("pos")], n)
-    total = F.count("*").over(Window.partitionBy(key))
-    return top.select(key, "term", "freq", "rank", band(F.col("rank"), total, 0.4, 0.35).alias("band"))
+    """(key, term, freq, rank, band): most frequent terms, ties by first appearance. Counted and ranked inside the row: no shuffle."""
+    counted = term_runs(placed_terms(words(text), lambda t: (F.length(t) > 2) & outside(t, stop)))
+    # The outer form: the planner would filter on the size of a plain one, and so count everything twice.
+    rows = spread(docs, key, text).select(key, first_terms(counted, n).alias("_t")).select(key, F.size("_t").alias("_n"), F.posexplode_outer("_t").alias("_i", "_one")).where("_i is not null")
+    rank = big(F.col("_i") + 1)
+    return rows.select(key, "_one.term", "_one.freq", rank.alias("rank"), band(F.col("_i") + 1, F.col("_n"), 0.4, 0.35).alias("band"))
 
 
 # ---------------------------------------------------------------- dictionary scans
 
-def grams(text: str | Column, longest: int = 3, word: str = "a-z0-9_") -> Column:
-    """Every span of 1 to ``longest`` words as written, lower-cased, one blank per white-space run.
+def grams(text: str | Column, spans: Column | Sequence[int], word: str = "a-z0-9_") -> Column:
+    """Every span of as many words as ``spans`` lists, as written, lower-cased, one blank per white-space run.
 
     A term is in this array exactly when it occurs in the text between non-word characters. Spans
     keep their inner punctuation (``ci/cd``, ``node.js``); a dot before and ``+``, ``++`` or ``#``
-    after a span also give the longer form (``.net``, ``c++``, ``c#``).
+    after a span also give the longer form (``.net``, ``c++``, ``c#``). Only the listed lengths
+    are built, so one long rule costs one more span per place, not one per length below it.
     """
     none = F.array().cast("array<string>")
-
-    def spans(runs: Column, n: int) -> Column:
-        def at(i):
-            def forms(core):
-                before = F.when(i > 1, F.try_element_at(runs, i - 1))
-                after = F.try_element_at(runs, i + (2 * n - 1))
-                return F.filter(F.array(
-                    core,
-                    F.when(before.endswith("."), F.concat(F.lit("."), core)),
-                    F.when(after.startswith("+"), F.concat(core, F.lit("+"))),
-                    F.when(after.startswith("++"), F.concat(core, F.lit("++"))),
-                    F.when(after.startswith("#"), F.concat(core, F.lit("#"))),
-                ), lambda f: f.isNotNull())
-            return let(F.array_join(F.slice(runs, i, F.lit(2 * n - 1)), ""), forms)
-        last = F.size(runs) - (2 * n - 2)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(starts, lambda i: F.element_at(runs, i).rlike(rf"^[{word}]"))
-        return F.flatten(F.transform(starts, at))
+    wanted = spans if isinstance(spans, Column) else F.array(*[F.lit(n) for n in spans]).cast("array<int>")
+
+    def at(runs: Column, i: Column, n: Column) -> Column:
+        def forms(core):
+            before = F.when(i > 1, F.try_element_at(runs, i - 1))
+            after = F.try_element_at(runs, i + (2 * n - 1))
+            dotted, first = F.coalesce(before.endswith("."), F.lit(False)), F.coalesce(F.substring(after, 1, 1), F.lit(""))
+            return F.when(dotted | first.isin("+", "#"), F.filter(F.array(
+                core,
+                F.when(dotted, F.concat(F.lit("."), core)),
+                F.when(first == "+", F.concat(core, F.lit("+"))),
+                F.when(after.startswith("++"), F.concat(core, F.lit("++"))),
+                F.when(first == "#", F.concat(core, F.lit("#"))),
+            ), lambda f: f.isNotNull())).otherwise(F.array(core))
+        return let(F.array_join(F.slice(runs, i, 2 * n - 1), ""), forms)
 
     def build(runs: Column) -> Column:
-        out = none
-        for n in range(1, longest + 1):
-            out = F.concat(out, spans(runs, n))
-        return out
+        # Runs of word and other characters alternate, so words stand at every second place.
+        first = F.when(F.try_element_at(runs, F.lit(1)).rlike(rf"^[{word}]"), 1).otherwise(2)
+
+        def of_length(n):
+            last = F.size(runs) - (2 * n - 2)
+            return F.when(last >= first, F.flatten(F.transform(F.sequence(first, F.greatest(last, first), F.lit(2)), lambda i: at(runs, i, n)))).otherwise(none)
+
+        return F.flatten(F.transform(wanted, of_length))
 
     return let(picks(F.lower(squeeze(text)), rf"[{word}]+|[^{word}]+", 0), build)
 
 
-def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
+def dictionary_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, category, n): dictionary terms that occur as whole words, with counts.
 
-    Work is linear in the text whatever the size of the dictionary. Spans go up to ``longest`` words,
-    by default as many as the longest term has. The dictionary is joined without a hint: the
-    planner broadcasts a small one, and hot spans of a shuffle join are split at run time.
+    Work is linear in the text whatever the size of the dictionary: only spans of lengths that terms
+    have are built, and only those that may be terms leave the scan. The dictionary is joined without
+    a hint, and hot spans of a shuffle join are split at run time.
     """
     rules = terms.select(F.lower(squeeze("term")).alias("term"), "category").distinct()
-    longest = longest or most_words(rules, "term", "[^a-z0-9_]+")
-    spans = docs.select(key, F.explode(grams(text, longest)).alias("term"))
-    return lookup_join(spans, rules, ["term"]).groupBy(key, "term", "category").agg(big(F.count("*")).alias("n"))
+    scan = spread(docs, key, text).select(key, c(text).alias("_text"), lengths(rules, "term", "[^a-z0-9_]+").alias("_lengths"))
+    hits = scan.select(key, F.explode_outer(grams("_text", F.col("_lengths"))).alias("term")).where("term is not null")
+    return lookup_join(hits, rules, ["term"]).groupBy(key, "term", "category").agg(big(F.count("*")).alias("n"))
 
 
 def token_set(text: str | Column) -> Column:
@@ -134,15 +132,18 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text:
     """(key, phrase): phrases contained in the text whose every word is in the document's token set.
 
     A phrase's longest word is its anchor: documents meet phrases by an equi-join on it, and only
-    those candidates are verified. The candidates carry no text until then.
+    those candidates are verified. A document's candidates are packed first, so its text comes to
+    them once and its tokens are found once; the text is searched before the tokens are.
     """
     rules = phrases.select(F.lower("phrase").alias("phrase")).distinct().withColumn("_w", pieces("phrase", r"[ \t]+"))
     rules = rules.withColumn("_anchor", F.expr("array_max(transform(_w, w -> struct(length(w) as n, w as w))).w"))
-    tokens = docs.select(key, F.explode(token_set(text)).alias("_anchor"))
-    found = lookup_join(tokens, rules.select("_anchor", "phrase", "_w"), ["_anchor"]).select(key, "phrase", "_w")
-    body = docs.select(key, F.lower(text).alias("_t"), token_set(text).alias("_set"))
-    checked = found.join(body, key).where(F.col("_t").contains(F.col("phrase")) & (F.size(F.array_except("_w", "_set")) == 0))
-    return checked.select(key, "phrase").distinct()
+    tokens = spread(docs, key, text).select(key, F.explode_outer(token_set(text)).alias("_anchor")).where("_anchor is not null")
+    found = lookup_join(tokens, rules.select("_anchor", "phrase", "_w"), ["_anchor"])
+    packed = found.groupBy(key).agg(F.collect_set(F.struct("phrase", "_w")).alias("_p"))
+    held = packed.join(docs.select(key, c(text).alias("_text")), key)
+    named = held.select(key, "_text", let(F.lower("_text"), lambda t: F.filter("_p", lambda p: t.contains(p["phrase"]))).alias("_p")).where(F.size("_p") > 0)
+    kept = let(token_set("_text"), lambda ts: F.filter("_p", lambda p: F.size(F.array_except(p["_w"], ts)) == 0))
+    return named.select(key, F.explode(kept).alias("_one")).select(key, "_one.phrase").distinct()
 
 
 # ---------------------------------------------------------------- glued tokens
@@ -222,10 +223,9 @@ def score_terms(docs: DataFrame, categories: DataFrame, key: str = "doc_id", tex
     raw = F.split(c(text), r"[ \t\r\n]+")
     clean = F.transform(raw, lambda w: F.lower(F.regexp_replace(w, r"[^a-zA-Z0-9\-+#.]", "")))
     good = lambda t: (F.length(t).between(3, 35) & t.rlike(r"^[a-z][a-z0-9\-+#.]*$") & ~t.contains(".") & outside(t, noise))
-    items = F.filter(F.transform(clean, lambda t, i: F.struct(t.alias("term"), big(i).alias("pos"))), lambda s: good(s["term"]))
-    rows = by_document(docs, key, text).select(key, items.alias("_t"), F.size(raw).alias("_n"), _section_weight(F.lower(c(text)), sections).alias("_s"))
-    counts = rows.select(key, "_n", "_s", F.inline("_t")).groupBy(key, "term").agg(
-        big(F.count("*")).alias("freq"), F.min("pos").alias("pos"), F.first("_n").alias("_n"), F.first("_s").alias("_s"))
+    # Counted inside the row; what is joined to the boosts holds no text.
+    rows = spread(docs, key, text).select(key, F.size(raw).alias("_n"), _section_weight(F.lower(c(text)), sections).alias("_s"), term_runs(placed_terms(clean, good)).alias("_t"))
+    counts = rows.select(key, "_n", "_s", F.inline_outer("_t")).where("term is not null")
     factor = F.coalesce(F.try_element_at(literal_map(dict(boosts)), F.col("category")), F.lit(1.0))
     boost = categories.select(F.lower("term").alias("term"), "category").distinct().groupBy("term").agg(
         F.exp(F.sum(F.ln(factor))).alias("_boost"))
@@ -249,9 +249,16 @@ def band_terms(scored: DataFrame, key: str = "doc_id", k: int = 35, high: float
     return top.select(key, "term", "score", "rank", band(F.col("rank"), total, high, medium, high_cap, medium_cap).alias("priority"))
 
 
+#: 5 to this power is still a finite double with room for the factor.
+MOST_HITS = 300
+
+
 def tech_weight(n: Column) -> Column:
-    """Weight after n hits when every hit adds one and multiplies the total by 5: 5(5^n − 1)/4."""
-    return 5 * (F.pow(F.lit(5.0), F.least(n, F.lit(300))) - 1) / 4
+    """Weight after n hits when every hit adds one and multiplies the total by 5: 5(5^n − 1)/4.
+
+    A double holds it for up to ``MOST_HITS`` hits; more weigh as much, and ties go by count.
+    """
+    return 5 * (F.pow(F.lit(5.0), F.least(n, F.lit(MOST_HITS))) - 1) / 4
 
 
 def tech_terms(docs: DataFrame, tech: Sequence[str], phrases: Sequence[str], key: str = "doc_id", text: str = "text", k: int = 50,
@@ -260,15 +267,20 @@ def tech_terms(docs: DataFrame, tech: Sequence[str], phrases: Sequence[str], key
     is_tech = lambda t: t.isin(list(tech))
     tokens = pieces(F.lower(c(text)), r"[^a-z0-9\-/.#+]+")
     keep = lambda t: (F.length(t) >= 2) & outside(t, stop) & (is_tech(t) | (F.length(t) > 4))
-    items = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), big(i).alias("pos"))), lambda s: keep(s["term"]))
-    offset = F.lit(1 << 40)
-    numbered = F.transform(word_array(phrases), lambda p, i: F.struct(p.alias("term"), (offset + i).alias("pos")))
-    named = let(F.lower(c(text)), lambda body: F.filter(numbered, lambda s: body.contains(s["term"])))
-    rows = by_document(docs, key, text).select(key, F.concat(
-        F.transform(items, lambda s: F.struct(s["term"].alias("term"), s["pos"].alias("pos"), F.lit(0).alias("p"))),
-        F.transform(named, lambda s: F.struct(s["term"].alias("term"), s["pos"].alias("pos"), F.lit(1).alias("p")))).alias("_t"))
-    counts = rows.select(key, F.inline("_t")).groupBy(key, "term").agg(
-        F.sum(1 - F.col("p")).alias("_n"), F.sum("p").alias("_p"), F.min("pos").alias("pos"))
+    counted = term_runs(placed_terms(tokens, keep))
+    listed = F.transform(word_array(phrases), lambda p, i: F.struct(p.alias("term"), i.alias("i")))
+    named = let(F.lower(c(text)), lambda body: F.filter(listed, lambda s: body.contains(s["term"])))
+
+    def weighed(both):
+        """Counted tokens and named phrases as one list; a phrase that is a token too is one entry."""
+        runs, found = both["runs"], both["named"]
+        is_named = lambda t: F.exists(found, lambda s: s["term"] == t)
+        alone = F.filter(found, lambda s: ~F.exists(runs, lambda r: r["term"] == s["term"]))
+        return F.concat(
+            F.transform(runs, lambda r: F.struct(r["term"].alias("term"), r["freq"].alias("_n"), is_named(r["term"]).cast("int").alias("_p"), r["pos"].alias("pos"))),
+            F.transform(alone, lambda s: F.struct(s["term"].alias("term"), F.lit(0).cast("bigint").alias("_n"), F.lit(1).alias("_p"), big(F.lit(1 << 40) + s["i"]).alias("pos"))))
+
+    counts = spread(docs, key, text).select(key, F.inline_outer(let(F.struct(counted.alias("runs"), named.alias("named")), weighed))).where("term is not null")
     weight = F.when(is_tech(F.col("term")) & (F.col("_n") > 0), tech_weight(F.col("_n"))).otherwise(F.col("_n").cast("double")) + 10 * F.col("_p")
     top = ranked(counts.withColumn("weight", weight), key, [F.desc("weight"), F.desc("_n"), F.col("pos")], k)
     total = F.count("*").over(Window.partitionBy(key))
@@ -299,23 +311,23 @@ def merge_terms(mandatory: DataFrame, extracted: DataFrame, key: str = "doc_id",
         F.coalesce(F.when(F.col("_band") != "high", F.col("_band")), F.lit("medium")))).select(key, "term", "ord", "priority")
 
 
-def classify_roi(docs: DataFrame, tiers=tuple((t, tuple(w)) for t, w in R.ROI_TIERS), key: str = "doc_id", text: str = "text", longest: int | None = None,
+def classify_roi(docs: DataFrame, tiers=tuple((t, tuple(w)) for t, w in R.ROI_TIERS), key: str = "doc_id", text: str = "text",
                  open_hard: DataFrame | None = None, open_soft: DataFrame | None = None, loose: int = 15, cap: int = 50,
                  stop: Sequence[str] = tuple(R.ROI_STOP_WORDS)) -> DataFrame:
     """(key, term, tier, ord): tier terms in list order, openly found skills behind them, then loose words; high, medium, unclassified, low.
 
     ``open_hard`` and ``open_soft`` (key, term, rank) join high and low unless already there.
     """
-    body = docs.where(F.length(c(text)) >= 50)
+    body = spread(docs, key, text).where(F.length(c(text)) >= 50)
     listed = [(term, tier, i) for tier, terms in tiers for i, term in enumerate(terms)]
     rules = docs.sparkSession.createDataFrame(listed, "term string, tier string, ord long")
-    longest = longest or max(len(re.split("[^a-z0-9]+", term.lower())) for term, _, _ in listed)
+    sizes = sorted({len(re.split("[^a-z0-9]+", term.lower())) for term, _, _ in listed})
     tier_rank = literal_map({"high": 0, "medium": 1, "unclassified": 2, "low": 3})
-    spans = by_document(body, key, text).select(key, F.array_distinct(grams(text, longest, "a-z0-9")).alias("_g"), words(F.regexp_replace(F.lower(c(text)), r"[^a-z0-9\-/]+", " ")).alias("_w"))
-    found = spans.select(key, F.explode("_g").alias("term")).join(rules, "term").withColumn("_src", F.lit(0))
+    found = lookup_join(body.select(key, F.explode_outer(F.array_distinct(grams(text, sizes, "a-z0-9"))).alias("term")).where("term is not null"), rules, ["term"]).withColumn("_src", F.lit(0))
     known = found.select(key, "term").distinct()
-    plain = spans.select(key, F.posexplode("_w").alias("_pos", "term")).where((F.length("term") >= 3) & outside(F.col("term"), stop))
-    counts = plain.groupBy(key, "term").agg(F.count("*").alias("_n"), F.min("_pos").alias("_pos")).join(known, [key, "term"], "left_anti")
+    loose_words = words(F.regexp_replace(F.lower(c(text)), r"[^a-z0-9\-/]+", " "))
+    counts = body.select(key, F.inline_outer(term_runs(placed_terms(loose_words, lambda t: (F.length(t) >= 3) & outside(t, stop))))).where("term is not null")
+    counts = counts.select(key, "term", F.col("freq").alias("_n"), F.col("pos").alias("_pos")).join(known, [key, "term"], "left_anti")
     rest = ranked(counts, key, [F.desc("_n"), F.col("_pos")], loose).select(
         key, "term", F.lit("unclassified").alias("tier"), F.col("rank").alias("ord"), F.lit(0).alias("_src"))
     rows = found.select(key, "term", "tier", "ord", "_src").unionByName(rest)
@@ -410,7 +422,7 @@ def hard_skills(docs: DataFrame, key: str = "doc_id", text: str = "text", heads:
         return let(skill_norm(x["raw"]), lambda k: F.struct(k.alias("skill"), F.trim(x["raw"]).alias("display"), x["weight"].alias("weight"), mentions(h, k).alias("_count")))
 
     # Counted inside the row: what is exploded, and shuffled later, holds no text.
-    rows = docs.select(key, F.inline(let(hay, lambda h: F.transform(cands, lambda x: named(h, x)))))
+    rows = spread(docs, key, text).select(key, F.inline_outer(let(hay, lambda h: F.transform(cands, lambda x: named(h, x))))).where("skill is not null")
     good = _phrase_ok(pieces("skill", " "), edge) & outside(F.col("skill"), R.NOT_A_SKILL) & (F.col("skill") != "")
     rows = rows.where(good)
     grouped = rows.groupBy(key, "skill").agg(
@@ -446,10 +458,10 @@ def soft_skills(docs: DataFrame, terms: Sequence[str] = tuple(R.SOFT_SKILLS), ke
     """(key, skill, matched_form): soft skills by any of their forms; "X skills" is reported when the text says so."""
     forms = soft_variants(terms)
     rules = docs.sparkSession.createDataFrame(forms, "term string, form string, ord long")
-    longest = max(len(form.split()) for _, form, _ in forms)
+    sizes = sorted({len(form.split()) for _, form, _ in forms})
     from postlens.operators.history import word_ngrams
 
-    spans = docs.select(key, F.explode(word_ngrams(pieces(skill_norm(text), " "), longest)).alias("form"))
+    spans = spread(docs, key, text).select(key, F.explode(word_ngrams(pieces(skill_norm(text), " "), sizes)).alias("form"))
     hit = spans.join(rules, "form")
     named = F.max((F.col("form") == F.concat("_base", F.lit(" skills"))).cast("int"))
     return hit.withColumn("_base", skill_norm("term")).groupBy(key, "term").agg(
@@ -540,4 +552,4 @@ def term_df(terms: DataFrame, key: str = "doc_id", top: tuple[int, int, int] = (
 def term_jobs(report: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """(term, key): the postings behind each reported term, as rows rather than one growing array."""
     pairs = terms.select(key, F.lower("term").alias("term")).distinct()
-    return pairs.join(F.broadcast(report.select("term")), "term").select("term", key)
+    return lookup_join(pairs, report.select("term"), ["term"]).select("term", key)
