@@ -147,7 +147,8 @@ def identify(docs: DataFrame, model: CodeModel, text: str = "text") -> DataFrame
     """The columns of ``docs`` with ``lang_pred, score, ambiguous``; columns of these names are replaced.
 
     Reads whole texts and nothing else. Null texts and texts without a letter are ``und`` with
-    score 0; so is everything if no language was learned. No shuffle.
+    score 0; so is everything if no language was learned. Repeated rows get equal results; other
+    columns pass whatever they are called. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: buckets x bits
 
@@ -160,5 +161,6 @@ def identify(docs: DataFrame, model: CodeModel, text: str = "text") -> DataFrame
     call = call.asNondeterministic()  # else a filter on the prediction would predict a second time
     new = ["lang_pred", "score", "ambiguous"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    return docs.select(*kept, call(F.col(f"`{text}`")).alias("_made_")).select(*kept, "_made_.*")
+    made = docs.select(F.struct(*kept).alias("_row"), call(F.col(f"`{text}`")).alias("_made"))
+    return made.select("_row.*", "_made.*")
 

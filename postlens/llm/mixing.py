@@ -168,7 +168,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A document taken twice in full and once in part holds its text twice and then the drawn parts,
     each on lines of its own. Rows of which nothing is taken are not in the mix. Rows that repeat a whole
-    row share what is taken of them. Whole texts are shuffled once, by document.
+    row share what is taken of them. Columns of ``docs`` pass whatever they are called. Whole texts are shuffled once, by document.
     """
     rows, pieces = mix(docs, doc_id, text, source, **options)
     spans = pieces.groupBy("_no", "_start").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "uses"))).alias("_spans"))
@@ -176,14 +176,17 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copy = F.row_number().over(Window.partitionBy("_id", "_sig", "_source").orderBy("_start"))
     taken = rows.where("taken > 0").join(spans, ["_no", "_start"])
     keyed = taken.withColumn("_copy", copy).where("_copy = 1").select(F.col("_id").alias("_i"), F.col("_sig").alias("_s"), F.col("_source").alias("_c"), "_spans")
-    texts = docs.withColumn("_sig_", F.xxhash64(whole))
-    found = texts.join(keyed, texts[doc_id].eqNullSafe(keyed["_i"]) & (texts["_sig_"] == keyed["_s"]) & texts[source].cast("string").eqNullSafe(keyed["_c"]))
+    # The row travels packed, so no column of it can be taken for one of these.
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    texts = docs.select(packed, F.col(f"`{doc_id}`").alias("_i0"), F.xxhash64(whole).alias("_s0"), F.col(f"`{source}`").cast("string").alias("_c0"))
+    found = texts.join(keyed, F.col("_i0").eqNullSafe(F.col("_i")) & (F.col("_s0") == F.col("_s")) & F.col("_c0").eqNullSafe(F.col("_c")))
 
     @F.pandas_udf("string")
     def assemble(values: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([taken_text(v, [(s["_from"], s["_to"], s["uses"]) for s in ss]) for v, ss in zip(values, spans, strict=True)])
 
-    return found.withColumn(text, assemble(F.col(f"`{text}`"), F.col("_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    made = found.select("_row", assemble(F.col("_row").getField(text), F.col("_spans")).alias("_new"))
+    return made.select(*[F.col("_new").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def taken_text(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -209,3 +209,50 @@ def test_overlaps_are_all_overlapping_pairs():
     starts = [e - one.lengths[k][ids[k]] for k, e in enumerate(ends)]
     want = {(i, j) for i in range(len(ids[0])) for j in range(len(ids[1])) if starts[0][i] < ends[1][j] and starts[1][j] < ends[0][i]}
     assert sorted(map(tuple, pairs.to_numpy().tolist())) == sorted(want) and len(pairs) == len(want)
+
+
+def test_columns_may_be_called_anything(spark):
+    from postlens.llm import langid, mixing
+
+    names = ["_spans", "_sig_", "_i", "_s", "_c", "_made_", "_row", "_new", "_copy", "size", "a.b"]
+    rows = [(k, f"word{k} and some more words {k % 7}", "en", f"s{k % 3}", *[f"{name}{k}" for name in names]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{name}` string" for name in names))
+    mixed, told = mixing.mixed_documents(docs), langid.identify(docs, langid.train(docs))
+    assert mixed.columns == docs.columns and told.columns == [*docs.columns, "lang_pred", "score", "ambiguous"]
+    for made in (mixed.collect(), told.collect()):
+        assert made and all(r[name] == f"{name}{r['doc_id']}" for r in made for name in names)
+    plain = {(r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs.drop(*[f"{n}" for n in names])).collect()}
+    assert plain == {(r["doc_id"], r["text"]) for r in mixed.collect()}
+
+
+def test_codewords_are_decoded_as_written(spark):
+    """Predictions of the decoder, document by document, against plain loops over the model's tables."""
+    import math
+
+    import numpy as np
+
+    from postlens.llm import langid
+
+    rng = random.Random(2)
+    alphabets = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx", "ee": "yzabgh", "ff": "éèàùçô"}
+    text = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    rows = [(k, text(lang, 30), lang) for k, lang in enumerate(list(alphabets) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
+    for k, t, _ in rows[:30]:
+        data, out, n = t.encode().lower(), [0.0] * model.code.shape[1], 0
+        for order in langid.ORDERS:
+            for i in range(len(data) - order + 1):
+                code = order
+                for byte in data[i : i + order]:
+                    code = (code * 257 + byte) % 2**32
+                bucket = (code * 2654435761 % 2**32) >> (32 - langid.BUCKETS.bit_length() + 1)
+                out = [a + float(w) for a, w in zip(out, model.weights[bucket], strict=True)]
+                n += 1
+        out = [a / n for a in out]
+        loss = [sum(trust * math.log1p(math.exp(-langid.SLOPE * c * o)) for trust, c, o in zip(model.trust, word, out, strict=True)) / sum(model.trust) for word in model.code]
+        best = min(range(len(loss)), key=loss.__getitem__)
+        chance = [math.exp(-langid.SLOPE * (x - loss[best])) for x in loss]
+        assert got[k][0] == model.languages[best] and abs(got[k][1] - chance[best] / sum(chance)) < 1e-4
+    assert np.mean([got[k][0] == lang for k, _, lang in rows]) > 0.95
