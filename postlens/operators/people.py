@@ -84,6 +84,11 @@ def discipline_of(col: str | Column, rules=tuple(R.DISCIPLINES)) -> Column:
     return out
 
 
+def field_of(col: str | Column, shapes=tuple(R.ROLE_SHAPES), fields=tuple(R.FIELDS)) -> Column:
+    """The field of work a title names: by the shape of the role, else by the first matching field; '' for none."""
+    return discipline_of(col, (*shapes, *fields))
+
+
 def recruiter_covers(col: str | Column) -> Column:
     """The discipline a recruiter's title names besides recruiting; '' for others."""
     t = F.lower(c(col))
@@ -93,8 +98,8 @@ def recruiter_covers(col: str | Column) -> Column:
 
 
 def discipline(titles: DataFrame, title: str = "title") -> DataFrame:
-    """(title, discipline, covers) per distinct title."""
-    return titles.select(title).distinct().withColumn("discipline", discipline_of(title)).withColumn("covers", recruiter_covers(title))
+    """(title, field, discipline, covers) per distinct title."""
+    return titles.select(title).distinct().withColumn("field", field_of(title)).withColumn("discipline", discipline_of(title)).withColumn("covers", recruiter_covers(title))
 
 
 def norm_company(col: str | Column) -> Column:

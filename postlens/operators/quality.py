@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.text import big, c, found, hits, keep_present, let, literal_map, outside, percent, picks, pieces, squeeze, sub, sub_all
+from postlens.functions.text import big, c, found, hits, keep_present, let, literal_map, outside, percent, picks, pieces, placed_terms, squeeze, sub, sub_all, term_runs
 from postlens.operators.terms import by_document, dictionary_hits
 from postlens.rules import quality as R
 
@@ -295,6 +295,27 @@ def normalise_corpus(docs: DataFrame, substitutions: Mapping[str, str], phrases:
     return work.withColumn(text, F.trim(sub_all(joined, [(r"[ \t]{2,}", " "), (r"[ \t]+([.,;:])", "$1"), (r" \n", "\n")]))).drop("_k")
 
 
+def rewrite_counts(docs: DataFrame, substitutions: Mapping[str, str], phrases: Sequence[tuple[str, str]] = (), drop: Sequence[str] = tuple(R.FILLER_WORDS), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rule, n): how often each rule of ``normalise_corpus`` applies; rules that never apply give no row.
+
+    Rules: ``phrase:`` and its pattern, ``range dash``, ``clause dash``, ``word:`` and the word replaced, ``filler:`` and the word dropped.
+    """
+    body, steps = c(text), []
+    for pattern, replacement in phrases:
+        steps.append(F.struct(F.lit("phrase:" + pattern).alias("rule"), hits(body, pattern).alias("n")))
+        body = sub(body, pattern, replacement)
+    ranges = r"([0-9])[ ]*[—–][ ]*([0-9])"
+    steps.append(F.struct(F.lit("range dash").alias("rule"), hits(body, ranges).alias("n")))
+    body = sub(body, ranges, "$1-$2")
+    steps.append(F.struct(F.lit("clause dash").alias("rule"), hits(body, r"[ ]*—[ ]*").alias("n")))
+    body = sub(body, r"[ ]*—[ ]*", ", ")
+    table = literal_map({**{k.lower(): "word:" + k.lower() for k in substitutions}, **{w: "filler:" + w for w in drop}})
+    named = F.filter(F.transform(picks(body, r"[A-Za-z][A-Za-z'\-]*", 0), lambda t: F.try_element_at(table, F.lower(t))), lambda r: r.isNotNull())
+    counted = F.transform(term_runs(placed_terms(named, lambda r: F.lit(True))), lambda r: F.struct(r["term"].alias("rule"), r["freq"].alias("n")))
+    rows = docs.select(key, F.concat(F.array(*steps), counted).alias("_r"))
+    return rows.select(key, F.inline_outer("_r")).where("n > 0")
+
+
 def audit_summary(flags: DataFrame, docs: DataFrame, key: str = "doc_id", by: str = "lang") -> DataFrame:
     """(kind, by, docs, pct): share of documents with each kind of flag, with subtotals, by rollup."""
     kinds = flags.select(key, "kind").distinct().join(docs.select(key, by), key)

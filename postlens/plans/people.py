@@ -136,6 +136,7 @@ _BOX = "CASE c_nationkey % 7 " + " ".join(f"WHEN {i} THEN {S.q(b)}" for i, b in
 _SCORE = "CASE c_nationkey % 7 WHEN 0 THEN 88 WHEN 1 THEN 95 WHEN 2 THEN 100 WHEN 4 THEN 20 WHEN 5 THEN 50 WHEN 6 THEN 30 END"
 _SRC = "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'mailto' WHEN 'MACHINERY' THEN 'json-ld' WHEN 'FURNITURE' THEN 'meta' ELSE 'page-text' END"
 _DISC = "CASE " + " ".join(f"WHEN regexp_matches(t, {S.q(p)}) THEN {S.q(n)}" for n, p in R.DISCIPLINES) + " ELSE '' END"
+_FIELD = "CASE " + " ".join(f"WHEN regexp_matches(t, {S.q(p)}) THEN {S.q(n)}" for n, p in [*R.ROLE_SHAPES, *R.FIELDS]) + " ELSE '' END"
 _DISC2 = "CASE " + " ".join(f"WHEN regexp_matches(u, {S.q(p)}) THEN {S.q(n)}" for n, p in R.DISCIPLINES) + " ELSE '' END"
 _TITLES = """tt AS (SELECT p_partkey, p_type || ' ' || ['Software Engineer', 'Technical Recruiter', 'Finance Recruiter', 'Nurse', 'Sales Lead', 'Data Scientist', 'Head of Product', 'Gardener', 'Scrum Master', 'HR Partner'][p_size % 10 + 1] AS title FROM part),
     td AS (SELECT p_partkey, title, lower(title) AS t, regexp_replace(lower(title), '""" + R.RECRUITING_WORDS + """', ' ', 'g') AS u FROM tt)"""
@@ -146,7 +147,7 @@ ORACLES = {
     "i3_posting_reference": """SELECT c_custkey, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Jane Okafor' WHEN 'MACHINERY' THEN 'Ann Lee' WHEN 'FURNITURE' THEN 'Bo Li' END AS name, CASE c_mktsegment WHEN 'MACHINERY' THEN 'Data Platform' END AS department,
         CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Cork, Ireland' WHEN 'FURNITURE' THEN 'Graz' END AS location, 'Job ID: R-' || c_custkey || CASE c_mktsegment WHEN 'MACHINERY' THEN '|Department: Data Platform' WHEN 'HOUSEHOLD' THEN '|Location: Cork, Ireland' WHEN 'FURNITURE' THEN '|Location: Graz' ELSE '' END AS ref_lines FROM customer""",
     "i4_discipline": f"""WITH {_TITLES}, x AS (SELECT DISTINCT title, t, u FROM td)
-        SELECT title, {_DISC} AS discipline, CASE WHEN NOT regexp_matches(t, 'talent|recruit|sourc|hiring') THEN '' WHEN {_DISC2} = '' AND regexp_matches(t, '(?:^|[^a-z0-9_])(?:tech(?:nical)?|eng)(?:$|[^a-z0-9_])') THEN 'engineering' WHEN {_DISC2} = 'hr' THEN '' ELSE {_DISC2} END AS covers FROM x""",
+        SELECT title, {_FIELD} AS field, {_DISC} AS discipline, CASE WHEN NOT regexp_matches(t, 'talent|recruit|sourc|hiring') THEN '' WHEN {_DISC2} = '' AND regexp_matches(t, '(?:^|[^a-z0-9_])(?:tech(?:nical)?|eng)(?:$|[^a-z0-9_])') THEN 'engineering' WHEN {_DISC2} = 'hr' THEN '' ELSE {_DISC2} END AS covers FROM x""",
     "i5_company_match": "SELECT s_suppkey AS l, s_suppkey + 1000000 AS r, 'true' AS agrees FROM supplier",
     "i6_rank_candidates": """WITH p AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         r AS (SELECT s_suppkey AS posting_id, 'p' || c_custkey || CASE WHEN c_acctbal < 1000 THEN '@gmail.com' ELSE '@firm' || s_suppkey || '.io' END AS address,

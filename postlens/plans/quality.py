@@ -124,6 +124,10 @@ def f13(spark, folder):
     return out.select("doc_id", "changes", F.md5("text").alias("text_md5"))
 
 
+def f13b(spark, folder):
+    return Q.rewrite_counts(docs(spark, folder), SPELLING, phrases=[("que la", "qua lo")], drop=["to", "en"])
+
+
 def all_flags(spark, folder):
     """Flags of several families under one (doc_id, kind) shape."""
     ls = lines(spark, folder)
@@ -184,7 +188,7 @@ def f19(spark, folder):
 QUERIES = {
     "f1_line_table": f01, "f2_opener_flags": f02, "f3_repetition": f03, "f4_metrics": f04, "f5_language_flags": f05, "f6_format_flags": f06, "f7_consistency_flags": f07,
     "f8_summary_flags": f08, "f9_prose_score": f09, "f10_vocabulary_issues": f10, "f10_vocabulary_report": f10b, "f11_placeholders": f11, "f11_drop_placeholders": f11b,
-    "f12_letter_health": f12, "f13_normalise_corpus": f13, "f14_audit_summary": f14, "f14_worst_documents": f14b, "f14_by_source": f14c, "f14_flag_quality": f14d, "f15_clamp_sections": f15, "f16_line_types": f16, "f16_types_by_source": f16b,
+    "f12_letter_health": f12, "f13_normalise_corpus": f13, "f13_rewrite_counts": f13b, "f14_audit_summary": f14, "f14_worst_documents": f14b, "f14_by_source": f14c, "f14_flag_quality": f14d, "f15_clamp_sections": f15, "f16_line_types": f16, "f16_types_by_source": f16b,
     "f17_denoise": f17, "f18_repair_case": f18, "f19_dedupe_sections": f19,
 }
 
@@ -298,6 +302,11 @@ ORACLES.update({
     "f13_normalise_corpus": f"""WITH b AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, 'que la', 'qua lo', 'g'), '([0-9])[ ]*[—–][ ]*([0-9])', '\\1-\\2', 'g'), '[ ]*—[ ]*', ', ', 'g'), '[A-Za-z][A-Za-z''\\-]*|[^A-Za-z]+') AS k FROM documents),
         j AS (SELECT doc_id, CAST(len(list_filter(k, lambda t: {_SWAPS} IS NOT NULL)) AS BIGINT) AS changes, array_to_string(list_transform(k, lambda t: {_TOKEN}), '') AS t FROM b)
         SELECT doc_id, changes, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), '[ \\t]+([.,;:])', '\\1', 'g'), ' \\n', chr(10), 'g'))) AS text_md5 FROM j""",
+    "f13_rewrite_counts": f"""WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text, 'que la', 'qua lo', 'g') AS t1 FROM documents),
+        b AS (SELECT *, regexp_replace(t1, '([0-9])[ ]*[—–][ ]*([0-9])', '\\1-\\2', 'g') AS t2 FROM a), k AS (SELECT *, unnest(regexp_extract_all(regexp_replace(t2, '[ ]*—[ ]*', ', ', 'g'), '[A-Za-z][A-Za-z''\\-]*')) AS w FROM b),
+        r AS (SELECT doc_id, 'phrase:que la' AS rule, {S.hits('t0', 'que la')} AS n FROM b UNION ALL SELECT doc_id, 'range dash', {S.hits('t1', '[0-9][ ]*[—–][ ]*[0-9]')} FROM b UNION ALL SELECT doc_id, 'clause dash', {S.hits('t2', '[ ]*—[ ]*')} FROM b
+          UNION ALL SELECT doc_id, CASE WHEN lower(w) IN ('to', 'en') THEN 'filler:' ELSE 'word:' END || lower(w), count(*) FROM k WHERE lower(w) IN {S.in_list([*SPELLING, 'to', 'en'])} GROUP BY ALL)
+        SELECT doc_id, rule, n FROM r WHERE n > 0""",
     "f15_clamp_sections": """WITH f AS (SELECT doc_id, text AS t FROM documents), s AS (SELECT doc_id, t, len(string_split(t, chr(10))) > 6 OR regexp_matches(t, '(?:^|\\n)[ \\t]*[-•*][ \\t]*[^ \\t\\n]') AS odd, list_filter(list_transform(regexp_extract_all(replace(t, chr(10), ' '), '([^.!?]+[.!?]*)', 1), lambda x: trim(x)), lambda x: x <> '') AS a FROM f),
         k AS (SELECT *, list_filter(a, lambda x: NOT regexp_matches(x, '(?i)thon|que la')) AS s FROM s), u AS (SELECT *, array_to_string(s, ' ') AS fu, coalesce(list_max(list_filter(range(1, len(s) + 1), lambda i: len(array_to_string(s[1:i], ' ')) <= 220)), 0) AS n FROM k)
         SELECT doc_id, CAST(CASE WHEN odd THEN 0 ELSE len(a) - len(s) END AS BIGINT) AS removed, CAST(NOT odd AND len(fu) > 220 AS VARCHAR) AS clamped,

@@ -97,7 +97,14 @@ def g09(spark, folder):
 
 
 def g10(spark, folder):
-    rows = doc_roles(spark, folder).withColumn("start", F.when(F.length("company") > 4, "2015")).withColumn("end", F.when(F.col("title") != "", "2016")).withColumn("months", F.length("company") * 60)
+    """Customers' orders as roles: dates and months are those of the order and its shipments; open orders have no end."""
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    shipped = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last"), F.array_sort(F.collect_list(F.when(F.col("l_returnflag") != "N", F.col("l_linenumber").cast("string")))).alias("bullets"))
+    rows = orders.join(shipped, orders.o_orderkey == shipped.l_orderkey, "left").select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("role_no"), F.concat(F.lit("Works "), F.col("o_orderkey") % 97).alias("company"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.substring("o_orderpriority", 3, 20)).alias("title"),
+        F.when(F.col("o_totalprice") > 20000, F.date_format("o_orderdate", "yyyy-MM")).alias("start"), F.when(F.col("o_orderstatus") != "O", F.date_format("_last", "yyyy-MM")).alias("end"),
+        F.floor(F.months_between("_last", "o_orderdate")).alias("months"), F.coalesce("bullets", F.array().cast("array<string>")).alias("bullets"))
     return G.extraction_quality(rows).select("doc_id", "confidence", F.array_join("warnings", "|").alias("warnings"), F.col("valid").cast("string").alias("valid"))
 
 
@@ -179,11 +186,11 @@ ORACLES = {
         CASE WHEN c_mktsegment = 'FURNITURE' THEN 'role 1: no start|role 1: no bullets' ELSE '' END AS warnings FROM customer""",
     "g9_immutable_violations": """SELECT o_custkey AS doc_id, o_orderkey AS role_no, 'title' AS field, o_orderpriority AS was, '5-LOW' AS now FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'
         UNION ALL SELECT o_custkey, o_orderkey, 'dates', strftime(o_orderdate, '%Y-%m'), NULL FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'""",
-    "g10_extraction_quality": f"""WITH {_ROLES}, x AS (SELECT *, len(company) > 4 AS st, title <> '' AS en, len(company) * 60 > 480 AS lg FROM roles),
-        w AS (SELECT doc_id, role_no, unnest(list_filter([CASE WHEN company = '' THEN 'no company in role ' || role_no END, CASE WHEN title = '' THEN 'no title in role ' || role_no END, CASE WHEN NOT st THEN 'no start in role ' || role_no END,
-          CASE WHEN len(bullets) = 0 THEN 'no bullets in role ' || role_no END, CASE WHEN lg THEN 'over 40 years in role ' || role_no END], lambda z: z IS NOT NULL)) AS m FROM x), wa AS (SELECT doc_id, string_agg(m, '|' ORDER BY m) AS warnings FROM w GROUP BY 1)
-        SELECT doc_id, round(avg((CAST(company <> '' AS INT) + CAST(title <> '' AS INT) + CAST(st AS INT) + CAST(en AS INT)) / 4), 4) AS confidence, coalesce(any_value(warnings), '') AS warnings,
-          CAST(count(*) FILTER (WHERE company <> '' AND title <> '') > 0 AS VARCHAR) AS valid FROM x LEFT JOIN wa USING (doc_id) GROUP BY doc_id""",
+    "g10_extraction_quality": """WITH l AS (SELECT l_orderkey, max(l_shipdate) AS last, count(*) FILTER (WHERE l_returnflag <> 'N') AS nb FROM lineitem GROUP BY 1),
+        x AS (SELECT o_custkey AS doc_id, o_orderkey AS role_no, o_orderpriority <> '4-NOT SPECIFIED' AS ti, o_totalprice > 20000 AS st, o_orderstatus <> 'O' AND last IS NOT NULL AS en, coalesce(nb, 0) AS nb FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+        w AS (SELECT doc_id, unnest(list_filter([CASE WHEN NOT ti THEN 'no title in role ' || role_no END, CASE WHEN NOT st THEN 'no start in role ' || role_no END, CASE WHEN nb = 0 THEN 'no bullets in role ' || role_no END], lambda z: z IS NOT NULL)) AS m FROM x),
+        wa AS (SELECT doc_id, string_agg(m, '|' ORDER BY m) AS warnings FROM w GROUP BY 1)
+        SELECT doc_id, round(avg((1 + CAST(ti AS INT) + CAST(st AS INT) + CAST(en AS INT)) / 4), 4) AS confidence, coalesce(any_value(warnings), '') AS warnings, CAST(bool_or(ti) AS VARCHAR) AS valid FROM x LEFT JOIN wa USING (doc_id) GROUP BY doc_id""",
     "g11_education": """WITH p AS (SELECT p_partkey, p_size, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS n, upper(p_type[1]) || lower(p_type[2:]) AS t FROM part)
         SELECT p_partkey, CAST(1 AS BIGINT) AS entry, n || ' University' AS institution, 'Master of ' || t AS degree, CAST(1970 + p_size AS VARCHAR) AS date, '3.5' AS grade FROM p
         UNION ALL SELECT p_partkey, 2, NULL, 'Bachelor of ' || t, CASE WHEN p_size > 25 THEN '2001 - 2004' END, NULL FROM p""",

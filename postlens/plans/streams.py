@@ -54,6 +54,10 @@ def j04b(spark, folder):
     return stamp(J.sessions(events(spark, folder), "6 hours"), "start", "last")
 
 
+def j04c(spark, folder):
+    return stamp(J.session_stages(events(spark, folder), 6 * 3600), "session_start", "start")
+
+
 def j05(spark, folder):
     return J.debounce(events(spark, folder), 30 * MIN).select("event_id", "user_id")
 
@@ -113,7 +117,7 @@ def j11b(spark, folder):
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-QUERIES = {"j1_ingest_trace": j01, "j2_activity": j02, "j2_activity_sliding": j02b, "j2_success_rate": j02c, "j3_merged_logs": j03, "j4_sessions_batch": j04, "j4_sessions": j04b, "j5_debounce": j05,
+QUERIES = {"j1_ingest_trace": j01, "j2_activity": j02, "j2_activity_sliding": j02b, "j2_success_rate": j02c, "j3_merged_logs": j03, "j4_sessions_batch": j04, "j4_sessions": j04b, "j4_session_stages": j04c, "j5_debounce": j05,
            "j6_latest_state": j06, "j7_limit_stream": j07, "j8_progress": j08, "j9_stream_recall": j09, "j10_pair_spans": j10, "j11_duration_stats": j11, "j11_event_facts": j11b}
 
 _ACT = """count(*) AS n"""
@@ -132,6 +136,9 @@ ORACLES = {
     "j3_merged_logs": "SELECT event_type AS event, CASE event_type WHEN 'error' THEN 'error' ELSE '?' END AS level, CASE event_type WHEN 'error' THEN 'b' WHEN 'purchase' THEN 'c' ELSE 'a' END AS source, count(*) AS n FROM events GROUP BY event_type",
     "j4_sessions_batch": _SESS,
     "j4_sessions": _SESS,
+    "j4_session_stages": _SESS.split("\n")[0] + """, g AS (SELECT user_id, sid, event_type AS stage, min(ts) AS b, max(ts) AS e, count(*) AS n FROM s GROUP BY ALL),
+        w AS (SELECT *, min(b) OVER (PARTITION BY user_id, sid) AS ss, max(e) OVER (PARTITION BY user_id, sid) AS se, lead(b) OVER (PARTITION BY user_id, sid ORDER BY b, stage) AS nb, row_number() OVER (PARTITION BY user_id, sid ORDER BY b, stage) AS ord FROM g)
+        SELECT user_id, strftime(ss, '%Y-%m-%d %H:%M:%S.%f') AS session_start, ord, stage, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS start, (epoch_us(coalesce(nb, se)) - epoch_us(b)) / 1000000 AS seconds, n FROM w""",
     "j5_debounce": "SELECT event_id, user_id FROM events QUALIFY lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) > 1800000000",
     "j6_latest_state": "SELECT user_id AS key, arg_max(event_id, CAST(value AS DECIMAL(18,6)) * 1000000000000 + epoch_us(ts) / 1000000) AS capture_id, max(value) AS richness, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id",
     "j7_limit_stream": "SELECT request_id, allowed, reason FROM (" + _PEOPLE["i10_send_policy"] + ")",

@@ -121,6 +121,44 @@ DISCIPLINES = [
     ("support", r"support|service desk|helpdesk|customer service"),
     ("hr", word("hr") + r"|human resources|people ops|people partner|talent|recruit"),
 ]
+# Fields of a title; role shapes come before fields, the first match wins.
+ROLE_SHAPES = [
+    ("design", word("designer") + r"|product design|user experience design|interaction design"),
+    ("product", r"product manager|product owner|head of product|product lead"),
+    ("delivery", r"project manager|programme manager|program manager|delivery manager|scrum master|agile coach|" + word("pmo")),
+]
+FIELDS = [
+    ("operations", r"security guard|security officer|door supervisor|concierge"),
+    ("ml", r"machine learning|deep learning|computer vision|artificial intelligence|" + word("ml|mlops|nlp|ai")),
+    ("data-science", r"data scien|statistic|quantitative|econometric"),
+    ("data-eng", r"data engineer|etl(?:$|[^a-z0-9_])|data platform|data warehouse|databricks|" + word("spark")),
+    ("analytics", r"analytics|business intelligence|data analyst|business analyst|tableau|power bi|looker|" + word("bi")),
+    ("security", r"security|infosec|appsec|cyber|penetration test|pentest|soc analyst|cryptograph"),
+    ("devops", r"devops|devsecops|site reliability|platform engineer|infrastructure|kubernetes|terraform|cloud engineer|(?:^|[^ ]|(?:^|[^n]|(?:^|[^g])n|(?:^|[^i])gn|(?:^|[^s])ign|(?:^|[^e])sign|(?:^|[^d])esign) )systems engineer|" + word("sre")),
+    ("cloud", r"cloud architect|solutions architect|" + word("aws|azure|gcp")),
+    ("qa", r"quality assurance|test engineer|automation test|tester|" + word("qa|sdet")),
+    ("mobile", r"android|mobile (?:developer|engineer)|flutter|react native|swift|kotlin|" + word("ios")),
+    ("frontend", r"front.?end|(?:^|[^a-z0-9_])ui engineer|react|angular|vue(?:$|[^a-z0-9_])|javascript developer|web developer"),
+    ("backend", r"back.?end|(?:^|[^a-z0-9_])api(?:$|[^a-z0-9_]) ?engineer|microservice|(?:^|[^a-z0-9_])(?:go|python) developer|\.net|c#|" + word("java|golang|node|ruby|php|scala|rust")),
+    ("embedded", r"embedded|firmware|hardware engineer|electronic engineer|" + word("fpga|rtos")),
+    ("games", r"game (?:developer|engineer|programmer)|unreal|unity developer"),
+    ("dba", r"database administrator|sql server|postgres|oracle dba|" + word("dba")),
+    ("it-support", r"help ?desk|service desk|(?:^|[^a-z0-9_])it support|desktop support|system administrator|sysadmin|network engineer|(?:^|[^a-z0-9_])it technician"),
+    ("erp", r"dynamics 365|salesforce (?:developer|consultant|administrator)|servicenow|workday (?:consultant|integration)|netsuite|" + word("sap|erp")),
+    ("solutions", r"solutions engineer|sales engineer|presales|pre.?sales|technical account manager|customer engineer"),
+    ("tech-writing", r"technical writer|documentation engineer|content engineer"),
+    ("product", r"product manager|product owner|" + word("product")),
+    ("design", r"product design|user experience|interaction design|" + word("ux|ui|designer")),
+    ("delivery", r"project manager|programme manager|program manager|delivery manager|scrum master|agile coach|" + word("pmo")),
+    ("engineering", r"software engineer|developer|programmer|engineer|software"),
+    ("marketing", r"market|brand|content strategist|communications|" + word("seo")),
+    ("sales", r"sales|account exec|business development|partnerships|customer success"),
+    ("finance", r"financ(?:e|ial)|account(?:ant|ing)|audit|treasury|controller|" + word("tax")),
+    ("legal", r"legal|counsel|solicitor|paralegal|compliance|data protection|" + word("gdpr")),
+    ("healthcare", r"nurse|nursing|clinical|physician|doctor|healthcare|medical|pharmac"),
+    ("operations", r"operations|logistics|supply chain|warehouse|procurement|facilities"),
+    ("hr", r"human resources|people operations|" + word("hr")),
+]
 RECRUITING = r"talent|recruit|sourc|hiring"
 RECRUITING_WORDS = r"talent acquisition|talent|recruit(?:ing|ment|er)?|sourcer|sourcing|hiring|partner|specialist|manager|lead|head of|senior|principal"
 TITLE_TIERS = [

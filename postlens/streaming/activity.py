@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.segments import neighbour, running
@@ -96,14 +96,35 @@ def sessions(log: DataFrame, gap: str = "30 minutes", user: str = "user_id", ts:
     return rows.select(user, F.col("w.start").alias("start"), "last", "n")
 
 
-def sessions_batch(log: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts", event_id: str = "event_id", bucket: str = "day") -> DataFrame:
-    """The same sessions from history: segmented windows, so a user with a third of all events is spread over time."""
+def _numbered_sessions(log: DataFrame, gap_seconds: int, user: str, ts: str, event_id: str, bucket: str) -> DataFrame:
+    """Events with ``_session``, counted up by segmented windows: a user with a third of all events is spread over time."""
     rows = neighbour(log.withColumn("_seg", F.date_trunc(bucket, ts)), [user], "_seg", [ts, event_id], F.col(ts), "_prev")
     opens = F.col("_prev").isNull() | (F.unix_micros(ts) - F.unix_micros("_prev") >= gap_seconds * 1_000_000)
-    rows = running(rows, [user], "_seg", [ts, event_id], opens.cast("int"), "_session")
+    return running(rows, [user], "_seg", [ts, event_id], opens.cast("int"), "_session")
+
+
+def sessions_batch(log: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts", event_id: str = "event_id", bucket: str = "day") -> DataFrame:
+    """(user, start, last, n): the same sessions from history."""
+    rows = _numbered_sessions(log, gap_seconds, user, ts, event_id, bucket)
     return rows.groupBy(user, "_session").agg(F.min(ts).alias("start"), F.max(ts).alias("last"), big(F.count("*")).alias("n")).drop("_session")
 
 
+def session_stages(log: DataFrame, gap_seconds: int, stage: str = "event_type", user: str = "user_id", ts: str = "ts", event_id: str = "event_id", bucket: str = "day") -> DataFrame:
+    """(user, session_start, ord, stage, start, seconds, n): the stages of each session in the order in which they began.
+
+    A stage lasts until the next one begins, the last one until the session's last event. Stages that
+    begin together are ordered by name. Events are counted per stage first, so windows see one row per
+    session and stage.
+    """
+    rows = _numbered_sessions(log, gap_seconds, user, ts, event_id, bucket)
+    each = rows.groupBy(user, "_session", stage).agg(F.min(ts).alias("start"), F.max(ts).alias("_last"), big(F.count("*")).alias("n"))
+    whole = Window.partitionBy(user, "_session")
+    order = whole.orderBy("start", stage)
+    until = F.coalesce(F.lead("start").over(order), F.max("_last").over(whole))
+    return each.withColumns({"session_start": F.min("start").over(whole), "ord": big(F.row_number().over(order)), "_until": until}).select(
+        user, "session_start", "ord", F.col(stage).alias("stage"), "start", ((F.unix_micros("_until") - F.unix_micros("start")) / 1_000_000).alias("seconds"), "n")
+
+
 def debounce(log: DataFrame, gap_seconds: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", bucket: str = "day") -> DataFrame:
     """Events with no successor of the same key within ``gap_seconds``."""
     rows = neighbour(log.withColumn("_seg", F.date_trunc(bucket, ts)), [key], "_seg", [ts, event_id], F.col(ts), "_next", ahead=True)
