@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.joins import lengths
+from postlens.functions.joins import lengths, sieve
 from postlens.functions.segments import neighbour
 from postlens.functions.text import big, c, let, literal_map, percent, plain_words, squeeze
 
@@ -34,15 +34,15 @@ def richness(description: str | Column, title=None, company=None, location=None,
 def upsert_richest(captures: DataFrame, key: str, capture_id: str, at: str, worth: Column, tab: str | None = None) -> DataFrame:
     """One capture per key: the richest, the later on ties; ``last_at`` and ``last_tab`` follow every capture.
 
-    Only narrow columns are aggregated. The winning rows are fetched by id afterwards, so long
-    descriptions are neither sorted nor shuffled for the losers.
+    Only narrow columns are aggregated. The winning rows are fetched by id afterwards; a sieve of the
+    winners' ids drops nearly all losers before that join, as long as winners are not many millions.
     """
     narrow = captures.select(key, capture_id, at, worth.alias("richness"), *([tab] if tab else []))
     extra = [F.max_by(tab, F.struct(at, capture_id)).alias("last_tab")] if tab else []
     best = narrow.groupBy(key).agg(
         F.max_by(capture_id, F.struct("richness", at, capture_id)).alias(capture_id),
         F.max("richness").alias("richness"), F.max(at).alias("last_at"), big(F.count("*")).alias("captures"), *extra)
-    return captures.join(best.drop(key), capture_id)
+    return captures.where(sieve(best.select(capture_id), [capture_id])).join(best.drop(key), capture_id)
 
 
 def _as_of(visits: DataFrame, captures: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:

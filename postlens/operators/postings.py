@@ -158,14 +158,24 @@ def variant_children(node: Column) -> Column:
     )
 
 
+def json_depth(body: Column) -> Column:
+    """How deep the brackets of a JSON text nest, strings left out: one fold over its brackets."""
+    brackets = sub_all(body, [(r"(?s)\\.", ""), (r'"[^"]*"', ""), (r"[^\[\]{}]+", "")])
+
+    def step(seen, mark):
+        depth = seen["at"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return let(depth, lambda d: F.struct(d.alias("at"), F.greatest(seen["most"], d).alias("most")))
+
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step)["most"]
+
+
 def variant_levels(bodies: Column) -> Column:
     """All nodes of the JSON texts in ``bodies``, breadth first, in one array; texts that are no JSON have none.
 
-    A text nests no deeper than it has opening brackets, so a fold of that many steps reaches every level;
-    steps past the last level find nothing and cost nothing.
+    A fold of as many steps as the texts nest reaches every level, so a wide text costs what it holds.
     """
     roots = F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
-    steps = F.coalesce(F.array_max(F.transform(bodies, lambda b: F.regexp_count(b, F.lit(r"[\[{]")))), F.lit(0))
+    steps = F.coalesce(F.array_max(F.transform(bodies, json_depth)), F.lit(0))
 
     def deeper(seen, _):
         below = F.flatten(F.transform(seen["level"], variant_children))
@@ -381,7 +391,8 @@ def merge_postings(sources: Sequence[DataFrame], key: str = "posting_key") -> Da
     """One posting per key from sources in falling trust (one row per key each): first usable field, longest description.
 
     Keys of every source are kept. The sources are stacked and folded in one aggregation over
-    narrow rows; only the winning descriptions are fetched, so losing texts are never sorted.
+    narrow rows. The winning descriptions are fetched by key and source, so texts are shuffled once, for
+    that join, and never sorted in windows.
     """
     fields = ["title", "company", "location", "job_id"]
     stacked = None

@@ -1,11 +1,13 @@
 """Golden cases: small inputs whose results follow from the rules."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from postlens.functions.joins import sieve
 from postlens.operators import history as H
 from postlens.operators import matching as E
 from postlens.operators import people as I
@@ -15,6 +17,7 @@ from postlens.operators import quality as Q
 from postlens.operators import records as G
 from postlens.operators import terms as T
 from postlens.sources import landing
+from postlens.streaming import activity as J
 from tests.conftest import rows
 
 
@@ -309,3 +312,41 @@ def test_consistency_and_summary(spark):
 def test_unprocessed_and_history(spark):
     q = spark.createDataFrame([(1,), (2,)], "k int")
     assert rows(H.unprocessed(q, spark.createDataFrame([(2,), (2,)], "k int"), ["k"])) == [(1,)]
+
+
+def test_fields_of_titles(spark):
+    want = {"AI Product Manager": "product", "Senior Product Designer": "design", "Security Guard": "operations", "Machine Learning Lead": "ml", "Systems Engineer": "devops", "Aviation Systems Engineer": "devops",
+            "Design Systems Engineer": "engineering", "React Developer": "frontend", "Tax Advisor": "finance", "Gardener": "", "Sales Engineer": "solutions"}
+    titles = spark.createDataFrame([(t,) for t in want], "title string")
+    assert {r.title: r.field for r in I.discipline(titles).collect()} == want
+
+
+def test_session_stages_follow_their_beginnings(spark):
+    rows = [(1, 1, "view", 0), (2, 1, "click", 10), (3, 1, "view", 20), (4, 1, "buy", 50), (5, 1, "view", 5000), (6, 2, "buy", 0)]
+    log = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r.user_id, r.session_start.timestamp(), r.ord, r.stage, r.seconds, r.n) for r in J.session_stages(log, 600).collect())
+    assert got == [(1, 0.0, 1, "view", 10.0, 2), (1, 0.0, 2, "click", 40.0, 1), (1, 0.0, 3, "buy", 0.0, 1), (1, 5000.0, 1, "view", 0.0, 1), (2, 0.0, 1, "buy", 0.0, 1)]
+
+
+def test_rewrites_are_counted_by_rule(spark):
+    df = text_df(spark, "Colour of the colour, 2010 – 2012 — really in order to go", "nothing")
+    got = {(r.doc_id, r.rule): r.n for r in Q.rewrite_counts(df, {"colour": "color"}, phrases=[("in order to", "to")], drop=["really"]).collect()}
+    assert got == {(0, "word:colour"): 2, (0, "range dash"): 1, (0, "clause dash"): 1, (0, "filler:really"): 1, (0, "phrase:in order to"): 1}
+
+
+def test_structured_data_wide_and_deep(spark):
+    wide = {"@graph": [{"a": [i, {"s": "[[{{ \\\" ]"}]} for i in range(2000)] + [{"x": {"y": [{"@type": "JobPosting", "title": "Far"}]}}]}
+    deep = {"@type": "Thing", "d": {"@type": "JobPosting", "title": "Deep"}}
+    for _ in range(200):
+        deep = {"d": [deep]}
+    page = lambda x: '<script type="application/ld+json">' + json.dumps(x) + "</script>"
+    df = spark.createDataFrame([(1, page(wide)), (2, page(deep)), (3, page(1) + '<script type="application/ld+json">{[</script>')], "page_id long, html string")
+    assert sorted((r.page_id, r.title) for r in P.jsonld_postings(df).collect()) == [(1, "Far"), (2, "Deep")]
+
+
+def test_a_sieve_refuses_no_rule_and_most_others(spark):
+    rules = spark.range(1000).selectExpr("concat('r', id) as term")
+    rows = spark.range(100_000).selectExpr("concat(if(id < 1000, 'r', 'x'), id) as term")
+    kept = rows.where(sieve(rules, ["term"])).collect()
+    assert sum(r.term.startswith("r") for r in kept) == 1000 and len(kept) < 1400
+    assert rows.where(sieve(rules.where("false"), ["term"])).count() == 0
