@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from types import MappingProxyType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +38,23 @@ def place_class(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.withColumn("class", F.when(t == "", "blank").when(junk, "not_a_place").when(region, "region").otherwise("place"))
 
 
-def match_city(df: DataFrame, cities: DataFrame, raw: str = "raw") -> DataFrame:
-    """(raw, city, iso2, via): the longest leading words that are a city key; one-word heads of longer names only when nothing longer fits."""
-    words = F.split(F.lower(squeeze(c(raw))), " ")
+def match_city(df: DataFrame, cities: DataFrame, raw: str = "raw", aliases: Mapping[str, str] = MappingProxyType({**R.CITY_SHORT_NAMES, **R.CITY_LOCAL_NAMES})) -> DataFrame:
+    """(raw, city, iso2, via): the longest leading words that are a city key; one-word heads of longer names only when nothing longer fits.
+
+    A string that is a whole key of ``aliases`` (lower-cased short, misspelt or local names) is looked up by its listed
+    name, via ``alias``, unless the gazetteer knows it as it is written.
+    """
+    written = F.lower(squeeze(c(raw)))
+    known = F.try_element_at(literal_map(dict(aliases)), written) if aliases else F.lit(None).cast("string")
+    words = F.split(written, " ")
     heads = let(words, lambda ws: F.transform(F.sequence(F.size(ws), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(ws, F.lit(1), n), " ")))
     keys = df.select(raw).distinct().where(F.trim(c(raw)) != "").select(raw, F.posexplode(heads).alias("_drop", "_h"))
     forms = F.array_distinct(F.array(F.struct(F.lit(0).alias("f"), F.col("_h").alias("city_key")), F.struct(F.lit(1).alias("f"), fold_accents(F.col("_h")).alias("city_key"))))
-    hit = keys.select(raw, "_drop", F.inline(forms)).join(cities, "city_key")
+    # Behind the whole string as written, before its shorter heads: its listed name.
+    listed = df.select(raw, F.lower(known).alias("city_key")).where("city_key is not null").distinct().select(raw, F.lit(0).alias("_drop"), F.lit(2).alias("f"), "city_key")
+    hit = keys.select(raw, "_drop", F.inline(forms)).unionByName(listed).join(cities, "city_key")
     best = hit.groupBy(raw).agg(F.min(F.struct("_drop", "f", F.col("city_key").alias("city"), F.col("country_iso2").alias("iso2"))).alias("_b"))
-    return best.select(raw, "_b.city", "_b.iso2", F.when(F.col("_b._drop") > 0, "shortened").when(F.col("_b.f") == 1, "folded").otherwise("exact").alias("via"))
+    return best.select(raw, "_b.city", "_b.iso2", F.when(F.col("_b._drop") > 0, "shortened").when(F.col("_b.f") == 2, "alias").when(F.col("_b.f") == 1, "folded").otherwise("exact").alias("via"))
 
 
 def _segments(length: Column, k: Column) -> Column:

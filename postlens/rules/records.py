@@ -105,6 +105,21 @@ ROLE_LOCAL = r"accommodat|accessib|disabilit|apply|application|support|help|admi
 RECRUITING_LOCAL = r"^(?:careers?|jobs?|recruit(?:ing|ment)?|talent|talentacquisition|ta|hiring|hr|people|apply|applications?|resumes?|cv)$"
 PERSONAL_DOMAIN = r"@(?:gmail|yahoo|hotmail|outlook|icloud|proton|protonmail|aol|live|gmx)\."
 
+# Short and misspelt names of cities, and local names, with the names that gazetteers list.
+CITY_SHORT_NAMES = {
+    "nyc": "New York", "sf": "San Francisco", "la": "Los Angeles", "dc": "Washington", "philly": "Philadelphia", "chi": "Chicago",
+    "atl": "Atlanta", "dtw": "Detroit", "hou": "Houston", "dfw": "Dallas", "msp": "Minneapolis", "pdx": "Portland",
+    "slc": "Salt Lake City", "kc": "Kansas City", "nola": "New Orleans", "lv": "Las Vegas", "san fran": "San Francisco",
+    "hk": "Hong Kong", "bkk": "Bangkok", "kl": "Kuala Lumpur", "secundrabad": "Secunderabad", "new york city": "New York",
+}
+CITY_LOCAL_NAMES = {
+    "münchen": "Munich", "zürich": "Zurich", "genève": "Geneva", "bruxelles": "Brussels", "köln": "Cologne", "wien": "Vienna",
+    "roma": "Rome", "milano": "Milan", "firenze": "Florence", "napoli": "Naples", "torino": "Turin", "genova": "Genoa",
+    "venezia": "Venice", "lisboa": "Lisbon", "москва": "Moscow", "praha": "Prague", "warszawa": "Warsaw", "kraków": "Krakow",
+    "gdańsk": "Gdansk", "wrocław": "Wroclaw", "łódź": "Lodz", "poznań": "Poznan", "bucureşti": "Bucharest", "athina": "Athens",
+    "baile átha cliath": "Dublin", "corcaigh": "Cork",
+}
+
 # Disciplines of a title, first match wins.
 DISCIPLINES = [
     ("data", r"data scien|machine learning|" + word("ml|ai") + r"|analytics|data engineer|bi(?:$|[^a-z0-9_])|business intelligence"),

@@ -350,3 +350,10 @@ def test_a_sieve_refuses_no_rule_and_most_others(spark):
     kept = rows.where(sieve(rules, ["term"])).collect()
     assert sum(r.term.startswith("r") for r in kept) == 1000 and len(kept) < 1400
     assert rows.where(sieve(rules.where("false"), ["term"])).count() == 0
+
+
+def test_cities_by_short_and_local_names(spark):
+    cities = spark.createDataFrame([("new york", "US"), ("munich", "DE"), ("la", "IT"), ("los angeles", "US"), ("frankfurt", "DE"), ("san", "XX"), ("san francisco", "US")], "city_key string, country_iso2 string")
+    raws = spark.createDataFrame([("San Fran",), ("NYC",), ("München",), ("LA",), ("Frankfurt am Main",), ("Nowhere",)], "raw string")
+    got = {r.raw: (r.city, r.iso2, r.via) for r in L.match_city(raws, cities).collect()}
+    assert got == {"San Fran": ("san francisco", "US", "alias"), "NYC": ("new york", "US", "alias"), "München": ("munich", "DE", "alias"), "LA": ("la", "IT", "exact"), "Frankfurt am Main": ("frankfurt", "DE", "shortened")}
