@@ -534,33 +534,46 @@ def stems(col: str | Column) -> Column:
     return F.array_distinct(F.transform(F.filter(found, lambda w: ~w.isin(M.STEM_STOP_WORDS)), lambda w: F.substring(w, 1, 5)))
 
 
+def _reached(wanted: DataFrame, seen: DataFrame, floor: float, salts: int) -> DataFrame:
+    """(key, member) where the member holds at least ``floor`` of the key's terms, counts only; see ``covered``.
+
+    ``wanted``: (key, term, n), ``seen``: (member, term), both distinct.
+    """
+    seen = lookup_join(seen, wanted.select("term").distinct(), ["term"], "left_semi")
+    df = seen.groupBy("term").agg(F.count("*").alias("_df"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("_df", F.lit(0)), "term"))
+    ordered = wanted.join(df, "term", "left").withColumn("_o", nth).withColumn("_need", F.ceil(F.col("n") * F.lit(floor))).withColumn("_c", F.ceil(F.col("_need") / 2))
+    opens = F.col("_o") <= F.col("n") - F.col("_need") + F.col("_c")
+    met = salted_join(seen, ordered.where(opens).select("key", "term", "_need", "_c"), ["term"], salts=salts)
+    cands = met.groupBy("key", "member").agg(F.first("_need").alias("_need"), F.first("_c").alias("_c"), F.count("*").alias("_hits")).where(F.col("_hits") >= F.col("_c"))
+    sure, open_ = cands.where(F.col("_hits") >= F.col("_need")), cands.where(F.col("_hits") < F.col("_need"))
+    asked = open_.join(ordered.where(~opens).select("key", "term"), "key")
+    more = asked.join(seen, ["member", "term"]).groupBy("key", "member").agg(F.first("_need").alias("_need"), (F.first("_hits") + F.count("*")).alias("_hits"))
+    return sure.select("key", "member").unionByName(more.where(F.col("_hits") >= F.col("_need")).select("key", "member"))
+
+
 def dropped_lines(source: DataFrame, target: DataFrame, group: str, line: str = "line_id", body: str = "body", floor: float = 0.45, salts: int = 16) -> DataFrame:
     """Source lines of at least 4 stems without a target line of the same group that shares ``floor`` of the stems of either.
 
-    Overlaps are counted over an equi-join on (group, stem) and never over all pairs of a group.
-    Prefix filtering bounds it further: lines reaching the floor must share one of the rarest
-    ``n − ceil(floor·n) + 1`` stems of one side, so only those stems open candidates. A hot stem
-    is salted.
+    Lines with the same stems are one set per group; sets found on both sides survive at once. The others
+    meet by an exact overlap join in both directions (a share of the source's stems, or of the target's): the rarest stems
+    open pairs, hits are summed on narrow rows, and only pairs with half the hits they need look up the rest. No stem
+    array stands in a pair row, so lines may be as long as paragraphs; hot stems are salted.
     """
-    s = source.select(group, F.col(line).alias("_a"), stems(body).alias("_sa")).where(F.size("_sa") >= 4)
-    t = target.select(group, F.col(line).alias("_b"), stems(body).alias("_sb")).where(F.size("_sb") > 0)
-    both = s.select(group, F.explode("_sa").alias("stem")).unionByName(t.select(group, F.explode("_sb").alias("stem")))
-    df = both.groupBy(group, "stem").agg(F.count("*").alias("_df"))
-
-    def prefix(side, key, arr):
-        rows = side.select(group, key, F.size(arr).alias("_n"), F.explode(arr).alias("stem")).join(df, [group, "stem"])
-        nth = F.row_number().over(Window.partitionBy(group, key).orderBy("_df", "stem"))
-        return rows.withColumn("_o", nth).withColumn("_open", F.col("_o") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(floor)) + 1).select(group, key, "stem", "_open")
-
-    from postlens.functions.joins import salted_join
-
-    left, right = prefix(s, "_a", "_sa"), prefix(t, "_b", "_sb")
-    # Coverage is the larger direction, so a pair qualifies through a prefix of either side.
-    cands = salted_join(left.where("_open").select(group, "_a", "stem"), right.select(group, "_b", "stem"), [group, "stem"], salts=salts).select("_a", "_b").unionByName(
-        salted_join(right.where("_open").select(group, "_b", "stem"), left.select(group, "_a", "stem"), [group, "stem"], salts=salts).select("_a", "_b")).distinct()
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    kept = cands.join(s.select("_a", "_sa"), "_a").join(t.select("_b", "_sb"), "_b").where(F.greatest(shared / F.size("_sa"), shared / F.size("_sb")) >= floor).select(F.col("_a").alias(line)).distinct()
-    return source.join(s.select(F.col("_a").alias(line)), line, "left_semi").join(kept, line, "left_anti")
+    def sets(rows, least):
+        made = rows.select(group, F.col(line).alias("_line"), F.array_sort(stems(body)).alias("_s")).where(F.size("_s") >= least)
+        return made.withColumn("set", F.concat(F.xxhash64(group).cast("string"), F.lit(" "), F.sha2(F.array_join("_s", " "), 256)))
+
+    s, t = sets(source, 4), sets(target.where(F.col(group).isNotNull()), 1)  # a line without a group has no target
+    mine, theirs = s.select("set", group, "_s").dropDuplicates(["set"]), t.select("set", group, "_s").dropDuplicates(["set"])
+    open_sets = mine.join(theirs.select("set"), "set", "left_anti")
+    term = F.concat(F.xxhash64(group).cast("string"), F.lit(" "), F.col("stem"))
+    rows = lambda sets_: sets_.select("set", group, F.size("_s").alias("n"), F.explode("_s").alias("stem")).select("set", "n", term.alias("term"))
+    left, right = rows(open_sets), rows(theirs)
+    forth = _reached(left.select(F.col("set").alias("key"), "term", "n"), right.select(F.col("set").alias("member"), "term"), floor, salts).select(F.col("key").alias("set"))
+    back = _reached(right.select(F.col("set").alias("key"), "term", "n"), left.select(F.col("set").alias("member"), "term"), floor, salts).select(F.col("member").alias("set"))
+    lost = open_sets.select("set").join(forth.unionByName(back).distinct(), "set", "left_anti")
+    return source.join(s.join(lost, "set").select(F.col("_line").alias(line)), line, "left_semi")
 
 
 def rank_lines(lines: DataFrame, terms: Sequence[str], key: str = "doc_id", run: str = "run", line: str = "line_no", body: str = "body") -> DataFrame:
