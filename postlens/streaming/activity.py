@@ -11,13 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from postlens.functions.segments import neighbour, running
-from postlens.functions.text import big, c, percent
+from postlens.functions.text import big, c, let, percent
 
 # What must never reach a trace.
 SECRET_KEY = r"(?i)pass(?:word)?|token|api_?key|secret|authorization|auth|credential|bearer|refresh"
 SECRET_VALUE = r"^(?:Bearer[ ]+|ya29\.|eyJ[A-Za-z0-9_\-]{10,})"
+#: A secret value shows in its first characters, so no more of a long string is searched.
+SECRET_START = 64
 LEVELS = ["debug", "info", "success", "warn", "error"]
 
 
@@ -27,27 +30,43 @@ def _quoted(text: Column) -> Column:
 
 
 def _redact(node: Column, depth: int, chars: int, items: int, keys: int) -> Column:
-    """A variant as redacted JSON text: secrets masked, strings, arrays, keys and depth bounded, each cut marked."""
-    text = node.try_cast("string")
-    is_obj, is_arr = F.schema_of_variant(node).startswith("OBJECT"), F.schema_of_variant(node).startswith("ARRAY")
-    is_str = F.schema_of_variant(node) == "STRING"
-    cut = F.when(text.rlike(SECRET_VALUE), "[redacted]").when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("…("), F.length(text).cast("string"), F.lit(")"))).otherwise(text)
-    quoted = _quoted(cut)
-    if depth < 0:
-        return F.when(is_obj | is_arr, F.lit('"[…]"')).when(is_str, quoted).otherwise(F.coalesce(text, F.lit("null")))
-    entries = F.map_entries(node.try_cast("map<string,variant>"))
-    obj = F.concat(F.lit("{"), F.array_join(F.transform(F.slice(entries, 1, keys), lambda e: F.concat(
-        _quoted(e["key"]), F.lit(":"), F.when(e["key"].rlike(SECRET_KEY), '"[redacted]"').otherwise(_redact(e["value"], depth - 1, chars, items, keys)))), ","),
-                   F.when(F.size(entries) > keys, F.concat(F.lit(',"…":"+'), (F.size(entries) - keys).cast("string"), F.lit('"'))).otherwise(""), F.lit("}"))
-    elements = node.try_cast("array<variant>")
-    arr = F.concat(F.lit("["), F.array_join(F.transform(F.slice(elements, 1, items), lambda x: _redact(x, depth - 1, chars, items, keys)), ","),
-                   F.when(F.size(elements) > items, F.concat(F.lit(',"…+'), (F.size(elements) - items).cast("string"), F.lit('"'))).otherwise(""), F.lit("]"))
-    return F.when(is_obj, obj).when(is_arr, arr).when(is_str, quoted).otherwise(F.coalesce(text, F.lit("null")))
+    """A variant as redacted JSON text: secrets masked, strings, arrays, keys and depth bounded, each cut marked.
+
+    A node's kind, text, entries and elements are bound once: inside a lambda each mention would be computed anew,
+    on every level below again, and a long string would be copied for each.
+    """
+    def string(text: Column) -> Column:
+        secret = F.substring(text, 1, SECRET_START).rlike(SECRET_VALUE)
+        return _quoted(F.when(secret, "[redacted]").otherwise(let(F.length(text), lambda n: F.when(
+            n > chars, F.concat(F.substring(text, 1, chars), F.lit("…("), n.cast("string"), F.lit(")"))).otherwise(text))))
+
+    def obj(entries: Column) -> Column:
+        shown = F.transform(F.slice(entries, 1, keys), lambda e: F.concat(
+            _quoted(e["key"]), F.lit(":"), F.when(e["key"].rlike(SECRET_KEY), '"[redacted]"').otherwise(_redact(e["value"], depth - 1, chars, items, keys))))
+        return F.concat(F.lit("{"), F.array_join(shown, ","), F.when(F.size(entries) > keys, F.concat(F.lit(',"…":"+'), (F.size(entries) - keys).cast("string"), F.lit('"'))).otherwise(""), F.lit("}"))
+
+    def arr(elements: Column) -> Column:
+        shown = F.transform(F.slice(elements, 1, items), lambda x: _redact(x, depth - 1, chars, items, keys))
+        return F.concat(F.lit("["), F.array_join(shown, ","), F.when(F.size(elements) > items, F.concat(F.lit(',"…+'), (F.size(elements) - items).cast("string"), F.lit('"'))).otherwise(""), F.lit("]"))
+
+    def by_kind(kind: Column) -> Column:
+        is_obj, is_arr = kind.startswith("OBJECT"), kind.startswith("ARRAY")
+        if depth < 0:
+            out = F.when(is_obj | is_arr, F.lit('"[…]"'))
+        else:
+            out = F.when(is_obj, let(F.map_entries(node.try_cast("map<string,variant>")), obj)).when(is_arr, let(node.try_cast("array<variant>"), arr))
+        return out.when(kind == "STRING", let(node.try_cast("string"), string)).otherwise(F.coalesce(node.try_cast("string"), F.lit("null")))
+
+    return let(F.schema_of_variant(node), by_kind)
 
 
 def ingest_trace(log: DataFrame, data: str = "props", depth: int = 2, chars: int = 300, items: int = 8, keys: int = 21) -> DataFrame:
-    """Stateless: the open payload of each event redacted. Longer strings and arrays, further keys and deeper levels leave a mark."""
-    return log.withColumn("_v", F.try_parse_json(c(data))).withColumn(data, _redact(F.col("_v"), depth, chars, items, keys)).drop("_v")
+    """Stateless: the open payload of each event redacted. Longer strings and arrays, further keys and deeper levels leave a mark.
+
+    ``data``: JSON text, or a variant, which is read as it is.
+    """
+    node = c(data) if isinstance(log.schema[data].dataType, VariantType) else F.try_parse_json(c(data))
+    return log.withColumn(data, let(node, lambda v: _redact(v, depth, chars, items, keys)))
 
 
 def activity(log: DataFrame, size: str = "1 hour", slide: str | None = None, ts: str = "ts", kind: str = "event_type", duration: str = "value",

@@ -76,3 +76,13 @@ def test_stream_over_a_folder_of_files(spark, tmp_path):
     rows = spark.range(100).withColumn("ts", F.timestamp_seconds(F.col("id")))
     rows.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
     assert run_append(stream_table(spark, str(tmp_path), "events"), "t").count() == 100
+
+
+def test_trace_reads_variants_and_binds_each_node_once(spark):
+    data = {"token": "x", "deep": {"list": list(range(10)), "note": "é" * 400, "jwt": "eyJ" + "a" * 300, "n": 1.5, "none": None}}
+    rows = spark.createDataFrame([(json.dumps(data),)], "props string")
+    text = J.ingest_trace(rows)
+    asked = J.ingest_trace(rows.select(F.parse_json("props").alias("props")))
+    assert text.first().props == asked.first().props
+    got = json.loads(text.first().props)
+    assert got["deep"]["note"] == "é" * 300 + "…(400)" and got["deep"]["jwt"] == "[redacted]" and got["deep"]["list"][-1] == "…+2" and got["deep"]["none"] is None
