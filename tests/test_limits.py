@@ -86,3 +86,28 @@ def test_trace_reads_variants_and_binds_each_node_once(spark):
     assert text.first().props == asked.first().props
     got = json.loads(text.first().props)
     assert got["deep"]["note"] == "é" * 300 + "…(400)" and got["deep"]["jwt"] == "[redacted]" and got["deep"]["list"][-1] == "…+2" and got["deep"]["none"] is None
+
+
+def test_phrases_meet_documents_by_place_not_by_word(spark):
+    docs = spark.createDataFrame([(1, "big data lake here"), (2, "xbig data lakes big lake"), (3, "lake data big"), (4, "big  data a\tb c"), (5, None), (6, "Big Data"), (7, "big\ndata lake big data lake data")], "doc_id long, text string")
+    phrases = spark.createDataFrame([("big data lake",), ("Big data",), ("lake",), ("big  data",), (" data lake",), ("data a\tb c",), ("",), ("data lake big data",)], "phrase string")
+    out = terms.phrase_hits(docs, phrases)
+    texts = {r.doc_id: (r.text or "").lower() for r in docs.collect()}
+    tokens = {r.doc_id: set(r.ts or []) for r in docs.select("doc_id", terms.token_set("text").alias("ts")).collect()}
+    want = {(d, p.phrase.lower()) for d in texts for p in phrases.collect() if p.phrase.lower() in texts[d] and p.phrase and all(w in tokens[d] for w in p.phrase.lower().replace("\t", " ").split())}
+    assert {(r.doc_id, r.phrase) for r in out.collect()} == want and len(want) >= 8
+    # The longest word of the phrase is in every document; its place is in one. Rows that leave the scan's join are about the hits.
+    many = spark.range(300).selectExpr("id as doc_id", "if(id = 7, 'the alphabet of it', 'of the it alphabet') as text")
+    got = terms.phrase_hits(many, spark.createDataFrame([("the alphabet of",)], "phrase string"))
+    assert [r.doc_id for r in got.collect()] == [7]
+
+    def widest(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return widest(plan.executedPlan())
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            return widest(plan.plan())
+        mine = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.getClass().getSimpleName() and plan.metrics().contains("numOutputRows") else 0
+        kids = plan.children()
+        return max([mine, *[widest(kids.apply(i)) for i in range(kids.size())]])
+
+    assert widest(got._jdf.queryExecution().executedPlan()) < 300
