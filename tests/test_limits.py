@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from postlens.functions.text import spelled, words
 from postlens.operators import history, matching, people, places, postings, quality, terms
 from postlens.streaming import activity as J
 from postlens.streaming.replay import run_append, stream_table
@@ -122,3 +123,23 @@ def test_title_pairs_are_counted_on_narrow_rows(spark):
     want = {(p, d, len(w & s)) for p, w in words.items() for d, s in seen.items() if w and int(100 * len(w & s) / len(w) + 0.5) >= 60}
     assert {(r.page_id, r.doc_id, r.hits) for r in out.collect()} == want and len(want) == 5
     assert "_found" not in out._jdf.queryExecution().optimizedPlan().toString()  # no pair row carries its terms
+
+
+def test_negated_ranges_are_spelled_out(spark):
+    assert spelled(r"(?:^|[^0-9_])x[a-z]\[^0-9][^\]0-9]") == r"(?:^|[^0123456789_])x[a-z]\[^0-9][^\]0123456789]"
+    df = spark.createDataFrame([("Ünder c++ node.js, AB-9|x",)], "t string")
+    made = df.select(words("t").alias("w"), F.split(F.lower("t"), r"[^a-z0-9+#./-]+").alias("raw"))
+    assert "[^a-z" not in df.select(words("t"))._jdf.queryExecution().optimizedPlan().toString()
+    row = made.first()
+    assert row.w == [w for w in row.raw if w] == ["nder", "c++", "node.js", "ab-9", "x"]
+
+
+def test_spans_are_joined_without_looking_at_every_neighbour(spark):
+    df = spark.createDataFrame([(".net c++ c# a.b ci/cd x+",)], "t string")
+    got = df.select(F.array_sort(terms.grams("t", [1, 2])).alias("g"))
+    plain = ["net", "c", "c", "a", "b", "ci", "cd", "x", "net c", "c++ c", "c# a", "a.b", "b ci", "ci/cd", "cd x"]
+    marked = [".net", "c+", "c++", "c#", ".b", "x+", ".net c", "net c+", "net c++", "c++ c#", ".b ci", "cd x+"]
+    assert got.first().g == sorted(plain + marked)
+    # Once per word, not per span: no span of the plan asks for the letters around it.
+    plan = df.select(terms.grams("t", [1, 2]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(" not in plan
