@@ -143,3 +143,27 @@ def test_spans_are_joined_without_looking_at_every_neighbour(spark):
     # Once per word, not per span: no span of the plan asks for the letters around it.
     plan = df.select(terms.grams("t", [1, 2]))._jdf.queryExecution().optimizedPlan().toString()
     assert "substring(" not in plan
+
+
+def test_pairs_read_cvs_once(spark, tmp_path):
+    cvs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha"), (3, None)], "doc_id long, text string")
+    cvs.write.parquet(str(tmp_path / "cvs"))
+    listed = spark.createDataFrame([(7, t) for t in ("alpha", "beta", "gamma", "delta")] + [(8, f"w{i:03}") for i in range(150)] + [(8, "alpha")], "item_id long, term string")
+    pairs = matching.covered_pairs(listed, spark.read.parquet(str(tmp_path / "cvs")))
+    assert [(r.item_id, r.doc_id, sorted(r.found)) for r in pairs.collect()] == [(7, 1, ["alpha", "beta", "gamma"])]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    many = spark.createDataFrame([(1, " ".join(f"w{i:03}" for i in range(0, 150, 2)))], "doc_id long, text string")
+    assert [sorted(r.found) for r in matching.covered_pairs(listed, many).collect()] == [[f"w{i:03}" for i in range(0, 150, 2)]]
+
+
+def test_qualifications_are_sought_in_batches(spark):
+    quals = spark.createDataFrame([(7, 0, "Spark pipelines daily", "x", "required", 1.0, ["Spark", "Kafka"]), (7, 1, "none of these", "x", "preferred", 1.0, ["cobol"])],
+                                  "item_id long, ord long, text string, type string, priority string, weight double, keywords array<string>")
+    cvs = spark.createDataFrame([(1, "I ran SPARK pipelines"), (2, "")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(7, 1), (7, 2)], "item_id long, doc_id long")
+    rows = matching.match_quals(quals, pairs, cvs)
+    assert [(r.doc_id, r.ord, r.met, r.confidence, r.evidence) for r in rows.orderBy("doc_id", "ord").collect()] == [
+        (1, 0, True, 0.53, ["...i ran spark pipelines..."]), (1, 1, False, 0.0, []), (2, 0, False, 0.0, []), (2, 1, False, 0.0, [])]
+    short = matching.match_quals(quals, pairs, cvs, evidence=False)
+    assert "evidence" not in short.columns
+    assert "contains(" not in short._jdf.queryExecution().optimizedPlan().toString().lower()
