@@ -332,17 +332,20 @@ def classify_roi(docs: DataFrame, tiers=tuple((t, tuple(w)) for t, w in R.ROI_TI
     """
     body = spread(docs, key, text).where(F.length(c(text)) >= 50)
     listed = [(term, tier, i) for tier, terms in tiers for i, term in enumerate(terms)]
-    rules = docs.sparkSession.createDataFrame(listed, "term string, tier string, ord long")
+    one = lambda term, tier, ord_: F.struct(term.alias("term"), tier.alias("tier"), big(ord_).alias("ord"), F.lit(0).alias("_src"))
+    named = F.array(*[one(F.lit(term), F.lit(tier), F.lit(i)) for term, tier, i in listed])
     sizes = sorted({len(re.split("[^a-z0-9]+", term.lower())) for term, _, _ in listed})
     tier_rank = literal_map({"high": 0, "medium": 1, "unclassified": 2, "low": 3})
-    found = lookup_join(body.select(key, F.explode_outer(F.array_distinct(grams(text, sizes, "a-z0-9"))).alias("term")).where("term is not null"), rules, ["term"]).withColumn("_src", F.lit(0))
-    known = found.select(key, "term").distinct()
+    found = F.array_distinct(F.filter(grams(text, sizes, "a-z0-9"), lambda g: g.isin([term for term, _, _ in listed])))
     loose_words = words(sub(F.lower(c(text)), r"[^a-z0-9\-/]+", " "))
-    counts = body.select(key, F.inline_outer(term_runs(placed_terms(loose_words, lambda t: (F.length(t) >= 3) & outside(t, stop))))).where("term is not null")
-    counts = counts.select(key, "term", F.col("freq").alias("_n"), F.col("pos").alias("_pos")).join(known, [key, "term"], "left_anti")
-    rest = ranked(counts, key, [F.desc("_n"), F.col("_pos")], loose).select(
-        key, "term", F.lit("unclassified").alias("tier"), F.col("rank").alias("ord"), F.lit(0).alias("_src"))
-    rows = found.select(key, "term", "tier", "ord", "_src").unionByName(rest)
+    runs = term_runs(placed_terms(loose_words, lambda t: (F.length(t) >= 3) & outside(t, stop)))
+
+    def both(held):
+        rest = first_terms(F.filter(runs, lambda r: ~F.array_contains(held, r["term"])), loose)
+        return F.concat(F.filter(named, lambda s: F.array_contains(held, s["term"])), F.transform(rest, lambda r, i: one(r["term"], F.lit("unclassified"), i + 1)))
+
+    # Found and counted in one reading, inside the row; the outer form, as a plain one would be read once more for its size.
+    rows = body.select(key, F.inline_outer(let(found, both))).where("term is not null")
     for extra, tier in ((open_hard, "high"), (open_soft, "low")):
         if extra is not None:
             rows = rows.unionByName(extra.select(key, "term", F.lit(tier).alias("tier"), F.col("rank").alias("ord"), F.lit(1).alias("_src")))

@@ -167,3 +167,11 @@ def test_qualifications_are_sought_in_batches(spark):
     short = matching.match_quals(quals, pairs, cvs, evidence=False)
     assert "evidence" not in short.columns
     assert "contains(" not in short._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_tier_classes_read_documents_once(spark, tmp_path):
+    text = "of the apple banana apple cherry of the pear and more words so that it is long enough"
+    spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    made = terms.classify_roi(spark.read.parquet(str(tmp_path / "docs")), (("high", ("of the", "pear")), ("low", ("pear",))), loose=2, stop=("the", "and"))
+    assert [tuple(r) for r in made.orderBy("ord").collect()] == [(1, "of the", "high", 1), (1, "pear", "high", 2), (1, "apple", "unclassified", 3), (1, "banana", "unclassified", 4), (1, "pear", "low", 5)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
