@@ -175,3 +175,14 @@ def test_tier_classes_read_documents_once(spark, tmp_path):
     made = terms.classify_roi(spark.read.parquet(str(tmp_path / "docs")), (("high", ("of the", "pear")), ("low", ("pear",))), loose=2, stop=("the", "and"))
     assert [tuple(r) for r in made.orderBy("ord").collect()] == [(1, "of the", "high", 1), (1, "pear", "high", 2), (1, "apple", "unclassified", 3), (1, "banana", "unclassified", 4), (1, "pear", "low", 5)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_pair_features_search_in_batches(spark):
+    postings_ = spark.createDataFrame([(7, "alpha role", "alpha")], "item_id long, text string, title string")
+    packed = spark.createDataFrame([(7, ["alpha", "betas", "x"])], "item_id long, terms array<string>")
+    cvs = spark.createDataFrame([(1, "alpha\nEXPERIENCE\nbeta alphabet", "alpha")], "doc_id long, text string, original string")
+    pairs = spark.createDataFrame([(7, 1)], "item_id long, doc_id long")
+    made = matching.pair_features(pairs, packed, postings_, cvs, 2026, original="original")
+    assert "_stand_in" in made._jdf.queryExecution().optimizedPlan().toString()
+    row = made.first()
+    assert (row.proven, row.unsupported, row.title_in_header) == (100, 1, True)
