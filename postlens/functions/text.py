@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,6 +66,16 @@ def found(col: str | Column, pattern: str) -> Column:
     return c(col).rlike(spelled(pattern))
 
 
+def held(col: str | Column, needles: Sequence[str]) -> Column:
+    """Whether the lower-cased text holds one of the lower-case strings: a search of bytes, far cheaper than a pattern."""
+    return let(F.lower(c(col)), lambda t: reduce(lambda a, b: a | b, [t.contains(n) for n in needles]))
+
+
+def found_near(col: str | Column, pattern: str, needles: Sequence[str]) -> Column:
+    """``found``, where every match holds one of ``needles`` in some case: texts without any are not matched at all."""
+    return held(col, needles) & found(col, pattern)
+
+
 def hits(col: str | Column, pattern: str) -> Column:
     return F.regexp_count(c(col), F.lit(spelled(pattern))).cast("bigint")
 

@@ -101,6 +101,9 @@ HOOK_PATTERNS = [
     ("challenge", r"(?i)(?:^|[^A-Za-z0-9_])(?:you ?will|you'?ll|the role will)[ \t\n]+([^.\n]{20,160})"),
     ("milestone", r"(?i)(?:^|[^A-Za-z0-9_])(?:recently|just)[ \t\n]+((?:raised|launched|shipped|acquired|hired|opened)[ \t\n]+[^.\n]{6,120})"),
 ]
+#: Lower-case strings of which every match of a hook pattern, in the order above, holds one.
+HOOK_NEEDLES = dict(zip([p for _, p in HOOK_PATTERNS], [["join"], ["team", "squad", "pod", "guild"], ["building", "launching", "scaling", "growing"], ["mission"],
+                                                        ["will", "'ll", "youll"], ["recently", "just"]]))
 STACK_PATTERN = r"(?:^|[^A-Za-z0-9_])((?:[A-Z][a-zA-Z0-9.+#]{1,18}|[a-z]{3,12})(?:,[ \t\n]+[A-Za-z0-9.+#]{2,18}){2,4}(?:,?[ \t\n]+and[ \t\n]+[A-Za-z0-9.+#]{2,18}))"
 
 # Spellings of one thing; the posting's longest wins.

@@ -16,6 +16,7 @@ from postlens.operators import postings as P
 from postlens.operators import quality as Q
 from postlens.operators import records as G
 from postlens.operators import terms as T
+from postlens.rules import quality as QR
 from postlens.sources import landing
 from postlens.streaming import activity as J
 from tests.conftest import rows
@@ -387,3 +388,17 @@ def test_cities_by_short_and_local_names(spark):
     raws = spark.createDataFrame([("San Fran",), ("NYC",), ("München",), ("LA",), ("Frankfurt am Main",), ("Nowhere",)], "raw string")
     got = {r.raw: (r.city, r.iso2, r.via) for r in L.match_city(raws, cities).collect()}
     assert got == {"San Fran": ("san francisco", "US", "alias"), "NYC": ("new york", "US", "alias"), "München": ("munich", "DE", "alias"), "LA": ("la", "IT", "exact"), "Frankfurt am Main": ("frankfurt", "DE", "shortened")}
+
+
+def written(df, part):
+    """How often a part of an expression stands in the optimized plan."""
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    return df._jdf.queryExecution().optimizedPlan().toString().count(part)
+
+
+def test_hooks_try_each_pattern_once(spark):
+    pad = " lorem ipsum dolor sit amet consectetur adipiscing elit."
+    texts = ["We are growing Alpha Platform" + pad, "OUR MISSION is to make maps for everyone alive" + pad, "You\nYOULL own the whole billing system here" + pad, "YouWill run the data team every day" + pad, None, "short", "uses python, java, scala and rust" + pad]
+    out = E.hooks(spark.createDataFrame(list(enumerate(texts)), "item_id int, text string"))
+    assert [r.kind for r in out.orderBy("item_id").collect()] == ["product", "mission", "challenge", "challenge", "fallback", "fallback", "stack"]
+    assert written(out, "our mission|") == 1
