@@ -402,3 +402,17 @@ def test_hooks_try_each_pattern_once(spark):
     out = E.hooks(spark.createDataFrame(list(enumerate(texts)), "item_id int, text string"))
     assert [r.kind for r in out.orderBy("item_id").collect()] == ["product", "mission", "challenge", "challenge", "fallback", "fallback", "stack"]
     assert written(out, "our mission|") == 1
+
+
+def test_format_flags_try_each_pattern_once(spark):
+    import re
+
+    texts = ["", "Lives in LEEDS, a@b.co", "due 03/2020 or 2020-03 or 03-2020, MAR 2020, Mar. 2020", "Work Experience:\nSKILLS", "core competencies\nabout me", "US", "bus", "(eu)", "+44 20 7946 0958 LinkedIn.com/in/x-y", "remote\tTech Stack", "2020", "a-b/c"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "doc_id int, text string")
+    out = Q.format_flags(docs)
+    for r in out.where("doc_id < 99").collect():
+        has = lambda p: bool(re.search(p, texts[r.doc_id]))
+        assert r.date_formats == sum(has(p) for _, p in QR.DATE_FORMATS) and r.headings_missing == sum(not has(p) for _, p in QR.STANDARD_HEADINGS), texts[r.doc_id]
+        assert [r[f"has_{n}"] for n, _ in QR.SECTION_WORDS] == [has(p) for _, p in QR.SECTION_WORDS], texts[r.doc_id]
+        assert (r.has_email, r.has_phone, r.has_profile, r.has_place) == tuple(has(p) for p in (QR.EMAIL, QR.PHONE, QR.PROFILE, QR.PLACES)), texts[r.doc_id]
+    assert written(out, r"linkedin\.com/in/") == 1 and written(out, "|career objective)") == 1
