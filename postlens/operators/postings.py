@@ -174,18 +174,21 @@ def variant_levels(bodies: Column) -> Column:
 
     A fold of as many steps as the texts nest reaches every level, so a wide text costs what it holds.
     """
-    roots = F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
     steps = F.coalesce(F.array_max(F.transform(bodies, json_depth)), F.lit(0))
+    roots = F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+    start = let(roots, lambda r: F.struct(r.alias("level"), r.alias("all")))
 
     def deeper(seen, _):
         below = F.flatten(F.transform(seen["level"], variant_children))
         return let(below, lambda n: F.struct(n.alias("level"), F.concat(seen["all"], n).alias("all")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), F.struct(roots.alias("level"), roots.alias("all")), deeper)["all"]
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, deeper)["all"]
 
 
 def _var(node: Column, path: str) -> Column:
-    return F.nullif(tags_to_text(F.try_variant_get(node, path, "string")), F.lit(""))
+    """The text at a path, NULL when empty. Markup is taken out only where there is some; each step is bound, so none runs twice."""
+    plain = let(F.try_variant_get(node, path, "string"), lambda v: F.when(v.contains("<") | v.contains("&"), tags_to_text(v)).otherwise(squeeze(v)))
+    return let(plain, lambda t: F.when(t != "", t))
 
 
 def _var_or_child(node: Column, path: str, child: str) -> Column:
@@ -196,37 +199,35 @@ def _var_or_child(node: Column, path: str, child: str) -> Column:
 
 def jsonld_postings(pages: DataFrame) -> DataFrame:
     """First non-empty value per field over all JobPosting objects of a page, at any depth."""
-    work = (
-        pages.where(F.col("html").contains("application/ld+json"))
-        .select("page_id", variant_levels(picks("html", LD_BODY)).alias("_n"))
-        .select("page_id", F.filter("_n", lambda n: F.lower(
-            F.coalesce(F.try_variant_get(n, "$['@type']", "string"), F.lit(""))).contains("jobposting")).alias("_p"))
-        .where(F.size("_p") > 0)
-    )
+    def is_posting(n):
+        return F.lower(F.coalesce(F.try_variant_get(n, "$['@type']", "string"), F.lit(""))).contains("jobposting")
 
-    def first(build):
-        return F.try_element_at(F.filter(F.transform("_p", build), lambda v: v.isNotNull()), F.lit(1))
+    def first(found_, build):
+        return F.try_element_at(F.filter(F.transform(found_, build), lambda v: v.isNotNull()), F.lit(1))
 
     def place(p):
         def part(name):
             return F.coalesce(*[_var_or_child(p, f"$.jobLocation{at}{inner}.{name}", "name")
                                 for at in ("[0]", "") for inner in (".address", "")])
-        joined = F.nullif(F.array_join(keep_present(
-            part("addressLocality"), part("addressRegion"), part("addressCountry")), ", "), F.lit(""))
-        remote = F.when(_var(p, "$.jobLocationType").isNotNull(), F.lit("Remote"))
-        return F.coalesce(joined, remote)
-
-    return work.select(
-        "page_id",
-        first(lambda p: _var(p, "$.title")).alias("title"),
-        first(lambda p: _var_or_child(p, "$.hiringOrganization", "name")).alias("company"),
-        first(lambda p: F.coalesce(_var(p, "$.hiringOrganization.url"),
-                                   _var(p, "$.hiringOrganization.sameAs[0]"),
-                                   _var(p, "$.hiringOrganization.sameAs"))).alias("org_url"),
-        first(place).alias("location"),
-        first(lambda p: _var(p, "$.description")).alias("description"),
-        first(lambda p: _var_or_child(p, "$.identifier", "value")).alias("job_id"),
-    )
+        joined = F.array_join(keep_present(part("addressLocality"), part("addressRegion"), part("addressCountry")), ", ")
+        return let(joined, lambda j: F.when(j != "", j).when(_var(p, "$.jobLocationType").isNotNull(), F.lit("Remote")))
+
+    def fields(found_):
+        return F.when(F.size(found_) > 0, F.struct(
+            first(found_, lambda p: _var(p, "$.title")).alias("title"),
+            first(found_, lambda p: _var_or_child(p, "$.hiringOrganization", "name")).alias("company"),
+            first(found_, lambda p: F.coalesce(_var(p, "$.hiringOrganization.url"),
+                                               _var(p, "$.hiringOrganization.sameAs[0]"),
+                                               _var(p, "$.hiringOrganization.sameAs"))).alias("org_url"),
+            first(found_, place).alias("location"),
+            first(found_, lambda p: _var(p, "$.description")).alias("description"),
+            first(found_, lambda p: _var_or_child(p, "$.identifier", "value")).alias("job_id"),
+        ))
+
+    # One expression from the page to its row: a filter on the objects found would read the page a second time.
+    row = let(F.filter(let(picks("html", LD_BODY), variant_levels), is_posting), fields)
+    return pages.where(F.col("html").contains("application/ld+json")).select(
+        "page_id", F.inline(F.filter(F.array(row), lambda r: r.isNotNull())))
 
 
 # ---------------------------------------------------------------- identity

@@ -73,7 +73,7 @@ def b05(spark, folder):
 
 def _ld_pages(spark, folder):
     """Pages with embedded structured data made of the part table, in the nestings sites use."""
-    part = table(spark, folder, "part")
+    part = table(spark, folder, "part").repartition("p_partkey")  # small rows in one split, but each becomes a page to parse
     job = F.struct(
         F.lit("JobPosting").alias("@type"), F.concat(F.lit("<b>"), "p_name", F.lit("</b>")).alias("title"),
         F.struct(F.col("p_brand").alias("name"), F.concat(F.lit("https://"), F.lower(F.translate("p_brand", "#", "")),

@@ -416,3 +416,12 @@ def test_format_flags_try_each_pattern_once(spark):
         assert [r[f"has_{n}"] for n, _ in QR.SECTION_WORDS] == [has(p) for _, p in QR.SECTION_WORDS], texts[r.doc_id]
         assert (r.has_email, r.has_phone, r.has_profile, r.has_place) == tuple(has(p) for p in (QR.EMAIL, QR.PHONE, QR.PROFILE, QR.PLACES)), texts[r.doc_id]
     assert written(out, r"linkedin\.com/in/") == 1 and written(out, "|career objective)") == 1
+
+
+def test_jsonld_postings_read_a_page_once(spark):
+    body = '{"@type": "JobPosting", "title": "<b>R&amp;D</b> lead", "hiringOrganization": "Acme", "jobLocationType": "TELECOMMUTE", "description": " plain  text ", "identifier": {"value": 7}}'
+    page = lambda b: f'<script type="application/ld+json">{b}</script>'
+    out = P.jsonld_postings(spark.createDataFrame([(1, page(body)), (2, page('{"@type": "Person"}')), (3, "none"), (4, page("[{}, " + body.replace("Acme", "") + "]"))], "page_id int, html string"))
+    got = {r.page_id: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: ("R&D lead", "Acme", None, "Remote", "plain text", "7"), 4: ("R&D lead", None, None, "Remote", "plain text", "7")}
+    assert written(out, "regexp_extract_all") == 1
