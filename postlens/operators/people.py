@@ -78,10 +78,13 @@ def posting_reference(postings: DataFrame, key: str = "posting_id", text: str =
 
 
 def discipline_of(col: str | Column, rules=tuple(R.DISCIPLINES)) -> Column:
-    t, out = F.lower(c(col)), F.lit("")
-    for name, pattern in reversed(list(rules)):
-        out = F.when(t.rlike(pattern), name).otherwise(out)
-    return out
+    def first(t):
+        out = F.lit("")
+        for name, pattern in reversed(list(rules)):
+            out = F.when(t.rlike(pattern), name).otherwise(out)
+        return out
+
+    return let(F.lower(c(col)), first)
 
 
 def field_of(col: str | Column, shapes=tuple(R.ROLE_SHAPES), fields=tuple(R.FIELDS)) -> Column:
@@ -92,9 +95,9 @@ def field_of(col: str | Column, shapes=tuple(R.ROLE_SHAPES), fields=tuple(R.FIEL
 def recruiter_covers(col: str | Column) -> Column:
     """The discipline a recruiter's title names besides recruiting; '' for others."""
     t = F.lower(c(col))
-    d = discipline_of(sub(t, R.RECRUITING_WORDS, " "))
     tech = t.rlike(r"(?:^|[^a-z0-9_])(?:tech(?:nical)?|eng)(?:$|[^a-z0-9_])")
-    return F.when(~t.rlike(R.RECRUITING), "").when((d == "") & tech, "engineering").when(d == "hr", "").otherwise(d)
+    named = let(discipline_of(sub(t, R.RECRUITING_WORDS, " ")), lambda d: F.when((d == "") & tech, "engineering").when(d == "hr", "").otherwise(d))
+    return F.when(~t.rlike(R.RECRUITING), "").otherwise(named)
 
 
 def discipline(titles: DataFrame, title: str = "title") -> DataFrame:
@@ -109,8 +112,8 @@ def norm_company(col: str | Column) -> Column:
 
 def company_agrees(a: str | Column, b: str | Column) -> Column:
     """Equal or one containing the other after normalising; NULL when either is unknown."""
-    x, y = norm_company(a), norm_company(b)
-    return F.when((x != "") & (y != ""), (x == y) | x.contains(y) | y.contains(x))
+    both = F.struct(norm_company(a).alias("x"), norm_company(b).alias("y"))
+    return let(both, lambda n: F.when((n["x"] != "") & (n["y"] != ""), n["x"].contains(n["y"]) | n["y"].contains(n["x"])))
 
 
 def company_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, company: str = "company") -> DataFrame:
@@ -132,26 +135,46 @@ def company_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return l.join(agree, "_n").join(r, "_m").select(left_id, right_id).distinct().withColumn("agrees", F.lit(True))
 
 
-def candidate_score(pairs: DataFrame) -> Column:
-    """Score of a person for a posting. Columns: title, company, country, city_text, confidence, verified, address; p_title, p_company, p_country, p_city, p_domain."""
-    t, role = F.lower("title"), discipline_of("p_title")
-    covers, own = recruiter_covers("title"), discipline_of("title")
-    tier = F.lit(0)
+def _points(cond: Column, n: int) -> Column:
+    return F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
+
+
+def title_features(title: str | Column) -> Column:
+    """What a person's title says, whatever the posting: points, the disciplines it covers and is of, recruiter, sales."""
+    t, tier = F.lower(c(title)), F.lit(0)
     for i, titles in reversed(list(enumerate(R.TITLE_TIERS))):
         hit = F.lit(False)
         for name in titles:
             hit = hit | t.contains(name)
         tier = F.when(hit, 30 - i * 8).otherwise(tier)
-    points = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
-    recruiter = t.rlike(r"talent|recruit|sourc|hiring manager|people partner|(?:^|[^a-z0-9_])hr(?:$|[^a-z0-9_])|human resources")
-    disc = F.when((role != "") & (covers != ""), F.when(covers == role, 16).otherwise(-18)).when((role != "") & ~recruiter & (own != ""), F.when(own == role, 14).otherwise(-12)).otherwise(0)
-    agrees = company_agrees("company", "p_company")
+    points = (tier + _points(t.rlike("talent|recruit"), 10) + _points(t.rlike("head|lead|manager|director|principal|senior"), 4) - _points(t.rlike(r"intern(?:$|[^a-z0-9_])|assistant"), 6))
+    return F.struct(points.alias("points"), recruiter_covers(title).alias("covers"), discipline_of(title).alias("own"),
+                    t.rlike(r"talent|recruit|sourc|hiring manager|people partner|(?:^|[^a-z0-9_])hr(?:$|[^a-z0-9_])|human resources").alias("recruiter"),
+                    t.rlike("sales|business development|account executive|partnerships").alias("sales"))
+
+
+def candidate_score(pairs: DataFrame) -> Column:
+    """Score of a person for a posting. Columns: title, company, country, city_text, confidence, verified, address; p_title, p_company, p_country, p_city, p_domain.
+
+    What one side alone says takes most of the patterns. Rows may bring it, made before persons and postings were paired:
+    title_known (``title_features``), company_name and p_company_name (``norm_company``), p_role (``discipline_of`` p_title).
+    """
+    def given(name, made):
+        return (F.col(name) if name in pairs.columns else made).alias(name)
+
+    both = F.struct(given("title_known", title_features("title")), given("p_role", discipline_of("p_title")), given("company_name", norm_company("company")), given("p_company_name", norm_company("p_company")))
+
+    def fit(n):
+        t, role, x, y = n["title_known"], n["p_role"], n["company_name"], n["p_company_name"]
+        disc = F.when((role != "") & (t["covers"] != ""), F.when(t["covers"] == role, 16).otherwise(-18)).when(
+            (role != "") & ~t["recruiter"] & (t["own"] != ""), F.when(t["own"] == role, 14).otherwise(-12)).otherwise(0)
+        agrees = F.when((x != "") & (y != ""), F.when(x.contains(y) | y.contains(x), 18).otherwise(-60)).otherwise(0)
+        return t["points"] + disc - _points((role != "sales") & t["sales"], 25) + agrees
+
     country = F.when(F.col("country").isNotNull() & F.col("p_country").isNotNull(), F.when(F.col("country") == F.col("p_country"), 14).otherwise(-30)).otherwise(0)
     personal = F.lower("address").rlike(R.PERSONAL_DOMAIN)
-    mail = F.when(F.col("address").isNull(), 0).when(personal, -20).otherwise(6 + points(F.lower("address").endswith(F.concat(F.lit("@"), F.col("p_domain"))), 8))
-    return big(tier + points(t.rlike("talent|recruit"), 10) + points(t.rlike("head|lead|manager|director|principal|senior"), 4) - points(t.rlike(r"intern(?:$|[^a-z0-9_])|assistant"), 6) + disc
-               - points((role != "sales") & t.rlike("sales|business development|account executive|partnerships"), 25) + points(agrees, 18) - points(~agrees, 60) + country
-               + points(F.lower("city_text").contains(F.lower("p_city")), 12) + F.coalesce(F.round(F.col("confidence") / 10), F.lit(0)) + points(F.col("verified"), 5) + mail)
+    mail = F.when(F.col("address").isNull(), 0).when(personal, -20).otherwise(6 + _points(F.lower("address").endswith(F.concat(F.lit("@"), F.col("p_domain"))), 8))
+    return big(let(both, fit) + country + _points(F.lower("city_text").contains(F.lower("p_city")), 12) + F.coalesce(F.round(F.col("confidence") / 10), F.lit(0)) + _points(F.col("verified"), 5) + mail)
 
 
 def rank_candidates(pairs: DataFrame, posting: str = "posting_id", top: int = 5) -> DataFrame:

@@ -71,13 +71,17 @@ def i05(spark, folder):
 def i06(spark, folder):
     """Suppliers' postings against the customers whose orders they shipped."""
     line, orders, c, s = (table(spark, folder, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    title = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "Technical Recruiter").when(F.col("c_mktsegment") == "MACHINERY", "Sales Recruiter").when(F.col("c_mktsegment") == "FURNITURE", "Head of Engineering").otherwise("Office Assistant")
+    # Titles and names are read on the customers' and suppliers' own rows, before they meet.
+    c = c.withColumn("title", title).withColumn("title_known", I.title_features("title")).withColumn("else_name", I.norm_company(F.lit("Elsewhere")))
+    s = s.withColumn("firm", F.concat(F.lit("Firm "), "s_suppkey")).withColumn("p_company", F.concat("firm", F.lit(" Ltd"))).withColumn("p_title", F.lit("Software Engineer"))
+    s = s.withColumn("firm_name", I.norm_company("firm")).withColumn("p_company_name", I.norm_company("p_company")).withColumn("p_role", I.discipline_of("p_title"))
     links = line.join(orders, line.l_orderkey == orders.o_orderkey).select("l_suppkey", "o_custkey").distinct()
     rows = links.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    title = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "Technical Recruiter").when(F.col("c_mktsegment") == "MACHINERY", "Sales Recruiter").when(F.col("c_mktsegment") == "FURNITURE", "Head of Engineering").otherwise("Office Assistant")
-    pairs = rows.select(F.col("s_suppkey").alias("posting_id"), title.alias("title"), F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("Firm "), "s_suppkey")).otherwise("Elsewhere").alias("company"),
+    pairs = rows.select(F.col("s_suppkey").alias("posting_id"), "title", "title_known", F.when(F.col("c_acctbal") > 5000, F.col("firm")).otherwise("Elsewhere").alias("company"), F.when(F.col("c_acctbal") > 5000, F.col("firm_name")).otherwise(F.col("else_name")).alias("company_name"),
                         F.col("c_nationkey").cast("string").alias("country"), F.concat(F.lit("city"), "c_nationkey").alias("city_text"), (F.col("c_custkey") % 100).cast("double").alias("confidence"), (F.col("c_acctbal") > 2000).alias("verified"),
-                        F.concat(F.lit("p"), "c_custkey", F.when(F.col("c_acctbal") < 1000, "@gmail.com").otherwise(F.concat(F.lit("@firm"), "s_suppkey", F.lit(".io")))).alias("address"), F.lit("Software Engineer").alias("p_title"),
-                        F.concat(F.lit("Firm "), "s_suppkey", F.lit(" Ltd")).alias("p_company"), F.col("s_nationkey").cast("string").alias("p_country"), F.concat(F.lit("city"), "s_nationkey", F.lit("!")).alias("p_city"), F.concat(F.lit("firm"), "s_suppkey", F.lit(".io")).alias("p_domain"))
+                        F.concat(F.lit("p"), "c_custkey", F.when(F.col("c_acctbal") < 1000, "@gmail.com").otherwise(F.concat(F.lit("@firm"), "s_suppkey", F.lit(".io")))).alias("address"), "p_title", "p_role", "p_company_name",
+                        "p_company", F.col("s_nationkey").cast("string").alias("p_country"), F.concat(F.lit("city"), "s_nationkey", F.lit("!")).alias("p_city"), F.concat(F.lit("firm"), "s_suppkey", F.lit(".io")).alias("p_domain"))
     return I.rank_candidates(pairs)
 
 

@@ -425,3 +425,13 @@ def test_jsonld_postings_read_a_page_once(spark):
     got = {r.page_id: tuple(r)[1:] for r in out.collect()}
     assert got == {1: ("R&D lead", "Acme", None, "Remote", "plain text", "7"), 4: ("R&D lead", None, None, "Remote", "plain text", "7")}
     assert written(out, "regexp_extract_all") == 1
+
+
+def test_candidate_score_reads_each_name_once_and_takes_known_sides(spark):
+    row = ("Tech Recruiter", "Acme & Co", "ie", "Cork", 50.0, True, "a@acme.io", "Software Engineer", "ACME and co ltd", "ie", "cork", "acme.io")
+    names = "title company country city_text confidence verified address p_title p_company p_country p_city p_domain".split()
+    pairs = spark.createDataFrame([(1, *row), (2, "Sales Manager", "Other", *row[2:]), (3, None, None, *row[2:]), (4, "Head of Engineering", "acme labs", *row[2:7], "Account Executive", "Acme", *row[9:])], ["posting_id", *names])
+    score = lambda df: [(r.posting_id, r.score) for r in I.rank_candidates(df).orderBy("posting_id").collect()]
+    known = pairs.withColumn("title_known", I.title_features("title")).withColumn("company_name", I.norm_company("company")).withColumn("p_company_name", I.norm_company("p_company")).withColumn("p_role", I.discipline_of("p_title"))
+    assert score(pairs)[:2] == [(1, 124), (2, -43)] and score(known) == score(pairs)
+    assert written(I.rank_candidates(pairs), "lower(company") == 1
