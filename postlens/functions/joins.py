@@ -47,6 +47,7 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("salting keeps every left row in one salt: inner and left joins only")
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    # Never null, and known to be: a null check pushed into ``left`` would keep Spark from reusing its exchanges elsewhere.
+    salted_left = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.lit(salts)), F.lit(0)))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")

@@ -214,7 +214,7 @@ def _lines(spark, folder, text="text"):
 
 
 def e21(spark, folder):
-    src = _lines(spark, folder).where("length(body) < 300")
+    src = _lines(spark, folder)
     tgt = src.where(F.col("body").contains("on")).withColumn("body", F.regexp_replace("body", " [a-z]+,", ","))
     return E.dropped_lines(src, tgt, "source").select("line_id", "source")
 
@@ -413,7 +413,7 @@ ORACLES.update({
         SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS sections, CAST(count(*) FILTER (WHERE section <> 'skills') >= 2 AS VARCHAR) AS well_distributed, CAST(round((1 - max(n) / sum(n)) * 100) AS BIGINT) AS score FROM c GROUP BY doc_id""",
     "e20_unsupported_terms": f"""WITH {sql_top(35)}, f AS (SELECT doc_id, {_FOLD('text')} AS a, {_FOLD("regexp_replace(text, '(?:th|ci|le)[a-zé]+', 'x', 'g')")} AS b FROM documents), p AS (SELECT DISTINCT doc_id, term, {_FOLD('term')} AS p FROM top WHERE len(term) >= 3)
         SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term) AS ord FROM p JOIN f USING (doc_id) WHERE p <> '' AND contains(a, p) AND NOT contains(b, p) QUALIFY ord <= 12""",
-    "e21_dropped_lines": f"""WITH l AS ({_ORDL}), s AS (SELECT doc_id * 100000 + line_no AS line_id, source, body, {_STEMS('body')} AS st FROM l WHERE len(body) < 300),
+    "e21_dropped_lines": f"""WITH l AS ({_ORDL}), s AS (SELECT doc_id * 100000 + line_no AS line_id, source, body, {_STEMS('body')} AS st FROM l),
         t AS (SELECT DISTINCT source, {_STEMS("regexp_replace(body, ' [a-z]+,', ',', 'g')")} AS st FROM s WHERE contains(body, 'on')), u AS (SELECT source, list_sort(st) AS k, any_value(st) AS st, list(line_id) AS ids FROM s WHERE len(st) >= 4 GROUP BY 1, 2),
         m AS (SELECT u.source, u.k FROM u JOIN t ON u.source = t.source AND len(t.st) > 0 AND greatest(len(list_intersect(u.st, t.st)) / len(u.st), len(list_intersect(u.st, t.st)) / len(t.st)) >= 0.45 GROUP BY ALL)
         SELECT unnest(ids) AS line_id, source FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = u.source AND m.k = u.k)""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.text import spelled, words
 from postlens.operators import history, matching, people, places, postings, quality, terms
+from postlens.plans import matching as plans
 from postlens.streaming import activity as J
 from postlens.streaming.replay import run_append, stream_table
 
@@ -186,3 +187,15 @@ def test_pair_features_search_in_batches(spark):
     assert "_stand_in" in made._jdf.queryExecution().optimizedPlan().toString()
     row = made.first()
     assert (row.proven, row.unsupported, row.title_in_header) == (100, 1, True)
+
+
+def test_dropped_paragraphs_of_any_length_are_reported(spark, tmp_path):
+    made = lambda start: " ".join(f"{start}{chr(97 + i // 26)}{chr(97 + i % 26)}zebra" for i in range(60))
+    spark.createDataFrame([(1, "s", "\n".join([made("q"), made("w") + " onward"]))], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in plans.QUERIES["e21_dropped_lines"](spark, str(tmp_path)).collect()] == [(100000, "s")]
+
+
+def test_dropped_lines_share_their_sets(spark):
+    rows = spark.createDataFrame([("g", i, f"alpha bravo carol delta {chr(97 + i)}word") for i in range(20)], "grp string, line_id long, body string")
+    out = matching.dropped_lines(rows, rows.where("line_id > 9"), "grp")
+    assert out.count() == 0 and "isnotnull(pmod(" not in out._jdf.queryExecution().optimizedPlan().toString()
