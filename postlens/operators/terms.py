@@ -46,10 +46,11 @@ def band(rank: Column, n: Column, high: float, medium: float, high_cap: int | No
     return F.when(rank <= top, "high").when(rank <= top + mid, "medium").otherwise("low")
 
 
-def ranked(rows: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
-    """``rank`` within a document, first ``n`` kept: the operator's own cut, limited before any shuffle."""
+def ranked(rows: DataFrame, key: str, order: Sequence[Column], n: int | None) -> DataFrame:
+    """``rank`` within a document, first ``n`` kept (all, if None): the operator's own cut, limited before any shuffle."""
     w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("rank", big("rank"))
+    rows = rows.withColumn("rank", F.row_number().over(w))
+    return (rows if n is None else rows.where(F.col("rank") <= n)).withColumn("rank", big("rank"))
 
 
 def top_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 35,
@@ -385,12 +386,13 @@ def _phrase_ok(ws: Column, edge: Sequence[str]) -> Column:
 
 def hard_skills(docs: DataFrame, key: str = "doc_id", text: str = "text", heads: Sequence[str] = tuple(R.SKILL_HEADS),
                 boundary: Sequence[str] = tuple(R.BOUNDARY_WORDS), edge: Sequence[str] = tuple(R.EDGE_WORDS),
-                standalone: Sequence[str] = tuple(R.STANDALONE_HEADS), soft: DataFrame | None = None, limit: int = 40) -> DataFrame:
+                standalone: Sequence[str] = tuple(R.STANDALONE_HEADS), soft: DataFrame | None = None, limit: int | None = 40) -> DataFrame:
     """(key, skill, display, score, rank): skills named by a cue (6), by shape (5) or ending in a head noun (3 + words).
 
     Each mention of a skill adds up; up to three repeats add half a point. Soft skills (key,
     skill) are removed, and a phrase that extends a shorter candidate of two or more words to the
-    right is dropped. Candidates are built and counted inside the row; only narrow rows are shuffled.
+    right is dropped. The ``limit`` best stay, or all if it is None. Candidates are built and counted inside the row; only
+    narrow rows are shuffled.
     """
     none = F.array().cast("array<struct<raw:string,weight:int>>")
 
@@ -433,13 +435,21 @@ def hard_skills(docs: DataFrame, key: str = "doc_id", text: str = "text", heads:
     def mentions(h, k):
         return let(padded(k), lambda n: (F.length(h) - F.length(F.replace(h, n))) / F.length(n))
 
-    def named(h, x):
-        return let(skill_norm(x["raw"]), lambda k: F.struct(k.alias("skill"), F.trim(x["raw"]).alias("display"), x["weight"].alias("weight"), mentions(h, k).alias("_count")))
+    def named(x):
+        return let(skill_norm(x["raw"]), lambda k: F.struct(k.alias("skill"), F.trim(x["raw"]).alias("display"), x["weight"].alias("weight")))
+
+    def good(x):
+        return _phrase_ok(pieces(x["skill"], " "), edge) & outside(x["skill"], R.NOT_A_SKILL) & (x["skill"] != "")
+
+    def counted(h, kept):
+        # A skill is sought in the text once, for its first candidate, and refused candidates are not sought at all.
+        def one(x, i, skills):
+            return F.struct(x["skill"].alias("skill"), x["display"].alias("display"), x["weight"].alias("weight"), F.when(F.array_position(skills, x["skill"]) == i + 1, mentions(h, x["skill"])).alias("_count"))
+        return let(F.transform(kept, lambda x: x["skill"]), lambda skills: F.transform(kept, lambda x, i: one(x, i, skills)))
 
     # Counted inside the row: what is exploded, and shuffled later, holds no text.
-    rows = spread(docs, key, text).select(key, F.inline_outer(let(hay, lambda h: F.transform(cands, lambda x: named(h, x))))).where("skill is not null")
-    good = _phrase_ok(pieces("skill", " "), edge) & outside(F.col("skill"), R.NOT_A_SKILL) & (F.col("skill") != "")
-    rows = rows.where(good)
+    made = let(F.filter(F.transform(cands, named), good), lambda kept: let(hay, lambda h: counted(h, kept)))
+    rows = spread(docs, key, text).select(key, F.inline_outer(made)).where("skill is not null")
     grouped = rows.groupBy(key, "skill").agg(
         F.sum("weight").alias("_w"), F.min(F.struct(F.length("display"), "display"))["display"].alias("display"), F.max("_count").alias("_count"))
     grouped = grouped.withColumn("score", F.col("_w") + F.least(F.col("_count"), F.lit(3.0)) * 0.5)
@@ -473,11 +483,16 @@ def soft_skills(docs: DataFrame, terms: Sequence[str] = tuple(R.SOFT_SKILLS), ke
     """(key, skill, matched_form): soft skills by any of their forms; "X skills" is reported when the text says so."""
     forms = soft_variants(terms)
     rules = docs.sparkSession.createDataFrame(forms, "term string, form string, ord long")
-    sizes = sorted({len(form.split()) for _, form, _ in forms})
-    from postlens.operators.history import word_ngrams
+    known = [form for _, form, _ in forms]
+    sizes, firsts = sorted({len(form.split()) for form in known}), sorted({form.split()[0] for form in known if form.split()})
+
+    def held_forms(ws):  # spans are built where a form's first word stands only, and only forms leave the row
+        places = F.filter(F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws))).otherwise(F.array().cast("array<int>")), lambda i: F.element_at(ws, i).isin(firsts))
+        spans = F.transform(places, lambda i: F.array(*[F.array_join(F.slice(ws, i, F.lit(n)), " ") for n in sizes]))
+        return F.array_distinct(F.filter(F.flatten(spans), lambda g: g.isin(known)))
 
-    spans = spread(docs, key, text).select(key, F.explode(word_ngrams(pieces(skill_norm(text), " "), sizes)).alias("form"))
-    hit = spans.join(rules, "form")
+    spans = let(pieces(skill_norm(text), " "), held_forms)
+    hit = spread(docs, key, text).select(key, F.explode_outer(spans).alias("form")).where("form is not null").join(rules, "form")
     named = F.max((F.col("form") == F.concat("_base", F.lit(" skills"))).cast("int"))
     return hit.withColumn("_base", skill_norm("term")).groupBy(key, "term").agg(
         F.min_by("form", "ord").alias("matched_form"), named.alias("_s")).select(

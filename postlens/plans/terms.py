@@ -123,7 +123,9 @@ def d10(spark, folder):
 
 
 def d11(spark, folder):
-    return T.hard_skills(docs(spark, folder), heads=CORPUS_HEADS, boundary=[*R.BOUNDARY_WORDS, *CORPUS_BOUNDARY], standalone=["ch"])
+    """All skills of each document, soft ones removed; a word that plays a head noun here is no edge word."""
+    return T.hard_skills(docs(spark, folder), heads=[*R.SKILL_HEADS, *CORPUS_HEADS], boundary=[*R.BOUNDARY_WORDS, *CORPUS_BOUNDARY], edge=[w for w in R.EDGE_WORDS if w not in CORPUS_HEADS],
+                         standalone=[*R.STANDALONE_HEADS, "ch"], soft=T.soft_skills(docs(spark, folder), CORPUS_SOFT), limit=None)
 
 
 def d12(spark, folder):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postlens.functions.text import spelled, words
 from postlens.operators import history, matching, people, places, postings, quality, terms
 from postlens.plans import matching as plans
+from postlens.plans import terms as plan_terms
 from postlens.streaming import activity as J
 from postlens.streaming.replay import run_append, stream_table
 
@@ -199,3 +200,18 @@ def test_dropped_lines_are_not_shuffled_to_learn_their_blocks(spark):
     rows = spark.createDataFrame([("g", i, f"alpha bravo carol delta {chr(97 + i)}word") for i in range(20)], "grp string, line_id long, body string")
     out = matching.dropped_lines(rows, rows.where("line_id > 9"), "grp")
     assert out.count() == 0 and "salt" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_open_skills_of_a_document_are_all_reported(spark, tmp_path):
+    named = ", ".join(f"q{chr(97 + i // 26)}{chr(97 + i % 26)}w ha" for i in range(60))
+    spark.createDataFrame([(1, f"{named}. zebra on, quartz analysis, thon. THON")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.skill for r in plan_terms.QUERIES["d11_hard_skills"](spark, str(tmp_path)).collect()}
+    assert got == {*named.split(", "), "zebra on", "quartz analysis"}
+
+
+def test_open_skills_are_sought_once_each(spark):
+    docs = spark.createDataFrame([(1, "Root cause analysis. Root cause analysis, root cause analysis; experience with SQL and SQL"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.skill: (r.score, r["rank"]) for r in terms.hard_skills(docs, limit=None).collect()}
+    assert got == {"root cause analysis": (19.0, 2), "sql": (23.0, 1)}
+    limited = terms.hard_skills(docs, limit=1).collect()
+    assert [r.skill for r in limited] == ["sql"]
