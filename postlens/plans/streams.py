@@ -21,7 +21,9 @@ def stamp(df, *names):
 
 
 def j01(spark, folder):
-    ev = events(spark, folder)
+    # An event is a few bytes until its payload is made, so events are dealt over all cores first: a file has few row groups.
+    ev = events(spark, folder).select("event_id", "user_id", "props")
+    ev = ev.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "event_id")
     nested = F.struct(k_of().alias("k"), F.concat(F.lit("eyJ"), F.repeat(F.lit("a"), 12)).alias("jwt"), F.lit("s3").alias("api_key"), F.repeat(F.lit("x"), (F.col("user_id") * 5).cast("int")).alias("note"),
                       F.sequence(F.lit(1), (F.col("user_id") % 12 + 1).cast("int")).alias("list"), F.struct(F.struct(F.struct(F.lit(1).alias("d")).alias("c")).alias("b")).alias("a"))
     return J.ingest_trace(ev.select("event_id", F.to_variant_object(nested).alias("props")))

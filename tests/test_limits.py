@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postlens.functions.text import spelled, words
 from postlens.operators import history, matching, people, places, postings, quality, terms
 from postlens.plans import matching as plans
+from postlens.plans import streams as plan_streams
 from postlens.plans import terms as plan_terms
 from postlens.streaming import activity as J
 from postlens.streaming.replay import run_append, stream_table
@@ -230,3 +231,10 @@ def test_title_pairs_are_never_shuffled(spark):
         assert {r.coverage for r in out.collect()} == {67, 100}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange") and "Join" not in plan  # the pairs come last, out of one shuffle of texts and titles
+
+
+def test_events_of_one_file_are_traced_on_all_cores(spark, sf):
+    out = plan_streams.QUERIES["j1_ingest_trace"](spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("to_variant_object") < plan.index("Exchange") < plan.index("FileScan")  # payloads are made behind the exchange
+    assert spark.read.parquet(f"{sf}/events.parquet").rdd.getNumPartitions() < 8 <= out.rdd.getNumPartitions()
