@@ -238,3 +238,17 @@ def test_events_of_one_file_are_traced_on_all_cores(spark, sf):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("to_variant_object") < plan.index("Exchange") < plan.index("FileScan")  # payloads are made behind the exchange
     assert spark.read.parquet(f"{sf}/events.parquet").rdd.getNumPartitions() < 8 <= out.rdd.getNumPartitions()
+
+
+def test_words_are_sought_in_distinct_runs():
+    text = "alpha beta  alphabet\tgamma\n" * 50 + "end of it all"
+    asked = ["alpha", "habet", "beta  al", "it all", "a b", "of", "gammaend", "", " ", "xyz", "\n", "ta", "tall"] + [f"w{i}" for i in range(20)]
+    assert matching._standing(text, asked) == [word in text for word in asked] and matching._standing(text, asked[:5]) == [True] * 5
+    assert matching._standing(None, asked) == [False] * len(asked) and matching._standing("", ["", "a"] * 20) == [True, False] * 20
+    class Counted(str):
+        seen = 0
+        def __contains__(self, word):
+            Counted.seen += 1
+            return str.__contains__(self, word)
+    matching._standing(Counted(text), [f"w{i}" for i in range(100)])
+    assert Counted.seen == 0  # the repeated text itself is not searched for plain words
